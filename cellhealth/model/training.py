@@ -18,6 +18,7 @@ from ..functions.labels import label_name
 from ..operators.evaluate import confusion, quality, with_class_weights
 from ..operators.sampling import SEED, cross_validation_folds, stratified_split
 from ..schemas import FEATURES, RUN_SCHEMA, TARGET
+from ..session import checkpoint_root
 
 # Forest size and limits.
 TREES = 100
@@ -63,30 +64,54 @@ def predicted_labels(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("predicted_label", label_name(F.col("prediction")))
 
 
-def train(
-    samples: DataFrame, ids: Sequence[str] = ("cell_id", "window_end"), trees: int = TREES, seed: int = SEED
-) -> TrainedModel:
-    """Split, weigh, cross-validate on the training part, fit on it, evaluate on the rest.
+def prepare(samples: DataFrame, ids: Sequence[str] = ("cell_id", "window_end"), seed: int = SEED) -> DataFrame:
+    """Samples with ``weight``, ``is_test`` and ``fold``; the weights count all rows.
 
-    ``ids`` identify a sample. Cross-validation ends with a fit on all training rows, which is the
-    model; the reply to the driver is a handful of figures.
+    ``ids`` identify a sample. A forest reads its input once per level, so the prepared rows are
+    checkpointed: they are neither derived again nor lost with an executor.
     """
-    rows = with_class_weights(as_doubles(samples), TARGET)
-    parts = stratified_split(rows, TARGET, ids, seed=seed)
+    checkpoint_root(samples.sparkSession)
+    weighted = with_class_weights(as_doubles(samples), TARGET)
+    parts = stratified_split(weighted, TARGET, ids, seed=seed).checkpoint()
     training = cross_validation_folds(parts.filter(~F.col("is_test")), TARGET, ids, FOLDS, seed + 1)
+    testing = parts.filter("is_test").withColumn("fold", F.lit(None).cast("int"))
+    return training.unionByName(testing).checkpoint()
+
+
+def fit(prepared: DataFrame, trees: int = TREES, seed: int = SEED) -> PipelineModel:
+    """One fit on the training part."""
+    return classifier(trees, seed).fit(prepared.filter(~F.col("is_test")))
+
+
+def cross_validated(prepared: DataFrame, trees: int = TREES, seed: int = SEED) -> tuple[PipelineModel, float]:
+    """The model fitted on the whole training part, and its mean accuracy over the folds."""
     search = CrossValidator(
         estimator=classifier(trees, seed),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=MulticlassClassificationEvaluator(labelCol="code", metricName="accuracy"),
         numFolds=FOLDS,
         foldCol="fold",
+        parallelism=FOLDS,
     )
-    fitted = search.fit(training)
-    held_out = predicted_labels(fitted.bestModel, parts.filter("is_test"))
-    figures = quality(confusion(held_out, TARGET, "predicted_label"), TARGET, "predicted_label").first().asDict()
-    figures["cv_score_mean"] = float(fitted.avgMetrics[0])
-    labels = fitted.bestModel.stages[0].labels
-    return TrainedModel(fitted.bestModel, list(labels), figures, samples.count())
+    fitted = search.fit(prepared.filter(~F.col("is_test")))
+    return fitted.bestModel, float(fitted.avgMetrics[0])
+
+
+def evaluate(model: PipelineModel, rows: DataFrame) -> dict[str, float]:
+    """Accuracy, precision, recall and F1 from one pass: only the confusion table is collected."""
+    pairs = confusion(predicted_labels(model, rows), TARGET, "predicted_label")
+    return quality(pairs, TARGET, "predicted_label").first().asDict()
+
+
+def train(
+    samples: DataFrame, ids: Sequence[str] = ("cell_id", "window_end"), trees: int = TREES, seed: int = SEED
+) -> TrainedModel:
+    """Split, weigh, cross-validate and fit on the training part, evaluate on the rest."""
+    rows = prepare(samples, ids, seed)
+    model, accuracy = cross_validated(rows, trees, seed)
+    figures = evaluate(model, rows.filter("is_test"))
+    figures["cv_score_mean"] = accuracy
+    return TrainedModel(model, list(model.stages[0].labels), figures, rows.count())
 
 
 def save(spark: SparkSession, trained: TrainedModel, model_path: str, runs_path: str, run_name: str | None = None) -> None:

@@ -45,8 +45,8 @@ def label_mix(predictions: DataFrame, anchor: Column, span: int = 30 * MINUTE) -
 def labels_over_time(
     predictions: DataFrame, anchor: Column, span: int = 30 * MINUTE, unit: str = "minute"
 ) -> DataFrame:
-    at = F.date_trunc(unit, "timestamp").alias("at")
-    return label_counts(since(predictions, "timestamp", anchor, span), [at]).orderBy("at", "label")
+    at = F.date_trunc(unit, "timestamp").alias("bucket")
+    return label_counts(since(predictions, "timestamp", anchor, span), [at]).orderBy("bucket", "label")
 
 
 def label_series(
@@ -56,7 +56,7 @@ def label_series(
     columns = [F.count_if(F.col("label") == label).alias(label) for label in LABELS]
     other = F.count_if(F.coalesce(~F.col("label").isin(*LABELS), F.lit(True))).alias("other")
     recent = since(predictions, "timestamp", anchor, span)
-    return recent.groupBy(F.date_trunc(unit, "timestamp").alias("at")).agg(*columns, other).orderBy("at")
+    return recent.groupBy(F.date_trunc(unit, "timestamp").alias("bucket")).agg(*columns, other).orderBy("bucket")
 
 
 def label_kpis(predictions: DataFrame, anchor: Column, span: int = 30 * MINUTE) -> DataFrame:
@@ -152,11 +152,11 @@ def cell_grid(cells: DataFrame, predictions: DataFrame, features: DataFrame, amo
     )
 
 
-def days_between(df: DataFrame, column: str, step: int = DAY) -> DataFrame:
-    """One row per epoch-aligned step from the table's first time to its last."""
+def days_between(df: DataFrame, column: str) -> DataFrame:
+    """One row per day from the table's first time to its last."""
     ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    steps = F.sequence(bin_start(F.col("low"), step), bin_start(F.col("high"), step), F.expr(f"interval {step} seconds"))
-    return ends.select(F.explode(steps).alias("at"))
+    steps = F.sequence(F.date_trunc("day", "low"), F.date_trunc("day", "high"), F.expr("interval 1 day"))
+    return ends.select(F.explode(steps).alias("day"))
 
 
 def silent_cells(windows: DataFrame, step: int = DAY) -> DataFrame:
@@ -176,23 +176,22 @@ def event_rate(events: DataFrame, bucket: int = 5) -> DataFrame:
     """
     if DAY % bucket:
         raise ValueError("the bucket must divide a day")
-    counts = events.groupBy(bin_start(F.col("ts"), bucket).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    days = days_between(events, "ts").select(F.col("at").alias("day"))
-    day_counts = counts.groupBy(bin_start(F.col("at"), DAY).alias("day")).agg(F.sum("n").alias("day_n"))
+    counts = events.groupBy(bin_start(F.col("ts"), bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    days = days_between(counts, "bucket")
+    day_counts = counts.groupBy(bin_start(F.col("bucket"), DAY).alias("day")).agg(F.sum("n").alias("day_n"))
     before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = days.join(day_counts, "day", "left").select(
         "day", F.coalesce(F.sum("day_n").over(before), F.lit(0)).alias("before")
     )
-    last = F.col("day") + F.expr(f"interval {DAY - bucket} seconds")
-    grid = offsets.withColumn("at", F.explode(F.sequence("day", last, F.expr(f"interval {bucket} seconds"))))
-    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    inside = F.col("at").between(
-        bin_start(ends.select("low").scalar(), bucket), bin_start(ends.select("high").scalar(), bucket)
-    )
-    within_day = Window.partitionBy("day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.filter(inside).join(counts, "at", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    end_of_day = F.col("day") + F.expr(f"interval {DAY - bucket} seconds")
+    steps = F.sequence("day", end_of_day, F.expr(f"interval {bucket} seconds"))
+    grid = offsets.withColumn("bucket", F.explode(steps))
+    first, last = counts.agg(F.min("bucket")).scalar(), counts.agg(F.max("bucket")).scalar()
+    inside = F.col("bucket").between(first, last)
+    within_day = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.filter(inside).join(counts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select(
-        "at",
+        "bucket",
         (F.col("before") + F.sum("n").over(within_day)).alias("total"),
         (F.col("n") / float(bucket)).alias("events_per_second"),
     )
@@ -206,7 +205,7 @@ def chart_label_count(predictions: DataFrame) -> DataFrame:
 
 
 def chart_poor_by_region(predictions: DataFrame, bin_seconds: int = 5 * MINUTE) -> DataFrame:
-    at = bin_start(F.col("window_end"), bin_seconds).alias("at")
+    at = bin_start(F.col("window_end"), bin_seconds).alias("bucket")
     poor = predictions.filter(F.col("label") == "poor")
     return poor.groupBy(at, "region").agg(F.count(F.lit(1)).alias("count"))
 
@@ -229,7 +228,7 @@ def chart_region_label(predictions: DataFrame, anchor: Column, span: int = 30 *
 
 
 def chart_volume(predictions: DataFrame, bin_seconds: int = 5 * MINUTE) -> DataFrame:
-    return label_counts(predictions, [bin_start(F.col("timestamp"), bin_seconds).alias("at")])
+    return label_counts(predictions, [bin_start(F.col("timestamp"), bin_seconds).alias("bucket")])
 
 
 def filtered(
@@ -269,7 +268,7 @@ def dashboard_reply(
     minutes = MINUTE * scale
     feed = recent_feed(predictions).withColumn("timestamp", iso_utc(F.col("timestamp")))
     state = cell_latest(features).withColumn("last_seen", iso_utc(F.col("last_seen")))
-    series = label_series(predictions, anchor, 30 * minutes, unit).withColumn("at", iso_utc(F.col("at")))
+    series = label_series(predictions, anchor, 30 * minutes, unit).withColumn("bucket", iso_utc(F.col("bucket")))
     parts = [
         section("distribution", F.col("label"), label_mix(predictions, anchor, 30 * minutes), "count"),
         section("rate", none, recent_count(predictions, anchor, minutes), "predictions"),
@@ -278,7 +277,7 @@ def dashboard_reply(
         section("recent", F.concat_ws(" ", "timestamp", "cell_id"), feed, "cell_id", "region", "label", "timestamp"),
         section("regions", F.concat_ws(" ", "region", "label"), region_labels(predictions, anchor, 10 * minutes), "region", "label", "count"),
         section("cells", F.col("cell_id"), state, "region", "signal_avg", "latency_avg", "throughput_avg", "last_seen"),
-        section("series", F.col("at"), series, *LABELS, "other"),
+        section("series", F.col("bucket"), series, *LABELS, "other"),
     ]
     reply = parts[0]
     for part in parts[1:]:

@@ -294,10 +294,10 @@ from windowed w join predictions p on p.cell_id = w.cell_id and p.window_end = w
         # monitoring
         "label_mix": _predicted(f"select label, count(*) as count from predictions where {_since('timestamp', 20)} group by label"),
         "labels_per_minute": _predicted(
-            f"select date_trunc('hour', timestamp) as at, label, count(*) as count from predictions where {_since('timestamp', 20)} group by 1, 2 order by 1, 2"
+            f"select date_trunc('hour', timestamp) as bucket, label, count(*) as count from predictions where {_since('timestamp', 20)} group by 1, 2 order by 1, 2"
         ),
         "label_series": _predicted(
-            f"""select date_trunc('hour', timestamp) as at, count(*) filter (where label = 'excellent') as excellent,
+            f"""select date_trunc('hour', timestamp) as bucket, count(*) filter (where label = 'excellent') as excellent,
   count(*) filter (where label = 'good') as good, count(*) filter (where label = 'poor') as poor,
   count(*) filter (where label not in ('excellent', 'good', 'poor')) as other
 from predictions where {_since('timestamp', 20)} group by 1 order by 1"""
@@ -347,10 +347,9 @@ cross join (select unnest(generate_series((select min(window_end) from windowed)
 where not exists (select 1 from windowed w where w.cell_id = c.cell_id and w.window_end = d.window_end)"""
         ),
         "event_rate": _events(
-            f"""select at, cast(sum(n) over (order by at) as bigint) as total, n / 3e2 as events_per_second
-from (select g.at, count(event_id) as n
-  from (select unnest(generate_series((select {_bin('min(ts)', 300)} from telemetry), (select {_bin('max(ts)', 300)} from telemetry), interval 5 minute)) as at) g
-  left join telemetry on {_bin('ts', 300)} = g.at group by g.at)"""
+            f"""select g.b as bucket, cast(sum(count(event_id)) over (order by g.b) as bigint) as total, count(event_id) / 3e2 as events_per_second
+from (select unnest(generate_series((select {_bin('min(ts)', 300)} from telemetry), (select {_bin('max(ts)', 300)} from telemetry), interval 5 minute)) as b) g
+left join telemetry on {_bin('ts', 300)} = g.b group by g.b"""
         ),
         "filtered_windows": _windows(
             f"select {features} from windowed where region = 'ASIA' and {_since('window_end', 10, 'windowed')}"
@@ -360,7 +359,7 @@ from (select g.at, count(event_id) as n
         ),
         "chart_label_count": _predicted("select label, count(*) as count from predictions group by label"),
         "chart_poor_by_region": _predicted(
-            f"select {_bin('window_end', 5 * 86_400)} as at, region, count(*) as count from predictions where label = 'poor' group by 1, 2"
+            f"select {_bin('window_end', 5 * 86_400)} as bucket, region, count(*) as count from predictions where label = 'poor' group by 1, 2"
         ),
         "chart_events": _windows(
             f"select cast(sum(event_count) as bigint) as events from windowed where {_since('window_end', 10, 'windowed')}"
@@ -372,7 +371,7 @@ from (select g.at, count(event_id) as n
             f"select region, label, count(*) as count from predictions where {_since('window_end', 20)} group by 1, 2"
         ),
         "chart_volume": _predicted(
-            f"select {_bin('timestamp', 5 * 86_400)} as at, label, count(*) as count from predictions group by 1, 2"
+            f"select {_bin('timestamp', 5 * 86_400)} as bucket, label, count(*) as count from predictions group by 1, 2"
         ),
         # model
         "stratified_split": _samples(
@@ -395,5 +394,5 @@ from samples group by network_health_score"""
             """select label, case when anomaly_event_count = 0 then 'excellent' when anomaly_event_count * 2 <= event_count then 'good' else 'poor' end as prediction, count(*) as n
 from predictions group by 1, 2"""
         ),
-        "weighted_metrics": _predicted(_QUALITY.lstrip("\n")).replace("\n,", ",", 1),
+        "weighted_metrics": f"with {_TELEMETRY}{_WINDOWED}{_PREDICTIONS}{_QUALITY}",
     }

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import anomaly_share_rule, label_code, label_name
 from ..functions.telemetry import cell_name, iso_utc
-from ..model import scoring
-from ..model.training import predicted_labels, train
+from ..model import scoring, training
 from ..operators import evaluate, events, features, latest, monitor, quantiles, sampling, windows
 from ..schemas import FEATURES, TARGET
 from ..sources.telemetry import accepted, decode, keyed_json, rejected, wire_json
@@ -498,7 +497,7 @@ def weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest fitted on the labelled windows, and how its labels compare with theirs."""
-    samples = _samples(spark, sf_dir)
-    trained = train(samples)
-    return evaluate.confusion(predicted_labels(trained.model, samples), TARGET, "predicted_label")
+    """A forest fitted on four fifths of the labelled windows, and how it does on the rest."""
+    prepared = training.prepare(_samples(spark, sf_dir))
+    held_out = training.predicted_labels(training.fit(prepared), prepared.filter("is_test"))
+    return evaluate.confusion(held_out, TARGET, "predicted_label")

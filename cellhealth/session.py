@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Event times are UTC; skewed joins and small partitions are left to adaptive execution.
@@ -19,6 +21,20 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder checkpoints go to: the cluster's shared one, from ``spark.checkpoint.dir``.
+
+    Only a local session may do without the setting; it gets a folder of its own.
+    """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellhealth-checkpoints-"))
+    return shared or context.getCheckpointDir()
+
+
 def local_session(name: str, cores: int | str = 8, **extra: str) -> SparkSession:
     """A single-machine session, for tests and the bench."""
     builder = (
