@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MILLI, half_up, to_milli
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """``label, weight``: total / (classes * class size), one row per class."""
+    """``label, weight``: total / (classes * class size); the totals go over the few class rows."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
-    total, classes = totals.select("total").scalar(), totals.select("classes").scalar()
-    return counts.select(label, (total / (classes * F.col("n"))).alias("weight"))
+    all_classes = Window.partitionBy()
+    weight = F.sum("n").over(all_classes) / (F.count(F.lit(1)).over(all_classes) * F.col("n"))
+    return counts.select(label, weight.alias("weight"))
 
 
 def with_class_weights(rows: DataFrame, label: str) -> DataFrame:

@@ -52,10 +52,14 @@ def lookup(
     return entities.join(wanted.select(view.entity, *kept), view.entity, "left")
 
 
+def _slot(micros: Column, width: int) -> Column:
+    """Number of the epoch-aligned slot of this width, in whole numbers throughout."""
+    return ((micros - F.pmod(micros, F.lit(width))) / width).cast("bigint")
+
+
 def _pieces(df: DataFrame, name: str, start: Column, until: Column, width: int) -> DataFrame:
     """One row per piece of the time line that [start, until) touches."""
-    first, last = F.floor(start / width), F.floor((until - 1) / width)
-    return df.withColumn(name, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+    return df.withColumn(name, F.explode(F.sequence(_slot(start, width), _slot(until - 1, width))))
 
 
 def validity_intervals(
@@ -97,7 +101,7 @@ def asof_features(
     intervals = validity_intervals(features.select(view.entity, view.event_time, *view.features), view, ttl_seconds)
     width = bucket_seconds * _MICROS
     bucketed = _pieces(intervals, "bucket", F.col("valid_from"), F.col("valid_until"), width).alias("f")
-    left = events.withColumn("bucket", F.floor(F.unix_micros(at) / width)).alias("e")
+    left = events.withColumn("bucket", _slot(F.unix_micros(at), width)).alias("e")
     moment = F.unix_micros(F.col(f"e.{at}"))
     matches = (
         (F.col(f"e.{view.entity}") == F.col(f"f.{view.entity}"))

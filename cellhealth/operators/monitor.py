@@ -152,19 +152,14 @@ def cell_grid(cells: DataFrame, predictions: DataFrame, features: DataFrame, amo
     )
 
 
-def days_between(df: DataFrame, column: str) -> DataFrame:
-    """One row per day from the table's first time to its last."""
-    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    steps = F.sequence(F.date_trunc("day", "low"), F.date_trunc("day", "high"), F.expr("interval 1 day"))
-    return ends.select(F.explode(steps).alias("day"))
+def _steps(low: Column, high: Column, seconds: int) -> Column:
+    return F.sequence(low, high, F.expr(f"interval {seconds} seconds"))
 
 
 def silent_cells(windows: DataFrame, step: int = DAY) -> DataFrame:
     """Cells and window ends between the table's first and last without a window row."""
-    ends = windows.agg(F.min("window_end").alias("low"), F.max("window_end").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    steps = F.sequence(low, high, F.expr(f"interval {step} seconds"))
-    expected = windows.select("cell_id").distinct().withColumn("window_end", F.explode(steps))
+    ends = windows.agg(_steps(F.min("window_end"), F.max("window_end"), step)).scalar()
+    expected = windows.select("cell_id").distinct().withColumn("window_end", F.explode(ends))
     return expected.join(windows, ["cell_id", "window_end"], "left_anti")
 
 
@@ -177,19 +172,22 @@ def event_rate(events: DataFrame, bucket: int = 5) -> DataFrame:
     if DAY % bucket:
         raise ValueError("the bucket must divide a day")
     counts = events.groupBy(bin_start(F.col("ts"), bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    days = days_between(counts, "bucket")
-    day_counts = counts.groupBy(bin_start(F.col("bucket"), DAY).alias("day")).agg(F.sum("n").alias("day_n"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.join(day_counts, "day", "left").select(
-        "day", F.coalesce(F.sum("day_n").over(before), F.lit(0)).alias("before")
+    day_of = F.date_trunc("day", "bucket")
+    day_counts = counts.groupBy(day_of.alias("day")).agg(
+        F.sum("n").alias("day_n"), F.min("bucket").alias("first"), F.max("bucket").alias("last")
     )
-    end_of_day = F.col("day") + F.expr(f"interval {DAY - bucket} seconds")
-    steps = F.sequence("day", end_of_day, F.expr(f"interval {bucket} seconds"))
-    grid = offsets.withColumn("bucket", F.explode(steps))
-    first, last = counts.agg(F.min("bucket")).scalar(), counts.agg(F.max("bucket")).scalar()
-    inside = F.col("bucket").between(first, last)
+    in_order = Window.orderBy("day")
+    following = F.lead("day").over(in_order)
+    offsets = day_counts.select(
+        "day",
+        F.coalesce(F.sum("day_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.when(F.lag("day").over(in_order).isNull(), F.col("first")).otherwise(F.col("day")).alias("start"),
+        F.coalesce(following - F.expr(f"interval {bucket} seconds"), "last").alias("end"),
+    )
+    # A day's buckets run to the next day that has events, so silent days are filled as well.
+    grid = offsets.withColumn("bucket", F.explode(_steps(F.col("start"), F.col("end"), bucket)))
     within_day = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.filter(inside).join(counts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    filled = grid.join(counts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select(
         "bucket",
         (F.col("before") + F.sum("n").over(within_day)).alias("total"),

@@ -39,33 +39,29 @@ def value_counts(df: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FE
     )
 
 
-def p95_from_counts(
-    counts: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95"
-) -> DataFrame:
-    """``keys, <metric><suffix>``: the floor-rank p95 of each metric, null where it had no values.
+def with_p95_mark(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``is_p95``: whether a metric's floor-rank p95 falls on this value.
 
     The running count goes over distinct values only, never over raw rows.
     """
     group = Window.partitionBy(*keys, "metric")
     upto = F.sum("n").over(group.orderBy("milli").rowsBetween(Window.unboundedPreceding, 0))
-    picked = (
-        counts.withColumn("upto", upto)
-        .withColumn("total", F.sum("n").over(group))
-        .withColumn("position", F.expr(_POSITION))
-        .filter("upto >= position and upto - n < position")
-    )
-    one_per_metric = [
-        (F.max(F.when(F.col("metric") == i, F.col("milli"))) / MILLI).alias(m + suffix)
-        for i, m in enumerate(metrics)
-    ]
-    return picked.groupBy(*keys).agg(*one_per_metric)
+    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
+    position = F.expr(_POSITION)
+    hit = (F.col("upto") >= position) & (F.col("upto") - F.col("n") < position)
+    return ranked.withColumn("is_p95", hit).drop("upto", "total")
 
 
 def p95_per_group(
     df: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95"
 ) -> DataFrame:
-    """Exact p95 of each metric per group, for groups of any size."""
-    return p95_from_counts(value_counts(df, keys, metrics), keys, metrics, suffix)
+    """Exact p95 of each metric per group, for groups of any size; null without values."""
+    picked = with_p95_mark(value_counts(df, keys, metrics), keys).filter("is_p95")
+    one_per_metric = [
+        (F.max(F.when(F.col("metric") == i, F.col("milli"))) / MILLI).alias(m + suffix)
+        for i, m in enumerate(metrics)
+    ]
+    return picked.groupBy(*keys).agg(*one_per_metric)
 
 
 def p95_approx_per_group(

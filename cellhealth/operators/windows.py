@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_of, half_up, sum_milli
+from ..functions.numeric import MILLI, average_of, half_up, sum_milli, to_milli
 from ..functions.telemetry import is_anomaly, known_or_default
 from ..schemas import FEATURES, STATS
-from .quantiles import p95_aggregate, p95_from_counts, value_counts
+from .quantiles import p95_aggregate, with_p95_mark
 
 # Emission interval, and the constant the window rows carry beside it.
 WINDOW_SECONDS = 10
@@ -93,6 +93,59 @@ def _panes_to_windows(panes: DataFrame, size: int, slide: int) -> DataFrame:
     return panes.withColumn("offset", F.explode(offsets)).withColumn("window", window).drop("offset")
 
 
+def _windows_by_hash(keyed: DataFrame, size: int, slide: int, stats: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Statistics without p95, merged from partial rows per (window, cell, region).
+
+    A text in an aggregate would turn hashing into sorting; as a key it does not, and a cell has
+    one region or few.
+    """
+    partial = keyed.groupBy(*_GROUP, "region").agg(*_partials(stats, metrics))
+    if slide != size:
+        partial = _panes_to_windows(partial, size, slide)
+    return partial.groupBy(*_GROUP).agg(*_merged(stats, metrics))
+
+
+def _windows_by_counts(keyed: DataFrame, size: int, slide: int, metrics: Sequence[str]) -> DataFrame:
+    """All statistics from one pass that counts values.
+
+    Each event gives one value per metric and, at the position after the last metric, whether it
+    is an anomaly. Counts per value are merged before and after the shuffle and spread by value;
+    every statistic follows from them.
+    """
+    event = len(metrics)
+    counted = [*_GROUP, "metric", "milli", "region"]
+    values = F.array(*[to_milli(F.col(m)) for m in metrics], F.when(is_anomaly(), 1).otherwise(0).cast("bigint"))
+    is_event = F.col("metric") == event
+    counts = (
+        keyed.select(*_GROUP, "ts", "region", F.posexplode(values).alias("metric", "milli"))
+        .filter(F.col("milli").isNotNull())
+        .withColumn("region", F.when(is_event, F.col("region")))
+        .groupBy(*counted)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    )
+    if slide != size:
+        merged = [F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+        counts = _panes_to_windows(counts, size, slide).groupBy(*counted).agg(*merged)
+
+    n, milli = F.col("n"), F.col("milli")
+    aggregates = [
+        F.sum(F.when(is_event, n)).alias("event_count"),
+        F.sum(F.when(is_event, n * milli)).alias("anomaly_event_count"),
+        F.max("last_ts").alias("last_ts"),
+        _earliest("first_ts").alias("first"),
+    ]
+    for i, m in enumerate(metrics):
+        mine = F.col("metric") == i
+        aggregates += [
+            F.sum(F.when(mine, n * milli)).alias(f"{m}_sum"),
+            F.sum(F.when(mine, n)).alias(f"{m}_n"),
+            (F.min(F.when(mine, milli)) / MILLI).alias(f"{m}_min"),
+            (F.max(F.when(mine, milli)) / MILLI).alias(f"{m}_max"),
+            (F.max(F.when(mine & F.col("is_p95"), milli)) / MILLI).alias(f"{m}_p95"),
+        ]
+    return with_p95_mark(counts, _GROUP).groupBy(*_GROUP).agg(*aggregates)
+
+
 def flat_windows(
     events: DataFrame,
     size: int = WINDOW_SECONDS,
@@ -108,45 +161,31 @@ def flat_windows(
     ``"aggregate"`` (one aggregation), ``"counts"`` (value counts, for large groups) or ``"auto"``.
     A stream needs its watermark set by the caller and always uses ``"aggregate"``.
     """
-    if slide is not None and size % slide:
+    slide = slide or size
+    if size % slide:
         raise ValueError("the slide must divide the window size")
-    sliding = slide is not None and slide != size
-    pane = slide if sliding else size
-    with_p95 = "p95" in stats
     if p95 == "auto":
-        p95 = "counts" if sliding or size >= WIDE_SECONDS else "aggregate"
+        p95 = "counts" if slide != size or size >= WIDE_SECONDS else "aggregate"
     if events.isStreaming:
         p95 = "aggregate"
-    elif sliding and p95 == "aggregate":
+    elif slide != size and "p95" in stats and p95 == "aggregate":
         raise ValueError("sliding windows merge panes, and an aggregated p95 cannot be merged")
 
-    if events.isStreaming and sliding:
-        keyed = events.withColumn("window", F.window("ts", _seconds(size), _seconds(slide)))
+    if events.isStreaming and slide != size:
+        window = F.window("ts", _seconds(size), _seconds(slide))
     else:
-        keyed = events.withColumn("window", F.window("ts", _seconds(pane)))
+        window = F.window("ts", _seconds(slide))
+    keyed = events.withColumn("window", window)
 
-    if with_p95 and p95 == "aggregate" or events.isStreaming:
+    if events.isStreaming or ("p95" in stats and p95 == "aggregate"):
         aggregates = [*_partials(stats, metrics), _earliest("ts").alias("first")]
-        if with_p95:
+        if "p95" in stats:
             aggregates += [p95_aggregate(m).alias(f"{m}_p95") for m in metrics]
         windows = keyed.groupBy(*_GROUP).agg(*aggregates)
+    elif "p95" in stats:
+        windows = _windows_by_counts(keyed, size, slide, metrics)
     else:
-        # A text in an aggregate would turn hashing into sorting; as a key it does not, and a cell
-        # has one region or few.
-        panes = keyed.groupBy(*_GROUP, "region").agg(*_partials(stats, metrics))
-        if sliding:
-            panes = _panes_to_windows(panes, size, slide)
-        windows = panes.groupBy(*_GROUP).agg(*_merged(stats, metrics))
-
-    if with_p95 and p95 == "counts":
-        counts = value_counts(keyed, _GROUP, metrics)
-        if sliding:
-            counts = (
-                _panes_to_windows(counts, size, slide)
-                .groupBy(*_GROUP, "metric", "milli")
-                .agg(F.sum("n").alias("n"))
-            )
-        windows = windows.join(p95_from_counts(counts, _GROUP, metrics), list(_GROUP), "left")
+        windows = _windows_by_hash(keyed, size, slide, stats, metrics)
 
     return windows.select(
         "cell_id",

@@ -300,6 +300,12 @@ def _windows(spark: SparkSession, sf_dir: str):
     return rows, monitor.newest_time(rows, "window_end")
 
 
+def _stored_tables(spark: SparkSession, sf_dir: str):
+    """The window table and the predictions on it, for replies that read them again and again."""
+    labelled = tables.stored(tables.with_labels(tables.windowed(spark, sf_dir)))
+    return labelled.drop("last_ts", "encoded", "label"), tables.as_predictions(labelled)
+
+
 @query
 def label_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.label_mix(*_predicted(spark, sf_dir), span=20 * DAY)
@@ -374,9 +380,10 @@ def cell_label_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of the telemetry and one that never sent any."""
-    seen = tables.telemetry(spark, sf_dir).select("cell_id").distinct()
-    cells = seen.unionByName(spark.range(1).select(cell_name(F.col("id") + 9999).alias("cell_id")))
-    return monitor.cell_grid(cells, tables.predictions(spark, sf_dir), _features(spark, sf_dir))
+    windows_table, rows = _stored_tables(spark, sf_dir)
+    silent = spark.range(1).select(cell_name(F.col("id") + 9999).alias("cell_id"))
+    cells = windows_table.select("cell_id").distinct().unionByName(silent)
+    return monitor.cell_grid(cells, rows, windows_table)
 
 
 @query
@@ -435,9 +442,10 @@ def chart_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dashboard_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every monitoring result in one frame."""
-    rows, anchor = _predicted(spark, sf_dir)
-    return monitor.dashboard_reply(rows, _features(spark, sf_dir), anchor, scale=STRETCH, unit="hour")
+    """Every monitoring result in one frame, from one pass over the events."""
+    windows_table, rows = _stored_tables(spark, sf_dir)
+    anchor = monitor.newest_time(rows, "timestamp")
+    return monitor.dashboard_reply(rows, windows_table, anchor, scale=STRETCH, unit="hour")
 
 
 # -- model --------------------------------------------------------------------------------------
@@ -458,13 +466,13 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.stratified_split(_samples(spark, sf_dir), TARGET, ["cell_id", "window_end"])
+    rows = sampling.stratified_split(tables.stored(_samples(spark, sf_dir)), TARGET, ["cell_id", "window_end"])
     return rows.select("cell_id", "window_end", TARGET, "is_test")
 
 
 @query
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.cross_validation_folds(_samples(spark, sf_dir), TARGET, ["cell_id", "window_end"])
+    rows = sampling.cross_validation_folds(tables.stored(_samples(spark, sf_dir)), TARGET, ["cell_id", "window_end"])
     return rows.select("cell_id", "window_end", TARGET, "fold")
 
 
@@ -475,7 +483,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.standardised(_samples(spark, sf_dir), FEATURES)
+    rows = evaluate.standardised(tables.stored(_samples(spark, sf_dir)), FEATURES)
     return rows.select("cell_id", "window_end", *FEATURES)
 
 
@@ -498,6 +506,6 @@ def weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest fitted on four fifths of the labelled windows, and how it does on the rest."""
-    prepared = training.prepare(_samples(spark, sf_dir))
+    prepared = training.prepare(tables.stored(_samples(spark, sf_dir)))
     held_out = training.predicted_labels(training.fit(prepared), prepared.filter("is_test"))
     return evaluate.confusion(held_out, TARGET, "predicted_label")

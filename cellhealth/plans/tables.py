@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import label_name, profile_code
 from ..functions.telemetry import cell_name
 from ..operators.windows import as_features, flat_windows
-from ..session import apply_settings
+from ..session import apply_settings, checkpoint_root
 
 DAY = 86_400
 
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder: for operators that read a stored table several times."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def _by_kind(excellent: Column, normal: Column, anomaly: Column) -> Column:
     kind = F.col("kind")
     return F.when(kind == "excellent", excellent).when(kind == "normal", normal).otherwise(anomaly)
@@ -84,9 +90,9 @@ def with_labels(windows: DataFrame) -> DataFrame:
     return windows.withColumn("encoded", profile_code("avg_")).withColumn("label", label_name(F.col("encoded")))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prediction per window, stamped with the window's last event."""
-    return with_labels(windowed(spark, sf_dir)).select(
+def as_predictions(labelled: DataFrame) -> DataFrame:
+    """Prediction rows, stamped with the window's last event."""
+    return labelled.select(
         "cell_id",
         "region",
         "window_end",
@@ -96,3 +102,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "encoded",
         "label",
     )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction per window."""
+    return as_predictions(with_labels(windowed(spark, sf_dir)))

@@ -57,8 +57,9 @@ def decode(messages: DataFrame) -> DataFrame:
     """
     event_id = F.col("event_id") if "event_id" in messages.columns else F.xxhash64("value")
     fields = F.from_json("value", _DECODED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    present = F.json_object_keys("value")
-    staged = messages.withColumn("e", fields).withColumn("present", present)
+    parsed = F.struct(fields.alias("e"), F.json_object_keys("value").alias("present"))
+    # Filters do not move below a generator, so each message is parsed once, not once per filter.
+    staged = messages.select("*", F.inline(F.array(parsed)))
     ts = from_epoch(F.col("e.timestamp"))
     if "arrived_at" in messages.columns:
         ts = F.coalesce(ts, "arrived_at")
