@@ -82,15 +82,14 @@ def _seconds(n: int) -> str:
     return f"{n} seconds"
 
 
-def _panes_to_windows(panes: DataFrame, size: int, slide: int) -> DataFrame:
-    """One row per window a pane lies in: size / slide rows for each pre-aggregated pane."""
-    offsets = F.sequence(F.lit(0), F.lit((size // slide - 1) * slide), F.lit(slide))
-    start = F.unix_micros("window.start") - F.col("offset").cast("bigint") * 1_000_000
-    window = F.struct(
-        F.timestamp_micros(start).alias("start"),
-        F.timestamp_micros(start + size * 1_000_000).alias("end"),
-    )
-    return panes.withColumn("offset", F.explode(offsets)).withColumn("window", window).drop("offset")
+def _starts(pane: Column, size: int, slide: int) -> Column:
+    """Starts of the windows a pane lies in: size / slide of them for each pre-aggregated pane."""
+    step = F.expr(f"interval {slide} seconds")
+    return F.sequence(pane - F.expr(f"interval {size - slide} seconds"), pane, step)
+
+
+def _window(start: Column, size: int) -> Column:
+    return F.struct(start.alias("start"), (start + F.expr(f"interval {size} seconds")).alias("end"))
 
 
 def _windows_by_hash(keyed: DataFrame, size: int, slide: int, stats: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -101,7 +100,8 @@ def _windows_by_hash(keyed: DataFrame, size: int, slide: int, stats: Sequence[st
     """
     partial = keyed.groupBy(*_GROUP, "region").agg(*_partials(stats, metrics))
     if slide != size:
-        partial = _panes_to_windows(partial, size, slide)
+        start = F.explode(_starts(F.col("window.start"), size, slide))
+        partial = partial.withColumn("start", start).withColumn("window", _window(F.col("start"), size))
     return partial.groupBy(*_GROUP).agg(*_merged(stats, metrics))
 
 
@@ -113,11 +113,12 @@ def _windows_by_counts(keyed: DataFrame, size: int, slide: int, metrics: Sequenc
     every statistic follows from them.
     """
     event = len(metrics)
-    counted = [*_GROUP, "metric", "milli", "region"]
+    group = ["start", "cell_id"]
+    counted = [*group, "metric", "milli", "region"]
     values = F.array(*[to_milli(F.col(m)) for m in metrics], F.when(is_anomaly(), 1).otherwise(0).cast("bigint"))
     is_event = F.col("metric") == event
     counts = (
-        keyed.select(*_GROUP, "ts", "region", F.posexplode(values).alias("metric", "milli"))
+        keyed.select(F.col("window.start"), "cell_id", "ts", "region", F.posexplode(values).alias("metric", "milli"))
         .filter(F.col("milli").isNotNull())
         .withColumn("region", F.when(is_event, F.col("region")))
         .groupBy(*counted)
@@ -125,25 +126,30 @@ def _windows_by_counts(keyed: DataFrame, size: int, slide: int, metrics: Sequenc
     )
     if slide != size:
         merged = [F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
-        counts = _panes_to_windows(counts, size, slide).groupBy(*counted).agg(*merged)
+        counts = counts.withColumn("start", F.explode(_starts(F.col("start"), size, slide))).groupBy(*counted).agg(*merged)
 
     n, milli = F.col("n"), F.col("milli")
+    # One row per metric first, where the counts already lie; only those rows are turned into columns.
+    per_metric = with_p95_mark(counts, group).groupBy(*group, "metric", "region").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * milli).alias("sum"),
+        F.min("milli").alias("min"),
+        F.max("milli").alias("max"),
+        F.max(F.when(F.col("is_p95"), milli)).alias("p95"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
     aggregates = [
         F.sum(F.when(is_event, n)).alias("event_count"),
-        F.sum(F.when(is_event, n * milli)).alias("anomaly_event_count"),
+        F.sum(F.when(is_event, F.col("sum"))).alias("anomaly_event_count"),
         F.max("last_ts").alias("last_ts"),
         _earliest("first_ts").alias("first"),
     ]
     for i, m in enumerate(metrics):
         mine = F.col("metric") == i
-        aggregates += [
-            F.sum(F.when(mine, n * milli)).alias(f"{m}_sum"),
-            F.sum(F.when(mine, n)).alias(f"{m}_n"),
-            (F.min(F.when(mine, milli)) / MILLI).alias(f"{m}_min"),
-            (F.max(F.when(mine, milli)) / MILLI).alias(f"{m}_max"),
-            (F.max(F.when(mine & F.col("is_p95"), milli)) / MILLI).alias(f"{m}_p95"),
-        ]
-    return with_p95_mark(counts, _GROUP).groupBy(*_GROUP).agg(*aggregates)
+        aggregates += [F.max(F.when(mine, F.col(c))).alias(f"{m}_{c}") for c in ("sum", "n")]
+        aggregates += [(F.max(F.when(mine, F.col(c))) / MILLI).alias(f"{m}_{c}") for c in ("min", "max", "p95")]
+    return per_metric.groupBy(*group).agg(*aggregates).withColumn("window", _window(F.col("start"), size))
 
 
 def flat_windows(

@@ -56,7 +56,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("ts").cast("timestamp").alias("ts"),
             F.col("value").alias("v"),
             (F.col("user_id") % 50).alias("c"),
-            F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"),
+            # Cut out of {"k": 69}.
+            F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int").alias("k"),
         )
         .withColumn("kind", kind)
         .withColumn("f", F.least(v, F.lit(200.0)))
@@ -80,6 +81,12 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settled(events: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that a filter on a metric reads the metric instead of
+    repeating, down at the scan, the expression it is derived by."""
+    return events.select(F.inline(F.array(F.struct(*events.columns))))
+
+
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-day windows with their averages."""
     return as_features(flat_windows(telemetry(spark, sf_dir), DAY, stats=("avg",)))
