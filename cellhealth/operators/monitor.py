@@ -19,6 +19,7 @@ from .latest import latest_per_key, newest_rows
 
 MINUTE = 60
 DAY = 86_400
+FEED_ROWS = 20
 
 
 def newest_time(df: DataFrame, column: str) -> Column:
@@ -122,7 +123,7 @@ def cell_latest(features: DataFrame) -> DataFrame:
     return newest.orderBy("cell_id")
 
 
-def recent_feed(predictions: DataFrame, n: int = 20) -> DataFrame:
+def recent_feed(predictions: DataFrame, n: int = FEED_ROWS) -> DataFrame:
     """The newest predictions, as the feed shows them."""
     rows = predictions.select("cell_id", "region", "label", "timestamp")
     return newest_rows(rows, "timestamp", ["cell_id"], n)
@@ -137,7 +138,7 @@ def newest_labels(predictions: DataFrame, among: int | None = None) -> DataFrame
     return newest.select("cell_id", F.coalesce("label", F.lit(UNKNOWN)).alias("label"))
 
 
-def cell_grid(cells: DataFrame, predictions: DataFrame, features: DataFrame, among: int | None = 20) -> DataFrame:
+def cell_grid(cells: DataFrame, predictions: DataFrame, features: DataFrame, among: int | None = FEED_ROWS) -> DataFrame:
     """Every known cell with its newest label, ``unknown`` by default, and its newest state."""
     return (
         cells.join(newest_labels(predictions, among), "cell_id", "left")
@@ -264,7 +265,9 @@ def dashboard_reply(
 
     none = F.lit("")
     minutes = MINUTE * scale
-    feed = recent_feed(predictions).withColumn("timestamp", iso_utc(F.col("timestamp")))
+    # The text is made below the limit: made above it, it would turn the top-n into a full sort.
+    stamped = predictions.select("cell_id", "region", "label", "timestamp", iso_utc(F.col("timestamp")).alias("iso"))
+    feed = newest_rows(stamped, "timestamp", ["cell_id"], FEED_ROWS)
     state = cell_latest(features).withColumn("last_seen", iso_utc(F.col("last_seen")))
     series = label_series(predictions, anchor, 30 * minutes, unit).withColumn("bucket", iso_utc(F.col("bucket")))
     parts = [
@@ -272,7 +275,7 @@ def dashboard_reply(
         section("rate", none, recent_count(predictions, anchor, minutes), "predictions"),
         section("active", none, feed_active(predictions, anchor, minutes), "active"),
         section("events", none, event_totals(features, anchor, 5 * minutes), "total_events", "total_docs"),
-        section("recent", F.concat_ws(" ", "timestamp", "cell_id"), feed, "cell_id", "region", "label", "timestamp"),
+        section("recent", F.concat_ws(" ", "iso", "cell_id"), feed, "cell_id", "region", "label", F.col("iso").alias("timestamp")),
         section("regions", F.concat_ws(" ", "region", "label"), region_labels(predictions, anchor, 10 * minutes), "region", "label", "count"),
         section("cells", F.col("cell_id"), state, "region", "signal_avg", "latency_avg", "throughput_avg", "last_seen"),
         section("series", F.col("bucket"), series, *LABELS, "other"),

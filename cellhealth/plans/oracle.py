@@ -186,6 +186,29 @@ def _standard(m: str) -> str:
     return f"case when {m} is not null then coalesce(floor({score}*1e6+5e-1)/1e6, 0e0) end as {m}"
 
 
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_AGO = "(select max(timestamp) from predictions) - interval {} day"
+
+_REPLY = f"""select 'distribution' as section, label as key, cast(to_json({{'count': count(*)}}) as varchar) as item
+  from predictions where timestamp >= {_AGO.format(30)} group by label
+union all select 'rate', '', cast(to_json({{'predictions': count(*)}}) as varchar) from predictions where timestamp >= {_AGO.format(1)}
+union all select 'active', '', cast(to_json({{'active': count(*) > 0}}) as varchar) from predictions where timestamp >= {_AGO.format(1)}
+union all select 'events', '', cast(to_json({{'total_events': cast(coalesce(sum(event_count), 0) as bigint), 'total_docs': count(*)}}) as varchar)
+  from windowed where window_end >= {_AGO.format(5)}
+union all select 'recent', {_ISO.format('timestamp')} || ' ' || cell_id,
+  cast(to_json({{'cell_id': cell_id, 'region': region, 'label': label, 'timestamp': {_ISO.format('timestamp')}}}) as varchar)
+  from (select * from predictions order by timestamp desc, cell_id limit 20)
+union all select 'regions', region || ' ' || label, cast(to_json({{'region': region, 'label': label, 'count': count(*)}}) as varchar)
+  from predictions where timestamp >= {_AGO.format(10)} group by region, label
+union all select 'cells', cell_id, cast(to_json({{'region': region, 'signal_avg': avg_signal_strength_dbm, 'latency_avg': avg_latency_ms,
+    'throughput_avg': avg_throughput_mbps, 'last_seen': {_ISO.format('window_end')}}}) as varchar)
+  from (select * from windowed qualify row_number() over (partition by cell_id order by window_end desc) = 1)
+union all select 'series', {_ISO.format("date_trunc('hour', timestamp)")}, cast(to_json({{
+    'excellent': count(*) filter (where label = 'excellent'), 'good': count(*) filter (where label = 'good'),
+    'poor': count(*) filter (where label = 'poor'), 'other': count(*) filter (where label not in ('excellent', 'good', 'poor'))}}) as varchar)
+  from predictions where timestamp >= {_AGO.format(30)} group by date_trunc('hour', timestamp)"""
+
+
 def oracle_sql() -> dict[str, str]:
     newest = "qualify row_number() over (partition by cell_id order by window_end desc) = 1"
     features = "cell_id, window_end, " + _each("avg_{m}") + ", event_count, anomaly_event_count, region"
@@ -373,6 +396,7 @@ left join telemetry on {_bin('ts', 300)} = g.b group by g.b"""
         "chart_volume": _predicted(
             f"select {_bin('timestamp', 5 * 86_400)} as bucket, label, count(*) as count from predictions group by 1, 2"
         ),
+        "dashboard_reply": _predicted(_REPLY),
         # model
         "stratified_split": _samples(
             f"""select cell_id, window_end, network_health_score, rn <= (n + 4) // 5 as is_test
