@@ -509,3 +509,12 @@ def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = training.prepare(tables.stored(_samples(spark, sf_dir)))
     held_out = training.predicted_labels(training.fit(prepared), prepared.filter("is_test"))
     return evaluate.confusion(held_out, TARGET, "predicted_label")
+
+
+@query
+def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored window scored by a fitted forest, in the stored shape of a prediction."""
+    samples = tables.stored(_samples(spark, sf_dir))
+    model = training.fit(training.prepare(samples))
+    documents = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY, p95="aggregate")
+    return scoring.score(model, documents).drop("timestamp")

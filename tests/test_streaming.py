@@ -95,6 +95,22 @@ def test_restart_from_checkpoint_doubles_nothing(spark, events, tmp_path):
     same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
 
 
+def test_batch_repeated_after_a_lost_commit_doubles_nothing(spark, events, tmp_path):
+    rows, parts = events
+    replay(spark, parts, f"{tmp_path}/in")
+
+    def run():
+        out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True)
+        queries.append_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+
+    run()
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for lost in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        lost.unlink(missing_ok=True)
+    run()
+    same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
+
+
 def test_messages_arrive_as_they_were_sent(spark, events, tmp_path):
     rows, parts = events
     replay(spark, parts[:1], f"{tmp_path}/in")
