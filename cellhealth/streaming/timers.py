@@ -20,7 +20,9 @@ from ..functions.telemetry import is_anomaly, known_or_default
 from ..operators.windows import WINDOW_SECONDS, to_documents
 from ..schemas import FEATURES
 
-_MILLIS = [f"{m}_milli" for m in FEATURES]
+#: The position after the last metric stands for the event itself; its value is 1 for an anomaly.
+_EVENT = len(FEATURES)
+_COUNTED = "cell_id string, phase bigint, metric int, milli bigint, region string, n bigint, first_ts bigint"
 _EMPTY = (0, 0, None, None)
 
 _TOTALS = T.StructType(
@@ -62,16 +64,17 @@ class TimedWindows(StatefulProcessor):
         phase = 0
         for batch in rows:
             phase = int(batch["phase"].iloc[0])
-            events += len(batch)
-            anomalies += int(batch["anomalous"].sum())
-            named = batch[batch["region"].notna()]
+            seen = batch[batch["metric"] == _EVENT]
+            events += int(seen["n"].sum())
+            anomalies += int((seen["n"] * seen["milli"]).sum())
+            named = seen[seen["region"].notna()]
             if len(named):
-                earliest = named.sort_values(["ts_micros", "region"], kind="stable").iloc[0]
-                if first_ts is None or int(earliest["ts_micros"]) < first_ts:
-                    first_ts, region = int(earliest["ts_micros"]), earliest["region"]
-            for i, column in enumerate(_MILLIS):
-                for milli, n in batch[column].dropna().astype("int64").value_counts().items():
-                    self._count(i, int(milli), int(n))
+                at, name = min(zip(named["first_ts"], named["region"]))
+                if first_ts is None or (int(at), name) < (first_ts, region):
+                    first_ts, region = int(at), name
+            values = batch[batch["metric"] != _EVENT].groupby(["metric", "milli"])["n"].sum()
+            for (metric, milli), n in values.items():
+                self._count(int(metric), int(milli), int(n))
         self._totals.update((events, anomalies, first_ts, region))
         if not self._timed.exists():
             due = timerValues.getCurrentProcessingTimeInMs() + phase
@@ -130,20 +133,30 @@ def _phase(interval_ms: int) -> Column:
     return F.pmod(F.xxhash64("cell_id"), F.lit(interval_ms))
 
 
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts within each Arrow batch, so that a busy cell sends few rows to its worker."""
+    keys = ["cell_id", "phase", "metric", "milli", "region"]
+    for batch in batches:
+        grouped = batch.groupby(keys, dropna=False, as_index=False)
+        yield grouped.agg(n=("ts_micros", "size"), first_ts=("ts_micros", "min"))
+
+
 def timed_windows(events: DataFrame, size: int = WINDOW_SECONDS) -> DataFrame:
     """Window rows emitted by a processing-time timer per cell; nothing for an idle interval.
 
-    Needs the RocksDB state store. A cell's state is bounded by the number of distinct values, in
-    thousandths, its metrics take within one interval.
+    Needs the RocksDB state store. Values are counted before the shuffle, and a cell's state is
+    bounded by the number of distinct values, in thousandths, its metrics take within one interval.
     """
-    prepared = events.select(
+    values = F.array(*[to_milli(F.col(m)) for m in FEATURES], F.when(is_anomaly(), 1).otherwise(0).cast("bigint"))
+    single = events.select(
         "cell_id",
-        "region",
-        F.unix_micros("ts").alias("ts_micros"),
-        is_anomaly().alias("anomalous"),
         _phase(size * 1000).alias("phase"),
-        *[to_milli(F.col(m)).alias(f"{m}_milli") for m in FEATURES],
-    )
+        F.unix_micros("ts").alias("ts_micros"),
+        "region",
+        F.posexplode(values).alias("metric", "milli"),
+    ).filter(F.col("milli").isNotNull())
+    of_event = F.when(F.col("metric") == _EVENT, F.col("region"))
+    prepared = single.withColumn("region", of_event).mapInPandas(_combined, _COUNTED)
     emitted = prepared.groupBy("cell_id").transformWithStateInPandas(
         statefulProcessor=TimedWindows(size * 1000),
         outputStructType=_EMITTED,

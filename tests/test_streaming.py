@@ -148,7 +148,9 @@ def test_windows_scored_once_and_features_refreshed(spark, events, tmp_path):
 def test_timed_emission_counts_every_event_once(spark, telemetry, tmp_path):
     """Two cells, one emission each per interval; the counts and statistics add up."""
     queries.use_rocksdb(spark)
-    rows = [event(i, i, f"CELL_000{i % 2}", latency_ms=float(i)) for i in range(40)]
+    regions = [None, None, "North", "South"]
+    rows = [event(i, i, f"CELL_000{i % 2}", regions[i % 4], latency_ms=100.0 + i % 7 - 3) for i in range(40)]
+    rows.append(event(40, 50, "CELL_0000", jitter_ms=None))
     source = telemetry(rows)
     source.coalesce(1).write.parquet(f"{tmp_path}/in")
     query = (
