@@ -213,7 +213,7 @@ def feature_store_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age of each window's last event when the newest event of all came in."""
-    rows = tables.windowed(spark, sf_dir)
+    rows = tables.stored(tables.windowed(spark, sf_dir))
     last = latest.latest_per_key(rows.select("cell_id", F.col("last_ts").alias("window_end")), "cell_id", "window_end")
     return features.feature_age(last, monitor.newest_time(rows, "last_ts"))
 
@@ -280,8 +280,8 @@ def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def window_with_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window rows joined to what was predicted for them."""
-    rows = tables.windowed(spark, sf_dir)
-    predicted = tables.predictions(spark, sf_dir).select("cell_id", "window_end", "label")
+    rows, labelled = _stored_tables(spark, sf_dir)
+    predicted = labelled.select("cell_id", "window_end", "label")
     joined = rows.join(predicted, ["cell_id", "window_end"])
     return joined.select(scoring.window_id().alias("windowed_metrics_id"), "cell_id", "window_end", "avg_latency_ms", "label")
 
@@ -290,13 +290,14 @@ def window_with_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf_dir: str):
-    """Predictions and their anchor."""
-    rows = tables.predictions(spark, sf_dir)
+    """Predictions and their anchor: a stored table, read once for each of the two."""
+    rows = tables.stored(tables.predictions(spark, sf_dir))
     return rows, monitor.newest_time(rows, "timestamp")
 
 
 def _windows(spark: SparkSession, sf_dir: str):
-    rows = _features(spark, sf_dir)
+    """Feature rows and their anchor."""
+    rows = tables.stored(_features(spark, sf_dir))
     return rows, monitor.newest_time(rows, "window_end")
 
 
@@ -388,7 +389,7 @@ def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def silent_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.silent_cells(_features(spark, sf_dir))
+    return monitor.silent_cells(tables.stored(_features(spark, sf_dir)))
 
 
 @query
@@ -431,7 +432,7 @@ def chart_signal_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chart_region_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.predictions(spark, sf_dir)
+    rows = tables.stored(tables.predictions(spark, sf_dir))
     return monitor.chart_region_label(rows, monitor.newest_time(rows, "window_end"), 20 * DAY)
 
 
