@@ -81,7 +81,7 @@ def test_bounded_sample_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in physical(sampling.bounded_sample(rows, ["cell_id"], ["event_id"]))
 
 
-def test_hot_cell_is_split_by_adaptive_execution(spark, tmp_path):
+def test_hot_cell_keeps_every_event(spark, tmp_path):
     """A third of the events in one cell: the as-of join still gives one row per event."""
     rows = tables.telemetry(spark, SMALL).select("event_id", "cell_id", "ts")
     hot = rows.withColumn("cell_id", F.when(F.col("event_id") % 3 == 0, "CELL_0001").otherwise(F.col("cell_id")))
