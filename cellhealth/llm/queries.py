@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing
+from . import jaccard, langid, mixing
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = langid.identify(docs.select("doc_id", "text"), tree)
     held = langid.is_held_out(F.col("doc_id")).alias("held_out")
     return scored.select("doc_id", held, "__language.lang_pred", "__language.score", "__language.bits_per_byte")
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the size of its shingle set and the component it is linked into."""
+    return jaccard.link_components(load(spark, sf_dir, "documents"))
