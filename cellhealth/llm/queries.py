@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing
+from . import jaccard, langid, mixing, templates
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the size of its shingle set and the component it is linked into."""
     return jaccard.link_components(load(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines dropped, and a digest of the text that is left."""
+    left = templates.drop_recurring_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
