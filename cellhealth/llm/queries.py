@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, templates
+from . import decontaminate, jaccard, langid, mixing, templates
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,10 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines dropped, and a digest of the text that is left."""
     left = templates.drop_recurring_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document: its place and edit distance."""
+    docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    return decontaminate.matches(docs, items)
