@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, templates
-from .common import load
+from . import decontaminate, jaccard, langid, mixing, simhash, templates
+from .common import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -59,3 +59,33 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document: its place and edit distance."""
     docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
     return decontaminate.matches(docs, items)
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fingerprints of its text and its edited text, their likeness, the next document's likeness,
+    and, for every 50th id, how many other fingerprints lie within the radius (else null)."""
+    docs = simhash.neighbours(load(spark, sf_dir, "documents"))
+    text, changed = F.coalesce("text", F.lit("")), simhash.edited(F.col("text"), F.col("next_text"))
+    both = docs.select("doc_id", "at", "next_at", F.length(text).cast("long").alias("n_chars"), text.alias("text"), changed.alias("changed"))
+    versions = F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text"), F.lit(None).cast("binary").alias("sha")), F.struct(F.lit(True).alias("edited"), F.col("changed").alias("text"), F.unhex(F.sha2("changed", 256)).alias("sha"))))
+    keys = ["doc_id", "at", "next_at", "n_chars", "edited", "sha"]
+    marked = simhash.fingerprints(both.select("doc_id", "at", "next_at", "n_chars", versions.alias("v")).select("doc_id", "at", "next_at", "n_chars", "v.*"), keys)
+    pick = lambda name, edited: F.max(F.when(F.col("edited") == edited, F.col(name)))
+    rows = marked.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("next_at").alias("next_at"), F.first("n_chars").alias("n_chars"), F.lower(F.hex(pick("sha", True))).alias("edited_sha256"), pick("fingerprint", False).alias("own"), pick("fingerprint", True).alias("changed"))
+    rows = written(rows, "fingerprints")
+    following = rows.select(F.col("at").alias("next_at"), F.col("own").alias("next"))
+    prints = rows.select(F.col("own").alias("fingerprint"), "doc_id")
+    near = simhash.within_radius(prints.filter("doc_id % 50 = 0"), prints).groupBy(F.col("a").alias("own")).agg(F.count("*").alias("near"))
+    near = written(near, "near")
+    out = rows.join(following, "next_at").join(near, "own", "left")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_text(F.col("own")).alias("fingerprint"),
+        simhash.as_text(F.col("changed")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        simhash.likeness(F.col("own"), F.col("next")).alias("near_next"),
+        F.when(F.col("doc_id") % 50 == 0, F.coalesce("near", F.lit(0))).alias("n_within"),
+    )
