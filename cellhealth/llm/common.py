@@ -79,80 +79,81 @@ def budget_sample(docs: DataFrame, text: str, key: list[str], group: Column, bud
 
 # -- numpy ------------------------------------------------------------------------------------------
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _RANDOM = np.random.default_rng(20_240_301)
-_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    np.cumprod(np.full(n - 1, base, np.uint64), out=out[1:])
-    return out
-
-
-_POWER = _powers(_MULTIPLIER, 1 << 16)
-_INVERSE = _powers(pow(_MULTIPLIER, -1, 2**64), 1 << 16)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWER, _INVERSE
-    if n > len(_POWER):
-        _POWER, _INVERSE = _powers(_MULTIPLIER, 2 * n), _powers(pow(_MULTIPLIER, -1, 2**64), 2 * n)
-    return _POWER, _INVERSE
+_STEP = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text hashed together.
+_BLOCK = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of a UTF-8 text, A-Z folded; long texts go piece by piece."""
-    if len(data) <= _PIECE:
-        return _word_hashes(np.frombuffer(data, np.uint8))
-    whole, out, at = np.frombuffer(data, np.uint8), [], 0
-    while at < len(whole):
-        end = min(at + _PIECE, len(whole))
-        if end < len(whole):  # on to the next space, for words stay whole
-            rest = whole[end : end + _PIECE]
-            while not (gap := np.flatnonzero(_SPACE[rest])).size and end + len(rest) < len(whole):
-                rest = whole[end : end + 2 * len(rest)]
-            end += int(gap[0]) if gap.size else len(rest)
-        out.append(_word_hashes(whole[at:end]))
-        at = end
-    return np.concatenate(out)
-
-
-def _word_hashes(a: np.ndarray) -> np.ndarray:
-    edge = np.diff(np.concatenate(([True], _SPACE[a], [True])).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.empty(0, np.uint64)
-    power, inverse = _tables(len(a) + 1)
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_VALUE[_FOLD[a]] * power[: len(a)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-_STEP = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of UTF-8 texts, A-Z folded, and where each text's words begin (and the last's end).
 
-
-def shingle_hashes(data: bytes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-word shingles; of fewer words, one for the whole sequence."""
-    w = word_hashes(data)
-    if not len(w):
-        return w
-    m = min(n, len(w))
-    total = np.full(len(w) - m + 1, m, np.uint64)
-    for k in range(m):
-        total += w[k : len(w) - m + 1 + k] * _STEP[k]
-    return np.unique(mix(total))
+    Words are read eight bytes at a time; the loop goes on for those that are longer.
+    """
+    data = b"\n".join(texts)
+    if fold:
+        data = data.translate(_FOLD)
+    a = np.frombuffer(b"\n" + data + b"\n" + bytes(8), np.uint8)
+    space = (a[: len(data) + 2] == 32) | (a[: len(data) + 2] - np.uint8(9) < 5)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[0::2], edge[1::2]
+    eight = np.ndarray((len(a) - 7,), "<u8", buffer=a, strides=(1,))
+    length = end - start
+    h = length.astype(np.uint64) + _NEXT
+    at, left, rows = start, length, None
+    while len(at):
+        part = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        if rows is None:
+            h = mix(h ^ part * _NEXT)
+        else:
+            h[rows] = mix((h[rows] ^ part) * _NEXT)
+        more = np.flatnonzero(left > 8)
+        rows = more if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    offsets = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return h, np.searchsorted(start, offsets)
+
+
+def _blocks(texts: list[bytes]):
+    """Runs of texts of a few million bytes together."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= _BLOCK:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def shingle_sets(texts: list[bytes], n: int = 5):
+    """Per text, the sorted distinct hashes of its n-word shingles; of fewer words, one for the whole sequence."""
+    for block in _blocks(texts):
+        w, bound = word_hashes(block)
+        full = np.full(max(0, len(w) - n + 1), n, np.uint64)
+        for k in range(n if len(full) else 0):
+            full += w[k : len(full) + k] * _STEP[k]
+        full = mix(full)
+        for low, high in zip(bound[:-1], bound[1:]):
+            if high - low >= n:
+                s = np.sort(full[low : high - n + 1])
+                new = s[1:] != s[:-1]
+                yield s if new.all() else s[np.concatenate(([True], new))]
+            elif high > low:
+                m = int(high - low)
+                yield mix((w[low:high] * _STEP[:m]).sum(dtype=np.uint64, keepdims=True) + np.uint64(m))
+            else:
+                yield w[low:low]

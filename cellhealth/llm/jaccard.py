@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of word shingles in the metric space of their distance.
 
 Texts with the same set are one node from the start. Two sets with a similarity of at least t share one of
-the first |x| - ceil(t |x|) + 1 of their shingles under any common order, so each such shingle shared by two
-nodes or more spans a region, and every link lies within a region. The order puts shingles that the data
+the first |x| - ceil(t |x|) + 1 of their shingles under any common order, and e + 1 of the first
+|x| - ceil(t |x|) + e + 1 (the lesser e of the two, if it depends on the size). Each such shingle shared by two nodes or
+more spans a region, every link lies within so many regions, and a node in fewer has no link. The order puts shingles that the data
 repeat most last (their counts come from all texts; whatever they are, the order stays valid), which keeps
 passages shared by unrelated texts from spanning regions.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, written
+from .common import mix, shingle_sets, written
 from .components import components
 
 SIMILARITY = Fraction(4, 5)
@@ -40,6 +41,8 @@ SHINGLE = 5
 HEAVY_BATCH, HEAVY_KEPT, HEAVY_LEAST = 100_000, 500_000, 4
 #: A region up to this size compares nodes directly; larger ones get so many pivots.
 SMALL, PIVOTS = 32, 4
+#: Sets share so many more of their first shingles: one for each EXTRA of the set's size.
+EXTRA = 10
 #: Nodes up to this number are told to the workers when sets are fetched; more are joined.
 TOLD = 4_000_000
 _WORLD = np.uint64(0xD1342543DE82EF95)
@@ -49,67 +52,75 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def _name(shingles: np.ndarray) -> tuple[int, int]:
-    if not len(shingles):
-        return 0, 0
-    with np.errstate(over="ignore"):
-        a, b = mix(shingles).sum(dtype=np.uint64), mix(shingles * _WORLD).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit sums over each set: a name that equal sets share."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    size = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        flat = np.concatenate(sets)
+        begin = np.concatenate(([0], np.cumsum(size[some])[:-1]))
+        out[0, some], out[1, some] = np.add.reduceat(mix(flat), begin), np.add.reduceat(mix(flat * _WORLD), begin)
+    return out.view(np.int64)
 
 
 def _distinct_sets(batches, n: int):
-    """Per batch, the sets not seen before in this task."""
+    """Per batch, the names and sets not seen before in this task."""
     seen = set()
     for batch in batches:
+        sets = list(shingle_sets(_texts(batch), n))
         found = []
-        for text in _texts(batch):
-            s = shingle_hashes(text, n)
-            if len(s) and (name := _name(s)) not in seen:
+        for name, s in zip(zip(*_names(sets).tolist()), sets):
+            if len(s) and name not in seen:
                 seen.add(name)
                 found.append((name, s))
         yield found
 
 
-def named(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """``docs`` (doc_id, text) as doc_id, n_shingles and the two halves of the set's name."""
+def _counted(docs: DataFrame, n: int) -> DataFrame:
+    """From one reading of the texts, rows of two kinds: a document's set (``kind`` 0: doc_id, size, name, name2),
+    and a shingle that a batch of texts repeats most (``kind`` 1: shingle and count in name and size)."""
+    fields = ["kind", "doc_id", "size", "name", "name2"]
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_hashes(t, n) for t in _texts(batch)]
-            names = [_name(s) for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "name", "name2"])
+            sets = list(shingle_sets(_texts(batch), n))
+            names = _names(sets)
+            size = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), batch.column("doc_id"), pa.array(size), pa.array(names[0]), pa.array(names[1])], fields)
+            first = np.unique(names[0], return_index=True)[1]  # copies count once
+            flat = np.sort(np.concatenate([np.empty(0, np.uint64), *[sets[i] for i in first]]))
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1])))
+            count = np.diff(np.concatenate((begin, [len(flat)])))
+            again = np.flatnonzero(count > 1)
+            if len(again) > HEAVY_BATCH:
+                again = again[np.argpartition(-count[again], HEAVY_BATCH)[:HEAVY_BATCH]]
+            nothing = pa.nulls(len(again), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(again), np.int64)), nothing, pa.array(count[again]), pa.array(flat[begin[again]].view(np.int64)), nothing], fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, name long, name2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind long, doc_id long, size long, name long, name2 long")
 
 
-def _heavy(docs: DataFrame, n: int) -> pd.DataFrame:
+def _heavy(counted: DataFrame) -> pd.DataFrame:
     """The shingles repeated most, as far as batches of texts can tell, with a lower bound of their counts."""
+    sums = counted.filter("kind = 1").groupBy(F.col("name").alias("shingle")).agg(F.sum("size").alias("n"))
+    return sums.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_KEPT).toPandas()
 
-    def run(batches):
-        for found in _distinct_sets(batches, n):
-            if not found:
-                continue
-            value, count = np.unique(np.concatenate([s for _, s in found]), return_counts=True)
-            again = np.flatnonzero(count > 1)
-            if len(again) > HEAVY_BATCH:
-                again = again[np.argpartition(-count[again], HEAVY_BATCH)[:HEAVY_BATCH]]
-            yield pa.RecordBatch.from_arrays([pa.array(value[again].view(np.int64)), pa.array(count[again])], ["shingle", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_KEPT).toPandas()
+def _extra(size: int) -> int:
+    """How many of its first shingles a set must share, at least, with a set it is linked to (of no larger size)."""
+    return 1 + size // EXTRA
 
 
-def _regions(docs: DataFrame, n: int, similarity: Fraction, buckets: int) -> DataFrame:
+def _regions(docs: DataFrame, heavy: pd.DataFrame, n: int, similarity: Fraction, buckets: int) -> DataFrame:
     """``region, name`` for prefix shingles that several sets have."""
-    heavy = _heavy(docs, n)
     by = np.argsort(heavy["shingle"].to_numpy(np.int64).view(np.uint64))
     token, count = heavy["shingle"].to_numpy(np.int64).view(np.uint64)[by], heavy["n"].to_numpy(np.int64)[by]
     held = docs.sparkSession.sparkContext.broadcast((token, count))  # HEAVY_KEPT entries at most
 
     def prefix(s: np.ndarray) -> np.ndarray:
         token, count = held.value
-        length = len(s) - -(-similarity.numerator * len(s) // similarity.denominator) + 1
+        length = len(s) - -(-similarity.numerator * len(s) // similarity.denominator) + _extra(len(s))
         if not len(token):
             return s[:length]
         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
@@ -225,14 +236,30 @@ def _open(regions: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(spans.select("region", "members"), "region")
 
 
-def _within(open_: DataFrame, similarity: Fraction, tried: DataFrame) -> DataFrame:
-    """Pairs of different components within a region that sizes allow and that were not measured yet."""
+def _able(regions: DataFrame, similarity: Fraction) -> DataFrame:
+    """Regions less the nodes that share too few shingles to be linked, and less those then alone."""
+    least = 1 + F.floor(F.ceil(F.col("size") * similarity.numerator / similarity.denominator) / EXTRA)
+    enough = regions.groupBy("node").agg(F.count("*").alias("held"), F.first("size").alias("size")).filter(F.col("held") >= least).select("node")
+    left = regions.join(enough, "node")
+    several = left.groupBy("region").agg(F.count("*").alias("held")).filter("held > 1").select("region")
+    return left.join(several, "region")
+
+
+def _within(open_: DataFrame, similarity: Fraction, tried: DataFrame, elsewhere: DataFrame | None) -> DataFrame:
+    """Pairs of different components that sizes and the number of common regions allow and that were not measured yet.
+
+    ``elsewhere`` (node, more) has the regions a node is in besides these; without it their number is not used.
+    """
     a = open_.select("region", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
     b = open_.select("region", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
     t, u = similarity.numerator, similarity.denominator
     alike = (F.col("size_a") * u >= F.col("size_b") * t) & (F.col("size_b") * u >= F.col("size_a") * t)
-    pairs = a.join(b, "region").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike)
-    return pairs.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    met = a.join(b, "region").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike)
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("held"), F.first(F.least("size_a", "size_b")).alias("size"))
+    if elsewhere is not None:
+        pairs = pairs.join(elsewhere.withColumnRenamed("node", "a"), "a", "left")
+        pairs = pairs.filter(F.col("held") + F.coalesce("more", F.lit(0)) >= 1 + F.floor(F.col("size") / EXTRA))
+    return pairs.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int = SHINGLE, buckets: int | None = None) -> DataFrame:
@@ -240,12 +267,13 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int =
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(named(docs, n), "named")
+    counted = written(_counted(docs, n), "counted")
+    signed = counted.filter("kind = 0").select("doc_id", F.col("size").alias("n_shingles"), "name", "name2")
     filled = signed.filter("n_shingles > 0")
     grouped = filled.groupBy("name", "name2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    regions = _regions(docs, n, similarity, buckets).join(nodes.select("name", "node", "size"), "name").select("region", "node", "size")
-    regions = written(regions, "regions")
+    shared = _regions(docs, _heavy(counted), n, similarity, buckets).join(nodes.select("name", "node", "size"), "name").select("region", "node", "size")
+    regions = written(_able(written(shared, "shared"), similarity), "regions")
     involved = written(regions.select("node").distinct().join(nodes, "node"), "involved")
     sets = written(_sets(docs, involved, n), "sets")
     roots = written(involved.select("node", F.col("node").alias("root")), "roots")
@@ -266,8 +294,9 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int =
         if not open_.limit(1).count():
             break
         few = open_.filter(F.col("members") <= SMALL)
-        pairs = _within(few, similarity, tried)
         many = open_.filter(F.col("members") > SMALL)
+        more = many.groupBy("node").agg(F.count("*").alias("more")) if level == 0 else None
+        pairs = _within(few, similarity, tried, more)
         if not many.limit(1).count():
             found = _measure(pairs, sets, "pairs")
             roots = _absorb(roots, found.filter(_fits(similarity)))
@@ -303,7 +332,7 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int =
         # Regions that the pivots do not divide are compared directly.
         stuck = sized.filter(~divided).select("region", "pivot", "node", "size").withColumn("region", F.xxhash64("region", "pivot")).drop("pivot")
         open_ = _open(stuck, roots)
-        found = _measure(_within(open_, similarity, tried), sets, "stuck")
+        found = _measure(_within(open_, similarity, tried, None), sets, "stuck")
         tried = written(tried.unionByName(found), "tried")
         roots = _absorb(roots, found.filter(_fits(similarity)))
         regions = written(sized.filter(divided).select(F.xxhash64("region", "pivot").alias("region"), "node", "size"), "regions")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, simhash, templates
+from . import decontaminate, jaccard, langid, mixing, simhash, suffix, templates
 from .common import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.likeness(F.col("own"), F.col("next")).alias("near_next"),
         F.when(F.col("doc_id") % 50 == 0, F.coalesce("near", F.lit(0))).alias("n_within"),
     )
+
+
+@query
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes removed as repeated, removed runs, and a digest of what is left."""
+    return suffix.remove_repeats(load(spark, sf_dir, "documents"))
