@@ -7,13 +7,15 @@ more spans a region, every link lies within so many regions, and a node in fewer
 repeat most last (their counts come from all texts; whatever they are, the order stays valid), which keeps
 passages shared by unrelated texts from spanning regions.
 
-Within regions no pairs are enumerated as long as pivots can do: every node is first measured against one
-pivot, its most frequent region partner; regions whose nodes are then in one component are done. In a large
-region left over, several pivots are measured against all nodes, nodes go to the Voronoi cell of the nearest
-pivot and, by the triangle inequality, to each cell whose pivot is at most 2 (1 - t) farther away; cells are
-regions of the next level. Small regions compare the nodes of different components. A region that no pivot
-divides is compared in the same way, whatever its size, so the result is exact: two texts have the same
-component if and only if a chain of links joins them.
+A node's shingles that no other node in question has count against every link of it: with too many of them it
+has none. A region's pivot is its node with the least share of such shingles, and the Voronoi cell of a pivot holds
+every node of the regions it stands for, so linked nodes share a cell. Each node is first measured against the pivot
+it shares most regions with; a cell whose nodes are then in one component is done. In others all nodes are
+measured against the pivot, and two nodes of different components are compared where the triangle inequality,
+their sizes, their shingles in the pivot and their own shingles leave room for a link. A large cell is
+divided first: several pivots are measured against all its nodes, and nodes go to the cell of the nearest one and
+to each that is at most 2 (1 - t) farther away, level by level; a cell that pivots do not divide is compared as it is,
+whatever its size. So the result is exact: two texts have the same component if and only if a chain of links joins them.
 
 Shingles are 64-bit hashes of words with A-Z folded, sets are named by 128 bits.
 
@@ -39,8 +41,8 @@ SIMILARITY = Fraction(4, 5)
 SHINGLE = 5
 #: The summary of often repeated shingles: kept a batch of texts, kept in all, least count.
 HEAVY_BATCH, HEAVY_KEPT, HEAVY_LEAST = 100_000, 500_000, 4
-#: A region up to this size compares nodes directly; larger ones get so many pivots.
-SMALL, PIVOTS = 32, 4
+#: A cell up to this size compares nodes directly; larger ones get so many pivots.
+SMALL, PIVOTS = 256, 4
 #: Sets share so many more of their first shingles: one for each EXTRA of the set's size.
 EXTRA = 10
 #: Nodes up to this number are told to the workers when sets are fetched; more are joined.
@@ -188,6 +190,44 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return made.join(wanted, ["name", "name2"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _own(sets: DataFrame, buckets: int) -> DataFrame:
+    """``node, own``: how many of a node's shingles no other node has."""
+    shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
+
+    def deal(batches):
+        for batch in batches:
+            nodes, blobs = batch.column("node").to_pylist(), batch.column("shingles").to_pylist()
+            if not blobs:
+                continue
+            shingle = np.frombuffer(b"".join(blobs), np.uint64)
+            node = np.repeat(np.array(nodes, np.int64), [len(x) // 8 for x in blobs])
+            by = np.argsort(shingle)
+            shingle, node = shingle[by], node[by]
+            bucket, first = np.unique((shingle >> shift).astype(np.int64), return_index=True)
+            spans = list(zip(first, [*first[1:], len(shingle)]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (shingle, node)]], ["bucket", "shingles", "nodes"])
+
+    def count(batches):
+        kept = {}
+        for batch in batches:
+            for bucket, s, k in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shingles", "nodes"))):
+                kept.setdefault(bucket, []).append((np.frombuffer(s, np.uint64), np.frombuffer(k, np.int64)))
+        found = []
+        while kept:
+            parts = kept.popitem()[1]
+            s, k = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            by = np.argsort(s)
+            s, k = s[by], k[by]
+            edge = np.concatenate(([True], s[1:] != s[:-1], [True]))
+            found.append(k[edge[1:] & edge[:-1]])
+        if found:
+            node, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n)], ["node", "own"])
+
+    dealt = sets.mapInArrow(deal, "bucket long, shingles binary, nodes binary").repartition("bucket")
+    return dealt.mapInArrow(count, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+
+
 def _measure(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
     """``a, b, both, either`` for pairs of nodes; a node with many partners is spread over several groups."""
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(16)))
@@ -229,11 +269,11 @@ def _absorb(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
-def _open(regions: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of regions that hold several components still, with the region's size."""
-    members = regions.join(roots, "node")
-    spans = members.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low != high")
-    return members.join(spans.select("region", "members"), "region")
+def _open(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of cells that hold several components still, with the cell's size."""
+    members = cells.join(roots, "node")
+    spans = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low != high")
+    return members.join(spans.select("cell", "members"), "cell")
 
 
 def _able(regions: DataFrame, similarity: Fraction) -> DataFrame:
@@ -245,27 +285,50 @@ def _able(regions: DataFrame, similarity: Fraction) -> DataFrame:
     return left.join(several, "region")
 
 
+def _alike(similarity: Fraction, a: str = "size_a", b: str = "size_b"):
+    t, u = similarity.numerator, similarity.denominator
+    return (F.col(a) * u >= F.col(b) * t) & (F.col(b) * u >= F.col(a) * t)
+
+
 def _within(open_: DataFrame, similarity: Fraction, tried: DataFrame, elsewhere: DataFrame | None) -> DataFrame:
-    """Pairs of different components that sizes and the number of common regions allow and that were not measured yet.
+    """Pairs of different components in a cell that may be linked, by what is known of them, and were not measured yet.
 
-    ``elsewhere`` (node, more) has the regions a node is in besides these; without it their number is not used.
+    ``both`` is what a node has in common with the cell's pivot, ``d`` its distance, ``own`` its shingles that are its
+    alone: two nodes have at most the lesser ``both`` and the lesser rest in common. ``elsewhere`` (node, more) has
+    the regions of a node that these cells do not stand for; without it the number of regions is not used.
     """
-    a = open_.select("region", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    b = open_.select("region", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    side = lambda x: open_.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "own", "both", "d", "votes")])
     t, u = similarity.numerator, similarity.denominator
-    alike = (F.col("size_a") * u >= F.col("size_b") * t) & (F.col("size_b") * u >= F.col("size_a") * t)
-    met = a.join(b, "region").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike)
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("held"), F.first(F.least("size_a", "size_b")).alias("size"))
+    rest = lambda x: F.col(f"size_{x}") - F.col(f"both_{x}") - F.col(f"own_{x}")
+    common = F.least("both_a", "both_b") + F.least(rest("a"), rest("b"))
+    room = common * (t + u) >= (F.col("size_a") + F.col("size_b")) * t
+    near = F.abs(F.col("d_a") - F.col("d_b")) <= float(1 - similarity) + 1e-9
+    a, b = side("a"), side("b")
+    met = a.join(b, (a.cell == b.cell) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _alike(similarity) & room & near)
+    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.sum(F.least("votes_a", "votes_b")).alias("held"), F.first(F.least("size_a", "size_b")).alias("size"))
     if elsewhere is not None:
         pairs = pairs.join(elsewhere.withColumnRenamed("node", "a"), "a", "left")
         pairs = pairs.filter(F.col("held") + F.coalesce("more", F.lit(0)) >= 1 + F.floor(F.col("size") / EXTRA))
     return pairs.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _ordered(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _measured(members: DataFrame, tried: DataFrame) -> DataFrame:
+    """Members (cell, pivot, node, size, ...) with ``both`` and ``d`` against their pivot; the pivot is at 0."""
+    known = tried.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "both", (1 - F.col("both") / F.col("either")).alias("d"))
+    found = members.join(known, (F.least("pivot", "node") == F.col("__a")) & (F.greatest("pivot", "node") == F.col("__b")), "left").drop("__a", "__b")
+    itself = F.col("pivot") == F.col("node")
+    return found.withColumn("both", F.when(itself, F.col("size")).otherwise(F.col("both"))).withColumn("d", F.when(itself, F.lit(0.0)).otherwise(F.col("d")))
+
+
 def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int = SHINGLE, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for ``docs`` (doc_id, text); see the module's text."""
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t, u = similarity.numerator, similarity.denominator
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = written(_counted(docs, n), "counted")
     signed = counted.filter("kind = 0").select("doc_id", F.col("size").alias("n_shingles"), "name", "name2")
@@ -274,68 +337,64 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int =
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     shared = _regions(docs, _heavy(counted), n, similarity, buckets).join(nodes.select("name", "node", "size"), "name").select("region", "node", "size")
     regions = written(_able(written(shared, "shared"), similarity), "regions")
-    involved = written(regions.select("node").distinct().join(nodes, "node"), "involved")
-    sets = written(_sets(docs, involved, n), "sets")
-    roots = written(involved.select("node", F.col("node").alias("root")), "roots")
-
-    t, u = similarity.numerator, similarity.denominator
-    # Every node against the pivot (a region's least node) it shares most regions with.
-    pivots = regions.groupBy("region").agg(F.min(F.struct("node", "size")).alias("pivot"))
-    star = regions.join(pivots, "region").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
-    alike = (F.col("size_a") * u >= F.col("size_b") * t) & (F.col("size_b") * u >= F.col("size_a") * t)
-    votes = star.filter((F.col("a") != F.col("b")) & alike).groupBy("a", "b").count()
-    best = votes.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
-    tried = _measure(best, sets, "star")
+    sets = written(_sets(docs, regions.select("node").distinct().join(nodes, "node"), n), "sets")
+    # Nodes with too many shingles of their own have no link.
+    own = written(_own(sets, buckets), "own")
+    regions = regions.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("size") - F.col("own")) * u >= F.col("size") * t)
+    regions = written(regions, "regions")
+
+    rated = F.struct((F.col("own") / F.col("size")).alias("share"), "node", "size")
+    pivots = regions.groupBy("region").agg(F.min(rated).alias("pivot"))
+    met = regions.join(pivots, "region").select(F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"), "node", "size", "own")
+    cells = met.groupBy("pivot", "node").agg(F.first("pivot_size").alias("pivot_size"), F.first("size").alias("size"), F.first("own").alias("own"), F.count("*").alias("votes"))
+    cells = written(cells, "cells")
+    roots = written(cells.select("node").distinct().withColumn("root", F.col("node")), "roots")
+    best = cells.filter((F.col("pivot") != F.col("node")) & _alike(similarity, "pivot_size", "size")).groupBy("node").agg(F.max(F.struct("votes", "pivot")).alias("best"))
+    tried = _measure(best.select(F.col("best.pivot").alias("pivot"), "node").select(*_ordered("pivot", "node")).distinct(), sets, "star")
     roots = _absorb(roots, tried.filter(_fits(similarity)))
 
+    cells = cells.select(F.col("pivot").alias("cell"), "pivot", "node", "size", "own", "votes")
     level = 0
     while True:
-        open_ = written(_open(regions, roots), "open")
+        open_ = written(_open(cells, roots), "open")
         if not open_.limit(1).count():
             break
-        few = open_.filter(F.col("members") <= SMALL)
-        many = open_.filter(F.col("members") > SMALL)
-        more = many.groupBy("node").agg(F.count("*").alias("more")) if level == 0 else None
-        pairs = _within(few, similarity, tried, more)
+        missing = open_.filter("pivot != node").select(*_ordered("pivot", "node")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = _measure(missing, sets, "cells")
+        tried = written(tried.unionByName(found), "tried")
+        roots = _absorb(roots, found.filter(_fits(similarity)))
+        members = open_.select("cell", "pivot", "node", "size", "own", "votes")
+        open_ = written(_measured(_open(members, roots), tried), "open")
+        few, many = open_.filter(F.col("members") <= SMALL), open_.filter(F.col("members") > SMALL)
+        more = many.groupBy("node").agg(F.sum("votes").alias("more")) if level == 0 else None
+        found = _measure(_within(few, similarity, tried, more), sets, "pairs")
+        tried = written(tried.unionByName(found), "tried")
+        roots = _absorb(roots, found.filter(_fits(similarity)))
         if not many.limit(1).count():
-            found = _measure(pairs, sets, "pairs")
-            roots = _absorb(roots, found.filter(_fits(similarity)))
             break
-        # Pivots of the large regions, measured against all their nodes.
-        order = Window.partitionBy("region").orderBy("rank", "node")
-        ranked = many.withColumn("rank", F.xxhash64(F.lit(level), "node"))
-        chosen = ranked.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= PIVOTS).select("region", F.col("node").alias("pivot"))
+        # Pivots of the large cells, measured against all their nodes.
+        order = Window.partitionBy("cell").orderBy("rank", "node")
+        ranked = many.filter("pivot != node").withColumn("rank", F.xxhash64(F.lit(level), "node"))
+        chosen = ranked.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= PIVOTS).select("cell", F.col("node").alias("chosen"))
         chosen = written(chosen, "pivots")
-        spread = written(many.join(chosen, "region").filter("node != pivot").select("region", "members", "node", "size", "pivot"), "spread")
-        ends = spread.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        found = _measure(ends.unionByName(pairs).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, "cells")
+        spread = written(many.join(chosen, "cell").select("cell", "members", "node", "size", "own", F.col("chosen").alias("pivot")), "spread")
+        ends = spread.filter("pivot != node").select(*_ordered("pivot", "node")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = _measure(ends, sets, "spread")
         tried = written(tried.unionByName(found), "tried")
         roots = _absorb(roots, found.filter(_fits(similarity)))
-        far = tried.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-        apart = spread.join(far, (F.least("pivot", "node") == F.col("a")) & (F.greatest("pivot", "node") == F.col("b")))
-        apart = apart.select("region", "members", "node", "size", "pivot", "d").unionByName(
-            chosen.join(many.select("region", "members", F.col("node").alias("pivot"), "size"), ["region", "pivot"]).select("region", "members", F.col("pivot").alias("node"), "size", "pivot", F.lit(0.0).alias("d"))
-        )
-        window = Window.partitionBy("region", "node")
-        margin = 2 * float(1 - similarity) + 1e-9
-        # Pivots are done with; what lies within reach of several cells goes to each.
-        cells = (
-            apart.withColumn("least", F.min("d").over(window))
-            .filter((F.col("d") <= F.col("least") + margin) & (F.col("d") > 0))
-            .join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-            .select("region", "members", "node", "size", "pivot")
-        )
-        cells = written(cells, "cells")
-        sizes = cells.groupBy("region", "pivot").agg(F.count("*").alias("held"))
-        sized = cells.join(sizes, ["region", "pivot"])
-        divided = F.col("held") <= F.col("members") * 0.8
-        # Regions that the pivots do not divide are compared directly.
-        stuck = sized.filter(~divided).select("region", "pivot", "node", "size").withColumn("region", F.xxhash64("region", "pivot")).drop("pivot")
-        open_ = _open(stuck, roots)
-        found = _measure(_within(open_, similarity, tried, None), sets, "stuck")
+        window = Window.partitionBy("cell", "node")
+        reach = F.min("d").over(window) + 2 * float(1 - similarity) + 1e-9
+        near = _measured(spread, tried).withColumn("reach", reach).filter("d <= reach")
+        near = written(near.select("cell", "members", "node", "size", "own", "pivot"), "near")
+        held = near.groupBy("cell", "pivot").agg(F.count("*").alias("held"))
+        worst = held.groupBy("cell").agg(F.max("held").alias("worst"))
+        divided = written(near.join(worst, "cell").filter(F.col("worst") <= 0.8 * F.col("members")), "divided")
+        # Cells that the pivots do not divide are compared as they are.
+        whole = many.drop("root", "members").join(divided.select("cell").distinct(), "cell", "left_anti")
+        found = _measure(_within(_open(whole, roots), similarity, tried, None), sets, "whole")
         tried = written(tried.unionByName(found), "tried")
         roots = _absorb(roots, found.filter(_fits(similarity)))
-        regions = written(sized.filter(divided).select(F.xxhash64("region", "pivot").alias("region"), "node", "size"), "regions")
+        cells = written(divided.select(F.xxhash64("cell", "pivot").alias("cell"), "pivot", "node", "size", "own", F.lit(0).cast("long").alias("votes")), "cells")
         level += 1
 
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

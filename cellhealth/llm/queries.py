@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, simhash, suffix, templates
+from . import decontaminate, jaccard, langid, mixing, pii, simhash, suffix, templates
 from .common import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, bytes removed as repeated, removed runs, and a digest of what is left."""
     return suffix.remove_repeats(load(spark, sf_dir, "documents"))
+
+
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans by kind and their digest, and all spans."""
+    found = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long")
+    counted = [number(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counted, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
