@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, pii, simhash, suffix, templates
+from . import decontaminate, jaccard, langid, mixing, pii, rnnlm, simhash, suffix, templates
 from .common import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,15 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long")
     counted = [number(k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counted, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fold, tokens, those known, the count model's score and the network's."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    training = rnnlm.training_rows(docs)
+    counts = written(rnnlm.word_counts(training), "words")
+    lexicon, network, totals = rnnlm.fit(training, counts)
+    scored = rnnlm.score(docs, counts, lexicon, network, totals)
+    held = rnnlm.is_held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", F.lit(totals["N"]).cast("long").alias("train_tokens"), "base_score", "score")
