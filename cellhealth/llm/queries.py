@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, pii, rnnlm, simhash, suffix, templates
+from . import chat, decontaminate, jaccard, langid, mixing, pii, rnnlm, simhash, suffix, templates
 from .common import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,12 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rnnlm.score(docs, counts, lexicon, network, totals)
     held = rnnlm.is_held_out(F.col("doc_id")).alias("held_out")
     return scored.select("doc_id", held, "n_tokens", "n_known", F.lit(totals["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, and one that tries the template: digests read back from the packed output."""
+    said = r"\### Assistant: </turn> ok"
+    trial = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(said).alias("text"))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(*chat.format_conversations(rows.unionByName(trial.withColumn("turn", F.col("turn").cast("long")))))
