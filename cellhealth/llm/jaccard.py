@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_sets, written
+from .common import mix, shingle_sets, small, written
 from .components import components
 
 SIMILARITY = Fraction(4, 5)
@@ -403,3 +403,21 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int =
     out = signed.join(known, ["name", "name2"], "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one with the least id, once; documents without words stay.
+
+    Rows without id stay too, for nothing tells them apart.
+    """
+    linked = written(link_components(docs, similarity, n).filter("doc_id is not null and n_shingles > 0"), "linked")
+    gone = written(linked.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    again = written(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "again")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not again.limit(1).count():
+        return kept
+    # Repeated rows of a document that stays: one of them.
+    few = small(again)
+    order = Window.partitionBy("doc_id").orderBy("text")
+    one = kept.join(few, "doc_id", "left_semi").withColumn("__at", F.row_number().over(order)).filter("__at = 1").select(*docs.columns)
+    return kept.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

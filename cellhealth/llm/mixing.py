@@ -54,20 +54,27 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, ceiling: float = CEILING)
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes each document."""
-    made = ("size", "source_size", "target", "copies")
-    sized = docs.drop(*[c for c in docs.columns if c in made]).withColumn("size", n_words(F.col("text")))
+def _planned(docs: DataFrame, weights, ceiling: float) -> DataFrame:
+    """``docs`` with its own columns and ``__size``, ``__source_size``, ``__target`` and ``__copies``."""
+    sized = docs.withColumn("__size", n_words(F.col("text")))
     # A stored summary of one row a source: the planner broadcasts it by its file size, or splits skewed sources.
-    targets = written(source_targets(sized.select("source", "size"), weights, ceiling).withColumnRenamed("source", "__source"), "targets")
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    sums = source_targets(docs.select("source", n_words(F.col("text")).alias("size")), weights, ceiling)
+    targets = written(sums.toDF("__source", "__source_size", "__target"), "targets")
+    rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size")), F.lit(0.0))
     extra = draw(F.col("doc_id"), F.col("text")) < rate - F.floor(rate)
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source")), "inner").drop("__source")
-    return joined.withColumn("copies", F.floor(rate) + extra.cast("long"))
+    return joined.withColumn("__copies", F.floor(rate) + extra.cast("long"))
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes each document."""
+    made = ("size", "source_size", "target", "copies")
+    planned = _planned(docs, weights, ceiling)
+    return planned.select(*[c for c in docs.columns if c not in made], *[F.col(f"__{c}").alias(c) for c in made])
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame:
     """The mixed documents: each row as often as the plan takes it, with ``copy`` from 1."""
-    kept = [c for c in docs.columns if c != "copy"]
-    planned = mix_plan(docs, weights, ceiling).filter(F.col("copies") > 0)
-    return planned.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    taken = _planned(docs, weights, ceiling).filter(F.col("__copies") > 0)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy")
+    return taken.select(*[c for c in docs.columns if c != "copy"], copies)
