@@ -1,9 +1,10 @@
 """Removal of bytes covered by long strings that also start elsewhere, by suffix arrays.
 
-Which strings can repeat is found first. In each string of ``LENGTH`` bytes, the 32-byte grams with the least
-hash are its anchors; equal strings have equal anchors, so a string can only repeat around an anchor that
-stands at two places or more. All documents' anchors are counted; the surroundings of shared ones (the bytes of
-every string the anchor can stand for) are dealt to shards by anchor. An anchor with very many places is dealt by
+Which strings can repeat is found first. The anchor of a string of ``LENGTH`` bytes is its 32-byte gram with the
+least hash (the last such); equal strings have equal anchors at equal offsets, and consecutive strings mostly
+share one. A string reaches 84 bytes before its anchor, or 116 from it on, so it can only repeat where an anchor
+stands at two places with the same bytes on one of these sides. All documents' anchors are compared; the strings
+of those that remain are dealt to shards by anchor. An anchor with very many places is dealt by
 its hash together with the bytes that all strings of one range of offsets have in common, so no group gathers them.
 
 A shard sorts its suffixes by Larsson-Sadakane refinement (groups of equal prefixes, lengths doubling, sorted ones
@@ -29,9 +30,14 @@ from .common import mix, written
 
 LENGTH, GRAM = 200, 32
 _REACH = LENGTH - GRAM
+#: A string reaches _LEFT bytes before its anchor, or else _RIGHT from it on.
+_LEFT = _REACH // 2
+_RIGHT = LENGTH - _LEFT
+_LOW = np.uint64(0xFFFFFFFF)
 #: Places of an anchor beyond which it is dealt by more bytes; offsets in one range of those; bytes of a shard.
 MANY, RANGE, SHARD = 2_000, 24, 1 << 20
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_SIDES = np.random.default_rng(9).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 20
 
 
@@ -50,12 +56,11 @@ def _extreme(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's anchors."""
-    places, hashes = [], []
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of a text's anchors, and the greatest and least offset in strings they are the anchor of."""
+    found = []
     for at in range(0, len(data), _CHUNK):
-        # Windows that begin in this chunk; a place seen from two chunks is found twice.
-        piece = data[at : at + _CHUNK + LENGTH - 1]
+        piece = data[at : at + _CHUNK + LENGTH - 1]  # the strings that begin in this chunk
         n = len(piece)
         if n < LENGTH:
             break
@@ -65,29 +70,42 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         for j in range(1, GRAM // 8):
             h += (u[8 * j : 8 * j + grams] ^ (h >> np.uint64(31))) * _K[j]
         h = mix(h)
-        order = (h >> np.uint64(32)).astype(np.uint32)
-        least = _extreme(order, _REACH + 1, np.minimum)
-        padded = np.zeros(len(least) + 2 * _REACH, np.uint32)
-        padded[_REACH : _REACH + len(least)] = least
-        chosen = np.flatnonzero(order == _extreme(padded, _REACH + 1, np.maximum))
-        places.append(chosen + at)
-        hashes.append(h[chosen])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    place, h = np.concatenate(places), np.concatenate(hashes)
-    if len(places) > 1:
-        place, first = np.unique(place, return_index=True)
-        h = h[first]
-    return place, h
+        # The low half turns the least into the last of the least.
+        order = (h & ~_LOW) | (_LOW - np.arange(grams, dtype=np.uint64))
+        place = (_LOW - (_extreme(order, _REACH + 1, np.minimum) & _LOW)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        last = np.concatenate((first[1:], [len(place)])) - 1
+        place = place[first]
+        found.append((place + at, h[place], place - first, place - last))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def sides(data: bytes, place: np.ndarray, most: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bytes from an anchor on and of those before, 0 where no string of the anchor reaches so far."""
+    u = _eights(np.frombuffer(data + bytes(8), np.uint8))
+    out = []
+    for begin, size, reaches in ((0, _RIGHT, least < _LEFT), (-_LEFT, _LEFT + GRAM, most >= _LEFT)):
+        steps = np.array([*range(0, size - 7, 8), size - 8])
+        eights = u[(place[reaches] + begin)[:, None] + steps]
+        side = np.zeros(len(place), np.uint32)
+        side[reaches] = (mix(((eights ^ (eights >> np.uint64(29))) * _SIDES[: len(steps)]).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out.append(side)
+    return tuple(out)
 
 
 def _text_key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+#: What an anchor is dealt with: its hash, its text, its place, its strings' offsets, and the two sides.
+_KINDS = {"hashes": np.uint64, "keys": np.int64, "places": np.uint32, "most": np.uint8, "least": np.uint8, "right": np.uint32, "left": np.uint32}
+
+
 def _read(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: documents (size, key and digest of their text), and anchors by bucket (hash, text key, place)."""
-    fields = ["bucket", "doc_id", "n_bytes", "key", "sha", "hashes", "keys", "places"]
+    """Rows of two kinds: documents (size, key and digest of their text), and anchors by bucket."""
+    fields = ["bucket", "doc_id", "n_bytes", "key", "sha", *_KINDS]
     shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
 
     def run(batches):
@@ -96,68 +114,76 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             digests = [hashlib.sha256(t).digest() for t in texts]
             keys = [_text_key(d) for d in digests]
-            none = pa.nulls(len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.int64()), pa.array([d.hex() for d in digests]), none, none, none], fields)
+            none = [pa.nulls(len(texts), pa.binary())] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.int64()), pa.array([d.hex() for d in digests]), *none], fields)
             found = []
             for t, key in zip(texts, keys):
                 if len(t) >= LENGTH and key not in seen:
                     seen.add(key)
-                    found.append((key, *anchors(t)))
+                    place, h, most, least = anchors(t)
+                    found.append((h, np.full(len(h), key), place, most, least, *sides(t, place, most, least)))
             if not found:
                 continue
-            place, h = (np.concatenate([f[i] for f in found]) for i in (1, 2))
-            key = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-            by = np.argsort(h)
-            h, key, place = h[by], key[by], place[by]
-            bucket, first = np.unique((h >> shift).astype(np.int64), return_index=True)
-            spans = list(zip(first, [*first[1:], len(h)]))
-            blobs = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (h, key, place)]
+            columns = [np.concatenate([f[i] for f in found]).astype(kind) for i, kind in enumerate(_KINDS.values())]
+            by = np.argsort(columns[0])
+            columns = [c[by] for c in columns]
+            bucket, first = np.unique((columns[0] >> shift).astype(np.int64), return_index=True)
+            spans = list(zip(first, [*first[1:], len(by)]))
+            blobs = [pa.array([c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns]
             empty = [pa.nulls(len(spans), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *empty, *blobs], fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long, n_bytes long, key long, sha string, hashes binary, keys binary, places binary")
+    blobs = ", ".join(f"{c} binary" for c in _KINDS)
+    return docs.select("doc_id", "text").mapInArrow(run, f"bucket long, doc_id long, n_bytes long, key long, sha string, {blobs}")
+
+
+def _again(h: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows share hash and side (not 0) with another."""
+    by = np.lexsort((side, h))
+    same = (h[by][1:] == h[by][:-1]) & (side[by][1:] == side[by][:-1]) & (side[by][1:] != 0)
+    out = np.zeros(len(h), bool)
+    out[by[1:][same]] = out[by[:-1][same]] = True
+    return out
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """key, place, anchor, many: the anchors that stand at two places or more."""
+    """key, place, most, least, anchor, many: the anchors some string of which may repeat."""
 
     def run(batches):
         kept: dict[int, list] = {}
         for batch in batches:
-            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "keys", "places"))):
+            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", *_KINDS))):
                 kept.setdefault(bucket, []).append(blobs)
         while kept:
             parts = kept.popitem()[1]
-            h, key, place = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate((np.uint64, np.int64, np.int64)))
-            by = np.lexsort((place, key, h))
-            h, key, place = h[by], key[by], place[by]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])))
-            h, key, place = h[new], key[new], place[new]
-            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            columns = [np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate(_KINDS.values())]
+            h, key, place, most = columns[:4]
+            by = np.lexsort((most, place, key, h))
+            new = np.concatenate(([True], np.any([c[by][1:] != c[by][:-1] for c in (h, key, place, most)], axis=0)))
+            columns = [c[by][new] for c in columns]
+            some = _again(columns[0], columns[5]) | _again(columns[0], columns[6])
+            h, key, place, most, least = [c[some] for c in columns[:5]]
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
             count = np.diff(np.concatenate((begin, [len(h)])))
-            held = np.repeat(count, count)
-            some = held > 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(place[some]), pa.array(h[some].view(np.int64)), pa.array(held[some] > MANY)], ["key", "place", "anchor", "many"])
+            many = np.repeat(count, count) > MANY
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, place.astype(np.int64), most.astype(np.int32), least.astype(np.int32), h.view(np.int64), many)], ["key", "place", "most", "least", "anchor", "many"])
 
-    return dealt.repartition("bucket").mapInArrow(run, "key long, place long, anchor long, many boolean")
+    return dealt.repartition("bucket").mapInArrow(run, "key long, place long, most int, least int, anchor long, many boolean")
 
 
-def _surroundings(data: bytes, place: int, anchor: int, many: bool):
-    """(key to deal by, begin, bytes) of the strings an anchor can stand for."""
+def _surroundings(data: bytes, place: int, most: int, least: int, anchor: int, many: bool):
+    """(key to deal by, begin, bytes) of the strings an anchor stands for."""
     if not many:
-        low, high = max(0, place - _REACH), min(len(data), place + LENGTH)
-        if high - low >= LENGTH:
-            yield anchor, low, data[low:high]
+        yield anchor, place - most, data[place - most : place - least + LENGTH]
         return
     for first in range(0, _REACH + 1, RANGE):
         last = min(first + RANGE - 1, _REACH)
-        if place < first or place + LENGTH - last > len(data):
-            continue
-        low, high = max(0, place - last), min(len(data), place + LENGTH - first)
-        if high - low < LENGTH:
+        far, near = min(last, most), max(first, least)
+        if far < near:
             continue
-        core = hashlib.blake2b(data[place - first : place + LENGTH - last], digest_size=8, key=anchor.to_bytes(8, "big", signed=True) + bytes([first])).digest()
-        yield int.from_bytes(core, "big", signed=True), low, data[low:high]
+        common = data[place - first : place + LENGTH - last]
+        core = hashlib.blake2b(common, digest_size=8, key=anchor.to_bytes(8, "big", signed=True) + bytes([first])).digest()
+        yield int.from_bytes(core, "big", signed=True), place - far, data[place - far : place - near + LENGTH]
 
 
 _PIECES = "shard long, key long, begin long, bytes binary"
@@ -169,12 +195,12 @@ def _pieces(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             groups: dict[tuple, list] = {}
-            for key, text, places, hashes, many in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places", "anchors", "many"))):
-                for p, a, m in zip(places, hashes, many):
-                    for shard, begin, data in _surroundings(text, p, a, m):
-                        groups.setdefault((shard, p - begin, data), []).append((key, begin))
+            for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "all"))):
+                for x in found:
+                    for shard, begin, data in _surroundings(text, x["place"], x["most"], x["least"], x["anchor"], x["many"]):
+                        groups.setdefault((shard, data), []).append((key, begin))
             out = []
-            for (shard, _, data), held in groups.items():
+            for (shard, data), held in groups.items():
                 held = sorted(set(held))
                 out.append((shard, *held[0], data))
                 if len(held) > 1:
@@ -187,8 +213,8 @@ def _pieces(texts: DataFrame) -> DataFrame:
 # -- suffix arrays ------------------------------------------------------------------------------------
 
 
-def suffix_order(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, the place of each). ``a`` ends in 8 spare bytes.
+def suffix_order(a: np.ndarray) -> np.ndarray:
+    """The suffixes in order. ``a`` ends in 8 spare bytes.
 
     Refinement by Larsson and Sadakane: within groups that agree on h bytes, the groups of the suffixes h bytes
     farther on decide, doubling h; groups of one are left alone.
@@ -216,29 +242,30 @@ def suffix_order(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         head[at] |= new
         rank[order[at]] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         h *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place
+    return order
 
 
-def common_prefixes(a: np.ndarray, order: np.ndarray, place: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Bytes in common, ``depth`` at most, of each suffix in order with the one before.
+def common_prefixes(a: np.ndarray, order: np.ndarray, begin: np.ndarray, walk: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Bytes in common, ``depth`` at most, of each of the sorted suffixes with the one before.
 
-    Kasai's recurrence: one byte farther on, at most one byte less is in common. Each piece (``begin``, ``size``)
-    is walked from its begin, all pieces at once.
+    Kasai's recurrence: if the suffixes one byte farther on are sorted here too, at most one byte less is in
+    common. ``order`` has the suffixes of the first ``walk`` places of each piece from ``begin`` on; pieces are
+    walked from there, all at once.
     """
-    n = len(order)
+    n = len(a) - 8
     spare = np.concatenate((a, np.zeros(depth + 8, np.uint8)))
-    eight, common = _eights(spare), np.zeros(n, np.int64)
+    eight, common = _eights(spare), np.zeros(len(order), np.int64)
+    place = np.full(n + 1, -1, np.int64)
+    place[order] = np.arange(len(order))
+    by_walk = np.argsort(-walk, kind="stable")
+    begin, walk = begin[by_walk], walk[by_walk]
     held = np.zeros(len(begin), np.int64)
-    by_size = np.argsort(-size, kind="stable")
-    begin, size = begin[by_size], size[by_size]
-    for step in range(int(size.max(initial=0))):
-        live = int(np.searchsorted(-size, -step, "left"))  # pieces longer than step
+    for step in range(int(walk.max(initial=0))):
+        live = int(np.searchsorted(-walk, -step, "left"))  # pieces that go on
         i = begin[:live] + step
         at = place[i]
         j = np.where(at > 0, order[at - 1], n)
-        got = np.where(at > 0, np.maximum(held[:live] - 1, 0), 0)
+        got = np.where(at > 0, held[:live], 0)
         more = np.flatnonzero((at > 0) & (got < depth))
         while len(more):  # eight bytes at a time
             more = more[eight[i[more] + got[more]] == eight[j[more] + got[more]]]
@@ -249,11 +276,9 @@ def common_prefixes(a: np.ndarray, order: np.ndarray, place: np.ndarray, begin:
             rest = rest[spare[i[rest] + got[rest]] == spare[j[rest] + got[rest]]]
             got[rest] += 1
             rest = rest[got[rest] < depth]
-        got = np.minimum(got, depth)
-        # A suffix ends with the buffer.
-        got = np.minimum(got, n - np.maximum(i, j))
+        got = np.minimum(np.minimum(got, depth), n - np.maximum(i, j))  # a suffix ends with the buffer
         common[at] = got
-        held[:live] = got
+        held[:live] = np.where(place[np.minimum(j + 1, n)] >= 0, np.maximum(got - 1, 0), 0)
     return common
 
 
@@ -293,8 +318,7 @@ class Shard:
         self.size = np.array([len(p[2]) for p in pieces], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.size)[:-1]))
         self.a = np.frombuffer(b"".join(p[2] for p in pieces) + bytes(8), np.uint8)
-        order, place = suffix_order(self.a)
-        common = common_prefixes(self.a, order, place, self.begin, self.size)
+        order = suffix_order(self.a)
         n = len(order)
         piece = np.repeat(np.arange(len(pieces)), self.size)
         offset = np.arange(n) - self.begin[piece]
@@ -302,9 +326,9 @@ class Shard:
         names = {key: i for i, key in enumerate(dict.fromkeys(p[0] for p in pieces))}
         text = np.array([names[p[0]] for p in pieces], np.int64)[piece]
         where = np.array([p[1] for p in pieces], np.int64)[piece] + offset
-        group = np.cumsum(common < LENGTH)
-        kept = whole[order]
-        self.starts, self.group = order[kept], group[kept]
+        self.starts = order[whole[order]]
+        common = common_prefixes(self.a, self.starts, self.begin, np.maximum(self.size - LENGTH + 1, 0))
+        self.group = np.cumsum(common < LENGTH)
         self.marked = np.zeros(n, bool)
         if len(self.starts):
             self.head = np.flatnonzero(np.concatenate(([True], self.group[1:] != self.group[:-1])))
@@ -417,14 +441,14 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None) -> tuple[DataFra
     read = _read(docs, buckets)
     read = written(read, "read")
     rows = read.filter("bucket is null").select("doc_id", "n_bytes", "key", "sha")
-    shared = _shared(read.filter("bucket is not null").select("bucket", "hashes", "keys", "places"))
-    lists = written(shared.groupBy("key").agg(F.collect_list(F.struct("place", "anchor", "many")).alias("all")), "shared")
+    shared = _shared(read.filter("bucket is not null").select("bucket", *_KINDS))
+    lists = written(shared.groupBy("key").agg(F.collect_list(F.struct("place", "most", "least", "anchor", "many")).alias("all")), "shared")
     # One document stands for each text.
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least")).withColumnRenamed("key", "of")
-    wanted = written(lists.join(least, lists.key == least.of).select("key", "least", F.col("all.place").alias("places"), F.col("all.anchor").alias("anchors"), F.col("all.many").alias("many")), "wanted")
+    wanted = written(lists.join(least, lists.key == least.of).select("key", "least", "all"), "wanted")
     digest = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16), 16, -10).cast("long")
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).filter(digest == F.col("key"))
-    texts = written(met.select("key", F.col("text").cast("binary").alias("text"), "places", "anchors", "many"), "texts")
+    texts = written(met.select("key", F.col("text").cast("binary").alias("text"), "all"), "texts")
     return rows, texts.select("key", "text"), written(_spans(written(_pieces(texts), "pieces")), "spans")
 
 
