@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import log
 
 from pyspark.sql import Column
@@ -16,9 +17,9 @@ def label_code(label: Column) -> Column:
     return F.try_element_at(codes, label)
 
 
-def label_name(code: Column) -> Column:
-    """Label of a class code, ``unknown`` for a code outside the map."""
-    names = F.create_map(*[F.lit(x) for pair in enumerate(LABELS) for x in pair])
+def label_name(code: Column, labels: Sequence[str] = LABELS) -> Column:
+    """Label of a class code, ``unknown`` for a code outside the map; a fitted model brings its own labels."""
+    names = F.create_map(*[F.lit(x) for pair in enumerate(labels) for x in pair])
     return F.coalesce(F.try_element_at(names, code.cast("int")), F.lit(UNKNOWN))
 
 

@@ -19,6 +19,7 @@ from ..operators.evaluate import confusion, quality, with_class_weights
 from ..operators.sampling import SEED, cross_validation_folds, stratified_split
 from ..schemas import FEATURES, RUN_SCHEMA, TARGET
 from ..session import checkpoint_root
+from .scoring import model_labels
 
 # Forest size and limits.
 TREES = 100
@@ -61,7 +62,7 @@ def classifier(trees: int = TREES, seed: int = SEED) -> Pipeline:
 
 
 def predicted_labels(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("predicted_label", label_name(F.col("prediction")))
+    return model.transform(rows).withColumn("predicted_label", label_name(F.col("prediction"), model_labels(model)))
 
 
 def prepare(samples: DataFrame, ids: Sequence[str] = ("cell_id", "window_end"), seed: int = SEED) -> DataFrame:
@@ -111,7 +112,7 @@ def train(
     model, accuracy = cross_validated(rows, trees, seed)
     figures = evaluate(model, rows.filter("is_test"))
     figures["cv_score_mean"] = accuracy
-    return TrainedModel(model, list(model.stages[0].labels), figures, rows.count())
+    return TrainedModel(model, model_labels(model), figures, rows.count())
 
 
 def save(spark: SparkSession, trained: TrainedModel, model_path: str, runs_path: str, run_name: str | None = None) -> None:
@@ -119,10 +120,10 @@ def save(spark: SparkSession, trained: TrainedModel, model_path: str, runs_path:
     trained.model.write().overwrite().save(model_path)
     started = trained.started_at
     record = (
-        run_name or f"network_health_{started:%Y%m%d_%H%M%S}",
+        run_name or f"cell-health {started.isoformat(timespec='seconds')}",
         started,
-        {"model_type": "RandomForestClassifier"},
-        {"features": ",".join(FEATURES), "n_samples": str(trained.n_samples), "class_balancing": "applied"},
+        {"estimator": "weighted forest"},
+        {"inputs": " ".join(FEATURES), "rows": str(trained.n_samples), "weights": "total / (classes * class size)"},
         trained.metrics,
         trained.labels,
         model_path,

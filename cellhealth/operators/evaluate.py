@@ -19,8 +19,10 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """Each row with the weight of its class; the weights are one row per class."""
-    return rows.join(F.broadcast(class_weights(rows, label)), label)
+    """Each row with the weight of its class; a row without a label is an error, not a row less."""
+    missing = F.raise_error(F.lit(f"a row has no {label}"))
+    labelled = rows.withColumn(label, F.when(F.col(label).isNotNull(), F.col(label)).otherwise(missing))
+    return labelled.join(class_weights(rows, label), label, "left")
 
 
 def _moments(metrics: Sequence[str]) -> list[Column]:

@@ -129,19 +129,16 @@ def recent_feed(predictions: DataFrame, n: int = FEED_ROWS) -> DataFrame:
     return newest_rows(rows, "timestamp", ["cell_id"], n)
 
 
-def newest_labels(predictions: DataFrame, among: int | None = None) -> DataFrame:
-    """Newest label of each cell, among the newest predictions only or among all."""
-    rows = predictions.select("cell_id", "timestamp", "label")
-    if among is not None:
-        rows = newest_rows(rows, "timestamp", ["cell_id"], among)
-    newest = latest_per_key(rows, "cell_id", "timestamp")
+def newest_labels(predictions: DataFrame) -> DataFrame:
+    """Newest label of each cell that has a prediction."""
+    newest = latest_per_key(predictions.select("cell_id", "timestamp", "label"), "cell_id", "timestamp")
     return newest.select("cell_id", F.coalesce("label", F.lit(UNKNOWN)).alias("label"))
 
 
-def cell_grid(cells: DataFrame, predictions: DataFrame, features: DataFrame, among: int | None = FEED_ROWS) -> DataFrame:
+def cell_grid(cells: DataFrame, predictions: DataFrame, features: DataFrame) -> DataFrame:
     """Every known cell with its newest label, ``unknown`` by default, and its newest state."""
     return (
-        cells.join(newest_labels(predictions, among), "cell_id", "left")
+        cells.join(newest_labels(predictions), "cell_id", "left")
         .join(cell_latest(features), "cell_id", "left")
         .select(
             "cell_id",
@@ -157,11 +154,23 @@ def _steps(low: Column, high: Column, seconds: int) -> Column:
     return F.sequence(low, high, F.expr(f"interval {seconds} seconds"))
 
 
-def silent_cells(windows: DataFrame, step: int = DAY) -> DataFrame:
-    """Cells and window ends between the table's first and last without a window row."""
-    ends = windows.agg(_steps(F.min("window_end"), F.max("window_end"), step)).scalar()
-    expected = windows.select("cell_id").distinct().withColumn("window_end", F.explode(ends))
-    return expected.join(windows, ["cell_id", "window_end"], "left_anti")
+def silent_cells(windows: DataFrame, step: int = DAY, piece: int = 512) -> DataFrame:
+    """Cells and window ends between the table's first and last without a window row.
+
+    Time is cut into pieces of ``piece`` windows. The ends a cell has in a piece, never more than that many,
+    are gathered and taken from the piece's ends, so only silent ones become rows.
+    """
+    second = F.unix_seconds("window_end")
+    first, last = (windows.agg(f(second)).scalar() for f in (F.min, F.max))
+    number = F.floor((second - first) / (step * piece))
+    seen = windows.groupBy("cell_id", number.alias("piece")).agg(F.collect_set(second).alias("seen"))
+    pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((last - first) / (step * piece))))
+    grid = windows.select("cell_id").distinct().withColumn("piece", pieces)
+    low = first + F.col("piece") * F.lit(step * piece)
+    ends = F.sequence(low, F.least(low + F.lit(step * (piece - 1)), last), F.lit(step).cast("bigint"))
+    silent = F.array_except(ends, F.coalesce("seen", F.array().cast("array<bigint>")))
+    found = grid.join(seen, ["cell_id", "piece"], "left").select("cell_id", F.explode(silent).alias("at"))
+    return found.select("cell_id", F.timestamp_seconds("at").alias("window_end"))
 
 
 def event_rate(events: DataFrame, bucket: int = 5) -> DataFrame:
@@ -185,8 +194,14 @@ def event_rate(events: DataFrame, bucket: int = 5) -> DataFrame:
         F.when(F.lag("day").over(in_order).isNull(), F.col("first")).otherwise(F.col("day")).alias("start"),
         F.coalesce(following - F.expr(f"interval {bucket} seconds"), "last").alias("end"),
     )
-    # A day's buckets run to the next day that has events, so silent days are filled as well.
-    grid = offsets.withColumn("bucket", F.explode(_steps(F.col("start"), F.col("end"), bucket)))
+    # A day's rows run to the next day that has events, so silent days are filled as well; they are made
+    # day by day, so an array holds one day's buckets however long the gap.
+    one_day = F.expr("interval 1 day")
+    ahead = F.explode(F.sequence(F.col("day"), F.date_trunc("day", "end"), one_day))
+    days = offsets.withColumn("at", ahead)
+    low = F.greatest("start", "at")
+    high = F.least("end", F.col("at") + one_day - F.expr(f"interval {bucket} seconds"))
+    grid = days.withColumn("bucket", F.explode(_steps(low, high, bucket)))
     within_day = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(counts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select(

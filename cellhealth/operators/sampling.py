@@ -64,7 +64,7 @@ def _digests_at_ranks(rows: DataFrame, label: str, ranks: Column) -> DataFrame:
     held = wanted.groupBy(label, "bucket").agg(F.collect_set("place").alias("places"))
     in_bucket = Window.partitionBy(label, "bucket").orderBy("digest")
     return (
-        slim.join(F.broadcast(held), [label, "bucket"])
+        slim.join(held, [label, "bucket"])
         .withColumn("place", F.row_number().over(in_bucket))
         .filter(F.array_contains("places", F.col("place").cast("bigint")))
         .groupBy(label)
@@ -76,7 +76,7 @@ def _with_cuts(rows: DataFrame, label: str, ids: Sequence[str], ranks: Column, s
     digested = rows.withColumn("digest", row_digest(ids, seed))
     cuts = _digests_at_ranks(digested, label, ranks)
     # One row per class: the rows themselves are not shuffled to be split.
-    return digested.join(F.broadcast(cuts), label, "left")
+    return digested.join(cuts, label, "left")
 
 
 def stratified_split(

@@ -17,10 +17,6 @@ from .quantiles import p95_aggregate, with_p95_mark
 WINDOW_SECONDS = 10
 ROLLING_SECONDS = 300
 
-#: From this width on, a single (window, cell) group may be large: p95 comes from value counts
-#: spread over the cluster. Below it, p95 joins the one aggregation every row goes through anyway.
-WIDE_SECONDS = 3600
-
 _GROUP = ("window", "cell_id")
 
 
@@ -158,20 +154,19 @@ def flat_windows(
     slide: int | None = None,
     stats: Sequence[str] = STATS,
     metrics: Sequence[str] = FEATURES,
-    p95: str = "auto",
+    p95: str = "counts",
 ) -> DataFrame:
     """Window rows with flat ``<metric>_<stat>`` columns, from a static or a streaming DataFrame.
 
     ``size`` and ``slide`` are seconds; windows are aligned to the epoch. Events are aggregated
     before the shuffle, sliding windows are merged from panes of one slide. ``p95`` is
-    ``"aggregate"`` (one aggregation), ``"counts"`` (value counts, for large groups) or ``"auto"``.
+    ``"counts"`` (value counts, for groups of any size) or, at the caller's wish, ``"aggregate"`` (in the one
+    aggregation, whose buffer holds a count per distinct value).
     A stream needs its watermark set by the caller and always uses ``"aggregate"``.
     """
     slide = slide or size
     if size % slide:
         raise ValueError("the slide must divide the window size")
-    if p95 == "auto":
-        p95 = "counts" if slide != size or size >= WIDE_SECONDS else "aggregate"
     if events.isStreaming:
         p95 = "aggregate"
     elif slide != size and "p95" in stats and p95 == "aggregate":
@@ -220,7 +215,7 @@ def to_documents(flat: DataFrame, size: int = WINDOW_SECONDS, metrics: Sequence[
 
 
 def cell_windows(
-    events: DataFrame, size: int = WINDOW_SECONDS, slide: int | None = None, p95: str = "auto"
+    events: DataFrame, size: int = WINDOW_SECONDS, slide: int | None = None, p95: str = "counts"
 ) -> DataFrame:
     """The window table: one stored row per cell and window that saw an event."""
     return to_documents(flat_windows(events, size, slide, p95=p95), size)

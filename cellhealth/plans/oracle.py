@@ -20,7 +20,7 @@ numbered as (
   select event_id, ts, value as v, user_id % 50 as c, cast(regexp_extract(props, '[0-9]+', 0) as int) as k
   from events),
 kinds as (
-  select *, least(v, 2e2) as f,
+  select *, v as f,
     case when c < 3 then 'anomaly'
          when c < 9 then case when k % 10 < 6 then 'anomaly' else 'normal' end
          when c < 24 then 'excellent'
@@ -158,7 +158,7 @@ def _fits() -> str:
     return " and ".join(f"{m} between lo{i} and hi{i}" for i, m in enumerate(METRICS))
 
 
-_CUT_SHORT = "(event_id % 50 = 0 or event_id % 53 = 0 or event_id % 59 = 0)"
+_CUT_SHORT = "(event_id % 50 = 0 or event_id % 53 = 0 or event_id % 59 = 0 or event_id % 61 = 0 or event_id % 67 = 0)"
 
 _QUALITY = """,
 pairs as (
@@ -218,7 +218,9 @@ def oracle_sql() -> dict[str, str]:
             f"select event_id, ts, case when event_id % 41 = 0 then 'unknown' else cell_id end as cell_id, region, {_each('{m}')} from telemetry where not {_CUT_SHORT}"
         ),
         "rejected_messages": _events(f"select event_id from telemetry where {_CUT_SHORT}"),
-        "keyed_messages": _events("select cell_id as key, cell_id, imsi, region from telemetry"),
+        "keyed_messages": _events(
+            f"select cell_id as key, epoch_us(ts)/1e6 as timestamp, cell_id, imsi, region, {_each('{m}')} from telemetry"
+        ),
         "anomaly_events": _events(f"select event_id, cell_id, ts, {_each('{m}')} from telemetry where {ANOMALY}"),
         "rounded_events": _events(
             "select event_id, "
@@ -276,11 +278,11 @@ from (select *, case event_id % 3 when 0 then null when 1 then '' else region en
         "feature_rows": _windows(f"select {features} from windowed"),
         "latest_features": _windows(f"select {features} from windowed {newest}"),
         "online_upsert": _windows(
-            f"select {features} from windowed where window_end <= timestamp '2024-01-20 00:00:00' or region in ('AFRICA', 'ASIA', 'EUROPE') {newest}"
+            f"select {features} from windowed {newest}"
         ),
         "feature_lookup": _windows(
             f"""select a.cell_id, {_each('avg_{m}')}, event_count, anomaly_event_count
-from (values ('CELL_0001'), ('CELL_0010'), ('CELL_0020'), ('CELL_0030'), ('CELL_0040'), ('CELL_9999')) as a(cell_id)
+from (select distinct cell_id from windowed where cast(substr(cell_id, 6) as int) % 7 = 3 union all select 'CELL_9999') as a
 left join (select * from windowed {newest}) w on w.cell_id = a.cell_id"""
         ),
         "feature_store_status": _windows(
@@ -349,10 +351,6 @@ from (select region, count(*) as n, count(*) filter (where label = 'excellent')
             f"select cell_id, window_end as last_seen, region, avg_signal_strength_dbm as signal_avg, avg_latency_ms as latency_avg, avg_throughput_mbps as throughput_avg from windowed {newest} order by cell_id"
         ),
         "recent_feed": _predicted("select cell_id, region, label, timestamp from predictions order by timestamp desc, cell_id limit 20"),
-        "cell_label_recent": _predicted(
-            """select cell_id, label from (select * from predictions order by timestamp desc, cell_id limit 20)
-qualify row_number() over (partition by cell_id order by timestamp desc) = 1"""
-        ),
         "cell_label_newest": _predicted(
             "select cell_id, label from predictions qualify row_number() over (partition by cell_id order by timestamp desc) = 1"
         ),
@@ -360,7 +358,7 @@ qualify row_number() over (partition by cell_id order by timestamp desc) = 1"""
             f"""select c.cell_id, coalesce(p.label, 'unknown') as label, w.region,
   floor(avg_signal_strength_dbm*1e1+5e-1)/1e1 as signal_avg, floor(avg_latency_ms*1e1+5e-1)/1e1 as latency_avg
 from (select distinct cell_id from telemetry union all select 'CELL_9999') c
-left join (select * from (select * from predictions order by timestamp desc, cell_id limit 20)
+left join (select * from predictions
   qualify row_number() over (partition by cell_id order by timestamp desc) = 1) p on p.cell_id = c.cell_id
 left join (select * from windowed {newest}) w on w.cell_id = c.cell_id"""
         ),

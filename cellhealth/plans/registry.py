@@ -11,7 +11,7 @@ from ..functions.labels import anomaly_share_rule, label_code, label_name
 from ..functions.telemetry import cell_name, iso_utc
 from ..model import scoring, training
 from ..operators import evaluate, events, features, latest, monitor, quantiles, sampling, windows
-from ..schemas import FEATURES, TARGET
+from ..schemas import FEATURES, TARGET, WIRE_SCHEMA
 from ..sources.telemetry import accepted, decode, keyed_json, rejected, wire_json
 from . import tables
 
@@ -38,7 +38,8 @@ def queries() -> dict[str, Query]:
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry as JSON messages: every 50th is cut short, every 53rd is a list, every 59th has a
-    text for its latency, and every 41st lacks its cell."""
+    text for its latency, every 61st one no window could hold, every 67th a time far ahead, and every 41st
+    lacks its cell."""
     sent = tables.telemetry(spark, sf_dir)
     known = F.when(F.col("event_id") % 41 != 0, F.col("cell_id"))
     text = wire_json(sent)
@@ -46,6 +47,8 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 50 == 0, F.expr("left(value, length(value) - 9)"))
         .when(F.col("event_id") % 53 == 0, F.concat(F.lit("["), "value", F.lit("]")))
         .when(F.col("event_id") % 59 == 0, F.regexp_replace("value", '"latency_ms":[0-9.]+', '"latency_ms":"slow"'))
+        .when(F.col("event_id") % 61 == 0, F.regexp_replace("value", '"latency_ms":[0-9.]+', '"latency_ms":1e30'))
+        .when(F.col("event_id") % 67 == 0, F.regexp_replace("value", '"timestamp":[0-9.E]+', '"timestamp":1e18'))
         .otherwise(F.col("value"))
     )
     return sent.withColumn("cell_id", known).withColumn("value", text).select("event_id", value.alias("value"))
@@ -67,7 +70,7 @@ def rejected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyed sink's messages, their JSON opened again field by field."""
     sent = keyed_json(tables.telemetry(spark, sf_dir))
-    opened = F.json_tuple("value", "cell_id", "imsi", "region").alias("cell_id", "imsi", "region")
+    opened = F.inline(F.array(F.from_json("value", WIRE_SCHEMA)))
     return sent.select(F.col("key").cast("string").alias("key"), opened)
 
 
@@ -132,7 +135,7 @@ def window_stats_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def window_stats_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-minute windows, where p95 is taken in the same aggregation."""
+    """Ten-minute windows."""
     return _stats(windows.flat_windows(tables.telemetry(spark, sf_dir), 600))
 
 
@@ -178,7 +181,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored window rows flattened to feature rows."""
-    stored = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY, p95="aggregate")
+    stored = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY)
     return features.feature_rows(stored)
 
 
@@ -189,18 +192,21 @@ def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest rows up to the 20th merged with all rows of three regions."""
-    rows = _features(spark, sf_dir)
-    stored = features.latest_features(rows.filter("window_end <= timestamp '2024-01-20 00:00:00'"))
-    fresh = rows.filter(F.col("region").isin("AFRICA", "ASIA", "EUROPE"))
+    """The newest rows of the table's first half in time merged with all rows of the second, two days in both."""
+    rows, newest = _windows(spark, sf_dir)
+    middle = F.timestamp_micros(((F.unix_micros(rows.agg(F.min("window_end")).scalar()) + F.unix_micros(newest)) / 2).cast("bigint"))
+    stored = features.latest_features(rows.filter(F.col("window_end") <= middle + F.expr("interval 1 day")))
+    fresh = rows.filter(F.col("window_end") > middle - F.expr("interval 1 day"))
     return latest.upsert_latest(stored, fresh, "cell_id", "window_end")
 
 
 @query
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features for five known cells and one unknown, as the reply to a request."""
-    asked = spark.createDataFrame([(c,) for c in ("CELL_0001", "CELL_0010", "CELL_0020", "CELL_0030", "CELL_0040", "CELL_9999")], "cell_id string")
-    online = features.latest_features(_features(spark, sf_dir))
+    """Features for the cells whose number leaves 3 when divided by 7 and for one unknown, as the reply to a request."""
+    rows = _windows(spark, sf_dir)[0]
+    known = rows.select("cell_id").distinct().filter(F.substring("cell_id", 6, 9).cast("int") % 7 == 3)
+    asked = known.unionByName(spark.range(1).select(cell_name(F.col("id") + 9999).alias("cell_id")))
+    online = features.latest_features(rows)
     wanted = [f"avg_{m}" for m in FEATURES] + ["event_count", "anomaly_event_count"]
     return features.lookup(online, asked, columns=wanted)
 
@@ -368,11 +374,6 @@ def recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.recent_feed(tables.predictions(spark, sf_dir), 20)
 
 
-@query
-def cell_label_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.newest_labels(tables.predictions(spark, sf_dir), among=20)
-
-
 @query
 def cell_label_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.newest_labels(tables.predictions(spark, sf_dir))
@@ -517,5 +518,5 @@ def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored window scored by a fitted forest, in the stored shape of a prediction."""
     samples = tables.stored(_samples(spark, sf_dir))
     model = training.fit(training.prepare(samples))
-    documents = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY, p95="aggregate")
+    documents = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY)
     return scoring.score(model, documents).drop("timestamp")

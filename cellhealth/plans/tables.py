@@ -60,7 +60,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int").alias("k"),
         )
         .withColumn("kind", kind)
-        .withColumn("f", F.least(v, F.lit(200.0)))
+        .withColumn("f", v)
     )
     region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
     f = F.col("f")

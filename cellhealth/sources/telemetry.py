@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.telemetry import from_epoch, to_epoch
 from ..schemas import FEATURES, UNKNOWN, WIRE_SCHEMA
@@ -11,8 +15,13 @@ from ..schemas import FEATURES, UNKNOWN, WIRE_SCHEMA
 TOPIC = "raw-telemetry"
 GROUP = "cell-windows"
 
+#: A metric beyond this is no measurement. A window's sum in thousandths then overflows beyond 9e9 events only.
+METRIC_LIMIT = 1e6
+#: Seconds an event's time may lie ahead of its arrival, or of now.
+AHEAD = 86_400
+
 _CORRUPT = "_corrupt"
-_DECODED = WIRE_SCHEMA.add(_CORRUPT, "string")
+_DECODED = T.StructType([*WIRE_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
 
 
 def message_stream(
@@ -51,8 +60,9 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 def decode(messages: DataFrame) -> DataFrame:
     """One row per message with its fields, and ``malformed`` where it cannot be an event.
 
-    Malformed is: not JSON, not an object, a field of the wrong type, or no event time and no
-    arrival time. A missing region is ``unknown``, an explicit null stays null until a window
+    Malformed is: not JSON, not an object, a field of the wrong type, no event time and no arrival time, a time
+    before the epoch or more than ``AHEAD`` after the arrival, or a metric that is not finite or beyond
+    ``METRIC_LIMIT``: one such message would stop the windows or the watermark of all others. A missing region is ``unknown``, an explicit null stays null until a window
     looks for its first region. Messages may bring an ``event_id``; else it is a hash of the text.
     """
     event_id = F.col("event_id") if "event_id" in messages.columns else F.xxhash64("value")
@@ -60,11 +70,15 @@ def decode(messages: DataFrame) -> DataFrame:
     parsed = F.struct(fields.alias("e"), F.json_object_keys("value").alias("present"))
     # Filters do not move below a generator, so each message is parsed once, not once per filter.
     staged = messages.select("*", F.inline(F.array(parsed)))
-    ts = from_epoch(F.col("e.timestamp"))
+    seconds = F.col("e.timestamp")
+    ts, arrived = from_epoch(F.when(seconds.between(0.0, 1e11), seconds)), F.current_timestamp()
     if "arrived_at" in messages.columns:
-        ts = F.coalesce(ts, "arrived_at")
+        ts = F.coalesce(ts, F.when(seconds.isNull(), F.col("arrived_at")))
+        arrived = F.coalesce("arrived_at", arrived)
+    ahead = F.coalesce(ts > arrived + F.expr(f"interval {AHEAD} seconds"), F.lit(False))
+    beyond = reduce(or_, [F.coalesce(~(F.abs(F.col(f"e.{m}")) <= METRIC_LIMIT), F.lit(False)) for m in FEATURES])
     region = F.when(~F.array_contains("present", "region"), F.lit(UNKNOWN)).otherwise(F.col("e.region"))
-    broken = F.col("present").isNull() | F.col(f"e.{_CORRUPT}").isNotNull() | ts.isNull()
+    broken = F.col("present").isNull() | F.col(f"e.{_CORRUPT}").isNotNull() | ts.isNull() | ahead | beyond
     return staged.select(
         "value",
         F.coalesce(broken, F.lit(True)).alias("malformed"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..model.scoring import score
 from ..operators.features import feature_rows, latest_features
@@ -126,10 +126,36 @@ def send_lines(events: DataFrame, path: str, checkpoint: str, every: str | None
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Aggregated rows the watermark has dropped so far, as the query's progress reports them."""
-    return sum(
-        int(state["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the aggregated rows the watermark drops, per query, over all batches of its run.
+
+    Add it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: dict[str, int] = {}
+        self._seen: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        run = str(progress.runId)
+        late = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        self._dropped[run] = self._dropped.get(run, 0) + late
+        self._seen[run] = progress.batchId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def count(self, query: StreamingQuery) -> int:
+        """Rows dropped in the query's present run, as far as its progress has been reported."""
+        return self._dropped.get(str(query.runId), 0)
+
+    def last_batch(self, query: StreamingQuery) -> int:
+        """The last batch that has been counted, -1 for none."""
+        return self._seen.get(str(query.runId), -1)

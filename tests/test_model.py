@@ -74,3 +74,17 @@ def test_scoring_gives_the_stored_shape(trained, telemetry):
 def test_rows_that_miss_a_feature_are_not_scored(trained, telemetry):
     rows = telemetry([event(0), event(1, jitter_ms=None)])
     assert [r["event_id"] for r in scoring.model_inputs(rows).collect()] == [0]
+
+
+def test_labels_are_the_models_own(spark, samples, tmp_path):
+    """Fitted without one class, the codes shift; names and stored predictions must not."""
+    two = samples.filter(f"{TARGET} != 'excellent'")
+    fitted = training.train(two, ids=["id"], trees=10)
+    assert fitted.labels == ["good", "poor"] and fitted.metrics["accuracy"] > 0.9
+    training.save(spark, fitted, f"{tmp_path}/model", f"{tmp_path}/runs")
+    for model in (fitted.model, training.load(f"{tmp_path}/model")):
+        found = training.predicted_labels(model, two).groupBy("predicted_label").count().collect()
+        assert {r["predicted_label"] for r in found} == {"good", "poor"}
+        rows = spark.createDataFrame([(*v, w) for v, w in GOLDEN_VECTORS[1:]], [*FEATURES, "wanted"])
+        stored = rows.selectExpr("*", "'A' as cell_id", "'N' as region", "timestamp '2024-01-01' as window_end", "1L as event_count", "0L as anomaly_event_count")
+        assert {r["prediction"]["label"] for r in scoring.score(model, stored).collect()} == {"good", "poor"}

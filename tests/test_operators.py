@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from cellhealth.functions import labels, numeric, telemetry as fn
 from cellhealth.operators import evaluate, events, features, latest, monitor, sampling
-from cellhealth.operators.windows import cell_windows, metric_value
+from cellhealth.operators.windows import cell_windows, flat_windows, metric_value
 from cellhealth.schemas import (
     ARCHETYPES,
     CELL_FEATURES,
@@ -355,10 +356,51 @@ def test_grid_shows_every_cell(spark):
     rows = predicted(spark, [("A", "N", 0, "good"), ("A", "N", 5, "poor"), ("B", "N", 1, "good")])
     cells = spark.createDataFrame([("A",), ("B",), ("C",)], "cell_id string")
     table = spark.createDataFrame([feature("A", 0, 12.34)], FEATURE_SCHEMA)
-    found = {r["cell_id"]: (r["label"], r["latency_avg"]) for r in monitor.cell_grid(cells, rows, table, among=2).collect()}
+    found = {r["cell_id"]: (r["label"], r["latency_avg"]) for r in monitor.cell_grid(cells, rows, table).collect()}
     assert found == {"A": ("poor", 12.3), "B": ("good", None), "C": ("unknown", None)}
-    narrow = {r["cell_id"]: r["label"] for r in monitor.cell_grid(cells, rows, table, among=1).collect()}
-    assert narrow == {"A": "poor", "B": "unknown", "C": "unknown"}
+    many = predicted(spark, [(f"C{i}", "N", i, "good") for i in range(60)])
+    cells = spark.createDataFrame([(f"C{i}",) for i in range(61)], "cell_id string")
+    assert sum(r["label"] == "good" for r in monitor.cell_grid(cells, many, table).collect()) == 60
+
+
+def test_silent_cells_in_pieces(spark):
+    ends = {"A": (0, 1, 5, 40), "B": (3,), "C": tuple(range(41))}
+    rows = spark.createDataFrame([(c, at(60 * i)) for c, found in ends.items() for i in found], "cell_id string, window_end timestamp")
+    expected = {(c, at(60 * i).replace(tzinfo=None)) for c, found in ends.items() for i in range(41) if i not in found}
+    for piece in (1, 7, 512):
+        assert {(r["cell_id"], r["window_end"].replace(tzinfo=None)) for r in monitor.silent_cells(rows, 60, piece).collect()} == expected
+
+
+def test_event_rate_over_a_gap_of_years(telemetry):
+    rows = telemetry([event(0, 0), event(1, 24 * 365 * 86_400)])
+    rate = monitor.event_rate(rows, 3600)
+    assert rate.count() == 24 * 365 * 24 + 1
+    assert rate.filter("events_per_second > 0").count() == 2
+
+
+def test_rows_without_label_are_an_error(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "label string, n int")
+    assert evaluate.with_class_weights(rows.filter("label is not null"), "label").count() == 2
+    with pytest.raises(Exception, match="a row has no label"):
+        evaluate.with_class_weights(rows, "label").collect()
+
+
+def test_unusable_numbers_and_times_are_set_aside(spark):
+    def message(number, **fields):
+        body = {"timestamp": 1_709_251_200.0, "cell_id": "A", "latency_ms": 20.0} | fields
+        return number, json.dumps(body).replace('"1e999"', "1e999")
+
+    sent = [
+        message(0), message(1, latency_ms=1e30), message(2, jitter_ms="1e999"), message(3, timestamp=1e18), message(4, timestamp=-5.0),
+        message(5, latency_ms=-1e7), message(6, timestamp=time.time() + 3 * 86_400), message(7, latency_ms=None), message(8, latency_ms=999_999.0),
+    ]
+    decoded = decode(spark.createDataFrame(sent, "event_id long, value string"))
+    good = accepted(decoded)
+    assert {r["event_id"] for r in good.collect()} == {0, 7, 8}
+    assert {r["event_id"] for r in rejected(decoded).collect()} == {1, 2, 3, 4, 5, 6}
+    assert flat_windows(good, 10).count() == 1
+    late = spark.createDataFrame([(1, '{"timestamp": 1709251200.0}', at(0)), (2, '{"timestamp": 1709251200.0}', at(-3 * 86_400)), (3, "{}", at(0))], "event_id long, value string, arrived_at timestamp")
+    assert {r["event_id"] for r in accepted(decode(late)).collect()} == {1, 3}
 
 
 def test_event_rate_fills_silent_buckets(telemetry):

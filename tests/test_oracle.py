@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from cellhealth.plans import oracle, registry
 from conftest import MEDIUM, SMALL
 from oracle_check import connect, difference
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registry.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,10 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry_is_the_flagship(spark):
     assert entry.entry(spark).count() == 397
 

@@ -7,13 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from cellhealth.operators import features, monitor, sampling
-from cellhealth.plans import tables
+from cellhealth.plans import registry, tables
 from cellhealth.schemas import FEATURE_SCHEMA, FEATURES
 from conftest import SMALL, at
 
-QUERIES = entry.queries()
+QUERIES = registry.queries()
 FITTED = {"forest_confusion", "forest_predictions"}
 
 
@@ -57,6 +56,15 @@ def test_flagship_reads_events_once(spark):
     assert len(re.findall(r"FileScan parquet .*events\.parquet", physical(QUERIES["window_stats"](spark, SMALL)))) == 1
 
 
+@pytest.mark.parametrize("name", ["window_stats", "window_stats_narrow", "window_stats_wide", "sliding_stats", "feature_rows"])
+def test_events_are_hashed_not_sorted(spark, name):
+    """Nothing sorts by key before the events have been aggregated once."""
+    plan = physical(QUERIES[name](spark, SMALL)).splitlines()
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "events.parquet" in line)
+    above = [line for line in plan[:scan] if "Aggregate" in line]
+    assert "HashAggregate" in above[-1] and "ObjectHashAggregate" not in above[-1] and "SortAggregate" not in above[-1]
+
+
 def test_feed_is_a_top_n(spark):
     assert "TakeOrderedAndProject" in physical(QUERIES["recent_feed"](spark, SMALL))
 

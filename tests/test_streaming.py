@@ -59,13 +59,26 @@ def same(left, right):
     assert right.exceptAll(left).count() == 0
 
 
+def counted(spark, rows, path):
+    """Late rows of a stream run to its end, and the query."""
+    listener = queries.LateRows()
+    spark.streams.addListener(listener)
+    query = queries.append_to_table(rows, f"{path}/out", f"{path}/checkpoint")
+    query.awaitTermination()
+    for _ in range(100):  # progress is reported a moment later
+        if listener.last_batch(query) == query.lastProgress["batchId"]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    return listener.count(query), query
+
+
 def test_ordered_replay_equals_batch(spark, events, tmp_path):
     rows, parts = events
     replay(spark, parts, f"{tmp_path}/in")
     out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True)
-    query = queries.append_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
-    query.awaitTermination()
-    assert queries.late_rows(query) == 0
+    late, query = counted(spark, out, tmp_path)
+    assert late == 0 and query.exception() is None
     same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
 
 
@@ -81,9 +94,19 @@ def test_late_events_are_dropped_and_counted(spark, events, tmp_path):
     _, parts = events
     replay(spark, parts[::-1], f"{tmp_path}/in")
     out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True)
-    query = queries.append_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
-    query.awaitTermination()
-    assert queries.late_rows(query) > 0
+    assert counted(spark, out, tmp_path)[0] > 0
+
+
+def test_late_rows_are_counted_beyond_the_kept_progress(spark, events, tmp_path):
+    _, parts = events
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(kept, "2")
+    replay(spark, parts[::-1], f"{tmp_path}/in")
+    out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True)
+    late, query = counted(spark, out, tmp_path)
+    spark.conf.unset(kept)
+    left = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    assert late > 0 and late >= left
 
 
 def test_restart_from_checkpoint_doubles_nothing(spark, events, tmp_path):
