@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 def latest_per_key(df: DataFrame, key: str, newest_by: str) -> DataFrame:
     """The whole newest row of each key.
 
-    A maximum over (time, remaining columns): combined before the shuffle, so a key's rows never
-    meet in one task, and a tie in time has one defined winner.
+    The newest time per key is a hash aggregate, combined before the shuffle; the rows of that time are
+    joined back, and a maximum over their remaining columns makes one defined winner of a tie. Only those few
+    rows are sorted. Reads ``df`` twice, so it should be a stored table where its making is costly.
     """
     rest = [c for c in df.columns if c not in (key, newest_by)]
+    times = df.groupBy(F.col(key).alias("__key")).agg(F.max(newest_by).alias("__newest"))
+    last = df.join(times, F.col(key).eqNullSafe(F.col("__key")) & F.col(newest_by).eqNullSafe(F.col("__newest")), "left_semi")
     newest = F.max(F.struct(newest_by, *rest)).alias("newest")
-    return df.groupBy(key).agg(newest).select(key, *[F.col(f"newest.{c}").alias(c) for c in (newest_by, *rest)])
+    return last.groupBy(key).agg(newest).select(key, *[F.col(f"newest.{c}").alias(c) for c in (newest_by, *rest)])
 
 
 def upsert_latest(stored: DataFrame, fresh: DataFrame, key: str, newest_by: str) -> DataFrame:

@@ -28,7 +28,15 @@ def newest_time(df: DataFrame, column: str) -> Column:
 
 
 def since(df: DataFrame, column: str, anchor: Column, span: int) -> DataFrame:
-    return df.filter(F.col(column) >= anchor - F.expr(f"interval {span} seconds"))
+    """Rows from ``span`` before the anchor on.
+
+    A stored table's ``day`` is the date its rows' windows end, never before any of their times, so it
+    tells which days need not be read.
+    """
+    low = anchor - F.expr(f"interval {span} seconds")
+    if "day" in df.columns:
+        df = df.filter(F.col("day") >= F.to_date(low))
+    return df.filter(F.col(column) >= low)
 
 
 # -- labels -------------------------------------------------------------------------------------
@@ -259,6 +267,8 @@ def filtered(
     if cell_id is not None:
         rows = rows.filter(F.col("cell_id") == cell_id)
     if window_end is not None:
+        if "day" in rows.columns:
+            rows = rows.filter(F.col("day").between(*[F.to_date(F.lit(t)) for t in window_end]))
         return rows.filter(F.col("window_end").between(*window_end))
     return since(rows, "window_end", F.current_timestamp() if anchor is None else anchor, span)
 

@@ -178,6 +178,11 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.windowed(spark, sf_dir).drop("last_ts")
 
 
+def _window_rows(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Feature rows of the stored window table."""
+    return tables.window_table(spark, sf_dir).drop(*[c for c in ("last_ts", "encoded", "label", "day") if c not in keep])
+
+
 @query
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored window rows flattened to feature rows."""
@@ -187,13 +192,14 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.latest_features(_features(spark, sf_dir))
+    return features.latest_features(_window_rows(spark, sf_dir))
 
 
 @query
 def online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest rows of the table's first half in time merged with all rows of the second, two days in both."""
-    rows, newest = _windows(spark, sf_dir)
+    rows = _window_rows(spark, sf_dir)
+    newest = monitor.newest_time(rows, "window_end")
     middle = F.timestamp_micros(((F.unix_micros(rows.agg(F.min("window_end")).scalar()) + F.unix_micros(newest)) / 2).cast("bigint"))
     stored = features.latest_features(rows.filter(F.col("window_end") <= middle + F.expr("interval 1 day")))
     fresh = rows.filter(F.col("window_end") > middle - F.expr("interval 1 day"))
@@ -203,7 +209,7 @@ def online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features for the cells whose number leaves 3 when divided by 7 and for one unknown, as the reply to a request."""
-    rows = _windows(spark, sf_dir)[0]
+    rows = _window_rows(spark, sf_dir)
     known = rows.select("cell_id").distinct().filter(F.substring("cell_id", 6, 9).cast("int") % 7 == 3)
     asked = known.unionByName(spark.range(1).select(cell_name(F.col("id") + 9999).alias("cell_id")))
     online = features.latest_features(rows)
@@ -213,13 +219,13 @@ def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_store_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.store_status(features.latest_features(_features(spark, sf_dir)))
+    return features.store_status(features.latest_features(_window_rows(spark, sf_dir)))
 
 
 @query
 def feature_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age of each window's last event when the newest event of all came in."""
-    rows = tables.stored(tables.windowed(spark, sf_dir))
+    rows = tables.window_table(spark, sf_dir)
     last = latest.latest_per_key(rows.select("cell_id", F.col("last_ts").alias("window_end")), "cell_id", "window_end")
     return features.feature_age(last, monitor.newest_time(rows, "last_ts"))
 
@@ -295,22 +301,25 @@ def window_with_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- monitoring ---------------------------------------------------------------------------------
 
 
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.as_predictions(tables.window_table(spark, sf_dir))
+
+
 def _predicted(spark: SparkSession, sf_dir: str):
-    """Predictions and their anchor: a stored table, read once for each of the two."""
-    rows = tables.stored(tables.predictions(spark, sf_dir))
+    """Predictions and their anchor, from the stored table."""
+    rows = _predictions(spark, sf_dir)
     return rows, monitor.newest_time(rows, "timestamp")
 
 
 def _windows(spark: SparkSession, sf_dir: str):
-    """Feature rows and their anchor."""
-    rows = tables.stored(_features(spark, sf_dir))
+    """Feature rows, with the day they are stored under, and their anchor."""
+    rows = _window_rows(spark, sf_dir, "day")
     return rows, monitor.newest_time(rows, "window_end")
 
 
 def _stored_tables(spark: SparkSession, sf_dir: str):
-    """The window table and the predictions on it, for replies that read them again and again."""
-    labelled = tables.stored(tables.with_labels(tables.windowed(spark, sf_dir)))
-    return labelled.drop("last_ts", "encoded", "label"), tables.as_predictions(labelled)
+    """The window table and the predictions on it."""
+    return _window_rows(spark, sf_dir, "day"), _predictions(spark, sf_dir)
 
 
 @query
@@ -346,7 +355,7 @@ def region_health_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.class_distribution(tables.predictions(spark, sf_dir))
+    return monitor.class_distribution(_predictions(spark, sf_dir))
 
 
 @query
@@ -366,17 +375,17 @@ def feed_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cell_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.cell_latest(_features(spark, sf_dir))
+    return monitor.cell_latest(_window_rows(spark, sf_dir))
 
 
 @query
 def recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.recent_feed(tables.predictions(spark, sf_dir), 20)
+    return monitor.recent_feed(_predictions(spark, sf_dir), 20)
 
 
 @query
 def cell_label_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.newest_labels(tables.predictions(spark, sf_dir))
+    return monitor.newest_labels(_predictions(spark, sf_dir))
 
 
 @query
@@ -390,7 +399,7 @@ def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def silent_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.silent_cells(tables.stored(_features(spark, sf_dir)))
+    return monitor.silent_cells(_window_rows(spark, sf_dir))
 
 
 @query
@@ -402,23 +411,23 @@ def event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, anchor = _windows(spark, sf_dir)
-    return monitor.filtered(rows, region="ASIA", anchor=anchor, span=10 * DAY)
+    return monitor.filtered(rows, region="ASIA", anchor=anchor, span=10 * DAY).drop("day")
 
 
 @query
 def filtered_cell_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     between = (F.lit("2024-01-08").cast("timestamp"), F.lit("2024-01-12").cast("timestamp"))
-    return monitor.filtered(_features(spark, sf_dir), cell_id="CELL_0017", window_end=between)
+    return monitor.filtered(_window_rows(spark, sf_dir, "day"), cell_id="CELL_0017", window_end=between).drop("day")
 
 
 @query
 def chart_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.chart_label_count(tables.predictions(spark, sf_dir))
+    return monitor.chart_label_count(_predictions(spark, sf_dir))
 
 
 @query
 def chart_poor_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.chart_poor_by_region(tables.predictions(spark, sf_dir), 5 * DAY)
+    return monitor.chart_poor_by_region(_predictions(spark, sf_dir), 5 * DAY)
 
 
 @query
@@ -428,18 +437,18 @@ def chart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chart_signal_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.chart_signal_latency(_features(spark, sf_dir))
+    return monitor.chart_signal_latency(_window_rows(spark, sf_dir))
 
 
 @query
 def chart_region_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.stored(tables.predictions(spark, sf_dir))
+    rows = _predictions(spark, sf_dir)
     return monitor.chart_region_label(rows, monitor.newest_time(rows, "window_end"), 20 * DAY)
 
 
 @query
 def chart_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.chart_volume(tables.predictions(spark, sf_dir), 5 * DAY)
+    return monitor.chart_volume(_predictions(spark, sf_dir), 5 * DAY)
 
 
 @query
@@ -455,7 +464,7 @@ def dashboard_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window rows labelled by profile: what the classifier learns from."""
-    labelled = tables.with_labels(tables.windowed(spark, sf_dir))
+    labelled = tables.window_table(spark, sf_dir)
     return labelled.select(
         "window_end",
         "cell_id",
@@ -468,13 +477,13 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.stratified_split(tables.stored(_samples(spark, sf_dir)), TARGET, ["cell_id", "window_end"])
+    rows = sampling.stratified_split(_samples(spark, sf_dir), TARGET, ["cell_id", "window_end"])
     return rows.select("cell_id", "window_end", TARGET, "is_test")
 
 
 @query
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.cross_validation_folds(tables.stored(_samples(spark, sf_dir)), TARGET, ["cell_id", "window_end"])
+    rows = sampling.cross_validation_folds(_samples(spark, sf_dir), TARGET, ["cell_id", "window_end"])
     return rows.select("cell_id", "window_end", TARGET, "fold")
 
 
@@ -485,7 +494,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.standardised(tables.stored(_samples(spark, sf_dir)), FEATURES)
+    rows = evaluate.standardised(_samples(spark, sf_dir), FEATURES)
     return rows.select("cell_id", "window_end", *FEATURES)
 
 
@@ -508,7 +517,7 @@ def weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest fitted on four fifths of the labelled windows, and how it does on the rest."""
-    prepared = training.prepare(tables.stored(_samples(spark, sf_dir)))
+    prepared = training.prepare(_samples(spark, sf_dir))
     held_out = training.predicted_labels(training.fit(prepared), prepared.filter("is_test"))
     return evaluate.confusion(held_out, TARGET, "predicted_label")
 
@@ -516,7 +525,7 @@ def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored window scored by a fitted forest, in the stored shape of a prediction."""
-    samples = tables.stored(_samples(spark, sf_dir))
+    samples = _samples(spark, sf_dir)
     model = training.fit(training.prepare(samples))
     documents = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY)
     return scoring.score(model, documents).drop("timestamp")

@@ -5,6 +5,8 @@ The tables span days where live telemetry spans minutes, so windows are one day
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-day windows with their labels as a stored table, partitioned by ``day``, the date of the window's end.
+
+    Written once per application and source folder, below the shared folder, in files of balanced size; readers
+    prune days. ``drop_tables`` deletes it.
+    """
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    path = f"{_tables_root(spark)}/{name}/windows"
+    folder, fs = _folder(spark, path)
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        rows = with_labels(windowed(spark, sf_dir)).withColumn("day", F.to_date("window_end"))
+        rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables stored for this application."""
+    folder, fs = _folder(spark, _tables_root(spark))
+    fs.delete(folder, True)
+
+
+def _tables_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Rows written to the checkpoint folder: for operators that read a stored table several times."""
     checkpoint_root(df.sparkSession)
@@ -98,8 +130,9 @@ def with_labels(windows: DataFrame) -> DataFrame:
 
 
 def as_predictions(labelled: DataFrame) -> DataFrame:
-    """Prediction rows, stamped with the window's last event."""
+    """Prediction rows, stamped with the window's last event; a stored table's ``day`` stays."""
     return labelled.select(
+        *[c for c in labelled.columns if c == "day"],
         "cell_id",
         "region",
         "window_end",
