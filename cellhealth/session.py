@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -16,8 +17,11 @@ SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Event times are UTC: a session with another zone is told so and moved. All else stays the caller's."""
+    zone = "spark.sql.session.timeZone"
+    if spark.conf.get(zone) != SETTINGS[zone]:
+        warnings.warn(f"{zone} was {spark.conf.get(zone)} and is now {SETTINGS[zone]}", stacklevel=2)
+        spark.conf.set(zone, SETTINGS[zone])
     return spark
 
 
@@ -28,7 +32,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and context.getCheckpointDir() is None and not context.master.startswith("local"):
+    if shared is None and context.getCheckpointDir() is None and not context.master == "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellhealth-checkpoints-"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.latest import upsert_latest
@@ -41,45 +45,75 @@ def clear(spark: SparkSession, path: str, schema: T.StructType) -> None:
 
 
 class OnlineTable:
-    """Newest feature row per entity, as numbered snapshots under one directory.
+    """Newest feature row per entity, in parts by a hash of the entity.
 
-    An upsert writes the next snapshot beside the current one. Readers take the highest number whose
-    write was committed, so a write that dies half-way is never seen, and repeating one changes nothing.
+    An upsert rewrites only the parts its rows fall into, into a folder of its own, and then commits a numbered
+    list of where each part now lies. Readers follow the highest list, so a write that dies half-way is never
+    seen, and repeating one changes nothing. Lists are created, never overwritten: of two writers at once,
+    one fails.
     """
 
-    def __init__(self, spark: SparkSession, path: str, view: FeatureView = CELL_FEATURES, keep: int = 3):
-        self._spark, self._path, self._view, self._keep = spark, path.rstrip("/"), view, keep
-
-    def _committed(self) -> list[int]:
-        jvm = self._spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self._path)
-        fs = root.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(root):
-            return []
-        names = [status.getPath() for status in fs.listStatus(root)]
-        done = [p for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
+    def __init__(self, spark: SparkSession, path: str, view: FeatureView = CELL_FEATURES, keep: int = 3, parts: int = 64):
+        self._spark, self._path, self._view, self._keep, self._parts = spark, path.rstrip("/"), view, keep, parts
 
-    def _snapshot(self, number: int) -> str:
-        return f"{self._path}/v{number:010d}"
+    def _files(self, name: str):
+        folder = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}")
+        return folder, folder.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _drop(self, number: int) -> None:
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._snapshot(number))
-        fs = path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf())
-        fs.delete(path, True)
+    def _commits(self) -> list[int]:
+        folder, fs = self._files("commits")
+        if not fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _listed(self, number: int) -> dict[str, str]:
+        """Part number to folder, as committed."""
+        return json.loads(self._spark.read.text(f"{self._path}/commits/{number:010d}", wholetext=True).first()[0])
+
+    def _commit(self, number: int, listed: dict[str, str]) -> None:
+        path, fs = self._files(f"commits/{number:010d}")
+        try:
+            out = fs.create(path, False)
+        except Exception as failure:
+            raise RuntimeError(f"{self._path} was written by another writer meanwhile") from failure
+        out.write(bytearray(json.dumps(listed).encode()))
+        out.close()
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return empty(self._spark, self._view.schema)
+        return self._spark.read.schema(self._view.schema).parquet(*[f"{self._path}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
-        numbers = self._committed()
-        if not numbers:
-            return empty(self._spark, self._view.schema)
-        return self._spark.read.schema(self._view.schema).parquet(self._snapshot(numbers[-1]))
+        numbers = self._commits()
+        return self._rows(sorted(self._listed(numbers[-1]).values()) if numbers else [])
 
     def upsert(self, fresh: DataFrame) -> None:
         """Merge feature rows in; of each entity the newest stays."""
-        numbers = self._committed()
+        numbers = self._commits()
+        listed = self._listed(numbers[-1]) if numbers else {}
         columns = self._view.schema.names
-        merged = upsert_latest(self.read(), fresh.select(*columns), self._view.entity, self._view.event_time)
+        part = F.pmod(F.xxhash64(self._view.entity), F.lit(self._parts)).cast("int")
+        # At most as many rows as there are parts.
+        touched = [str(r[0]) for r in fresh.select(part).distinct().collect()]
+        if not touched:
+            return
+        held = self._rows([listed[k] for k in touched if k in listed])
+        merged = upsert_latest(held.select(*columns), fresh.select(*columns), self._view.entity, self._view.event_time)
+        folder = f"data/{uuid.uuid4().hex}"
+        merged.select(*columns, part.alias("part")).repartition("part").write.partitionBy("part").parquet(f"{self._path}/{folder}")
         following = numbers[-1] + 1 if numbers else 1
-        merged.select(*columns).write.mode("overwrite").parquet(self._snapshot(following))
-        for number in numbers[: max(0, len(numbers) + 1 - self._keep)]:
-            self._drop(number)
+        self._commit(following, listed | {k: f"{folder}/part={k}" for k in touched})
+        self._clean([*numbers, following])
+
+    def _clean(self, numbers: list[int]) -> None:
+        """Drop lists beyond the newest few, and the folders only they name."""
+        old, new = numbers[: -self._keep], numbers[-self._keep :]
+        used = {f for n in new for f in self._listed(n).values()}
+        for number in old:
+            for name in {*self._listed(number).values()} - used:
+                path, fs = self._files(name)
+                fs.delete(path, True)
+            path, fs = self._files(f"commits/{number:010d}")
+            fs.delete(path, False)

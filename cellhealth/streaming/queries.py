@@ -15,7 +15,6 @@ from ..model.scoring import score
 from ..operators.features import feature_rows, latest_features
 from ..operators.windows import WINDOW_SECONDS, cell_windows, flat_windows
 from ..schemas import WINDOW_SCHEMA
-from ..session import checkpoint_root
 from ..sources.tables import OnlineTable
 from ..sources.telemetry import keyed_json
 
@@ -37,8 +36,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def checkpoint_for(spark: SparkSession, name: str) -> str:
-    """A query's checkpoint folder below the shared one."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}"
+    """A query's checkpoint folder below the durable one that ``spark.checkpoint.dir`` names.
+
+    A temporary folder would make a restarted query forget where it was, so none is made up, not even locally.
+    """
+    durable = spark.conf.get("spark.checkpoint.dir", None)
+    if durable is None:
+        raise RuntimeError("set spark.checkpoint.dir to a durable folder")
+    return f"{durable.rstrip('/')}/{name}"
 
 
 def window_stream(

@@ -443,17 +443,33 @@ def test_online_table_keeps_the_newest(spark, tmp_path):
     before = sorted(online.read().collect())
     online.upsert(spark.createDataFrame(batches[-1], FEATURE_SCHEMA))
     assert sorted(online.read().collect()) == before
-    assert sorted(p.name for p in (tmp_path / "online").iterdir()) == ["v0000000003", "v0000000004"]
+    kept = sorted(p.name for p in (tmp_path / "online" / "commits").iterdir() if p.name.isdigit())
+    assert kept == ["0000000003", "0000000004"]
 
 
-def test_half_written_snapshot_is_not_seen(spark, tmp_path):
+def test_half_written_upsert_is_not_seen(spark, tmp_path):
     online = tables.OnlineTable(spark, f"{tmp_path}/online")
     online.upsert(spark.createDataFrame([feature("A", 0, 1)], FEATURE_SCHEMA))
-    (tmp_path / "online" / "v0000000002").mkdir()
+    (tmp_path / "online" / "data" / "half").mkdir()
     assert online.read().count() == 1
     online.upsert(spark.createDataFrame([feature("B", 0, 1)], FEATURE_SCHEMA))
     assert online.read().count() == 2
 
 
+def test_upsert_rewrites_only_its_parts_and_refuses_a_second_writer(spark, tmp_path):
+    online = tables.OnlineTable(spark, f"{tmp_path}/online", parts=8)
+    cells = [f"C{i}" for i in range(40)]
+    online.upsert(spark.createDataFrame([feature(c, 0, 1) for c in cells], FEATURE_SCHEMA))
+    before = online._listed(1)
+    online.upsert(spark.createDataFrame([feature("C7", 5, 9)], FEATURE_SCHEMA))
+    after = online._listed(2)
+    assert sum(before[k] != after[k] for k in after) == 1 and online.read().count() == 40
+    stale = tables.OnlineTable(spark, f"{tmp_path}/online", parts=8)
+    stale._commits = lambda: [1]  # as read before the second write
+    with pytest.raises(RuntimeError, match="another writer"):
+        stale.upsert(spark.createDataFrame([feature("C8", 5, 9)], FEATURE_SCHEMA))
+    assert {r["avg_latency_ms"] for r in online.read().filter("cell_id = 'C7'").collect()} == {9.0}
+
+
 def test_view_names_its_features():
     assert CELL_FEATURES.features[0] == "avg_signal_strength_dbm" and "cell_id" not in CELL_FEATURES.features
