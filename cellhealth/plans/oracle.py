@@ -158,6 +158,9 @@ def _fits() -> str:
     return " and ".join(f"{m} between lo{i} and hi{i}" for i, m in enumerate(METRICS))
 
 
+# The latency of each golden vector and its class.
+_GOLDEN = ((15.0, "excellent"), (35.0, "good"), (120.0, "poor"))
+
 _CUT_SHORT = "(event_id % 50 = 0 or event_id % 53 = 0 or event_id % 59 = 0 or event_id % 61 = 0 or event_id % 67 = 0)"
 
 _QUALITY = """,
@@ -271,6 +274,9 @@ from (select *, case event_id % 3 when 0 then null when 1 then '' else region en
         "p95_exact": _events(
             "select cell_id, " + ", ".join(f"{_p95(m)} as {m}_p95" for m in METRICS) + " from telemetry group by cell_id"
         ),
+        "p95_approx_ranks": _events(
+            "select cell_id, " + ", ".join(f"count({m}) as {m}_n, count({m}) > 0 as {m}_near" for m in METRICS) + " from telemetry group by cell_id"
+        ),
         "sample_per_cell": _events(
             "select cell_id, event_id, latency_ms from telemetry qualify row_number() over (partition by cell_id order by md5('42:' || event_id)) <= 100"
         ),
@@ -406,6 +412,23 @@ from (select *, row_number() over (partition by network_health_score order by {_
   cast((rn > n // 5)::int + (rn > 2 * n // 5)::int + (rn > 3 * n // 5)::int + (rn > 4 * n // 5)::int as int) as fold
 from (select *, row_number() over (partition by network_health_score order by {_DIGEST.format(seed="'42'")}) as rn,
   count(*) over (partition by network_health_score) as n from samples)"""
+        ),
+        "forest_holdout": _samples(
+            """select network_health_score, cast((count(*) + 4) // 5 as bigint) as held_out, count(*) > 0 as accurate
+from samples group by network_health_score"""
+        ),
+        "forest_golden": _samples(
+            f"""select latency_ms, label from (values {", ".join(f"({x!r}::double, '{y}')" for x, y in _GOLDEN)}) as g(latency_ms, label)
+where exists (select 1 from samples)"""
+        ),
+        "forest_folds": _samples(
+            f"""select fold, count(*) as rows, count(*) > 0 as accurate from (
+  select cast((rn > n // 5)::int + (rn > 2 * n // 5)::int + (rn > 3 * n // 5)::int + (rn > 4 * n // 5)::int as int) as fold
+  from (select *, row_number() over (partition by network_health_score order by {_DIGEST.format(seed="'43'")}) as rn,
+    count(*) over (partition by network_health_score) as n
+    from (select * from samples qualify row_number() over (partition by network_health_score order by {_DIGEST.format(seed="'42'")})
+      > (count(*) over (partition by network_health_score) + 4) // 5)))
+group by fold"""
         ),
         "class_weights": _samples(
             """select network_health_score, cast(sum(count(*)) over () as double) / (count(*) over () * count(*)) as weight

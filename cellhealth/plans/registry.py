@@ -11,7 +11,7 @@ from ..functions.labels import anomaly_share_rule, label_code, label_name
 from ..functions.telemetry import cell_name, iso_utc
 from ..model import scoring, training
 from ..operators import evaluate, events, features, latest, monitor, quantiles, sampling, windows
-from ..schemas import FEATURES, TARGET, WIRE_SCHEMA
+from ..schemas import FEATURES, GOLDEN_VECTORS, TARGET, WIRE_SCHEMA
 from ..sources.telemetry import accepted, decode, keyed_json, rejected, wire_json
 from . import tables
 
@@ -165,6 +165,21 @@ def p95_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.p95_approx_per_group(tables.telemetry(spark, sf_dir), ["cell_id"])
 
 
+@query
+def p95_approx_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cell, how many values each metric has, and whether the sketched p95 is as near in rank as it promises."""
+    accuracy = 10_000
+    rows = tables.telemetry(spark, sf_dir)
+    sketched = quantiles.p95_approx_per_group(rows, ["cell_id"], accuracy=accuracy)
+    ranks = []
+    for m in FEATURES:
+        value, p = F.col(m), F.col(f"{m}_p95")
+        n, below, upto = F.count(m), F.count_if(value < p), F.count_if(value <= p)
+        slack = n / accuracy + 1
+        ranks += [n.alias(f"{m}_n"), ((below <= 0.95 * n + slack) & (upto >= 0.95 * n - slack)).alias(f"{m}_near")]
+    return rows.join(sketched, "cell_id").groupBy("cell_id").agg(*ranks)
+
+
 @query
 def sample_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = sampling.bounded_sample(tables.telemetry(spark, sf_dir), ["cell_id"], ["event_id"], cap=100)
@@ -529,3 +544,29 @@ def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = training.fit(training.prepare(samples))
     documents = windows.cell_windows(tables.telemetry(spark, sf_dir), DAY)
     return scoring.score(model, documents).drop("timestamp")
+
+
+@query
+def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class, the rows held out and whether a fitted forest names nine in ten of them right."""
+    prepared = training.prepare(_samples(spark, sf_dir))
+    held_out = training.predicted_labels(training.fit(prepared), prepared.filter("is_test"))
+    right = F.count_if(F.col(TARGET) == F.col("predicted_label"))
+    return held_out.groupBy(TARGET).agg(F.count("*").alias("held_out"), (right >= 0.9 * F.count("*")).alias("accurate"))
+
+
+@query
+def forest_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a forest fitted on the labelled windows says of the golden vectors."""
+    model = training.fit(training.prepare(_samples(spark, sf_dir)))
+    golden = spark.createDataFrame([v for v, _ in GOLDEN_VECTORS], list(FEATURES))
+    return training.predicted_labels(model, golden).select("latency_ms", F.col("predicted_label").alias("label"))
+
+
+@query
+def forest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per fold of the training part, its rows, and whether cross-validation is right nine times in ten."""
+    prepared = training.prepare(_samples(spark, sf_dir))
+    _, accuracy = training.cross_validated(prepared, trees=20)
+    folds = prepared.filter(~F.col("is_test")).groupBy("fold").agg(F.count("*").alias("rows"))
+    return folds.withColumn("accurate", F.lit(accuracy) >= 0.9)

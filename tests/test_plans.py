@@ -13,7 +13,7 @@ from cellhealth.schemas import FEATURE_SCHEMA, FEATURES
 from conftest import SMALL, at
 
 QUERIES = registry.queries()
-FITTED = {"forest_confusion", "forest_predictions"}
+FITTED = {"forest_confusion", "forest_predictions", "forest_holdout", "forest_golden", "forest_folds"}
 
 
 def physical(df) -> str:
