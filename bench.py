@@ -12,8 +12,12 @@ import statistics
 import tempfile
 import time
 
+from pyspark.sql import functions as F
+
+from cellhealth.model import training
+from cellhealth.operators.windows import flat_windows
 from cellhealth.plans import registry, tables
-from cellhealth.schemas import TELEMETRY_SCHEMA
+from cellhealth.schemas import FEATURES, TARGET, TELEMETRY_SCHEMA
 from cellhealth.session import local_session
 from cellhealth.streaming import queries as streams
 
@@ -52,6 +56,24 @@ def discard(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def ten_seconds(spark, sf_dir: str):
+    """The default window width, over the whole table."""
+    return flat_windows(tables.telemetry(spark, sf_dir), 10)
+
+
+def fitted(spark, sf_dir: str) -> dict[str, float]:
+    """Seconds of one fit and of scoring every stored window with it, apart."""
+    samples = tables.window_table(spark, sf_dir).select(*[F.col(f"avg_{m}").alias(m) for m in FEATURES], F.col("label").alias(TARGET), "cell_id", "window_end")
+    prepared = training.prepare(samples)
+    model = None
+
+    def fit():
+        nonlocal model
+        model = training.fit(prepared)
+
+    return {"forest_fit": seconds(fit), "forest_score": seconds(lambda: discard(training.predicted_labels(model, samples)))}
+
+
 def replay(spark, sf_dir: str, work: str) -> tuple[float, int]:
     """Windows over a stream of time-ordered files: seconds, and the most state rows held."""
     events = tables.telemetry(spark, sf_dir).select(*TELEMETRY_SCHEMA.names)
@@ -79,6 +101,10 @@ def main() -> None:
             continue
         discard(build(spark, sf_dir))
         times[name] = statistics.median(seconds(lambda: discard(build(spark, sf_dir))) for _ in range(runs))
+    if "BENCH_QUERIES" not in os.environ:
+        discard(ten_seconds(spark, sf_dir))
+        times["windows_10s"] = statistics.median(seconds(lambda: discard(ten_seconds(spark, sf_dir))) for _ in range(runs))
+        times |= fitted(spark, sf_dir)
     n_events = tables.table(spark, sf_dir, "events").count()
     with tempfile.TemporaryDirectory(prefix="bench-") as work:
         took, state_rows = replay(spark, sf_dir, work)
