@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import ANOMALY_ABOVE, ANOMALY_BELOW, ARCHETYPES, FEATURES, UNKNOWN
 
+# Identity patterns, peak hours and their factor, seconds a feature counts as fresh.
 CELL_PATTERN = r"^CELL_[0-9]{4,}$"
 SUBSCRIBER_PATTERN = r"^505[0-9]{10}$"
 PEAK_HOURS = (8, 18)

@@ -164,4 +164,5 @@ class FeatureView:
         return [f.name for f in self.schema if f.name not in (self.entity, self.event_time)]
 
 
-CELL_FEATURES = FeatureView("windowed_cell_metrics", "cell_id", "window_end", 30 * 60, FEATURE_SCHEMA)
+# The key, the time column and the seconds a feature row stays valid.
+CELL_FEATURES = FeatureView("cell_window_features", "cell_id", "window_end", 30 * 60, FEATURE_SCHEMA)
