@@ -27,8 +27,8 @@ BITS, LANES = 64, 22
 _LANE_MASK = 1 | 1 << LANES | 1 << 2 * LANES
 _PIECE_BITS = 19
 RADIUS = 3
-#: Rows an ordered bucket holds, about.
-BUCKET_ROWS = 4096
+#: Rows an ordered bucket holds, about, up to the square of BUCKET_SIDE buckets; beyond, buckets grow and spill.
+BUCKET_ROWS, BUCKET_SIDE = 4096, 64
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -64,7 +64,7 @@ def as_text(fingerprint: Column) -> Column:
 
 def _bucketed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """``docs`` with ``bucket``: ranges of ids in order, so that neighbours need no order over the whole table."""
-    side = max(2, int((docs.count() / bucket_rows) ** 0.5) + 1)
+    side = max(2, min(BUCKET_SIDE, int((docs.count() / bucket_rows) ** 0.5) + 1))
     marks = [i / side**2 for i in range(1, side**2)]
     cuts = docs.agg(F.percentile_approx("doc_id", marks, 10 * side**2).alias("cuts")).first()["cuts"] or []
     # Two digits: which run of cuts, then which cut in the run.
