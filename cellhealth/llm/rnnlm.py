@@ -32,7 +32,7 @@ CLASSES, PER_CLASS, HIDDEN, INPUT = 32, 32, 16, 16
 OWN = CLASSES * PER_CLASS
 #: Characters the network learns from, epochs, lanes and window of training; words told to the workers.
 BUDGET, EPOCHS, LANES, WINDOW, RATE = 4_000_000, 2, 64, 32, 4e-3
-KNOWN = 1_000_000
+KNOWN = 200_000
 SCORE_LANES, SCORE_WINDOW = 512, 128
 _SLOTS = 22
 END = np.uint64(0x5BD1E9955BD1E995)

@@ -200,7 +200,7 @@ def test_state_is_carried_and_scores_do_not_depend_on_company():
     assert np.allclose(together, [net.score([t], window=1000)[0] for t in texts], rtol=1e-4)
 
 
-@pytest.mark.parametrize("known", [1_000_000, 30])
+@pytest.mark.parametrize("known", [200_000, 30])
 def test_language_model(make, rows, monkeypatch, known):
     monkeypatch.setattr(rnnlm, "KNOWN", known)
     monkeypatch.setattr(rnnlm, "EPOCHS", 1)
