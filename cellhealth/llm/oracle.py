@@ -27,6 +27,39 @@ drawn as (
 select doc_id, size, source_size, target, cast(size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) as bigint) as taken from drawn
 """
 
+OP6 = r"""
+with texts as (select distinct doc_id, text from documents where text is not null),
+numbered as (select doc_id, text, l, unnest(generate_series(1, len(l))) as i from (select doc_id, text, string_split(text, chr(10)) as l from texts)),
+fields as (
+  select doc_id, text, i, trim(regexp_replace(regexp_replace(l[i], '[\x20\x09\x0B\x0C\x0D]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g')) as line
+  from numbered),
+filled as (select *, string_split(line, ' ') as w from fields where line <> ''),
+placed as (
+  select *, len(w) as n, len(w) - 2 as r, array_to_string(w[1:2], ' ') as lead,
+    coalesce(lag(array_to_string(w[1:3], ' ')) over (partition by doc_id, text order by i), chr(1) || 'start') as before,
+    coalesce(lead(array_to_string(w[1:3], ' ')) over (partition by doc_id, text order by i), chr(1) || 'end') as after
+  from filled),
+blocked as (
+  select *, [array_to_string(w[3:2 + r // 4], ' '), array_to_string(w[3 + r // 4:2 + r * 2 // 4], ' '),
+    array_to_string(w[3 + r * 2 // 4:2 + r * 3 // 4], ' '), array_to_string(w[3 + r * 3 // 4:n], ' ')] as b
+  from placed where n >= 3),
+masked as (
+  select *, unnest(case when n >= 10 then [0, 1, 2, 3, 4] else [0] end) as field from blocked),
+templates as (
+  select *, n || chr(2) || lead || chr(2) || field || chr(2)
+    || array_to_string([case when k = field then '' else b[k] end for k in [1, 2, 3, 4]], chr(2)) as template
+  from masked),
+recurring as (
+  select template from templates group by template
+  having count(distinct text) >= 5 and 2 * greatest(count(distinct before), count(distinct after)) >= count(distinct text)),
+dropped as (select distinct doc_id, text, i from templates where template in (select template from recurring)),
+rest as (
+  select x.doc_id, x.text, count(*) as n_lines, count(d.i) as n_dropped, coalesce(string_agg(x.l[x.i], chr(10) order by x.i) filter (where d.i is null), '') as kept
+  from numbered x left join dropped d on x.doc_id is not distinct from d.doc_id and x.text = d.text and x.i = d.i group by x.doc_id, x.text)
+select o.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, sha256(coalesce(kept, '')) as kept_sha256
+from documents o left join rest on o.doc_id is not distinct from rest.doc_id and o.text = rest.text
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3}
+    return {"op3_mixing": OP3, "op6_line_templates": OP6}
