@@ -31,7 +31,7 @@ from .common import budget_sample, fold
 ORDER = 3
 #: Characters a language learns from, and contexts of the longest order kept (the most frequent), at most.
 BUDGET = 1_500_000
-TABLE_CELLS = 12_000_000
+TABLE_CELLS = 6_000_000
 UNKNOWN = "und"
 #: Bits a byte at which no model is better than none: such text is in no known language.
 NO_MODEL_BITS = 8.0
@@ -119,12 +119,12 @@ def _build(counts: pd.DataFrame) -> ContextTree:
             ids = np.sort(ids[np.argsort(-total, kind="stable")[:room]])
         if not len(ids):
             ids = np.zeros(1, np.int64)
-        count = np.zeros((len(ids), size, len(languages)))
+        count = np.zeros((len(ids), size, len(languages)), np.float32)
         place = np.minimum(np.searchsorted(ids, context[at]), len(ids) - 1)
         fits = ids[place] == context[at]
         count[place[fits], symbol[at][fits], lang[at][fits]] = n[at][fits]
         if k == 0:
-            lower = np.full((len(ids), size, len(languages)), 1 / 256)
+            lower = np.full((len(ids), size, len(languages)), 1 / 256, np.float32)
         else:
             up = np.searchsorted(level_ids, ids % size ** (k - 1)) if k > 1 else np.zeros(len(ids), int)
             lower = parent_rows[np.minimum(up, len(level_ids) - 1)]
