@@ -59,6 +59,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def most_frequent(counts: DataFrame, n: str, most: int, also: Column | None = None) -> DataFrame:
+    """The rows of a stored table whose count ``n`` reaches the lowest level that at most ``most`` rows reach.
+
+    Levels are eighths of a doubling, some hundreds whatever the input; only their sizes are collected. Rows
+    that ``also`` picks are added.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
+    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    total, cut = 0, None
+    for row in sizes:
+        total += row["count"]
+        if total > most:
+            break
+        cut = row["level"]
+    chosen = F.lit(False) if cut is None else level >= cut
+    return counts.filter(chosen if also is None else chosen | also)
+
+
 def budget_sample(docs: DataFrame, text: str, key: list[str], group: Column, budget: int, seed: int, cells: int = 4096) -> DataFrame:
     """Whole rows of ``docs`` chosen by a hash, at most ``budget`` characters a group (one cell of rows at least).
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import budget_sample, fold, word_hashes, written
+from .common import budget_sample, fold, most_frequent, word_hashes, written
 
 CLASSES, PER_CLASS, HIDDEN, INPUT = 32, 32, 16, 16
 OWN = CLASSES * PER_CLASS
@@ -248,7 +248,8 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network, dict]
     """Lexicon, trained network and corpus totals from training rows (doc_id, text) and their stored word counts."""
     spark = training.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).toPandas()
+    is_end = F.col("word") == int(np.array([END]).view(np.int64)[0])
+    top = most_frequent(counts, "n", KNOWN, is_end).toPandas().sort_values(["n", "word"], ascending=[False, True])
     hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     # The end is always one of the network's words.
     rank = np.arange(len(hashes))
