@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_sets, small, written
+from .common import mix, most_frequent, shingle_sets, small, written
 from .components import components
 
 SIMILARITY = Fraction(4, 5)
@@ -57,12 +57,17 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def _names(sets: list[np.ndarray]) -> np.ndarray:
     """Two 64-bit sums over each set: a name that equal sets share."""
     out = np.zeros((2, len(sets)), np.uint64)
-    size = np.array([len(s) for s in sets], np.int64)
-    some = np.flatnonzero(size)
-    if len(some):
-        flat = np.concatenate(sets)
-        begin = np.concatenate(([0], np.cumsum(size[some])[:-1]))
-        out[0, some], out[1, some] = np.add.reduceat(mix(flat), begin), np.add.reduceat(mix(flat * _WORLD), begin)
+    some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+    ends = np.cumsum([len(sets[i]) for i in some])
+    at = 0
+    while at < len(some):  # a million shingles at a time, one set at least
+        begun = ends[at] - len(sets[some[at]])
+        end = max(at + 1, int(np.searchsorted(ends, begun + (1 << 20), "right")))
+        block = some[at:end]
+        flat = np.concatenate([sets[i] for i in block])
+        begin = np.concatenate(([0], ends[at : end - 1] - begun))
+        out[0, block], out[1, block] = np.add.reduceat(mix(flat), begin), np.add.reduceat(mix(flat * _WORLD), begin)
+        at = end
     return out.view(np.int64)
 
 
@@ -106,7 +111,7 @@ def _counted(docs: DataFrame, n: int) -> DataFrame:
 def _heavy(counted: DataFrame) -> pd.DataFrame:
     """The shingles repeated most, as far as batches of texts can tell, with a lower bound of their counts."""
     sums = counted.filter("kind = 1").groupBy(F.col("name").alias("shingle")).agg(F.sum("size").alias("n"))
-    return sums.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_KEPT).toPandas()
+    return most_frequent(written(sums.filter(F.col("n") >= HEAVY_LEAST), "heavy"), "n", HEAVY_KEPT).toPandas()
 
 
 def _extra(size: int) -> int:
