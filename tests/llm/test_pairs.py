@@ -9,7 +9,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from fixtures import make, rows  # noqa: F401
+from fixtures import make, prose, rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from cellhealth.llm import components, decontaminate, jaccard, simhash, suffix, templates
@@ -162,6 +162,15 @@ def test_edited_text(make):
     assert got == {1: "abcxy", 2: "x", 3: "", 4: "😀😀ab"}
 
 
+def test_shared_passages_vanish_whole(make):
+    rng = random.Random(5)
+    footer = ["Contact", *[prose(rng, 6) for _ in range(4)], prose(rng, 14), "all rights reserved"]
+    texts = ["\n".join((prose(rng, 12, 9000), prose(rng, 12, 9000), *footer)) for _ in range(50)]
+    left = {r.doc_id: r.text for r in templates.keep_own_text(make(list(enumerate(texts)))).collect()}
+    # Lines of fewer than three words are never dropped.
+    assert left == {i: "\n".join(t.split("\n")[:3]) for i, t in enumerate(texts)}
+
+
 def test_within_radius(spark):
     rng = random.Random(8)
     prints = [rng.getrandbits(64) for _ in range(60)]
