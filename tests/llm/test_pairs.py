@@ -171,6 +171,16 @@ def test_shared_passages_vanish_whole(make):
     assert left == {i: "\n".join(t.split("\n")[:3]) for i, t in enumerate(texts)}
 
 
+def test_more_texts_do_not_keep_a_line(make):
+    rng = random.Random(6)
+    heads, line = [prose(rng, 3, 9000) for _ in range(6)], prose(rng, 8)
+    for many in (6, 60):
+        # Few heads, each followed by a text's own words, then the line that ends all texts.
+        texts = [f"{heads[i % 6]} {prose(rng, 9, 9000)}\n{line}" for i in range(many)]
+        left = {r.doc_id: r.text for r in templates.keep_own_text(make(list(enumerate(texts)))).collect()}
+        assert left == {i: t.split("\n")[0] for i, t in enumerate(texts)}
+
+
 def test_within_radius(spark):
     rng = random.Random(8)
     prints = [rng.getrandbits(64) for _ in range(60)]
