@@ -16,6 +16,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows a side may have at most to be broadcast by hint; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A piece of a text in a bounded sample holds at most this part of the budget.
+SAMPLE_SHARE = 100
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,22 +79,30 @@ def most_frequent(counts: DataFrame, n: str, most: int, also: Column | None = No
     return counts.filter(chosen if also is None else chosen | also)
 
 
-def budget_sample(docs: DataFrame, text: str, key: list[str], group: Column, budget: int, seed: int, cells: int = 4096) -> DataFrame:
-    """Whole rows of ``docs`` chosen by a hash, at most ``budget`` characters a group (one cell of rows at least).
+def budget_sample(docs: DataFrame, text: str, key: list[str], group: Column, budget: int, seed: int) -> DataFrame:
+    """Pieces of ``docs`` chosen by a hash, at most ``budget`` characters a group, ``text`` being the piece.
 
-    Rows fall into ``cells`` hash cells; the first cells whose summed lengths stay within the budget are
-    taken. Which rows these are depends on the rows alone, not on their order or partitioning.
+    A text of at most budget / ``SAMPLE_SHARE`` characters is one piece and longer ones are cut into such, so none
+    can fill the budget or end the sample early: a group's sample falls short of its budget by less than one piece
+    unless the group is used up. Rows of equal key and text count once. Which pieces these are depends on the rows
+    alone, not on their order or partitioning.
     """
     from pyspark.sql import Window
 
-    cell = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(cells))
-    placed = docs.withColumn("__group", group).withColumn("__cell", cell)
-    sums = placed.groupBy("__group", "__cell").agg(F.sum(F.length(text)).alias("size"))
-    upto = Window.partitionBy("__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
-    taken = sums.withColumn("total", F.sum("size").over(upto)).withColumn("first", F.row_number().over(Window.partitionBy("__group").orderBy("__cell")))
-    taken = taken.filter((F.col("total") <= budget) | (F.col("first") == 1)).select("__group", "__cell")
-    chosen = written(taken, "sample-cells")
-    return placed.join(small(chosen), ["__group", "__cell"], "left_semi")
+    most = max(1, budget // SAMPLE_SHARE)
+    cut = F.when(F.length(text) <= most, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)))
+    pieces = docs.withColumn("__group", group).withColumn("__row", F.xxhash64(F.lit(seed), "__group", *key))
+    pieces = pieces.select("*", F.posexplode(cut).alias("__at", "__text"))
+    pieces = pieces.withColumn("__piece", F.xxhash64(F.lit(seed), "__row", "__at"))
+    sizes = written(pieces.groupBy("__group", "__piece").agg(F.max(F.length("__text")).alias("size")), "sample-pieces")
+    total = sizes.groupBy("__group").agg(F.sum("size").alias("total"))
+    # Twice the budget, of which the first pieces by hash that fit are taken: the ordered rows are bounded by it.
+    share = F.pmod("__piece", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = sizes.join(total, "__group").withColumn("share", share).filter(F.col("share") * F.col("total") <= 2.0 * budget)
+    upto = Window.partitionBy("__group").orderBy("share", "__piece").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = written(drawn.withColumn("upto", F.sum("size").over(upto)).filter(F.col("upto") <= budget).select(F.col("__piece")), "sample")
+    taken = pieces.join(small(chosen), "__piece", "left_semi").dropDuplicates(["__piece"])
+    return taken.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 # -- numpy ------------------------------------------------------------------------------------------

@@ -162,6 +162,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_long_texts_do_not_end_a_sample(make):
+    rng = random.Random(9)
+    short = [prose(rng, 8, 9000) for _ in range(400)]
+    for seed in range(3):
+        docs = make(list(enumerate([*short, *["long " * 4000 + str(i) for i in range(3)]])) + [(0, short[0])] * 500)
+        got = [r.text for r in common.budget_sample(docs, "text", ["doc_id", "text"], F.lit(0), 10_000, seed).collect()]
+        assert 9_900 <= sum(map(len, got)) <= 10_000 and max(map(len, got)) <= 100
+    whole = make(list(enumerate(short[:20])))
+    assert sorted(r.text for r in common.budget_sample(whole, "text", ["doc_id", "text"], F.lit(0), 1_000_000, 1).collect()) == sorted(short[:20])
+
+
 def test_unlearned_languages(make):
     tree = langid.fit(make([]))
     assert tree.languages == [] and langid.predict("text", tree)[0] == "und"
