@@ -3,8 +3,11 @@
 Word counts are taken over all training rows. The most frequent words are the network's own, dealt to classes by
 frequency; all others share one more class, within which a word has its smoothed share of the corpus counts, so the
 model is a distribution over every word and one unseen word. P(word) = P(class | state) P(word | class, state).
+How many words are the network's own follows the counts: those seen ``OWN_LEAST`` times, up to ``MOST_CLASSES`` squared.
 The network (one gated layer, numpy) is trained by backpropagation truncated to windows, the state carried from
-window to window, on a bounded sample of the training rows (``BUDGET`` characters, chosen by hash).
+window to window. A sample of the training rows (``BUDGET`` characters, chosen by hash) gives the weights to begin
+with; then all training rows are learned from, dealt by hash to ``ROUNDS`` rounds: in a round every partition starts from
+the same weights and goes over its rows, and the weights are averaged by tokens, groups of partitions first.
 
 Scoring walks every text from its first word to its end token with the state carried along, many texts side by
 side. Counts of frequent words (``KNOWN`` of them at most) are told to the workers; other words are joined with
@@ -32,6 +35,10 @@ CLASSES, PER_CLASS, HIDDEN, INPUT = 32, 32, 16, 16
 OWN = CLASSES * PER_CLASS
 #: Characters the network learns from, epochs, lanes and window of training; words told to the workers.
 BUDGET, EPOCHS, LANES, WINDOW, RATE = 4_000_000, 2, 64, 32, 4e-3
+#: Rounds over shards, their lanes and rate, and shards averaged by one worker.
+ROUNDS, SHARD_LANES, SHARD_RATE, FAN = 2, 256, 2e-3, 32
+#: Occurrences that make a word the network's own beyond the first OWN, and classes (and words in each) at most.
+OWN_LEAST, MOST_CLASSES = 200, 96
 KNOWN = 200_000
 SCORE_LANES, SCORE_WINDOW = 512, 128
 _SLOTS = 22
@@ -49,15 +56,15 @@ def _log_softmax(x):
 
 
 class Network:
-    """Token ids 0..OWN-1 are words by falling frequency; OWN is every other word. Class of a word: id // PER_CLASS."""
+    """Token ids below classes * per_class are words by falling frequency; that number is every other word. Class of a word: id // per_class."""
 
-    def __init__(self, end: int, seed: int = 4):
+    def __init__(self, end: int, seed: int = 4, classes: int = CLASSES, per_class: int = PER_CLASS):
         rng = np.random.default_rng(seed)
         normal = lambda *s, scale=0.1: rng.normal(0, scale, s).astype(np.float32)
-        self.end = end
+        self.end, self.classes, self.per_class = end, classes, per_class
         self.w = {
-            "E": normal(OWN + 1, INPUT), "W": normal(INPUT, 3 * HIDDEN, scale=0.3), "b": np.zeros(3 * HIDDEN, np.float32), "U": normal(HIDDEN, 3 * HIDDEN, scale=0.3),
-            "A": normal(HIDDEN, CLASSES + 1), "a": np.zeros(CLASSES + 1, np.float32), "B": normal(CLASSES, HIDDEN, PER_CLASS), "c": np.zeros((CLASSES, PER_CLASS), np.float32),
+            "E": normal(classes * per_class + 1, INPUT), "W": normal(INPUT, 3 * HIDDEN, scale=0.3), "b": np.zeros(3 * HIDDEN, np.float32), "U": normal(HIDDEN, 3 * HIDDEN, scale=0.3),
+            "A": normal(HIDDEN, classes + 1), "a": np.zeros(classes + 1, np.float32), "B": normal(classes, HIDDEN, per_class), "c": np.zeros((classes, per_class), np.float32),
         }
 
     def run(self, ids: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -80,7 +87,7 @@ class Network:
     def log_probs(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
         """Natural log of P(class), times P(word | class) for own words; with ``grads``, also the slope by state."""
         w = self.w
-        group = tokens // PER_CLASS
+        group = tokens // self.per_class
         over = _log_softmax(states @ w["A"] + w["a"])
         out = over[np.arange(len(tokens)), group]
         slope = None
@@ -91,12 +98,12 @@ class Network:
             slope = d @ w["A"].T
             grads["B"], grads["c"] = np.zeros_like(w["B"]), np.zeros_like(w["c"])
         by = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[by], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        ends = np.searchsorted(group[by], np.arange(self.classes + 1))
+        for c in range(self.classes):
             at = by[ends[c] : ends[c + 1]]
             if not len(at):
                 continue
-            s, place = states[at], tokens[at] - c * PER_CLASS
+            s, place = states[at], tokens[at] - c * self.per_class
             within = _log_softmax(s @ w["B"][c] + w["c"][c])
             out[at] += within[np.arange(len(at)), place]
             if grads is not None:
@@ -130,20 +137,29 @@ class Network:
         np.add.at(grads["E"], tokens, flat @ w["W"].T)
         return -float(logs.sum()), after, {k: g / len(tokens) for k, g in grads.items()}
 
-    def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> list[float]:
-        """Loss per token of each epoch. Texts are token ids with their ends, run together in ``lanes`` streams."""
+    def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW, rate: float = RATE, kept: dict | None = None) -> list[float]:
+        """Loss per token of each epoch. Texts are token ids with their ends, run together in ``lanes`` streams.
+
+        ``kept`` carries the slopes' running means from call to call."""
         if not texts:
             return []
         flat = np.concatenate(texts)
         lanes = max(1, min(lanes, len(flat) // window))
         steps = len(flat) // lanes
         ids = flat[: steps * lanes].reshape(lanes, steps).T
-        first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        losses, turn = [], 0
+        windows = [ids[at : at + window] for at in range(0, steps, window)]
+        # What does not fill the lanes goes last, in one lane.
+        if steps * lanes < len(flat):
+            windows.append(flat[steps * lanes :].reshape(-1, 1))
+        kept = {} if kept is None else kept
+        if not kept:
+            kept.update(first={k: np.zeros_like(v) for k, v in self.w.items()}, second={k: np.zeros_like(v) for k, v in self.w.items()}, turn=0)
+        first, second, turn = kept["first"], kept["second"], kept["turn"]
+        losses = []
         for _ in range(epochs):
             h, total = np.zeros((lanes, HIDDEN), np.float32), 0.0
-            for at in range(0, steps, window):
-                loss, h, grads = self.step(ids[at : at + window], h)
+            for part in windows:
+                loss, h, grads = self.step(part, h if part.shape[1] == len(h) else h[-1:])
                 total += loss
                 turn += 1
                 for k, g in grads.items():
@@ -151,9 +167,21 @@ class Network:
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.001 * (g * g - second[k])
                     self.w[k] -= (rate / (1 + turn / 2000) * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
-            losses.append(total / ids.size)
+            losses.append(total / len(flat))
+        kept["turn"] = turn
         return losses
 
+    def flat(self) -> np.ndarray:
+        """All weights in a row, by name."""
+        return np.concatenate([self.w[k].reshape(-1) for k in sorted(self.w)]).astype(np.float64)
+
+    def fill(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.w):
+            size = self.w[k].size
+            self.w[k] = flat[at : at + size].reshape(self.w[k].shape).astype(np.float32)
+            at += size
+
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
         """Natural log probability of each text's tokens, whole texts, state carried from window to window."""
         out = np.zeros(len(texts))
@@ -185,8 +213,9 @@ class Network:
 class Lexicon:
     """Counts and ids of the told words, by hash: a direct table, and a binary search where two share a slot."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray, own: int = OWN):
         by = np.argsort(hashes)
+        self.own = own
         self.hashes, self.counts, self.ids = hashes[by], counts[by], ids[by]
         self.table = np.zeros(1 << _SLOTS, np.int32)
         self.table[(self.hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)] = np.arange(len(by))
@@ -240,7 +269,7 @@ def _tokens(texts: list[bytes], lexicon: Lexicon):
     whole = np.insert(h, ends, END)
     bound = bound + np.arange(len(bound))
     place, told = lexicon.find(whole)
-    ids = np.where(told, lexicon.ids[place] if len(lexicon.ids) else 0, OWN).astype(np.int32)
+    ids = np.where(told, lexicon.ids[place] if len(lexicon.ids) else 0, lexicon.own).astype(np.int32)
     return whole, bound, place, told, ids
 
 
@@ -255,18 +284,20 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network, dict]
     rank = np.arange(len(hashes))
     end = np.flatnonzero(hashes == END)
     end = int(end[0]) if len(end) else 0
-    ids = np.where(rank < OWN, rank, OWN)
-    if end >= OWN:
-        ids[OWN - 1], ids[end] = OWN, OWN - 1
-        end = OWN - 1
-    lexicon = Lexicon(hashes, n, ids)
-    own = int(n[ids < OWN].sum())
-    totals = {"N": int(total["N"]), "V": int(total["V"]), "tail": int(total["N"]) - own, "tail_words": int(total["V"]) - int((ids < OWN).sum())}
+    classes, per_class = sides(int((n >= OWN_LEAST).sum()))
+    most = classes * per_class
+    ids = np.where(rank < most, rank, most)
+    if end >= most:
+        ids[most - 1], ids[end] = most, most - 1
+        end = most - 1
+    lexicon = Lexicon(hashes, n, ids, most)
+    own = int(n[ids < most].sum())
+    totals = {"N": int(total["N"]), "V": int(total["V"]), "tail": int(total["N"]) - own, "tail_words": int(total["V"]) - int((ids < most).sum())}
     held = spark.sparkContext.broadcast(lexicon)  # KNOWN words at most
 
     def learn(batches):
         texts = [(x or "").encode() for pdf in batches for x in pdf["text"]]
-        network = Network(end)
+        network = Network(end, classes=classes, per_class=per_class)
         if texts:
             order = np.random.default_rng(4).permutation(len(texts))
             texts = [texts[i] for i in order]
@@ -277,10 +308,62 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network, dict]
     sample = budget_sample(training.filter("text is not null"), "text", ["doc_id", "text"], F.lit(0), BUDGET, 4)
     # One task, for the sample is bounded; ordered, so that reruns agree.
     rows = sample.select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id", "text").mapInPandas(learn, "weights binary").collect()
-    network = pickle.loads(rows[0]["weights"]) if rows else Network(end)
+    network = pickle.loads(rows[0]["weights"]) if rows else Network(end, classes=classes, per_class=per_class)
+    for turn in range(ROUNDS):
+        network = _round(training.filter("text is not null"), turn, held, network)
     return lexicon, network, totals
 
 
+def sides(often: int) -> tuple[int, int]:
+    """Classes, and words in each, for so many words seen often; their cost follows the sum, so they are alike."""
+    if often <= OWN:
+        return CLASSES, OWN // CLASSES
+    side = min(MOST_CLASSES, math.isqrt(often - 1) + 1)
+    return side, side
+
+
+def _mean(parts: pd.DataFrame) -> tuple[int, np.ndarray]:
+    """Tokens and mean weights by tokens, added in the order of the shards."""
+    parts = parts.sort_values("shard")
+    tokens = parts["tokens"].to_numpy(np.int64)
+    total = np.zeros(len(parts["weights"].iloc[0]) // 8)
+    for n, weights in zip(tokens, parts["weights"]):
+        total += n * np.frombuffer(weights, np.float64)
+    return int(tokens.sum()), total / tokens.sum()
+
+
+def _round(training: DataFrame, turn: int, lexicon, network: Network) -> Network:
+    """The network after one round over its share of the training rows, each partition a shard."""
+    held = training.sparkSession.sparkContext.broadcast(network)
+    fields = ["shard", "tokens", "weights"]
+
+    def learn(batches):
+        import copy
+
+        shard, tokens = TaskContext.get().partitionId(), 0
+        mine, kept = copy.deepcopy(held.value), {}
+        for batch in batches:
+            all_ = _bytes(batch)
+            for low, high in _groups(all_):
+                _, bound, _, _, token = _tokens(all_[low:high], lexicon.value)
+                tokens += len(token)
+                mine.train([token], epochs=1, lanes=SHARD_LANES, rate=SHARD_RATE, kept=kept)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([tokens]), pa.array([mine.flat().tobytes()])], fields)
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        tokens, weights = _mean(parts)
+        return pd.DataFrame({"shard": [int(parts["shard"].min())], "tokens": [tokens], "weights": [weights.tobytes()]})
+
+    rows = training.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+    schema = "shard long, tokens long, weights binary"
+    # A row a group of shards comes to the driver.
+    means = rows.mapInArrow(learn, schema).groupBy(F.floor(F.col("shard") / FAN)).applyInPandas(merged, schema).toPandas()
+    if len(means):
+        network.fill(_mean(means)[1])
+    return network
+
+
 def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, network: Network, totals: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) of every row of ``docs`` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast((lexicon, network))
@@ -300,7 +383,7 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, network: Network
                 model = network.score([ids[a:b] for a, b in zip(bound[:-1], bound[1:])]) / LOG10
                 rows = number + np.arange(high - low)
                 number += high - low
-                some = ids == OWN
+                some = ids == lexicon.own
                 columns = [rows, None, size, sums(told.astype(np.int64)), sums(worth), sums(np.where(some, worth, 0.0)), sums(some.astype(np.int64)), model]
                 arrays = [names.slice(low, high - low) if c is None else pa.array(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(high - low, pa.int64()), pa.nulls(high - low, pa.int64())], fields)

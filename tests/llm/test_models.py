@@ -230,6 +230,37 @@ def test_language_model(make, rows, monkeypatch, known):
     assert all(r.score < 0 for r in got)
 
 
+def test_every_training_row_teaches(make, monkeypatch):
+    rng = random.Random(3)
+    docs = make([(i, prose(rng, 30, 40) if i % 2 else prose(rng, 30, 40).replace("w", "x")) for i in range(120)], 4).select("doc_id", "text")
+    counts = common.written(rnnlm.word_counts(docs), "words")
+    monkeypatch.setattr(rnnlm, "BUDGET", 100)
+    seen = []
+    for rounds in (0, 2):
+        monkeypatch.setattr(rnnlm, "ROUNDS", rounds)
+        lexicon, network, _ = rnnlm.fit(docs, counts)
+        seen.append(network.flat())
+    # Every word's own weights move, though the sample holds but a hundred characters; after the end the state is new.
+    moved = [np.any(a != b) for a, b in zip(*(network_words(x, len(lexicon.ids)) for x in seen))]
+    assert len(moved) == 81 and [i for i, x in enumerate(moved) if not x] == [network.end]
+    again = rnnlm.fit(docs, counts)[1].flat()
+    assert np.array_equal(seen[1], again)
+
+
+def network_words(flat, many):
+    """The input weights of the words, as ``flat`` lays them out."""
+    at = rnnlm.HIDDEN * (rnnlm.CLASSES + 1) + rnnlm.CLASSES * rnnlm.HIDDEN * rnnlm.PER_CLASS
+    return flat[at : at + many * rnnlm.INPUT].reshape(many, rnnlm.INPUT)
+
+
+def test_the_network_has_more_words_where_more_are_frequent():
+    assert [rnnlm.sides(n) for n in (0, 1024, 1025, 2500, 10**6)] == [(32, 32), (32, 32), (33, 33), (50, 50), (rnnlm.MOST_CLASSES,) * 2]
+    wide = rnnlm.Network(0, classes=40, per_class=40)
+    ids = np.arange(1601)
+    logs = wide.log_probs(np.tile(np.linspace(-1, 1, rnnlm.HIDDEN, dtype=np.float32), (1601, 1)), ids)[0]
+    assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)
+
+
 def test_model_beats_counts_on_held_out_texts(spark):
     got = [r for r in queries.op4_language_model(spark, SMALL).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
