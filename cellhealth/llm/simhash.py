@@ -3,7 +3,7 @@
 A text's terms are its pairs of neighbouring words, A-Z folded, weighted by how often they occur (a single word
 stands for itself). The 64 bits of a term's hash vote +1 or -1 for each occurrence, and the signs of the sums,
 ties giving 0, are the fingerprint. Votes are counted with three bits' counters in each long, per piece of at most
-2^19 terms, so that a document costs one partial row of 22 sums however long it is, and no group gathers terms.
+2^18 terms, so that a document costs one partial row of 22 sums however long it is, and no group gathers terms.
 
 The search puts each distinct fingerprint into permuted block tables: 64 bits are cut into radius + 3 blocks, and
 for each choice of 3 of them the chosen blocks form a key. Two fingerprints within the radius agree on at
@@ -25,7 +25,8 @@ from .common import lower_az, words, written
 BITS, LANES = 64, 22
 #: Bits j, j + 22 and j + 44 of a hash, once shifted right by j.
 _LANE_MASK = 1 | 1 << LANES | 1 << 2 * LANES
-_PIECE_BITS = 19
+#: The top lane starts at bit 44: the sum of 2^18 terms stays within a long.
+_PIECE_BITS = 18
 RADIUS = 3
 #: Rows an ordered bucket holds, about, up to the square of BUCKET_SIDE buckets; beyond, buckets grow and spill.
 BUCKET_ROWS, BUCKET_SIDE = 4096, 64

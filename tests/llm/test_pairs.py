@@ -181,6 +181,12 @@ def test_more_texts_do_not_keep_a_line(make):
         assert left == {i: t.split("\n")[0] for i, t in enumerate(texts)}
 
 
+def test_fingerprint_of_one_word_over_and_over(spark):
+    text = F.array_join(F.array_repeat(F.lit("na"), 600_000), " ")
+    got = simhash.fingerprints(spark.range(1).select("id", text.alias("text")), ["id"]).collect()
+    assert got[0].fingerprint == spark.range(1).select(F.xxhash64(F.lit("na"), F.lit("na"))).first()[0]
+
+
 def test_within_radius(spark):
     rng = random.Random(8)
     prints = [rng.getrandbits(64) for _ in range(60)]
