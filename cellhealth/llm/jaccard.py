@@ -413,16 +413,22 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int =
 def keep_one(docs: DataFrame, similarity: Fraction = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with the least id, once; documents without words stay.
 
-    Rows without id stay too, for nothing tells them apart.
+    Rows are told apart by id and text, so that an id may stand on several texts; of a component's rows with the
+    least id, the least row hash stays. Rows without id stay too, for nothing tells them apart.
     """
-    linked = written(link_components(docs, similarity, n).filter("doc_id is not null and n_shingles > 0"), "linked")
-    gone = written(linked.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    again = written(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "again")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    hashed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    linked = link_components(hashed.select(F.col("__row").alias("doc_id"), "text"), similarity, n).filter("n_shingles > 0")
+    named = hashed.filter("doc_id is not null").select("__row", F.col("doc_id").cast("long").alias("id")).distinct()
+    counted = linked.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count("*").alias("rows"))
+    members = written(counted.join(named, "__row"), "linked")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("least")).select(F.col("least.__row").alias("__row"))
+    stays = written(stays, "stays")
+    gone = written(members.select("__row").join(stays, "__row", "left_anti"), "gone")
+    again = written(members.filter("rows > 1").join(stays, "__row", "left_semi").select("__row"), "again")
+    kept = hashed.join(small(gone), "__row", "left_anti")
     if not again.limit(1).count():
-        return kept
+        return kept.select(*docs.columns)
     # Repeated rows of a document that stays: one of them.
     few = small(again)
-    order = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(few, "doc_id", "left_semi").withColumn("__at", F.row_number().over(order)).filter("__at = 1").select(*docs.columns)
-    return kept.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    one = kept.join(few, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    return kept.join(few, "__row", "left_anti").select(*docs.columns).unionByName(one)

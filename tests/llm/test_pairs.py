@@ -32,6 +32,14 @@ def test_jaccard_keeps_one_of_each(make, rows):
     assert sum(d is None for d, _ in kept) == 3
 
 
+def test_one_id_on_several_texts(make):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 40, 9000) for _ in range(3))
+    # Id 5 stands on a copy of 1's text and on two texts of its own.
+    kept = jaccard.keep_one(make([(1, a), (5, a), (5, b), (5, c), (5, c)])).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (5, b), (5, c)])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
