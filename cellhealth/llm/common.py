@@ -44,10 +44,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application in the shared folder."""
+    return f"{checkpoint_root(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def clear_written(spark: SparkSession) -> None:

@@ -61,5 +61,52 @@ from documents o left join rest on o.doc_id is not distinct from rest.doc_id and
 """
 
 
+OP12 = r"""
+with digests as (
+  select doc_id, length(coalesce(text, '')) as chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents)
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by text_sha256) as group_size,
+  row_number() over best = 1 as kept, text_sha256
+from digests window best as (partition by text_sha256 order by chars desc, doc_id nulls last)
+"""
+
+OP13 = r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as least
+  from documents),
+marks as (
+  select doc_id, part, case when len(w) < 50 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 65 * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) then 4 else 0 end
+    + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when least < doc_id or (doc_id is null and least is not null) then 16 else 0 end as mask
+  from texts),
+flags as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+cells as (
+  select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from marks left join flags using (doc_id) group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (
+  select filter_order, s as step, 1 << (instr('ABCDE', filter_order[s]) - 1) as bit,
+    coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1))), 0)::bigint as prefix
+  from orders, generate_series(1, 5) as g(s)),
+counted as (
+  select part, filter_order, step, bit,
+    sum(case when mask & (prefix + bit) = 0 then n else 0 end) as kept,
+    sum(case when mask & bit <> 0 and mask & prefix = 0 then n else 0 end) as removed,
+    sum(case when mask & bit <> 0 and mask & prefix <> 0 then n else 0 end) as redundant,
+    sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & bit <> 0 and mask & prefix = 0 then good else 0 end) as good_lost,
+    sum(case when mask & bit <> 0 and mask & prefix = 0 then toxic else 0 end) as toxic_lost
+  from cells, steps group by part, filter_order, step, bit)
+select part, filter_order, cast(step as int) as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op6_line_templates": OP6}
+    return {"op3_mixing": OP3, "op6_line_templates": OP6, "op12_exact_dedup": OP12, "op13_filter_audit": OP13}

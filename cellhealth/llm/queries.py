@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, pii, rnnlm, simhash, suffix, templates
+from . import alignment, audit, chat, decontaminate, exact, jaccard, langid, mixing, pii, rnnlm, simhash, suffix, templates
 from .common import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,22 @@ def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trial = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(said).alias("text"))
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(*chat.format_conversations(rows.unionByName(trial.withColumn("turn", F.col("turn").cast("long")))))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens of either tokenizer, the groups they align in, and how common their links are."""
+    return alignment.align(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: which row of its text stays, and how many have it."""
+    decided = exact.decided(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part, order of five filters and step: what the step's filter removes, and what it would have without the others."""
+    return audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

@@ -164,3 +164,108 @@ def repeats(rows, length=200):
         left = bytes(x for x, c in zip(t, covered) if not c)
         out.append((doc, len(t), sum(covered), runs, hashlib.sha256(left).hexdigest()))
     return out
+
+
+# -- token alignment ----------------------------------------------------------------------------------
+
+
+def token_groups(text, a, b):
+    """[(ids of A, ids of B)] by byte offsets where both end, or [] for a text that either does not give back."""
+    whole = " " + (text or "")
+    if not text:
+        return []
+    stand = {chr(c): c for c in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    stand |= {chr(256 + i): c for i, c in enumerate(c for c in range(256) if chr(c) not in stand)}
+    left = [(i, bytes(stand[c] for c in a.id_to_token(i))) for i in a.encode(whole, add_special_tokens=False).ids]
+    right = [(i, bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p := b.id_to_piece(i)) else p.replace("▁", " ").encode()) for i in b.encode(text)]
+    if any(b"".join(x for _, x in side) != whole.encode() for side in (left, right)):
+        return []
+    out, xs, ys, at, to = [], [], [], 0, 0
+    right = iter(right)
+    for i, x in left:
+        xs.append(i)
+        at += len(x)
+        while to < at:
+            j, y = next(right)
+            ys.append(j)
+            to += len(y)
+        if to == at:
+            out.append((xs, ys))
+            xs, ys = [], []
+    return out
+
+
+def alignment(rows, a, b):
+    """Counter of (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest)."""
+    every = [(doc, token_groups(text, a, b)) for doc, text in rows]
+    count = Counter(pair for _, groups in every for pair in {(x, y) for xs, ys in groups for x in xs for y in ys})
+    best = defaultdict(int)
+    for (x, _), n in count.items():
+        best[x] = max(best[x], n)
+    out = Counter()
+    for doc, groups in every:
+        links = [(x, y) for xs, ys in groups for x in xs for y in ys]
+        names = ";".join(",".join(map(str, xs)) + "|" + ",".join(map(str, ys)) for xs, ys in groups)
+        digest = hashlib.sha256(names.encode()).hexdigest() if groups else ""
+        sizes = [sum(len(g[k]) for g in groups) for k in (0, 1)]
+        out[doc, *sizes, len(groups), len(links), sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links), digest] += 1
+    return out
+
+
+# -- exact copies -------------------------------------------------------------------------------------
+
+
+def exact_copies(rows):
+    """Counter of (doc_id, keep_id, group size, kept)."""
+    groups = defaultdict(list)
+    for doc, text in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), doc is None, doc or 0, doc))
+    out = Counter()
+    for members in groups.values():
+        members.sort(key=lambda m: m[:3])
+        out.update((m[3], members[0][3], len(members), i == 0) for i, m in enumerate(members))
+    return out
+
+
+# -- filters ------------------------------------------------------------------------------------------
+
+
+def fails(rows):
+    """Per row of (doc_id, text), the filters it fails."""
+    least = {}
+    for doc, text in rows:
+        if doc is not None:
+            least[text or ""] = min(doc, least.get(text or "", doc))
+    out = []
+    for doc, text in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        bad = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text), "D": re.search("[#$%&*|]", text)}
+        bad["E"] = text in least and (doc is None or least[text] < doc)
+        out.append("".join(k for k in "ABCDE" if bad[k]))
+    return out
+
+
+def audit(rows, labels):
+    """{(part, order, step): (kept, removed, redundant, unique, good, toxic, share)} of rows (doc_id, text, source)."""
+    from itertools import permutations
+
+    failing = fails([r[:2] for r in rows])
+    good, toxic = ({d for d, q, t in labels if (q, t)[k] == 1 and d is not None} for k in (0, 1))
+    out = {}
+    for part in {r[2] or "" for r in rows}:
+        mine = [(r[0], f) for r, f in zip(rows, failing) if (r[2] or "") == part]
+        share = Counter()
+        for order in map("".join, permutations("ABCDE")):
+            alive = mine
+            for step, k in enumerate(order, 1):
+                gone = [x for x in alive if k in x[1]]
+                share[k] += len(gone)
+                alive = [x for x in alive if k not in x[1]]
+                every = [x for x in mine if k in x[1]]
+                alone = sum(x[1] == k for x in mine)
+                out[part, order, step] = [len(alive), len(gone), len(every) - len(gone), alone, sum(d in good for d, _ in gone), sum(d in toxic for d, _ in gone)]
+        for (p, order, step), figures in out.items():
+            if p == part:
+                figures.append(share[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
