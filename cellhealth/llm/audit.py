@@ -51,8 +51,8 @@ def failing_ids(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, DataFrame
     facts = marks.join(flags, "doc_id", "left").withColumnRenamed("quality", "good").na.fill(0, ["good", "toxic"])
     facts = written(facts.withColumn("row", F.monotonically_increasing_id()), "facts")
     first = facts.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    # One row a digest on this side, so that adaptive execution can split the copies of a common text.
-    repeats = facts.join(first.select("digest", "least"), "digest").filter("least < doc_id or doc_id is null and least is not null")
+    # One row a digest on this side, and stored: adaptive execution can then split the copies of a common text.
+    repeats = facts.join(written(first.select("digest", "least"), "repeated"), "digest").filter("least < doc_id or doc_id is null and least is not null")
     tables = {k: written((repeats if k == "E" else facts.filter(F.col(k))).select("row", "part", "good", "toxic"), f"failing-{k}") for k in FILTERS}
     return tables, facts.groupBy("part").agg(F.count("*").alias("rows"))
 
