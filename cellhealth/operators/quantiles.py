@@ -1,19 +1,33 @@
-"""95th percentiles at the floor rank: element ``min(floor(0.95 n), n - 1)`` of the sorted values."""
+"""95th percentiles at the floor rank: element ``min(floor(0.95 n), n - 1)`` of the sorted values.
+
+Exact ones of groups of any size come by refinement (``with_p95``). A group's count and range show whether its p95 is simply the
+maximum; else its values are counted in coarse buckets of that range, about as many as the root of its size; the bucket that
+holds the rank is found from those counts, and only that bucket's values are counted one by one. Streams keep a sketch
+(``p95_sketch``) instead, as they cannot read their rows again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MILLI, to_milli
 from ..schemas import FEATURES
+from ..session import stored_table
 
 #: ``percentile_disc`` takes element ceil(p n). With p a hair above 0.95 that is floor(0.95 n) + 1
 #: for every n below 5e10: exact multiples move up one, all other ranks stay.
 _JUST_ABOVE = "0.950000000001D"
 
+#: In groups of so many values or fewer the floor rank is the last one: p95 is the maximum.
+LAST_RANK = 20
+#: Coarse buckets of a group's range, at most.
+BUCKETS = 1024
+
 #: Zero-based floor rank, as a one-based position.
 _POSITION = "least(19 * total div 20, total - 1) + 1"
 
@@ -25,43 +39,110 @@ def p95_aggregate(metric: str) -> Column:
     ) / MILLI
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES) -> DataFrame:
-    """``keys, metric, milli, n``: how often each metric took each value, nulls left out.
+#: Accuracy of the streaming sketch: some 16 KB a metric at most, exact up to about as many values, rank error below 1 % beyond.
+SKETCH_K = 800
+#: The sketch takes element ceil(p n), and takes p n for whole when it nearly is: so far above 0.95 that this is the floor rank
+#: wherever the sketch is exact.
+_SKETCH_RANK = 0.95001
+
+
+def p95_sketch(metric: str) -> Column:
+    """A mergeable sketch of the metric's thousandths, whose size does not follow the number of values."""
+    return F.kll_sketch_agg_bigint(to_milli(F.col(metric)), F.lit(SKETCH_K))
+
+
+def merged_sketch(sketch: str) -> Column:
+    return F.kll_merge_agg_bigint(sketch, F.lit(SKETCH_K))
+
+
+def p95_of_sketch(sketch: str) -> Column:
+    """The floor-rank p95, in thousandths, of a sketch's values; null without values."""
+    return F.when(F.kll_sketch_get_n_bigint(sketch) > 0, F.kll_sketch_get_quantile_bigint(sketch, F.lit(_SKETCH_RANK)))
+
+
+def ranges(metrics: Sequence[str]) -> list[Column]:
+    """Aggregates that ``with_p95`` starts from: ``<metric>_n`` and, in thousandths, ``_low`` and ``_high``."""
+    out = []
+    for m in metrics:
+        out += [F.count(m).alias(f"{m}_n"), F.min(to_milli(F.col(m))).alias(f"{m}_low"), F.max(to_milli(F.col(m))).alias(f"{m}_high")]
+    return out
 
-    Values are counted before the shuffle and spread by value, so a hot key is no hot partition.
+
+def _matched(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per event and metric that its group still asks for: ``keys, metric, milli`` and the group's ``columns`` for that metric."""
+    named = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[f"{m}_{c}" for m in metrics for c in columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    each = [F.struct(F.lit(i).alias("metric"), to_milli(F.col(m)).alias("milli"), *[F.col(f"{m}_{c}").alias(c) for c in columns]) for i, m in enumerate(metrics)]
+    joined = rows.select(*keys, *metrics).join(named, same)
+    return joined.select(*keys, F.inline(F.array(*each)))
+
+
+def coarse_counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """``keys, metric, low, high, total, buckets, bucket, n``: values per coarse bucket, for groups whose p95 is not their maximum.
+
+    At most ``BUCKETS`` rows per group and metric leave a task, whatever the group's size.
     """
-    values = F.array(*[to_milli(F.col(m)) for m in metrics])
-    return (
-        df.select(*keys, F.posexplode(values).alias("metric", "milli"))
-        .filter(F.col("milli").isNotNull())
-        .groupBy(*keys, "metric", "milli")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    open_ = (F.col("total") > LAST_RANK) & (F.col("high") > F.col("low")) & F.col("milli").isNotNull()
+    asked = _matched(rows, groups, keys, metrics, ("n", "low", "high")).withColumnRenamed("n", "total").filter(open_)
+    sized = asked.withColumn("buckets", F.least(F.lit(BUCKETS), F.ceil(F.sqrt("total"))))
+    placed = sized.withColumn("bucket", F.expr("(milli - low) * buckets div (high - low + 1)"))
+    return placed.groupBy(*keys, "metric", "low", "high", "total", "buckets", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rank_bucket(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, metric, from, to, place``: the values, and the rank among them, that the coarse bucket with the floor rank holds."""
+    upto = F.sum("n").over(Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).withColumn("position", F.expr(_POSITION))
+    hit = ranked.filter("upto >= position and upto - n < position").withColumn("span", F.col("high") - F.col("low") + 1)
+    first = F.expr("low + (bucket * span + buckets - 1) div buckets")
+    last = F.expr("low + ((bucket + 1) * span - 1) div buckets")
+    return hit.select(*keys, "metric", first.alias("from"), last.alias("to"), (F.col("position") - F.col("upto") + F.col("n")).alias("place"))
+
+
+def _by_metric(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per group, ``columns`` once for each metric."""
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == i, F.col(c))).alias(f"{m}_{c}") for i, m in enumerate(metrics) for c in columns])
+
+
+def fine_counts(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """``keys, metric, place, milli, n``: how often each value of a group's one chosen bucket occurs."""
+    asked = _matched(rows, chosen, keys, metrics, ("from", "to", "place")).filter("milli between `from` and `to` and `from` < `to`")
+    return asked.groupBy(*keys, "metric", "place", "milli").agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_p95_mark(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``is_p95``: whether a metric's floor-rank p95 falls on this value.
+def with_p95(groups: DataFrame, rows: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95") -> DataFrame:
+    """Adds each metric's exact p95, in thousandths and null without values, to a stored table of ``groups``.
 
-    The running count goes over distinct values only, never over raw rows.
+    ``groups`` has the keys and the ``ranges`` of ``rows``. The rows are read twice more, and not at all where every p95 is a
+    maximum; they meet the groups by a broadcast where that table is small, else by a shuffle in which adaptive execution splits
+    hot groups. Counts are merged before they are shuffled.
     """
-    group = Window.partitionBy(*keys, "metric")
-    upto = F.sum("n").over(group.orderBy("milli").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
-    position = F.expr(_POSITION)
-    hit = (F.col("upto") >= position) & (F.col("upto") - F.col("n") < position)
-    return ranked.withColumn("is_p95", hit).drop("upto", "total")
+    high = [F.col(f"{m}_high").alias(m + suffix) for m in metrics]
+    undecided = reduce(or_, [(F.col(f"{m}_n") > LAST_RANK) & (F.col(f"{m}_high") > F.col(f"{m}_low")) for m in metrics])
+    open_ = groups.filter(undecided)
+    if not open_.limit(1).count():
+        return groups.select("*", *high)
+    found = _rank_bucket(coarse_counts(rows, open_, keys, metrics), keys)
+    chosen = stored_table(_by_metric(found, keys, metrics, ("from", "to", "place")), "rank-buckets")
+    unsettled = reduce(or_, [F.col(f"{m}_from") < F.col(f"{m}_to") for m in metrics])
+    upto = F.sum("n").over(Window.partitionBy(*keys, "metric").orderBy("milli").rowsBetween(Window.unboundedPreceding, 0))
+    fine = fine_counts(rows, chosen.filter(unsettled), keys, metrics).withColumn("upto", upto)
+    value = _by_metric(fine.filter("upto >= place and upto - n < place").withColumnRenamed("milli", "value"), keys, metrics, ("value",))
+    out = groups
+    for part, columns in ((chosen.select(*keys, *[f"{m}_from" for m in metrics]), ["from"]), (value, ["value"])):
+        named = part.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"{m}_{c}").alias(f"__{m}_{c}") for m in metrics for c in columns])
+        out = out.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    exact = [F.coalesce(f"__{m}_value", f"__{m}_from", f"{m}_high").alias(m + suffix) for m in metrics]
+    return out.select(*groups.columns, *exact)
 
 
 def p95_per_group(
     df: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95"
 ) -> DataFrame:
     """Exact p95 of each metric per group, for groups of any size; null without values."""
-    picked = with_p95_mark(value_counts(df, keys, metrics), keys).filter("is_p95")
-    one_per_metric = [
-        (F.max(F.when(F.col("metric") == i, F.col("milli"))) / MILLI).alias(m + suffix)
-        for i, m in enumerate(metrics)
-    ]
-    return picked.groupBy(*keys).agg(*one_per_metric)
+    groups = stored_table(df.groupBy(*keys).agg(*ranges(metrics)), "ranges")
+    found = with_p95(groups, df, keys, metrics, suffix)
+    return found.select(*keys, *[(F.col(m + suffix) / MILLI).alias(m + suffix) for m in metrics])
 
 
 def p95_approx_per_group(

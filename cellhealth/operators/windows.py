@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import MILLI, average_of, half_up, sum_milli, to_milli
 from ..functions.telemetry import is_anomaly, known_or_default
 from ..schemas import FEATURES, STATS
-from .quantiles import p95_aggregate, with_p95_mark
+from ..session import stored_table
+from .quantiles import merged_sketch, p95_aggregate, p95_of_sketch, p95_sketch, with_p95
 
 # Emission interval, and the constant the window rows carry beside it.
 WINDOW_SECONDS = 10
@@ -101,51 +102,31 @@ def _windows_by_hash(keyed: DataFrame, size: int, slide: int, stats: Sequence[st
     return partial.groupBy(*_GROUP).agg(*_merged(stats, metrics))
 
 
-def _windows_by_counts(keyed: DataFrame, size: int, slide: int, metrics: Sequence[str]) -> DataFrame:
-    """All statistics from one pass that counts values.
+def _windows_by_refinement(keyed: DataFrame, size: int, slide: int, metrics: Sequence[str]) -> DataFrame:
+    """All statistics: those of ``_windows_by_hash`` as a stored table, and exact p95s refined from their counts and ranges."""
+    stats = _windows_by_hash(keyed, size, slide, ("avg", "min", "max"), metrics).withColumn("start", F.col("window.start"))
+    bounds = {f"{m}_{name}": to_milli(F.col(f"{m}_{side}")) for m in metrics for name, side in (("low", "min"), ("high", "max"))}
+    stats = stored_table(stats.withColumns(bounds), "window-ranges")
+    start = F.col("window.start") if slide == size else F.explode(_starts(F.col("window.start"), size, slide))
+    rows = keyed.select(start.alias("start"), "cell_id", *metrics)
+    exact = with_p95(stats, rows, ["start", "cell_id"], metrics)
+    return exact.withColumns({f"{m}_p95": F.col(f"{m}_p95") / MILLI for m in metrics})
 
-    Each event gives one value per metric and, at the position after the last metric, whether it
-    is an anomaly. Counts per value are merged before and after the shuffle and spread by value;
-    every statistic follows from them.
+
+def _windows_of_stream(keyed: DataFrame, size: int, slide: int, stats: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """One aggregation a pane, with a sketch for each p95; sliding windows by a second one over the panes that closed.
+
+    So an event touches one state entry, not one for each window it lies in, and an entry's size does not follow its events.
     """
-    event = len(metrics)
-    group = ["start", "cell_id"]
-    counted = [*group, "metric", "milli", "region"]
-    values = F.array(*[to_milli(F.col(m)) for m in metrics], F.when(is_anomaly(), 1).otherwise(0).cast("bigint"))
-    is_event = F.col("metric") == event
-    counts = (
-        keyed.select(F.col("window.start"), "cell_id", "ts", "region", F.posexplode(values).alias("metric", "milli"))
-        .filter(F.col("milli").isNotNull())
-        .withColumn("region", F.when(is_event, F.col("region")))
-        .groupBy(*counted)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    )
+    sketched = metrics if "p95" in stats else ()
+    sketches = [p95_sketch(m).alias(f"{m}_sketch") for m in sketched]
+    windows = keyed.groupBy(*_GROUP).agg(*_partials(stats, metrics), _earliest("ts").alias("first"), *sketches)
     if slide != size:
-        merged = [F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
-        counts = counts.withColumn("start", F.explode(_starts(F.col("start"), size, slide))).groupBy(*counted).agg(*merged)
-
-    n, milli = F.col("n"), F.col("milli")
-    # One row per metric first, where the counts already lie; only those rows are turned into columns.
-    per_metric = with_p95_mark(counts, group).groupBy(*group, "metric", "region").agg(
-        F.sum("n").alias("n"),
-        F.sum(n * milli).alias("sum"),
-        F.min("milli").alias("min"),
-        F.max("milli").alias("max"),
-        F.max(F.when(F.col("is_p95"), milli)).alias("p95"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-    )
-    aggregates = [
-        F.sum(F.when(is_event, n)).alias("event_count"),
-        F.sum(F.when(is_event, F.col("sum"))).alias("anomaly_event_count"),
-        F.max("last_ts").alias("last_ts"),
-        _earliest("first_ts").alias("first"),
-    ]
-    for i, m in enumerate(metrics):
-        mine = F.col("metric") == i
-        aggregates += [F.max(F.when(mine, F.col(c))).alias(f"{m}_{c}") for c in ("sum", "n")]
-        aggregates += [(F.max(F.when(mine, F.col(c))) / MILLI).alias(f"{m}_{c}") for c in ("min", "max", "p95")]
-    return per_metric.groupBy(*group).agg(*aggregates).withColumn("window", _window(F.col("start"), size))
+        panes = windows.withColumn("pane", F.window_time("window")).drop("window")
+        merged = [*_merged(stats, metrics)[:3], F.min("first").alias("first"), *_merged(stats, metrics)[4:]]
+        merged += [merged_sketch(f"{m}_sketch").alias(f"{m}_sketch") for m in sketched]
+        windows = panes.groupBy(F.window("pane", _seconds(size), _seconds(slide)), "cell_id").agg(*merged)
+    return windows.withColumns({f"{m}_p95": p95_of_sketch(f"{m}_sketch") / MILLI for m in sketched}) if sketched else windows
 
 
 def flat_windows(
@@ -154,37 +135,38 @@ def flat_windows(
     slide: int | None = None,
     stats: Sequence[str] = STATS,
     metrics: Sequence[str] = FEATURES,
-    p95: str = "counts",
+    p95: str | None = None,
 ) -> DataFrame:
     """Window rows with flat ``<metric>_<stat>`` columns, from a static or a streaming DataFrame.
 
     ``size`` and ``slide`` are seconds; windows are aligned to the epoch. Events are aggregated
-    before the shuffle, sliding windows are merged from panes of one slide. ``p95`` is
-    ``"counts"`` (value counts, for groups of any size) or, at the caller's wish, ``"aggregate"`` (in the one
-    aggregation, whose buffer holds a count per distinct value).
-    A stream needs its watermark set by the caller and always uses ``"aggregate"``.
+    before the shuffle, sliding windows are merged from panes of one slide. ``p95`` says how:
+
+    * ``"refined"``, the choice for tables: exact, for groups of any size; the other statistics are stored on the way, so a job
+      runs at once.
+    * ``"sketch"``, the choice for streams and for them only: state of bounded size, exact for windows of up to some hundred
+      values a metric, else with the sketch's rank error.
+    * ``"aggregate"``: exact, in the one aggregation, whose buffer holds a count per distinct value; not for sliding windows.
+
+    A stream needs its watermark set by the caller.
     """
     slide = slide or size
+    p95 = p95 or ("sketch" if events.isStreaming else "refined")
     if size % slide:
         raise ValueError("the slide must divide the window size")
-    if events.isStreaming:
-        p95 = "aggregate"
-    elif slide != size and "p95" in stats and p95 == "aggregate":
+    if p95 not in ("sketch", "aggregate") if events.isStreaming else p95 not in ("refined", "aggregate"):
+        raise ValueError(f"no p95 by {p95} here")
+    if slide != size and "p95" in stats and p95 == "aggregate":
         raise ValueError("sliding windows merge panes, and an aggregated p95 cannot be merged")
 
-    if events.isStreaming and slide != size:
-        window = F.window("ts", _seconds(size), _seconds(slide))
-    else:
-        window = F.window("ts", _seconds(slide))
-    keyed = events.withColumn("window", window)
-
-    if events.isStreaming or ("p95" in stats and p95 == "aggregate"):
+    keyed = events.withColumn("window", F.window("ts", _seconds(slide)))
+    if "p95" in stats and p95 == "aggregate":
         aggregates = [*_partials(stats, metrics), _earliest("ts").alias("first")]
-        if "p95" in stats:
-            aggregates += [p95_aggregate(m).alias(f"{m}_p95") for m in metrics]
-        windows = keyed.groupBy(*_GROUP).agg(*aggregates)
+        windows = keyed.groupBy(*_GROUP).agg(*aggregates, *[p95_aggregate(m).alias(f"{m}_p95") for m in metrics])
+    elif events.isStreaming:
+        windows = _windows_of_stream(keyed, size, slide, stats, metrics)
     elif "p95" in stats:
-        windows = _windows_by_counts(keyed, size, slide, metrics)
+        windows = _windows_by_refinement(keyed, size, slide, metrics)
     else:
         windows = _windows_by_hash(keyed, size, slide, stats, metrics)
 
@@ -215,7 +197,7 @@ def to_documents(flat: DataFrame, size: int = WINDOW_SECONDS, metrics: Sequence[
 
 
 def cell_windows(
-    events: DataFrame, size: int = WINDOW_SECONDS, slide: int | None = None, p95: str = "counts"
+    events: DataFrame, size: int = WINDOW_SECONDS, slide: int | None = None, p95: str | None = None
 ) -> DataFrame:
     """The window table: one stored row per cell and window that saw an event."""
     return to_documents(flat_windows(events, size, slide, p95=p95), size)

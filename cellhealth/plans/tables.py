@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import label_name, profile_code
 from ..functions.telemetry import cell_name
 from ..operators.windows import as_features, flat_windows
-from ..session import apply_settings, checkpoint_root
+from ..session import apply_settings, checkpoint_root, tables_root
 
 DAY = 86_400
 
@@ -29,7 +29,7 @@ def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     prune days. ``drop_tables`` deletes it.
     """
     name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    path = f"{_tables_root(spark)}/{name}/windows"
+    path = f"{tables_root(spark)}/{name}/windows"
     folder, fs = _folder(spark, path)
     if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
         rows = with_labels(windowed(spark, sf_dir)).withColumn("day", F.to_date("window_end"))
@@ -39,14 +39,10 @@ def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables stored for this application."""
-    folder, fs = _folder(spark, _tables_root(spark))
+    folder, fs = _folder(spark, tables_root(spark))
     fs.delete(folder, True)
 
 
-def _tables_root(spark: SparkSession) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
-
-
 def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import warnings
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Event times are UTC; skewed joins and small partitions are left to adaptive execution.
 SETTINGS = {
@@ -39,6 +40,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return shared or context.getCheckpointDir()
 
 
+def tables_root(spark: SparkSession) -> str:
+    """The folder of this application's stored tables, below the shared one."""
+    return f"{checkpoint_root(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: made once, read by what follows, and of a size the planner knows."""
+    path = f"{tables_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_session(name: str, cores: int | str = 8, **extra: str) -> SparkSession:
     """A single-machine session, for tests and the bench."""
     builder = (

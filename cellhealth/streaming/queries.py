@@ -6,6 +6,8 @@ repeated, so a restart from the checkpoint neither loses nor doubles a row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +48,30 @@ def checkpoint_for(spark: SparkSession, name: str) -> str:
     return f"{durable.rstrip('/')}/{name}"
 
 
+def once_delivered(events: DataFrame, lateness: str = LATENESS, ids: Sequence[str] = ("event_id",)) -> DataFrame:
+    """The stream with its watermark, each message once: an at-least-once source may send one again.
+
+    A second delivery is dropped while the first is no older than the watermark's delay, for which its id is kept; one that comes
+    later than that is late. Messages without an id are known by a hash of their text (``decode``).
+    """
+    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(ids))
+
+
 def window_stream(
     events: DataFrame,
     size: int = WINDOW_SECONDS,
     slide: int | None = None,
     lateness: str = LATENESS,
     flat: bool = False,
+    p95: str = "sketch",
+    once: bool = True,
 ) -> DataFrame:
-    """The window operator over a stream: rows leave when the watermark passes their window's end."""
-    marked = events.withWatermark("ts", lateness)
-    return flat_windows(marked, size, slide) if flat else cell_windows(marked, size, slide)
+    """The window operator over a stream: rows leave when the watermark passes their window's end.
+
+    With ``once``, the default, messages that were delivered again are dropped first, which costs a shuffle by message id.
+    """
+    marked = once_delivered(events, lateness) if once else events.withWatermark("ts", lateness)
+    return flat_windows(marked, size, slide, p95=p95) if flat else cell_windows(marked, size, slide, p95)
 
 
 def _trigger(every: str | None) -> dict:

@@ -90,6 +90,57 @@ def test_sliding_replay_equals_batch(spark, events, tmp_path):
     same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, 3 * DAY, DAY)))
 
 
+def test_exact_p95_in_the_stream(spark, events, tmp_path):
+    rows, parts = events
+    replay(spark, parts, f"{tmp_path}/in")
+    out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True, p95="aggregate")
+    queries.append_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
+
+
+def test_messages_delivered_again_count_once(spark, events, tmp_path):
+    """Every 7th message comes twice, in its own batch and again in the next."""
+    rows, parts = events
+    again = None
+    for part in parts:
+        batch = spark.read.parquet(part)
+        twice = batch.filter(F.col("event_id") % 7 == 0)
+        late = twice.filter(F.col("ts") > twice.agg(F.max("ts") - F.expr("interval 30 minutes")).first()[0])
+        (batch.unionByName(twice) if again is None else batch.unionByName(twice).unionByName(again)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        again = spark.createDataFrame(late.collect(), late.schema)
+        time.sleep(1.1)
+    out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True)
+    queries.append_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
+
+
+def test_state_is_bounded_by_sketches_and_panes(spark, tmp_path):
+    """Many distinct values in one window: state of a fixed size, ranks within the sketch's error; one entry a pane, not a window."""
+    n = 60_000
+    values = {m: F.pmod(F.xxhash64("event_id", F.lit(i)), F.lit(10**6)) / 1000.0 for i, m in enumerate(FEATURES)}
+    made = spark.range(n).select(F.col("id").alias("event_id"), (F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 30)).alias("ts"), F.lit("CELL_0001").alias("cell_id"), F.lit("North").alias("region")).withColumns(values)
+    made = made.select(*TELEMETRY_SCHEMA.names)
+    made.write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([event(n, 9e5)], TELEMETRY_SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema(TELEMETRY_SCHEMA).parquet(f"{tmp_path}/in")
+    out = queries.window_stream(rows, 30, 10, "1 minute", flat=True, once=False)
+    query = queries.append_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    first = next(p for p in query.recentProgress if p["numInputRows"])
+    panes = max(s["numRowsTotal"] for s in first["stateOperators"])
+    assert panes == 4  # three panes of the full half minute, one of the closing event
+    used = max(s["memoryUsedBytes"] for s in first["stateOperators"])
+    assert used < 4 * len(FEATURES) * 32_000 + 500_000  # the values themselves would be 2.9 MB
+    found = {r["window_end"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    exact = {r["window_end"]: r for r in flat_windows(made, 30, 10).collect()}
+    assert found.keys() == exact.keys() and len(exact) == 5
+    for end, row in exact.items():
+        inside = made.filter((F.col("ts") < F.lit(end)) & (F.col("ts") >= F.lit(end) - F.expr("interval 30 seconds")))
+        ranks = inside.agg(*[F.avg((F.col(m) <= found[end][f"{m}_p95"]).cast("double")) for m in FEATURES]).first()
+        assert all(abs(rank - 0.95) < 0.01 for rank in ranks)
+        assert all(found[end][c] == row[c] for c in made.columns if c in row) and found[end]["event_count"] == row["event_count"]
+
+
 def test_late_events_are_dropped_and_counted(spark, events, tmp_path):
     _, parts = events
     replay(spark, parts[::-1], f"{tmp_path}/in")

@@ -12,6 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cellhealth.operators import quantiles
 from cellhealth.operators.quantiles import p95_approx_per_group, p95_per_group
 from cellhealth.operators.windows import cell_windows, flat_windows, window_regions
 from cellhealth.schemas import FEATURES, STATS, WINDOW_SCHEMA
@@ -82,7 +83,7 @@ def test_windows_equal_accumulator(telemetry, rows):
     df = telemetry(rows)
     expected = accumulate(rows, 30)
     assert as_dict(flat_windows(df, 30, p95="aggregate")) == expected
-    assert as_dict(flat_windows(df, 30, p95="counts")) == expected
+    assert as_dict(flat_windows(df, 30, p95="refined")) == expected
     assert as_dict(flat_windows(df, 30, slide=10)) == accumulate(rows, 30, 10)
 
 
@@ -92,7 +93,7 @@ def test_p95_takes_the_floor_rank(telemetry, n):
     df = telemetry([event(i, 0, latency_ms=float(v)) for i, v in enumerate(order)])
     wanted = float(min(int(n * 0.95), n - 1))
     assert flat_windows(df, 10, p95="aggregate").first()["latency_ms_p95"] == wanted
-    assert flat_windows(df, 10, p95="counts").first()["latency_ms_p95"] == wanted
+    assert flat_windows(df, 10, p95="refined").first()["latency_ms_p95"] == wanted
     assert p95_per_group(df, ["cell_id"]).first()["latency_ms_p95"] == wanted
 
 
@@ -125,7 +126,7 @@ def test_metric_without_values_is_zero(telemetry):
 def test_first_region_of_a_window(telemetry, regions, wanted):
     df = telemetry([event(i, i, region=r) for i, r in enumerate(regions)])
     assert flat_windows(df, 10).first()["region"] == wanted
-    assert flat_windows(df, 10, p95="counts").first()["region"] == wanted
+    assert flat_windows(df, 10, p95="refined").first()["region"] == wanted
     assert window_regions(df, 10).first()["region"] == wanted
 
 
@@ -146,3 +147,46 @@ def test_documents_have_the_stored_shape(telemetry):
 def test_slide_must_divide_the_size(telemetry):
     with pytest.raises(ValueError):
         flat_windows(telemetry([event(0)]), 10, slide=3)
+
+
+def plain_p95(values):
+    values = sorted(values)
+    return half_up(values[min(19 * len(values) // 20, len(values) - 1)]) if values else None
+
+
+def test_refined_p95_of_uneven_groups(telemetry, spark):
+    """Groups from one row to thousands, with ties, nulls, outliers, a null key and one value only."""
+    rng = random.Random(5)
+    rows, groups = [], {}
+    for cell, n in (("CELL_0001", 1), ("CELL_0002", 20), ("CELL_0003", 21), ("CELL_0004", 400), (None, 3000), ("CELL_0005", 50), ("CELL_0006", 6000)):
+        for i in range(n):
+            latency = {"CELL_0005": 7.0, "CELL_0004": 1e6 if i == 3 else -i / 8}.get(cell, rng.randrange(-5000, 90_000) / 1000)
+            jitter = None if rng.random() < 0.5 else float(rng.randrange(5))
+            groups.setdefault(cell, ([], []))[0].append(latency)
+            groups[cell][1].append(jitter)
+            rows.append(event(len(rows), rng.randrange(8), cell, latency_ms=latency, jitter_ms=jitter))
+    df = telemetry(rows)
+    expected = {c: (plain_p95(a), plain_p95([x for x in b if x is not None])) for c, (a, b) in groups.items()}
+    found = p95_per_group(df, ["cell_id"]).collect()
+    assert {r.cell_id: (r.latency_ms_p95, r.jitter_ms_p95) for r in found} == expected
+    flat = flat_windows(df, 10).collect()
+    assert {r.cell_id: (r.latency_ms_p95, r.jitter_ms_p95) for r in flat} == {c: (a, b or 0.0) for c, (a, b) in expected.items()}
+
+
+def test_refinement_shuffles_few_rows(spark):
+    """Distinct values: per group and metric, the buckets and one bucket's values, not the group's."""
+    n = 200_000
+    values = {m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10**8)) / 1000.0 for i, m in enumerate(FEATURES)}
+    rows = spark.range(n).withColumn("cell_id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 10)).withColumns(values)
+    groups = quantiles.stored_table(rows.groupBy("cell_id").agg(*quantiles.ranges(FEATURES)), "test-ranges")
+    coarse = quantiles.coarse_counts(rows, groups, ["cell_id"], FEATURES)
+    assert coarse.count() <= groups.count() * len(FEATURES) * quantiles.BUCKETS
+    chosen = quantiles._by_metric(quantiles._rank_bucket(coarse, ["cell_id"]), ["cell_id"], FEATURES, ("from", "to", "place"))
+    assert quantiles.fine_counts(rows, chosen, ["cell_id"], FEATURES).count() < n * len(FEATURES) / 100
+
+
+def test_small_groups_are_read_once(spark, telemetry):
+    """Where every p95 is a maximum, the plan reads the stored windows only."""
+    df = telemetry([event(i, 10 * i, latency_ms=float(i)) for i in range(200)])
+    plan = flat_windows(df, 10)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1 and "LocalTableScan" not in plan.split("== Physical Plan ==")[1]
