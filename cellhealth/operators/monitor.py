@@ -276,36 +276,81 @@ def filtered(
 # -- the composite reply ------------------------------------------------------------------------
 
 
+def _item(section: str, key: Column, *fields: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("item"))
+
+
+def _one_more(rows: DataFrame) -> DataFrame:
+    """The rows, marked ``real``, and a row without values that is not: totals then have a row on no input too."""
+    blank = rows.sparkSession.range(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes], F.lit(False).alias("real"))
+    return rows.withColumn("real", F.lit(True)).unionByName(blank)
+
+
+def _prediction_items(predictions: DataFrame, anchor: Column, minutes: int, unit: str) -> DataFrame:
+    """Mix, rate, activity, regions and series from one scan: the longest lookback is read, and each figure counts its own."""
+    at = F.date_trunc(unit, "timestamp").alias("bucket")
+    recent = _one_more(since(predictions, "timestamp", anchor, 30 * minutes).select("region", "label", "timestamp", at))
+    within = lambda span: F.count_if(F.col("real") & (F.col("timestamp") >= anchor - F.expr(f"interval {span} seconds")))
+    other = F.coalesce(~F.col("label").isin(*LABELS), F.lit(True))
+    keys = ("region", "label", "bucket")
+    counts = recent.groupingSets([["label"], ["region", "label"], ["bucket"], []], *keys).agg(
+        F.grouping_id(*keys).alias("left_out"),
+        F.count_if("real").alias("half_hour"),
+        within(10 * minutes).alias("ten_minutes"),
+        within(minutes).alias("minute"),
+        *[F.count_if(F.col("real") & (F.col("label") == label)).alias(f"is_{label}") for label in LABELS],
+        F.count_if(F.col("real") & other).alias("is_other"),
+    )
+    left_out, number = F.col("left_out"), F.col("half_hour").alias("count")
+    series = [F.col(f"is_{label}").alias(label) for label in (*LABELS, "other")]
+    regions = (F.col("region"), F.col("label"), F.col("ten_minutes").alias("count"))
+    # A bit of ``left_out`` is set for each key that a row's grouping set lacks.
+    items = (
+        F.when((left_out == 0b101) & (F.col("half_hour") > 0), F.array(_item("distribution", F.col("label"), number)))
+        .when((left_out == 0b001) & (F.col("ten_minutes") > 0), F.array(_item("regions", F.concat_ws(" ", "region", "label"), *regions)))
+        .when((left_out == 0b110) & (F.col("half_hour") > 0), F.array(_item("series", iso_utc(F.col("bucket")), *series)))
+        .when(
+            left_out == 0b111,
+            F.array(
+                _item("rate", F.lit(""), F.col("minute").alias("predictions")), _item("active", F.lit(""), (F.col("minute") > 0).alias("active"))
+            ),
+        )
+    )
+    return counts.select(F.inline(items))
+
+
+def _feature_items(features: DataFrame, anchor: Column, span: int) -> DataFrame:
+    """The newest state of each cell and the totals of the span, from one scan and a second step over one row a cell."""
+    recent = F.col("window_end") >= anchor - F.expr(f"interval {span} seconds")
+    state = {"region": "region", "avg_signal_strength_dbm": "signal_avg", "avg_latency_ms": "latency_avg", "avg_throughput_mbps": "throughput_avg"}
+    newest = F.max(F.struct(F.col("window_end").alias("last_seen"), *[F.col(c).alias(name) for c, name in state.items()]))
+    cells = features.groupBy("cell_id").agg(newest.alias("newest"), F.sum(F.when(recent, F.col("event_count"))).alias("events"), F.count_if(recent).alias("docs"))
+    both = (
+        _one_more(cells)
+        .groupingSets([["cell_id"], []], "cell_id")
+        .agg(F.grouping_id("cell_id").alias("all"), F.max("real").alias("real"), F.max("newest").alias("newest"), F.sum("events").alias("events"), F.sum("docs").alias("docs"))
+    )
+    shown = [F.col(f"newest.{name}").alias(name) for name in state.values()]
+    totals = (F.coalesce("events", F.lit(0)).alias("total_events"), F.coalesce("docs", F.lit(0)).alias("total_docs"))
+    cell = _item("cells", F.col("cell_id"), *shown, iso_utc(F.col("newest.last_seen")).alias("last_seen"))
+    items = F.when(F.col("all") == 1, F.array(_item("events", F.lit(""), *totals))).when(F.col("real"), F.array(cell))
+    return both.select(F.inline(items))
+
+
 def dashboard_reply(
     predictions: DataFrame, features: DataFrame, anchor: Column, scale: int = 1, unit: str = "minute"
 ) -> DataFrame:
     """All monitoring results in one frame: a section, a key within it, and the item as JSON.
 
     One row per item rather than one document, so the reply may hold any number of cells.
-    ``scale`` stretches every lookback alike.
+    ``scale`` stretches every lookback alike. Three scans: recent predictions, the newest ones, and the features.
     """
-
-    def section(name: str, key: Column, df: DataFrame, *item: str | Column) -> DataFrame:
-        return df.select(F.lit(name).alias("section"), key.alias("key"), F.to_json(F.struct(*item)).alias("item"))
-
-    none = F.lit("")
-    minutes = MINUTE * scale
     # The text is made below the limit: made above it, it would turn the top-n into a full sort.
     stamped = predictions.select("cell_id", "region", "label", "timestamp", iso_utc(F.col("timestamp")).alias("iso"))
     feed = newest_rows(stamped, "timestamp", ["cell_id"], FEED_ROWS)
-    state = cell_latest(features).withColumn("last_seen", iso_utc(F.col("last_seen")))
-    series = label_series(predictions, anchor, 30 * minutes, unit).withColumn("bucket", iso_utc(F.col("bucket")))
-    parts = [
-        section("distribution", F.col("label"), label_mix(predictions, anchor, 30 * minutes), "count"),
-        section("rate", none, recent_count(predictions, anchor, minutes), "predictions"),
-        section("active", none, feed_active(predictions, anchor, minutes), "active"),
-        section("events", none, event_totals(features, anchor, 5 * minutes), "total_events", "total_docs"),
-        section("recent", F.concat_ws(" ", "iso", "cell_id"), feed, "cell_id", "region", "label", F.col("iso").alias("timestamp")),
-        section("regions", F.concat_ws(" ", "region", "label"), region_labels(predictions, anchor, 10 * minutes), "region", "label", "count"),
-        section("cells", F.col("cell_id"), state, "region", "signal_avg", "latency_avg", "throughput_avg", "last_seen"),
-        section("series", F.col("bucket"), series, *LABELS, "other"),
-    ]
-    reply = parts[0]
-    for part in parts[1:]:
-        reply = reply.unionByName(part)
-    return reply
+    recent = _item("recent", F.concat_ws(" ", "iso", "cell_id"), F.col("cell_id"), F.col("region"), F.col("label"), F.col("iso").alias("timestamp"))
+    return (
+        _prediction_items(predictions, anchor, MINUTE * scale, unit)
+        .unionByName(_feature_items(features, anchor, 5 * MINUTE * scale))
+        .unionByName(feed.select(F.inline(F.array(recent))))
+    )

@@ -214,6 +214,11 @@ union all select 'series', {_ISO.format("date_trunc('hour', timestamp)")}, cast(
 
 def oracle_sql() -> dict[str, str]:
     newest = "qualify row_number() over (partition by cell_id order by window_end desc) = 1"
+    sliding = _events(
+        f"""select cell_id, date_trunc('day', ts) + to_days(cast(d as int)) as window_end, min(region) as region,
+  count(*) as event_count, count(*) filter (where {ANOMALY}) as anomaly_event_count, {_stat_columns()}
+from telemetry, (values (1), (2), (3)) as days(d) group by 1, 2"""
+    )
     features = "cell_id, window_end, " + _each("avg_{m}") + ", event_count, anomaly_event_count, region"
     return {
         # events
@@ -261,11 +266,9 @@ from (select *, case when hour(ts) between 8 and 18 then 1e0 else 7e-1 end as pe
         "window_stats": _tumbling(86_400),
         "window_stats_wide": _tumbling(5 * 86_400),
         "window_stats_narrow": _tumbling(600),
-        "sliding_stats": _events(
-            f"""select cell_id, date_trunc('day', ts) + to_days(cast(d as int)) as window_end, min(region) as region,
-  count(*) as event_count, count(*) filter (where {ANOMALY}) as anomaly_event_count, {_stat_columns()}
-from telemetry, (values (1), (2), (3)) as days(d) group by 1, 2"""
-        ),
+        "sliding_stats": sliding,
+        "streamed_windows": _tumbling(86_400),
+        "streamed_sliding": sliding,
         "window_region": _events(
             """select cell_id, date_trunc('day', ts) + interval 1 day as window_end,
   coalesce(nullif(min_by(r, (ts, r)) filter (where r is not null), ''), 'unknown') as region

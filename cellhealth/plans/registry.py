@@ -144,6 +144,18 @@ def sliding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(windows.flat_windows(tables.telemetry(spark, sf_dir), 3 * DAY, slide=DAY))
 
 
+@query
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship as a stream: messages that come twice count once, windows go to a table by day."""
+    return _stats(tables.streamed_windows(spark, sf_dir)).drop("day")
+
+
+@query
+def streamed_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows as a stream, merged from its panes."""
+    return _stats(tables.streamed_windows(spark, sf_dir, DAY, 3 * DAY)).drop("day")
+
+
 @query
 def window_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First region per window, over telemetry whose region is empty or null now and then."""
@@ -223,13 +235,13 @@ def online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features for the cells whose number leaves 3 when divided by 7 and for one unknown, as the reply to a request."""
-    rows = _window_rows(spark, sf_dir)
-    known = rows.select("cell_id").distinct().filter(F.substring("cell_id", 6, 9).cast("int") % 7 == 3)
+    """Features for the cells whose number leaves 3 when divided by 7 and for one unknown, as the reply to a request: read from
+    those parts of the online table that they fall into."""
+    online = tables.online_table(spark, sf_dir)
+    known = online.read().select("cell_id").filter(F.substring("cell_id", 6, 9).cast("int") % 7 == 3)
     asked = known.unionByName(spark.range(1).select(cell_name(F.col("id") + 9999).alias("cell_id")))
-    online = features.latest_features(rows)
     wanted = [f"avg_{m}" for m in FEATURES] + ["event_count", "anomaly_event_count"]
-    return features.lookup(online, asked, columns=wanted)
+    return online.lookup(asked, columns=wanted)
 
 
 @query

@@ -6,14 +6,19 @@ The tables span days where live telemetry spans minutes, so windows are one day
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_name, profile_code
 from ..functions.telemetry import cell_name
+from ..operators.features import latest_features
 from ..operators.windows import as_features, flat_windows
+from ..schemas import TELEMETRY_SCHEMA
 from ..session import apply_settings, checkpoint_root, tables_root
+from ..sources.tables import DayTable, OnlineTable
+from ..streaming import queries
 
 DAY = 86_400
 
@@ -37,6 +42,33 @@ def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def online_table(spark: SparkSession, sf_dir: str) -> OnlineTable:
+    """The online table of the one-day windows' newest rows, stored once per application and source folder."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    online = OnlineTable(spark, f"{tables_root(spark)}/{name}/online")
+    if not online.filled():
+        online.upsert(latest_features(window_table(spark, sf_dir)))
+    return online
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str, slide: int | None = None, size: int = DAY) -> DataFrame:
+    """The windows of the telemetry as a stream leaves them in a table by day: every 7th message comes twice, and a last one, far
+    ahead, closes all windows but its own. Runs the stream to its end; each call writes tables of its own."""
+    root = f"{tables_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    sent = telemetry(spark, sf_dir).select(*TELEMETRY_SCHEMA.names)
+    ahead = F.make_dt_interval(days=F.lit(10 + 2 * size // DAY))
+    closing = sent.agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts")).select(
+        (F.col("event_id") + 1).alias("event_id"), (F.col("ts") + ahead).alias("ts"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in TELEMETRY_SCHEMA.fields[2:]]
+    )
+    sent.unionByName(sent.filter(F.col("event_id") % 7 == 0)).unionByName(closing).write.parquet(f"{root}/messages")
+    messages = spark.readStream.schema(TELEMETRY_SCHEMA).parquet(f"{root}/messages")
+    # The files come in no order of time; one batch takes them all, so that none is late.
+    live = queries.window_stream(messages, size, slide, "1 hour", flat=True)
+    table = DayTable(spark, f"{root}/windows", live.schema)
+    queries.append_by_day(live, table, f"{root}/checkpoint").awaitTermination()
+    return table.read()
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables stored for this application."""
     folder, fs = _folder(spark, tables_root(spark))

@@ -1,7 +1,7 @@
 """Streaming queries from messages to windows, predictions and the online table.
 
-Every table written here goes through the file sink's commit log, or is an upsert that may be
-repeated, so a restart from the checkpoint neither loses nor doubles a row.
+Every table written here goes through the file sink's commit log, takes each numbered batch once, or is an upsert
+that may be repeated, so a restart from the checkpoint neither loses nor doubles a row.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..model.scoring import score
 from ..operators.features import feature_rows, latest_features
 from ..operators.windows import WINDOW_SECONDS, cell_windows, flat_windows
 from ..schemas import WINDOW_SCHEMA
-from ..sources.tables import OnlineTable
+from ..sources.tables import DayTable, OnlineTable
 from ..sources.telemetry import keyed_json
 
 LATENESS = "1 minute"
@@ -90,6 +90,21 @@ def append_to_table(rows: DataFrame, path: str, checkpoint: str, every: str | No
     )
 
 
+def append_by_day(rows: DataFrame, table: DayTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream to a table partitioned by day, each batch once, its small files merged as they gather.
+
+    The table knows a batch by the query's id, which lives in the checkpoint, and its number.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not table.append(batch, number, query or checkpoint):
+            batch.write.format("noop").mode("overwrite").save()  # there already; its state must still be made and committed
+        table.compact()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**_trigger(every)).start()
+
+
 def inserted_windows(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The rows newly appended to a window table, whole and in commit order."""
     reader = spark.readStream.schema(WINDOW_SCHEMA)

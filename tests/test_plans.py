@@ -7,12 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cellhealth.operators import features, monitor, sampling
+from cellhealth.operators import features, monitor, quantiles, sampling, windows
 from cellhealth.plans import registry, tables
 from cellhealth.schemas import FEATURE_SCHEMA, FEATURES
-from conftest import SMALL, at
+from conftest import MEDIUM, SMALL, at
 
 QUERIES = registry.queries()
+EVENTS = re.compile(r"FileScan parquet .*events\.parquet")
 FITTED = {"forest_confusion", "forest_predictions", "forest_holdout", "forest_golden", "forest_folds"}
 
 
@@ -52,17 +53,43 @@ def test_row_operators_do_not_shuffle(spark):
         assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
 
 
-def test_flagship_reads_events_once(spark):
-    assert len(re.findall(r"FileScan parquet .*events\.parquet", physical(QUERIES["window_stats"](spark, SMALL)))) == 1
+def test_flagship_scans(spark):
+    """One scan for the statistics; of the p95s, one for the coarse counts and one in the result, each joined to few rows."""
+    keyed = tables.telemetry(spark, MEDIUM).withColumn("window", F.window("ts", "5 days"))
+    assert len(EVENTS.findall(physical(windows._windows_by_hash(keyed, 5 * tables.DAY, 5 * tables.DAY, ("avg", "min", "max"), FEATURES)))) == 1
+    found = physical(QUERIES["window_stats_wide"](spark, MEDIUM))
+    assert len(EVENTS.findall(found)) == 1 and "BroadcastHashJoin" in found
+    assert len(EVENTS.findall(physical(QUERIES["window_stats"](spark, SMALL)))) == 0  # every p95 is a maximum: nothing is read again
 
 
-@pytest.mark.parametrize("name", ["window_stats", "window_stats_narrow", "window_stats_wide", "sliding_stats", "feature_rows"])
-def test_events_are_hashed_not_sorted(spark, name):
+@pytest.mark.parametrize("size, slide", [(tables.DAY, tables.DAY), (600, 600), (3 * tables.DAY, tables.DAY)])
+def test_events_are_hashed_not_sorted(spark, size, slide):
     """Nothing sorts by key before the events have been aggregated once."""
-    plan = physical(QUERIES[name](spark, SMALL)).splitlines()
-    scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "events.parquet" in line)
-    above = [line for line in plan[:scan] if "Aggregate" in line]
-    assert "HashAggregate" in above[-1] and "ObjectHashAggregate" not in above[-1] and "SortAggregate" not in above[-1]
+    keyed = tables.telemetry(spark, SMALL).withColumn("window", F.window("ts", f"{slide} seconds"))
+    rows = keyed.select(F.col("window.start").alias("start"), "cell_id", *FEATURES)
+    groups = quantiles.stored_table(rows.groupBy("start", "cell_id").agg(*quantiles.ranges(FEATURES)), "test-ranges")
+    for df in (windows._windows_by_hash(keyed, size, slide, ("avg", "min", "max"), FEATURES), quantiles.coarse_counts(rows, groups, ["start", "cell_id"], FEATURES)):
+        plan = physical(df).splitlines()
+        scan = next(i for i, line in enumerate(plan) if EVENTS.search(line))
+        above = [line for line in plan[:scan] if "Aggregate" in line]
+        assert "HashAggregate" in above[-1] and "ObjectHashAggregate" not in above[-1] and "SortAggregate" not in above[-1]
+
+
+def test_reply_scans(spark):
+    """Recent predictions, the newest ones, and the features; the anchor's subquery stands beside them."""
+    scans = [re.sub("#[0-9]+L?", "", found) for found in re.findall(r"FileScan parquet \[(.*?)\]", physical(QUERIES["dashboard_reply"](spark, SMALL)))]
+    assert len([read for read in scans if set(read.split(",")) - {"last_ts", "window_end", "day"}]) == 3, scans
+
+
+def test_lookup_opens_only_the_parts_asked_for(spark):
+    online = tables.online_table(spark, SMALL)
+    asked = online.read().select("cell_id").orderBy("cell_id").limit(2)
+    found = online.lookup(asked)
+    parts = {re.search("part=([0-9]+)", f)[1] for f in found.inputFiles() if "/online/" in f}
+    wanted = set(online._touched(asked))
+    assert wanted <= parts and len(wanted) <= 2
+    held = online._rows(sorted(online._newest()[k] for k in wanted))
+    assert {re.search("part=([0-9]+)", f)[1] for f in held.inputFiles()} == wanted
 
 
 def test_feed_is_a_top_n(spark):

@@ -6,13 +6,15 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellhealth.model import scoring, training
+from cellhealth.operators import monitor
 from cellhealth.operators.features import feature_rows, latest_features
 from cellhealth.operators.windows import cell_windows, flat_windows
 from cellhealth.plans import tables
 from cellhealth.schemas import FEATURES, TELEMETRY_SCHEMA
-from cellhealth.sources.tables import OnlineTable
+from cellhealth.sources.tables import DayTable, OnlineTable
 from cellhealth.sources.telemetry import accepted, decode, file_stream, keyed_json
 from cellhealth.streaming import queries
 from cellhealth.streaming.timers import timed_windows
@@ -185,6 +187,48 @@ def test_batch_repeated_after_a_lost_commit_doubles_nothing(spark, events, tmp_p
     same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
 
 
+def test_table_by_day_takes_each_batch_once(spark, events, tmp_path):
+    rows, parts = events
+    expected = closed(flat_windows(rows, DAY))
+    table = DayTable(spark, f"{tmp_path}/table", expected.schema, fan=2)
+
+    def run():
+        out = queries.window_stream(stream(spark, f"{tmp_path}/in"), DAY, lateness="1 hour", flat=True)
+        queries.append_by_day(out, table, f"{tmp_path}/checkpoint").awaitTermination()
+
+    for part in parts:
+        replay(spark, [part], f"{tmp_path}/in")
+        run()
+    same(table.read().drop("day"), expected)
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for lost in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):  # as if the stream had died after the table's commit
+        lost.unlink(missing_ok=True)
+    run()
+    same(table.read().drop("day"), expected)
+    writers = table._newest()["batches"]
+    assert len(writers) == 1 and len(next(iter(writers))) == 36  # the query's id
+    monitored = table.read().withColumn("timestamp", F.col("window_end")).withColumn("label", F.lit("good"))
+    plan = monitor.label_mix(monitored, F.lit("2024-01-29").cast("timestamp"), DAY)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_table_by_day_is_compacted(spark, tmp_path):
+    schema = "cell_id string, window_end timestamp, n int"
+    table = DayTable(spark, f"{tmp_path}/table", T._parse_datatype_string(schema), fan=3)
+    assert table.read().count() == 0 and "day" in table.read().columns
+    for batch in range(11):
+        made = spark.range(4).select(F.lit("c").alias("cell_id"), (F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("window_end"), F.lit(batch).alias("n"))
+        rows = made if batch != 5 else made.limit(0)
+        assert table.append(rows, batch, "a") and not table.append(rows, batch, "a")
+        table.compact()
+    assert sorted((r.n, str(r.day)) for r in table.read().collect()) == [(n, f"2024-03-0{d}") for n in range(11) if n != 5 for d in (1, 2, 3, 4)]
+    levels = table._newest()["levels"]
+    assert [len(x) for x in levels] == [1, 0, 1]  # ten batches with rows: nine merged twice, and one
+    assert table.append(made, 0, "b")  # another writer has numbers of its own
+    folders = {p.name for p in (tmp_path / "table" / "data").iterdir()}
+    assert len(folders) < 10  # what no kept list names is gone
+
+
 def test_messages_arrive_as_they_were_sent(spark, events, tmp_path):
     rows, parts = events
     replay(spark, parts[:1], f"{tmp_path}/in")
