@@ -219,6 +219,9 @@ def oracle_sql() -> dict[str, str]:
   count(*) as event_count, count(*) filter (where {ANOMALY}) as anomaly_event_count, {_stat_columns()}
 from telemetry, (values (1), (2), (3)) as days(d) group by 1, 2"""
     )
+    archetypes = _events(
+        f"select event_id, archetype from (select * from telemetry where {ANOMALY}) left join {_bands()} on {_fits()}"
+    )
     features = "cell_id, window_end, " + _each("avg_{m}") + ", event_count, anomaly_event_count, region"
     return {
         # events
@@ -252,9 +255,8 @@ from (select *, case when hour(ts) between 8 and 18 then 1e0 else 7e-1 end as pe
             """select event_id, cell_id, imsi, regexp_matches(cell_id, '^CELL_[0-9]{4,}$') as cell_id_ok,
   regexp_matches(imsi, '^505[0-9]{10}$') as imsi_ok from telemetry"""
         ),
-        "anomaly_archetype": _events(
-            f"select event_id, archetype from (select * from telemetry where {ANOMALY}) left join {_bands()} on {_fits()}"
-        ),
+        "anomaly_archetype": archetypes,
+        "archetype_bands": archetypes,
         "scorable_rows": _events(
             f"select event_id, cell_id, {_each('{m}')} from telemetry where {_each('{m} is not null', ' and ')}"
         ),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import anomaly_share_rule, label_code, label_name
 from ..functions.telemetry import cell_name, iso_utc
 from ..model import scoring, training
-from ..operators import evaluate, events, features, latest, monitor, quantiles, sampling, windows
+from ..operators import bands, evaluate, events, features, latest, monitor, quantiles, sampling, windows
 from ..schemas import FEATURES, GOLDEN_VECTORS, TARGET, WIRE_SCHEMA
 from ..sources.telemetry import accepted, decode, keyed_json, rejected, wire_json
 from . import tables
@@ -110,6 +110,13 @@ def anomaly_archetype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.with_archetypes(tables.settled(tables.telemetry(spark, sf_dir))).select("event_id", "archetype")
 
 
+@query
+def archetype_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archetypes of the anomalous events again, by a join with their table of bands."""
+    found = events.anomalies(tables.settled(tables.telemetry(spark, sf_dir)))
+    return bands.band_join(found, bands.archetype_bands(spark)).select("event_id", "archetype")
+
+
 @query
 def scorable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.scorable(tables.settled(tables.telemetry(spark, sf_dir))).select("event_id", "cell_id", *FEATURES)

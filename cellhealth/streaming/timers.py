@@ -2,6 +2,10 @@
 
 The event-time windows of ``queries`` are the default. This mode is for consumers that want a row
 per cell at a steady pace whatever the event times say.
+
+Two keyed steps share a busy cell among workers. The first keeps, per cell and salt, how often each value occurred, until the cell's
+next boundary; as a batch fires every timer that is due, the salts of a cell hand on their counts in one batch. The second, keyed by
+the cell, adds up what comes in that batch, so it sees a row per salt and distinct value, never per event, and keeps no state.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ from ..schemas import FEATURES
 
 #: The position after the last metric stands for the event itself; its value is 1 for an anomaly.
 _EVENT = len(FEATURES)
-_COUNTED = "cell_id string, phase bigint, metric int, milli bigint, region string, n bigint, first_ts bigint"
+_COUNTED = "cell_id string, salt int, phase bigint, metric int, milli bigint, region string, n bigint, first_ts bigint"
+#: What a salt hands on: counts per value, those of the events themselves with their earliest region, and the boundary they end at.
+_PARTIAL = "cell_id string, due bigint, metric int, milli bigint, region string, n bigint, first_ts bigint"
 _EMPTY = (0, 0, None, None)
+#: Shares that a cell's events are dealt into.
+SALTS = 16
 
 _TOTALS = T.StructType(
     [
@@ -47,8 +55,21 @@ _EMITTED = T.StructType(
 )
 
 
-class TimedWindows(StatefulProcessor):
-    """Counts per cell between two timers: totals, and how often each metric took each value."""
+def _added(totals: tuple, seen: pd.DataFrame) -> tuple:
+    """(events, anomalies, first time with a region, that region) with the rows that stand for events added."""
+    events, anomalies, first_ts, region = totals
+    events += int(seen["n"].sum())
+    anomalies += int((seen["n"] * seen["milli"]).sum())
+    named = seen[seen["region"].notna()]
+    if len(named):
+        at, name = min(zip(named["first_ts"], named["region"]))
+        if first_ts is None or (int(at), name) < (first_ts, region):
+            first_ts, region = int(at), name
+    return events, anomalies, first_ts, region
+
+
+class SaltedCounts(StatefulProcessor):
+    """Counts per cell and salt between two boundaries: totals, and how often each metric took each value."""
 
     def __init__(self, interval_ms: int):
         self._interval = interval_ms
@@ -56,30 +77,21 @@ class TimedWindows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._totals = handle.getValueState("totals", _TOTALS)
-        self._timed = handle.getValueState("timed", "due bigint")
         self._values = handle.getMapState("values", "metric int, milli bigint", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events, anomalies, first_ts, region = self._totals.get() or _EMPTY
-        phase = 0
+        idle = not self._totals.exists()
+        totals, phase = _EMPTY if idle else self._totals.get(), 0
         for batch in rows:
             phase = int(batch["phase"].iloc[0])
-            seen = batch[batch["metric"] == _EVENT]
-            events += int(seen["n"].sum())
-            anomalies += int((seen["n"] * seen["milli"]).sum())
-            named = seen[seen["region"].notna()]
-            if len(named):
-                at, name = min(zip(named["first_ts"], named["region"]))
-                if first_ts is None or (int(at), name) < (first_ts, region):
-                    first_ts, region = int(at), name
+            totals = _added(totals, batch[batch["metric"] == _EVENT])
             values = batch[batch["metric"] != _EVENT].groupby(["metric", "milli"])["n"].sum()
             for (metric, milli), n in values.items():
                 self._count(int(metric), int(milli), int(n))
-        self._totals.update((events, anomalies, first_ts, region))
-        if not self._timed.exists():
-            due = timerValues.getCurrentProcessingTimeInMs() + phase
-            self._handle.registerTimer(due)
-            self._timed.update((due,))
+        self._totals.update(totals)
+        if idle:  # boundaries are the cell's, the same for all its salts
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self._handle.registerTimer(now + self._interval - (now - phase) % self._interval)
         yield pd.DataFrame()
 
     def _count(self, metric: int, milli: int, n: int) -> None:
@@ -88,29 +100,41 @@ class TimedWindows(StatefulProcessor):
         self._values.updateValue(at, (before + n,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() + self._interval
-        self._handle.registerTimer(due)
-        self._timed.update((due,))
-        totals = self._totals.get()
-        if totals is not None and totals[0] > 0:
-            counts = [(k[0], k[1], v[0]) for k, v in self._values.iterator()]
-            self._totals.clear()
-            self._values.clear()
-            yield self._row(key[0], totals, counts)
-        else:
-            yield pd.DataFrame()
+        events, anomalies, first_ts, region = self._totals.get()
+        rows = [(metric, milli, None, v[0], None) for (metric, milli), v in self._values.iterator()]
+        rows += [(_EVENT, 0, region, events - anomalies, first_ts), (_EVENT, 1, None, anomalies, None)]
+        self._totals.clear()
+        self._values.clear()
+        frame = pd.DataFrame(rows, columns=["metric", "milli", "region", "n", "first_ts"]).astype({"first_ts": "Int64"})
+        yield frame.assign(cell_id=key[0], due=expiredTimerInfo.getExpiryTimeInMs())[["cell_id", "due", *frame.columns]]
+
+    def close(self) -> None:
+        pass
+
+
+class CellRows(StatefulProcessor):
+    """A row per cell and boundary from the counts its salts handed on, which come in one batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = pd.concat(rows)
+        for due, part in parts.groupby("due"):
+            totals = _added(_EMPTY, part[part["metric"] == _EVENT])
+            yield self._row(key[0], int(due), totals, part[part["metric"] != _EVENT])
 
     @staticmethod
-    def _row(cell: str, totals: tuple, counts: list[tuple[int, int, int]]) -> pd.DataFrame:
+    def _row(cell: str, due: int, totals: tuple, counts: pd.DataFrame) -> pd.DataFrame:
         events, anomalies, _, region = totals
         row = {
             "cell_id": cell,
-            "window_end": datetime.now(timezone.utc),
+            "window_end": datetime.fromtimestamp(due / 1000, timezone.utc),
             "region": region,
             "event_count": events,
             "anomaly_event_count": anomalies,
         }
-        values = pd.DataFrame(counts, columns=["metric", "milli", "n"]).sort_values(["metric", "milli"])
+        values = counts.groupby(["metric", "milli"], as_index=False)["n"].sum().sort_values(["metric", "milli"])
         for i, m in enumerate(FEATURES):
             mine = values[values["metric"] == i]
             total = int(mine["n"].sum())
@@ -134,22 +158,25 @@ def _phase(interval_ms: int) -> Column:
 
 
 def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts within each Arrow batch, so that a busy cell sends few rows to its worker."""
-    keys = ["cell_id", "phase", "metric", "milli", "region"]
+    """Counts within each Arrow batch, so that a busy cell sends few rows to its workers."""
+    keys = ["cell_id", "salt", "phase", "metric", "milli", "region"]
     for batch in batches:
         grouped = batch.groupby(keys, dropna=False, as_index=False)
         yield grouped.agg(n=("ts_micros", "size"), first_ts=("ts_micros", "min"))
 
 
-def timed_windows(events: DataFrame, size: int = WINDOW_SECONDS) -> DataFrame:
+def timed_windows(events: DataFrame, size: int = WINDOW_SECONDS, salts: int = SALTS) -> DataFrame:
     """Window rows emitted by a processing-time timer per cell; nothing for an idle interval.
 
-    Needs the RocksDB state store. Values are counted before the shuffle, and a cell's state is
-    bounded by the number of distinct values, in thousandths, its metrics take within one interval.
+    Needs the RocksDB state store. An event goes to the salt that its metrics' values choose, so equal ones are counted together
+    before the shuffle, and a salt's state is bounded by the number of distinct values, in thousandths, its share takes within
+    one interval.
     """
+    salt = F.pmod(F.xxhash64(*[F.col(m) for m in FEATURES]), F.lit(salts)).cast("int")
     values = F.array(*[to_milli(F.col(m)) for m in FEATURES], F.when(is_anomaly(), 1).otherwise(0).cast("bigint"))
     single = events.select(
         "cell_id",
+        salt.alias("salt"),
         _phase(size * 1000).alias("phase"),
         F.unix_micros("ts").alias("ts_micros"),
         "region",
@@ -157,12 +184,18 @@ def timed_windows(events: DataFrame, size: int = WINDOW_SECONDS) -> DataFrame:
     ).filter(F.col("milli").isNotNull())
     of_event = F.when(F.col("metric") == _EVENT, F.col("region"))
     prepared = single.withColumn("region", of_event).mapInPandas(_combined, _COUNTED)
-    emitted = prepared.groupBy("cell_id").transformWithStateInPandas(
-        statefulProcessor=TimedWindows(size * 1000),
-        outputStructType=_EMITTED,
+    handed_on = prepared.groupBy("cell_id", "salt").transformWithStateInPandas(
+        statefulProcessor=SaltedCounts(size * 1000),
+        outputStructType=_PARTIAL,
         outputMode="Append",
         timeMode="ProcessingTime",
     )
+    emitted = handed_on.groupBy("cell_id").transformWithStateInPandas(
+        statefulProcessor=CellRows(),
+        outputStructType=_EMITTED,
+        outputMode="Append",
+        timeMode="None",
+    )
     stats = []
     for m in FEATURES:
         stats.append(average_of(F.col(f"{m}_sum"), F.col(f"{m}_n")).alias(f"{m}_avg"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellhealth.functions import labels, numeric, telemetry as fn
-from cellhealth.operators import evaluate, events, features, latest, monitor, sampling
+from cellhealth.operators import bands, evaluate, events, features, latest, monitor, sampling
 from cellhealth.operators.windows import cell_windows, flat_windows, metric_value
 from cellhealth.schemas import (
     ARCHETYPES,
@@ -159,6 +160,35 @@ def test_keyed_json_round_trip(telemetry):
 # -- rows ---------------------------------------------------------------------------------------
 
 
+def test_band_join(spark, telemetry):
+    """10,000 bands by a binned index, against each row tried with each band."""
+    rng = random.Random(4)
+    made = []
+    for i in range(10_000):
+        sides = []
+        for _ in FEATURES:
+            low = rng.choice((rng.uniform(0, 100), float(rng.randrange(100))))
+            sides += [low, low + rng.choice((0.0, 1.0, 30.0, 60.0, 99.0))]
+        made.append((f"b{i}", *sides))
+    made += [("none", *[None] * 12), ("crossed", *[5.0, 1.0] * 6), ("all", *[-1e6, 1e6] * 6)]
+    names = ", ".join(f"{m}_low double, {m}_high double" for m in FEATURES)
+    table = spark.createDataFrame(made, f"band string, {names}")
+    points = [[float(rng.randrange(160)) for _ in FEATURES] for _ in range(150)]
+    points += [list(made[i][1::2]) for i in range(20)] + [list(made[i][2::2]) for i in range(20, 40)] + [[2e6] * 6]
+    rows = [event(i, 0, **dict(zip(FEATURES, p))) for i, p in enumerate(points)] + [event(900, 0, latency_ms=None)]
+    joined = bands.band_join(telemetry(rows).withColumn("band", F.lit("clash")), table, "band")
+    expected = Counter()
+    for i, p in enumerate(points):
+        held = [b[0] for b in made if b[1] is not None and all(b[1 + 2 * k] <= x <= b[2 + 2 * k] for k, x in enumerate(p))]
+        expected.update((i, h) for h in held or [None])
+    expected[900, None] += 1
+    assert Counter((r.event_id, r.band) for r in joined.collect()) == expected
+    plan = joined._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    nothing = bands.band_join(telemetry(rows[:3]), table.limit(0), "band")
+    assert [r.band for r in nothing.collect()] == [None] * 3
+
+
 def test_archetypes(telemetry):
     middles = {name: [(lo + hi) / 2 for lo, hi in bands] for name, bands in ARCHETYPES.items()}
     rows = [event(i, 0, **dict(zip(FEATURES, values))) for i, values in enumerate(middles.values())]

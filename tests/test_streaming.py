@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellhealth.model import scoring, training
-from cellhealth.operators import monitor
+from cellhealth.operators import monitor, sampling
 from cellhealth.operators.features import feature_rows, latest_features
 from cellhealth.operators.windows import cell_windows, flat_windows
 from cellhealth.plans import tables
@@ -17,6 +17,7 @@ from cellhealth.schemas import FEATURES, TELEMETRY_SCHEMA
 from cellhealth.sources.tables import DayTable, OnlineTable
 from cellhealth.sources.telemetry import accepted, decode, file_stream, keyed_json
 from cellhealth.streaming import queries
+from cellhealth.streaming.samples import sampled_windows
 from cellhealth.streaming.timers import timed_windows
 from conftest import SMALL, event
 
@@ -263,12 +264,36 @@ def test_windows_scored_once_and_features_refreshed(spark, events, tmp_path):
     same(online.read(), latest_features(feature_rows(stored)).select(*online.read().columns))
 
 
+def test_streamed_sample_equals_the_batch(spark, events, tmp_path):
+    """Two batches of doubled messages; of each window and cell the same rows as the batch sample, one cell being busy."""
+    rows, parts = events
+    busy = lambda df: df.withColumn("cell_id", F.when(F.col("event_id") % 3 == 0, "CELL_0001").otherwise(F.col("cell_id")))
+    queries.use_rocksdb(spark)
+    try:
+        for part in parts:
+            batch = busy(spark.read.parquet(part))
+            batch.unionByName(batch.filter("event_id % 7 = 0")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            time.sleep(1.1)
+        taken = sampled_windows(stream(spark, f"{tmp_path}/in").withWatermark("ts", "1 hour"), size=5 * DAY, cap=20, salts=3)
+        queries.append_to_table(taken, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    finally:
+        for key in queries.STATE_STORE:
+            spark.conf.unset(key)
+    ended = F.window("ts", f"{5 * DAY} seconds")["end"]
+    expected = sampling.bounded_sample(busy(rows).withColumn("window_end", ended), ["cell_id", "window_end"], ["event_id"], cap=20)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    last = expected.agg(F.max("window_end")).first()[0]
+    same(got, expected.filter(F.col("window_end") < last).select(*got.columns))
+    assert got.groupBy("cell_id", "window_end").count().agg(F.max("count")).first()[0] == 20
+
+
 def test_timed_emission_counts_every_event_once(spark, telemetry, tmp_path):
     """Two cells, one emission each per interval; the counts and statistics add up."""
     queries.use_rocksdb(spark)
     regions = [None, None, "North", "South"]
     rows = [event(i, i, f"CELL_000{i % 2}", regions[i % 4], latency_ms=100.0 + i % 7 - 3) for i in range(40)]
     rows.append(event(40, 50, "CELL_0000", jitter_ms=None))
+    rows += [event(i, i % 40, "CELL_0000", regions[i % 4], latency_ms=20.0 + i % 90, jitter_ms=i / 100) for i in range(41, 400)]
     source = telemetry(rows)
     source.coalesce(1).write.parquet(f"{tmp_path}/in")
     query = (
@@ -288,6 +313,8 @@ def test_timed_emission_counts_every_event_once(spark, telemetry, tmp_path):
         emitted = spark.table("timed").drop("window_end", "ingested_at", "window_size_seconds")
         batch = cell_windows(source, 3600).drop("window_end", "ingested_at", "window_size_seconds")
         same(emitted, batch)
+        states = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+        assert all(len(ops) == 2 for ops in states)
     finally:
         query.stop()
         for key in queries.STATE_STORE:
