@@ -7,8 +7,10 @@ exclusion, frozen counts). A text's code length in a language is exact under tho
 language with the least code length wins.
 
 The counts come from a bounded sample of labelled rows (``budget`` characters a language, chosen by hash);
-scoring reads every byte of every text. All contexts and languages live in one table, a row a context, so
-a byte costs one look-up whatever the order of its context.
+scoring reads every byte of every text. All contexts of the sample are kept. A code length is a sum over the text's byte strings:
+each order adds, for a context seen in a language, its escape, and, for a byte seen after it, what that byte's code differs by. The
+strings of one and two bytes are rows of small full tables; the longer ones that occur lie, once, in hash tables that name the
+languages that know them, so their memory follows the sample whatever the number of languages and byte values.
 
 Null texts and texts without a letter give ``und`` with score 0; so does everything when nothing could be
 learned. Languages with equal code lengths: the lesser name. Repeated rows score alike. Other columns of
@@ -29,142 +31,206 @@ from pyspark.sql import types as T
 from .common import budget_sample, fold
 
 ORDER = 3
-#: Characters a language learns from, and contexts of the longest order kept (the most frequent), at most.
+#: Characters a language learns from, at most.
 BUDGET = 1_500_000
-TABLE_CELLS = 6_000_000
 UNKNOWN = "und"
 #: Bits a byte at which no model is better than none: such text is in no known language.
 NO_MODEL_BITS = 8.0
 
 _LETTER = re.compile(r"[^\W\d_]")
-_PIECE = 1 << 18
-_COUNTS = "lang string, order int, context long, symbol int, n long"
+#: Bytes scored together, and what a text is padded with, as after a line end.
+_BLOCK = 1 << 16
+_PAD = b"\n" * ORDER
+_COUNTS = "lang string, gram long, n long"
 _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
 
+class Strings:
+    """Byte strings, packed into numbers, and the entries (language, values) of each: a hash table with open addressing."""
+
+    _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.langs, self.values = langs[order], [v[order] for v in values]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys)).astype(np.int64)
+        self.bits = max(1, int(2 * len(self.keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        rows, at = np.arange(len(self.keys), dtype=np.int32), self._place(self.keys)
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]  # of several, one gets the slot
+            left = self.slots[at] != rows
+            rows, at = rows[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self._SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        at, open_ = self._place(keys), np.arange(len(keys))
+        while len(open_):
+            row = self.slots[at]
+            hit = (row >= 0) & (self.keys[row] == keys[open_])
+            out[open_[hit]] = row[hit]
+            on = (row >= 0) & ~hit
+            open_, at = open_[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``rows`` with the entries of their row, one pair an entry."""
+        held = np.flatnonzero(rows >= 0)
+        first = self.first[rows[held]]
+        n = self.first[rows[held] + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(held, n), at
+
+
 @dataclass
 class ContextTree:
-    """``cost[node, symbol, language]`` in bits; ``node_of`` maps the last ``ORDER`` symbols to a node."""
+    """Bits of ``ORDER``-byte contexts in every language.
+
+    ``single``: of a byte after a byte, and ``escape`` of a two-byte context (full tables, a row a pair of bytes); ``threes``: what a byte
+    after two known bytes differs by, and the escape of three-byte contexts; ``fours``: what a byte after three known ones differs by.
+    """
 
     languages: list[str]
-    symbol_of: np.ndarray
-    node_of: np.ndarray
-    cost: np.ndarray
+    single: np.ndarray
+    escape: np.ndarray
+    threes: Strings
+    fours: Strings
 
     def code_lengths(self, data: bytes) -> np.ndarray:
-        """Bits of a text in each language; long texts go piece by piece."""
-        size = self.cost.shape[1]
-        whole = np.frombuffer(data, np.uint8)
-        total = np.zeros(len(self.languages))
-        pad = np.zeros(ORDER, np.uint8)
-        for at in range(0, len(whole), _PIECE):
-            before = whole[max(0, at - ORDER) : at]
-            piece = np.concatenate((pad[len(before) :], self.symbol_of[before], self.symbol_of[whole[at : at + _PIECE]])).astype(np.int64)
-            context = np.zeros(len(piece) - ORDER, np.int64)
-            for k in range(ORDER):
-                context = context * size + piece[k : len(context) + k]
-            total += self.cost[self.node_of[context], piece[ORDER:]].sum(axis=0, dtype=np.float64)
+        """Bits of a text in each language."""
+        return self.lengths_of([data])[0]
+
+    def lengths_of(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text in each language, a block of bytes at a time."""
+        total = np.zeros((len(texts), len(self.languages)))
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for at in range(0, len(text), _BLOCK):
+                piece = text[at : at + _BLOCK]
+                held.append((i, text[at - ORDER : at] if at else _PAD, piece))
+                size += len(piece)
+                if size >= _BLOCK:
+                    self._add(held, total)
+                    held, size = [], 0
+        self._add(held, total)
         return total
 
+    def _add(self, pieces: list[tuple[int, bytes, bytes]], total: np.ndarray) -> None:
+        if not pieces or not self.languages:
+            return
+        n_lang = len(self.languages)
+        a = np.frombuffer(b"".join(x for _, before, piece in pieces for x in (before, piece)), np.uint8).astype(np.uint32)
+        length = np.array([len(p) for *_, p in pieces])
+        owner = np.repeat(np.arange(len(pieces)), length)
+        at = np.arange(len(owner)) + ORDER * (owner + 1)  # where the texts' own bytes lie, between what stands before each
+        gram = a[3:] | a[2:-1] << 8 | a[1:-2] << 16 | a[:-3] << 24
+        four = gram[at - 3]
+        single, escape = self.single[four & 0xFFFF], self.escape[four >> 8 & 0xFFFF]
+        starts = np.cumsum(length) - length
+        bits = np.add.reduceat(single, starts, axis=0, dtype=np.float64) + np.add.reduceat(escape, starts, axis=0, dtype=np.float64)
+        flat = np.zeros(len(pieces) * n_lang)
+        # A three-byte string is a context where a byte follows, and itself a byte after two; both are looked up at once.
+        three = self.threes.rows(a[2:] | a[1:-1] << 8 | a[:-2] << 16)
+        for rows, table, values in ((three[at - 2], self.threes, 0), (three[at - 3], self.threes, 1), (self.fours.rows(four), self.fours, 0)):
+            where, entry = table.entries(rows)
+            flat += np.bincount(owner[where] * n_lang + table.langs[entry], table.values[values][entry], len(flat))
+        np.add.at(total, [i for i, *_ in pieces], bits + flat.reshape(-1, n_lang))
+
 
 def _counted(batches):
-    """Counts of (context, byte) of every order up to ``ORDER``; context and byte are raw bytes packed into a number."""
+    """How often each string of ``ORDER`` + 1 bytes occurs in a language, padded at the start; a string is packed into a number."""
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
-            seen: dict[int, list] = {k: [] for k in range(ORDER + 1)}
+            seen = []
             for text in texts:
-                data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-                padded = np.concatenate((np.full(ORDER, 10), data))
-                for k in range(ORDER + 1):
-                    packed = np.zeros(len(data), np.int64)
-                    for j in range(ORDER - k, ORDER + 1):
-                        packed = packed * 256 + padded[j : j + len(data)]
-                    seen[k].append(packed)
-            for k, parts in seen.items():
-                value, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "order": k, "context": value // 256, "symbol": (value % 256).astype(np.int32), "n": n})
+                a = np.frombuffer(_PAD + text.encode("utf-8", "replace"), np.uint8).astype(np.int64)
+                seen.append(a[3:] | a[2:-1] << 8 | a[1:-2] << 16 | a[:-3] << 24)
+            value, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pd.DataFrame({"lang": lang, "gram": value, "n": n})
 
 
 def fit(labelled: DataFrame, budget: int = BUDGET, seed: int = 8) -> ContextTree:
     """A context tree from rows with ``doc_id``, ``text`` and ``lang``; rows lacking a text or lang teach nothing."""
     known = labelled.filter("text is not null and lang is not null and text != ''").select("doc_id", "text", "lang")
     sample = budget_sample(known, "text", ["doc_id", "text"], F.col("lang"), budget, seed)
-    counts = sample.select("lang", "text").mapInPandas(_counted, _COUNTS).groupBy("lang", "order", "context", "symbol").agg(F.sum("n").alias("n"))
-    return _build(counts.toPandas())  # bounded by the sample: at most (ORDER + 1) rows a sampled byte
-
-
-def _build(counts: pd.DataFrame) -> ContextTree:
-    languages = sorted(counts["lang"].unique())
-    used = np.union1d(counts["symbol"].unique().astype(np.int64), [10])
-    used = np.concatenate(([10], used[used != 10]))  # symbol 0 pads the start, as a line end
-    size = len(used) + 1  # the last symbol stands for every byte not seen
-    symbol_of = np.full(256, size - 1, np.uint8)
-    symbol_of[used] = np.arange(len(used))
-    lang = np.searchsorted(languages, counts["lang"].to_numpy(dtype=object).astype(str)) if len(languages) else np.empty(0, int)
-    order, raw, symbol, n = (counts[c].to_numpy(np.int64) for c in ("order", "context", "symbol", "n"))
-    context = np.zeros(len(raw), np.int64)
-    for k in range(ORDER):
-        byte = (raw >> (8 * (ORDER - 1 - k))) & 255
-        context = context * size + np.where(ORDER - 1 - k < order, symbol_of[byte], 0)
-    symbol = symbol_of[symbol].astype(np.int64)
-    room = max(1, TABLE_CELLS // max(1, size * len(languages)))
-    rows, parent_rows = [], None
-    level_ids = None
-    for k in range(ORDER + 1):
-        at = order == k
-        ids, total = np.unique(context[at], return_inverse=True)[0], None
-        place = np.searchsorted(ids, context[at])
-        if k == ORDER and len(ids) > room:  # the most frequent contexts; the rest fall to the order below
-            total = np.bincount(place, weights=n[at])
-            ids = np.sort(ids[np.argsort(-total, kind="stable")[:room]])
-        if not len(ids):
-            ids = np.zeros(1, np.int64)
-        count = np.zeros((len(ids), size, len(languages)), np.float32)
-        place = np.minimum(np.searchsorted(ids, context[at]), len(ids) - 1)
-        fits = ids[place] == context[at]
-        count[place[fits], symbol[at][fits], lang[at][fits]] = n[at][fits]
-        if k == 0:
-            lower = np.full((len(ids), size, len(languages)), 1 / 256, np.float32)
-        else:
-            up = np.searchsorted(level_ids, ids % size ** (k - 1)) if k > 1 else np.zeros(len(ids), int)
-            lower = parent_rows[np.minimum(up, len(level_ids) - 1)]
-        whole, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            here = np.where(count > 0, count / (whole + kinds), kinds / (whole + kinds) * lower)
-        parent_rows, level_ids = np.where(whole > 0, here, lower), ids
-        rows.append((ids, parent_rows))
-    cost, node_of, base = [], np.zeros(size**ORDER, np.int32), 0
-    every = np.arange(size**ORDER)
-    for k, (ids, p) in enumerate(rows):
-        if k == 0:
-            node_of[:] = 0
-        else:
-            suffix = every % size**k
-            place = np.minimum(np.searchsorted(ids, suffix), len(ids) - 1)
-            node_of = np.where(ids[place] == suffix, base + place, node_of).astype(np.int32)
-        cost.append(-np.log2(p).astype(np.float32))
-        base += len(ids)
-    return ContextTree(list(languages), symbol_of, node_of, np.concatenate(cost))
+    counts = sample.select("lang", "text").mapInPandas(_counted, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = counts.toArrow()  # bounded by the sample: at most one row a sampled byte
+    lang = table["lang"].combine_chunks().dictionary_encode()
+    return build(lang.dictionary.to_pylist(), lang.indices.to_numpy(), table["gram"].to_numpy().astype(np.uint32), table["n"].to_numpy())
+
+
+def _bits(gram: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one language: (strings of ``order`` + 1 bytes, bits of the last byte after the others, contexts, bits of their escapes)."""
+    pair, where = np.unique(gram & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+    count = np.bincount(where, n, len(pair))
+    context, place, kinds = np.unique(pair >> np.uint32(8), return_inverse=True, return_counts=True)
+    whole = np.bincount(place, count, len(context)) + kinds
+    return pair, np.log2(whole[place] / count), context, np.log2(whole / kinds)
+
+
+def build(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> ContextTree:
+    """The tables, one language after the other, from counted strings: memory in proportion to the strings."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    single, escape = (np.zeros((1 << 16, len(names)), np.float32) for _ in range(2))
+    threes, fours = [], []
+    for i, code in enumerate(order):
+        own, times = gram[lang == code], n[lang == code]
+        pair, bits, _, none = _bits(own, times, 0)
+        after_none = np.full(256, none[0] + 8.0)
+        after_none[pair] = bits
+        pair, bits, context, missed = _bits(own, times, 1)
+        after_one = np.tile(after_none, (256, 1))
+        after_one[context] += missed[:, None]
+        after_one.reshape(-1)[pair] = bits
+        single[:, i] = after_one.reshape(-1)
+        pair, after_two, context, missed = _bits(own, times, 2)
+        escape[context, i] = missed
+        less_two = after_two - missed[np.searchsorted(context, pair >> np.uint32(8))] - after_one.reshape(-1)[pair & np.uint32(0xFFFF)]
+        four, after_three, long, missed = _bits(own, times, 3)
+        lower = after_two[np.searchsorted(pair, four & np.uint32(0xFFFFFF))]
+        less_three = after_three - missed[np.searchsorted(long, four >> np.uint32(8))] - lower
+        every = np.union1d(pair, long)
+        values = np.zeros((2, len(every)), np.float32)
+        values[0, np.searchsorted(every, pair)] = less_two
+        values[1, np.searchsorted(every, long)] = missed
+        threes.append((every, np.full(len(every), i, np.uint16), *values))
+        fours.append((four, np.full(len(four), i, np.uint16), less_three.astype(np.float32)))
+    empty = (np.empty(0, np.uint32), np.empty(0, np.uint16), *[np.empty(0, np.float32)] * 2)
+    joined = lambda parts, width: Strings(*[np.concatenate([empty[k], *[p[k] for p in parts]]) for k in range(width)])
+    return ContextTree([names[c] for c in order], single, escape, joined(threes, 4), joined(fours, 3))
+
+
+def predict_all(texts: list[str | None], tree: ContextTree) -> list[tuple[str, float, float | None]]:
+    """(language, posterior under equal priors, bits a byte) of each text."""
+    found: list[tuple[str, float, float | None]] = [(UNKNOWN, 0.0, None)] * len(texts)
+    asked = [i for i, t in enumerate(texts) if t is not None and tree.languages and _LETTER.search(t)]
+    data = [texts[i].encode("utf-8", "replace") for i in asked]
+    for i, d, bits in zip(asked, data, tree.lengths_of(data)):
+        best = int(np.argmin(bits))
+        share = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
+        found[i] = tree.languages[best], share, float(bits[best] / len(d))
+    return found
 
 
 def predict(text: str | None, tree: ContextTree) -> tuple[str, float, float | None]:
-    """(language, posterior under equal priors, bits a byte)."""
-    if text is None or not tree.languages or not _LETTER.search(text):
-        return UNKNOWN, 0.0, None
-    data = text.encode("utf-8", "replace")
-    bits = tree.code_lengths(data)
-    best = int(np.argmin(bits))
-    share = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
-    return tree.languages[best], share, float(bits[best] / len(data))
+    return predict_all([text], tree)[0]
 
 
 def predictor(docs: DataFrame, tree: ContextTree):
     """A column function giving ``lang_pred``, ``score`` and ``bits_per_byte`` of a text."""
-    held = docs.sparkSession.sparkContext.broadcast(tree)  # at most TABLE_CELLS cells
+    held = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
 
     def scored(batches):
         for texts in batches:
-            yield pd.DataFrame([predict(t, held.value) for t in texts], columns=["lang_pred", "score", "bits_per_byte"])
+            yield pd.DataFrame(predict_all(list(texts), held.value), columns=["lang_pred", "score", "bits_per_byte"])
 
     from collections.abc import Iterator
 
