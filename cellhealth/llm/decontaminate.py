@@ -11,22 +11,26 @@ Every document is read whole and once for each block of items; items are a query
 in blocks of at most ``BLOCK_CHARS`` characters, however many there are.
 
 Null or empty texts match nothing, nor do null or empty items. Items shorter than ``MIN_CHARS`` after
-folding must match as they are (k = 0). Repeated items and rows give repeated results; null ids pass through.
+folding must match as they are (k = 0) and as whole words; of fewer than ``MIN_WORDS`` words they are reported but are no reason to
+drop a document. Repeated items and rows give repeated results; null ids pass through, large ones exactly.
+The automaton is that of the package pyahocorasick.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, written
 
 RATE = 0.05
 MIN_CHARS = 40
+MIN_WORDS = 3
 BLOCK_CHARS = 4_000_000
 RESULT = "doc_id long, item_id long, distance int, start int, end int"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def folded(text: str | None) -> str:
@@ -71,6 +75,11 @@ def myers(item: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def _whole_words(text: str, low: int, high: int) -> bool:
+    """Whether [low, high) of the text neither begins nor ends inside a word."""
+    return not (low and text[low - 1].isalnum() and text[low].isalnum() or high < len(text) and text[high - 1].isalnum() and text[high].isalnum())
+
+
 def _start(item: str, text: str, end: int, distance: int) -> int:
     """The latest start of a substring ending at ``end`` with that distance: the mirrored search, anchored."""
     back, mirrored = (np.frombuffer(x[::-1].encode("utf-32-le"), np.uint32) for x in (text[max(0, end - len(item) - distance) : end], item))
@@ -112,6 +121,8 @@ class Matcher:
         for last, (length, where) in self.automaton.iter(plain):
             for i, at in where:
                 k, size = self.most[i], len(self.items[i][1])
+                if size < MIN_CHARS and not _whole_words(plain, last + 1 - size, last + 1):
+                    continue
                 low = max(0, last + 1 - length - at - k)
                 high = min(len(plain), last + 1 - length - at + size + k)
                 found = spans.setdefault(i, [])
@@ -139,25 +150,26 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     blocks = max(1, -(-int(total) // BLOCK_CHARS))
     out = None
     for block in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toPandas()
-        held = spark.sparkContext.broadcast([(None if pd.isna(i) else int(i), t) for i, t in zip(mine["item_id"], map(folded, mine["text"])) if t])
+        mine = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        held = spark.sparkContext.broadcast([(i, t) for i, t in zip(mine["item_id"].to_pylist(), map(folded, mine["text"].to_pylist())) if t])
 
         def run(batches, held=held):
             matcher = Matcher(held.value, rate)
-            for pdf in batches:
-                rows = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) for hit in matcher.find(t)]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+            for batch in batches:
+                hits = [(d.as_py(), *hit) for d, t in zip(batch.column("doc_id"), batch.column("text")) for hit in matcher.find(t.as_py())]
+                columns = list(zip(*hits)) or [()] * len(_RESULT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, RESULT)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """Documents that contain no item; rows of equal id and text fare alike."""
+    """Documents that contain no item of ``MIN_WORDS`` words or more; rows of equal id and text fare alike."""
+    telling = items.filter(F.regexp_count("text", F.lit(WORD)) >= MIN_WORDS)
     hashed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     # Found by row hash, so that null ids work too.
-    leaks = matches(hashed.select(F.col("__row").alias("doc_id"), "text"), items, rate)
+    leaks = matches(hashed.select(F.col("__row").alias("doc_id"), "text"), telling, rate)
     leaks = written(leaks.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
     return hashed.join(leaks, "__row", "left_anti").select(*docs.columns)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import brute
 import numpy as np
 import pytest
-from fixtures import make, prose, rows  # noqa: F401
+from fixtures import make, word, prose, rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from cellhealth.llm import components, decontaminate, jaccard, simhash, suffix, templates
@@ -75,6 +76,19 @@ def test_line_templates(make, rows):
     assert sum(x[2] for x in expected) > 8
 
 
+def test_many_lines_in_one_text(make):
+    """200,000 lines, half of them in ten texts: cut in time that follows the lines."""
+    rng = random.Random(8)
+    shared = [f"shared line {prose(rng, 3)} {word(i)}" for i in range(100_000)]
+    own = [f"own line {word(i)} {prose(rng, 3)}" for i in range(100_000)]
+    long = "\n".join(x for pair in zip(shared, own) for x in pair)
+    texts = [long] + ["\n".join(x for s in shared[:60] for x in (s, f"here {word(i)} {word(rng.randrange(10**6))} it is")) for i in range(10)]
+    start = time.time()
+    out = {r.doc_id: r for r in templates.drop_recurring_lines(make(list(enumerate(texts)))).collect()}
+    assert out[0].n_lines == 200_000 and out[0].n_dropped == 60 and out[0].text.split("\n")[:2] == own[:2]
+    assert all(out[i].n_dropped == 60 for i in range(1, 11)) and time.time() - start < 120
+
+
 def test_line_stage_keeps_columns_and_copies(make, rows):
     docs = make(rows).withColumn("n_lines", F.lit(1)).withColumn("key", F.lit("x"))
     out = templates.keep_own_text(docs)
@@ -118,6 +132,15 @@ def test_decontamination(spark, make):
         assert r.distance or plain != decontaminate.folded("q") and 0 <= r.start <= r.end <= len(text)
 
 
+def test_large_ids_and_short_items(spark, make):
+    big = 2**53
+    docs = make([(big, "say ok to that"), (big + 1, "say ok to that"), (None, "say ok to that"), (4, "token broke"), (5, "ok")], 1)
+    items = spark.createDataFrame([(big, "say ok to that"), (big + 1, "ok"), (None, "ok to")], "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect())
+    assert found == Counter([(d, i) for d in (big, big + 1, None) for i in (big, big + 1, None)] + [(5, big + 1)])
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {4, 5}
+
+
 def test_decontamination_in_blocks(spark, make, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} " * 6) for i in range(9)], "item_id long, text string")
     docs = make([(i, "so " + f"item number {i} " * 7) for i in range(9)])
