@@ -5,7 +5,8 @@ emits only the turns beyond what it shares with the one before, so shared turns
 made by range partitions; a partition is a pack, a sequence of its own, and shared turns are emitted once a pack.
 A row of the output is a turn: its formatted text, where it stands in the pack, its position in the
 conversation (its ancestors' lengths added up), the intervals of the pack that its tokens may attend to (its
-ancestors'; and itself, causally), and the interval under the loss mask. Tokens are code points.
+ancestors', those that touch being one; and itself, causally), and the interval under the loss mask. Turns emitted one after
+another touch, so a turn has one interval for each branching above it, not one for each ancestor. Tokens are code points.
 
 Template: ``### Role: text </turn>`` and a line end. In texts and roles a backslash, ``#``, ``<``, and in roles a colon
 or line end too, are written as a backslash and a letter, so control strings stand nowhere else; reading turns
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ LEARNED = "assistant"
 PACK = """pack long, node long, start long, stop long, position long, ancestors array<struct<start:long,stop:long>>,
  loss_start long, loss_stop long, text string, path string"""
 
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_PATHS = pa.schema([("conv_id", pa.int64()), ("path", pa.string()), ("keys", pa.list_(pa.string())), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))])
+_PACK = pa.schema([*[(c, pa.int64()) for c in ("pack", "node", "start", "stop", "position")], ("ancestors", _SPAN), ("loss_start", pa.int64()), ("loss_stop", pa.int64()), ("text", pa.string()), ("path", pa.string())])
+_FOUND = pa.schema([("path", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
 
 def escape(text: str, role: bool = False) -> str:
     return (_ROLE if role else _TEXT).sub(lambda m: _CODES[m[0]], text)
@@ -85,91 +91,118 @@ def _paths(batches):
             keys.append(digest.hex())
         return {"conv_id": name, "path": keys[-1], "keys": keys, "turns": [{"role": r, "text": t or ""} for r, t in held]}
 
-    for pdf in batches:
+    for batch in batches:
         out = []
-        for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
-            conv = None if pd.isna(conv) else int(conv)
-            role, text = (None if x is None or x != x else x for x in (role, text))
+        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
             if started and conv != name:
                 out.append(made())
                 held = []
             held.append((role, text))
             name, started = conv, True
-        if out:
-            yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+        yield from _slices(out, _PATHS)
     if started:
-        yield pd.DataFrame([made()]).astype({"conv_id": "Int64"})
+        yield from _slices([made()], _PATHS)
+
+
+def _slices(rows: list[dict], schema: pa.Schema):
+    for at in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_pylist(rows[at : at + 256], schema=schema)
 
 
 def conversations(rows: DataFrame) -> DataFrame:
     """conv_id, path, keys and turns of every conversation, from rows (conv_id, turn, role, text)."""
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     sorted_ = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
-    return sorted_.mapInPandas(_paths, "conv_id long, path string, keys array<string>, turns array<struct<role:string,text:string>>")
+    return sorted_.mapInArrow(_paths, "conv_id long, path string, keys array<string>, turns array<struct<role:string,text:string>>")
+
+
+class _Path:
+    """The turns from the root to the present one, and the intervals they cover; cutting back undoes what was pushed."""
+
+    def __init__(self):
+        self.turns: list[tuple] = []  # each with its start and stop first
+        self.spans: list[list[int]] = []
+        self.length = 0
+
+    def push(self, start: int, stop: int, *rest) -> None:
+        if self.spans and self.spans[-1][1] == start:
+            self.spans[-1][1] = stop
+        else:
+            self.spans.append([start, stop])
+        self.turns.append((start, stop, *rest))
+        self.length += stop - start
+
+    def pop(self) -> None:
+        start, stop, *_ = self.turns.pop()
+        if self.spans[-1][0] == start:
+            self.spans.pop()
+        else:
+            self.spans[-1][1] = start
+        self.length -= stop - start
 
 
 def _emit(batches):
     """Rows of one pack: depth-first, the turns a conversation does not share with the one before."""
     from pyspark import TaskContext
 
-    pack, node, at = TaskContext.get().partitionId(), 0, 0
-    stack: list[tuple[str, int, int]] = []  # key, start, stop of the current path
-    for pdf in batches:
-        out = []
-        for path, keys, turns in zip(pdf["path"], pdf["keys"], pdf["turns"]):
-            keys = list(keys)
+    pack, node, at, trail = TaskContext.get().partitionId(), 0, 0, _Path()
+    for batch in batches:
+        for name, keys, turns in zip(*(batch.column(c) for c in ("path", "keys", "turns"))):
+            out, keys, turns = [], keys.as_py(), turns.as_py()
             same = 0
-            while same < len(stack) and same < len(keys) and stack[same][0] == keys[same]:
+            while same < len(trail.turns) and same < len(keys) and trail.turns[same][2] == keys[same]:
                 same += 1
             if same == len(keys):  # the same path again
                 continue
-            del stack[same:]
-            position = sum(stop - start for _, start, stop in stack)
+            while len(trail.turns) > same:
+                trail.pop()
             for i in range(same, len(keys)):
                 text, low, high = render(turns[i]["role"], turns[i]["text"])
                 learned = turns[i]["role"] == LEARNED
-                out.append((pack, node, at, at + len(text), position, [{"start": a, "stop": b} for _, a, b in stack], at + low if learned else None, at + high if learned else None, text, path if i + 1 == len(keys) else None))
-                stack.append((keys[i], at, at + len(text)))
-                node, at, position = node + 1, at + len(text), position + len(text)
-        frame = pd.DataFrame(out, columns=["pack", "node", "start", "stop", "position", "ancestors", "loss_start", "loss_stop", "text", "path"])
-        yield frame.astype({"loss_start": "Int64", "loss_stop": "Int64"})
+                spans = [{"start": a, "stop": b} for a, b in trail.spans]
+                loss = {"loss_start": at + low if learned else None, "loss_stop": at + high if learned else None}
+                ends = name.as_py() if i + 1 == len(keys) else None
+                out.append({"pack": pack, "node": node, "start": at, "stop": at + len(text), "position": trail.length, "ancestors": spans, **loss, "text": text, "path": ends})
+                trail.push(at, at + len(text), keys[i])
+                node, at = node + 1, at + len(text)
+            yield from _slices(out, _PACK)
 
 
 def prefix_trees(paths: DataFrame) -> DataFrame:
     """The packed output of ``conversations`` rows, each distinct path once."""
     # Conversations with the same turns are one path; the rest is spread by ranges of paths.
     single = paths.groupBy("path").agg(F.first("keys").alias("keys"), F.first("turns").alias("turns"))
-    return single.repartitionByRange("keys").sortWithinPartitions("keys").mapInPandas(_emit, PACK)
+    return single.repartitionByRange("keys").sortWithinPartitions("keys").mapInArrow(_emit, PACK)
 
 
 def _read(batches):
-    """Each path's conversation from a pack's rows in order: a stack of turns, cut back to the row's ancestors."""
-    stack: list[tuple[int, int, str, int | None, int | None]] = []
-    at = None
-    for pdf in batches:
+    """Each path's conversation from a pack's rows in order: the turns so far, cut back to where the row's position says."""
+    trail, at = _Path(), None
+    for batch in batches:
         out = []
-        for row in pdf.itertuples(index=False):
-            if row.pack != at:
-                stack, at = [], row.pack
-            wanted = [(a["start"], a["stop"]) for a in row.ancestors]
-            del stack[len(wanted) :]
-            assert [s[:2] for s in stack] == wanted and sum(b - a for a, b in wanted) == row.position
-            learned = not pd.isna(row.loss_start)
-            stack.append((row.start, row.stop, row.text, int(row.loss_start) if learned else None, int(row.loss_stop) if learned else None))
-            if row.path is None or row.path != row.path:
+        for row in batch.to_pylist():
+            if row["pack"] != at:
+                trail, at = _Path(), row["pack"]
+            while trail.length > row["position"]:
+                trail.pop()
+            assert trail.length == row["position"] and len(trail.spans) == len(row["ancestors"])
+            assert not trail.spans or trail.spans[-1] == [row["ancestors"][-1]["start"], row["ancestors"][-1]["stop"]]
+            trail.push(row["start"], row["stop"], row["text"], row["loss_start"], row["loss_stop"])
+            if row["path"] is None:
                 continue
-            formatted = "".join(s[2] for s in stack)
+            formatted = "".join(t[2] for t in trail.turns)
             turns = parse(formatted)
             whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t, _, _ in turns).encode())
-            loss = "".join(unescape(text[low - start : high - start]) for start, _, text, low, high in stack if low is not None)
-            out.append((row.path, len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        yield pd.DataFrame(out, columns=["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            loss = "".join(unescape(text[low - start : high - start]) for start, _, text, low, high in trail.turns if low is not None)
+            digests = {"turns_sha256": whole.hexdigest(), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest()}
+            out.append({"path": row["path"], "n_turns": len(turns), "loss_chars": len(loss), "formatted_chars": len(formatted), **digests})
+        yield from _slices(out, _FOUND)
 
 
 def read_back(packs: DataFrame, members: DataFrame) -> DataFrame:
     """Per conversation, what its formatted form says; ``members`` has conv_id and path."""
     rows = packs.repartition("pack").sortWithinPartitions("pack", "node")
-    found = rows.mapInPandas(_read, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    found = rows.mapInArrow(_read, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return members.select("conv_id", "path").join(found, "path").drop("path")
 
 
