@@ -39,23 +39,35 @@ NO_MODEL_BITS = 8.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes scored together, and what a text is padded with, as after a line end.
-_BLOCK = 1 << 16
+_BLOCK = 1 << 18
 _PAD = b"\n" * ORDER
 _COUNTS = "lang string, gram long, n long"
 _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
 
 class Strings:
-    """Byte strings, packed into numbers, and the entries (language, values) of each: a hash table with open addressing."""
+    """Byte strings, packed into numbers, and the entries (language, values) of each: a hash table with open addressing.
+
+    The values are kept as entries or, where most languages know most strings, as a full row a string (``_FULL`` places an entry at most).
+    """
 
     _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, keys: np.ndarray, langs: np.ndarray, *values: np.ndarray):
+    _FULL = 4
+
+    def __init__(self, many: int, keys: np.ndarray, langs: np.ndarray, *values: np.ndarray):
         order = np.argsort(keys, kind="stable")
-        self.langs, self.values = langs[order], [v[order] for v in values]
+        self.many, self.langs, self.values = many, langs[order], [v[order] for v in values]
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys)).astype(np.int64)
-        self.bits = max(1, int(2 * len(self.keys)).bit_length())
+        self.full: list[np.ndarray] | None = None
+        if len(self.keys) * many <= self._FULL * len(keys):
+            row = np.repeat(np.arange(len(self.keys)), np.diff(self.first))
+            self.full = [np.zeros((len(self.keys) + 1, many), np.float32) for _ in values]  # the last row for strings not known
+            for full, v in zip(self.full, self.values):
+                full[row, self.langs] = v
+            self.values = []
+        self.bits = max(1, int(4 * len(self.keys)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         rows, at = np.arange(len(self.keys), dtype=np.int32), self._place(self.keys)
         while len(rows):
@@ -81,13 +93,17 @@ class Strings:
             open_, at = open_[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``rows`` with the entries of their row, one pair an entry."""
+    def add(self, rows: np.ndarray, which: int, owner: np.ndarray, wide: np.ndarray, total: np.ndarray) -> None:
+        """Add a value of every row to ``wide``, a row a position, or, from entries, to its owner's row of ``total``."""
+        if self.full is not None:
+            wide += self.full[which][rows]  # -1 is the last row
+            return
         held = np.flatnonzero(rows >= 0)
         first = self.first[rows[held]]
         n = self.first[rows[held] + 1] - first
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(held, n), at
+        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place = owner[np.repeat(held, n)] * self.many + self.langs[entry]
+        total += np.bincount(place, self.values[which][entry], total.size).reshape(total.shape)
 
 
 @dataclass
@@ -133,16 +149,14 @@ class ContextTree:
         at = np.arange(len(owner)) + ORDER * (owner + 1)  # where the texts' own bytes lie, between what stands before each
         gram = a[3:] | a[2:-1] << 8 | a[1:-2] << 16 | a[:-3] << 24
         four = gram[at - 3]
-        single, escape = self.single[four & 0xFFFF], self.escape[four >> 8 & 0xFFFF]
-        starts = np.cumsum(length) - length
-        bits = np.add.reduceat(single, starts, axis=0, dtype=np.float64) + np.add.reduceat(escape, starts, axis=0, dtype=np.float64)
-        flat = np.zeros(len(pieces) * n_lang)
+        wide = self.single[four & 0xFFFF] + self.escape[four >> 8 & 0xFFFF]
+        bits = np.zeros((len(pieces), n_lang))
         # A three-byte string is a context where a byte follows, and itself a byte after two; both are looked up at once.
         three = self.threes.rows(a[2:] | a[1:-1] << 8 | a[:-2] << 16)
-        for rows, table, values in ((three[at - 2], self.threes, 0), (three[at - 3], self.threes, 1), (self.fours.rows(four), self.fours, 0)):
-            where, entry = table.entries(rows)
-            flat += np.bincount(owner[where] * n_lang + table.langs[entry], table.values[values][entry], len(flat))
-        np.add.at(total, [i for i, *_ in pieces], bits + flat.reshape(-1, n_lang))
+        for rows, table, which in ((three[at - 2], self.threes, 0), (three[at - 3], self.threes, 1), (self.fours.rows(four), self.fours, 0)):
+            table.add(rows, which, owner, wide, bits)
+        bits += np.add.reduceat(wide, np.cumsum(length) - length, axis=0, dtype=np.float64)
+        np.add.at(total, [i for i, *_ in pieces], bits)
 
 
 def _counted(batches):
@@ -204,7 +218,7 @@ def build(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -
         threes.append((every, np.full(len(every), i, np.uint16), *values))
         fours.append((four, np.full(len(four), i, np.uint16), less_three.astype(np.float32)))
     empty = (np.empty(0, np.uint32), np.empty(0, np.uint16), *[np.empty(0, np.float32)] * 2)
-    joined = lambda parts, width: Strings(*[np.concatenate([empty[k], *[p[k] for p in parts]]) for k in range(width)])
+    joined = lambda parts, width: Strings(len(names), *[np.concatenate([empty[k], *[p[k] for p in parts]]) for k in range(width)])
     return ContextTree([names[c] for c in order], single, escape, joined(threes, 4), joined(fours, 3))
 
 
