@@ -34,25 +34,30 @@ fields as (
   select doc_id, text, i, trim(regexp_replace(regexp_replace(l[i], '[\x20\x09\x0B\x0C\x0D]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g')) as line
   from numbered),
 filled as (select *, string_split(line, ' ') as w from fields where line <> ''),
-placed as (
-  select *, len(w) as n, len(w) - 2 as r, array_to_string(w[1:2], ' ') as lead,
-    coalesce(lag(array_to_string(w[1:3], ' ')) over (partition by doc_id, text order by i), chr(1) || 'start') as before,
-    coalesce(lead(array_to_string(w[1:3], ' ')) over (partition by doc_id, text order by i), chr(1) || 'end') as after
-  from filled),
 blocked as (
-  select *, [array_to_string(w[3:2 + r // 4], ' '), array_to_string(w[3 + r // 4:2 + r * 2 // 4], ' '),
-    array_to_string(w[3 + r * 2 // 4:2 + r * 3 // 4], ' '), array_to_string(w[3 + r * 3 // 4:n], ' ')] as b
-  from placed where n >= 3),
+  select *, len(w) as n, array_to_string(w[1:2], ' ') as lead, greatest(len(w) - 2, 0) as r from filled),
 masked as (
-  select *, unnest(case when n >= 10 then [0, 1, 2, 3, 4] else [0] end) as field from blocked),
+  select *, [array_to_string(w[3:2 + r // 4], ' '), array_to_string(w[3 + r // 4:2 + r * 2 // 4], ' '),
+    array_to_string(w[3 + r * 2 // 4:2 + r * 3 // 4], ' '), array_to_string(w[3 + r * 3 // 4:n], ' ')] as b,
+    unnest(case when n >= 10 then [0, 1, 2, 3, 4] else [0] end) as field from blocked),
 templates as (
   select *, n || chr(2) || lead || chr(2) || field || chr(2)
     || array_to_string([case when k = field then '' else b[k] end for k in [1, 2, 3, 4]], chr(2)) as template
   from masked),
+shared as (select template from templates group by template having count(distinct text) >= 5),
+marks as (select distinct text, i from templates where template in (select template from shared)),
+own as (
+  select f.text, f.i, m.i is not null as marked, case when m.i is null then array_to_string(f.w[1:3], ' ') end as head
+  from (select distinct text, i, w from filled) f left join marks m on f.text = m.text and f.i = m.i),
+around as (
+  select text, i, coalesce(last_value(head ignore nulls) over (partition by text order by i rows between unbounded preceding and 1 preceding), chr(1) || 'start') as before,
+    coalesce(first_value(head ignore nulls) over (partition by text order by i rows between 1 following and unbounded following), chr(1) || 'end') as after, marked
+  from own),
 recurring as (
-  select template from templates group by template
-  having count(distinct text) >= 5 and 2 * greatest(count(distinct before), count(distinct after)) >= count(distinct text)),
-dropped as (select distinct doc_id, text, i from templates where template in (select template from recurring)),
+  select t.template from (select distinct template, text, i from templates where template in (select template from shared)) t
+  join around a on t.text = a.text and t.i = a.i group by t.template
+  having greatest(count(distinct before), count(distinct after)) >= 5),
+dropped as (select distinct doc_id, text, i from templates where n >= 3 and template in (select template from recurring)),
 rest as (
   select x.doc_id, x.text, count(*) as n_lines, count(d.i) as n_dropped, coalesce(string_agg(x.l[x.i], chr(10) order by x.i) filter (where d.i is null), '') as kept
   from numbered x left join dropped d on x.doc_id is not distinct from d.doc_id and x.text = d.text and x.i = d.i group by x.doc_id, x.text)

@@ -4,15 +4,11 @@ A line is its words; a word with a digit is a variable field. The tree has fixed
 the first tokens. Under a leaf, a template is a line with its variable fields masked, and, for longer lines,
 the same with one further quarter of the remaining tokens masked, so that lines differing in one field meet.
 
-A template recurs when it stands in at least ``MIN_TEXTS`` different texts, and in enough different
-surroundings: the heads of the lines before it (or after it) differ in at least half of those texts. Copies of
-one document repeat their lines in the same surroundings and so stay comparable for near-copy removal. Every
-line of a recurring template is dropped; all counts are over all lines.
-
-``drop_recurring_lines`` takes the lines next to it as a line's surroundings, as its SQL does; inner lines of a shared passage then
-stay. ``keep_own_text``, the pipeline's form, first marks the lines (short ones too) that share a template with ``MIN_TEXTS`` texts
-and takes the nearest unmarked line on either side, so that a passage goes or stays as one. It asks for ``MIN_AROUND``
-different heads there and not for a share of the texts, so the share of texts that hold a line never keeps it.
+A line is shared when a template of it stands in at least ``MIN_TEXTS`` different texts. A template recurs when its lines stand in at
+least ``MIN_AROUND`` different surroundings: the head of the nearest line before them (or after them) that is not shared. So a shared
+passage of several lines goes or stays as one, and the share of texts that hold a line never keeps it; copies of one document repeat their
+lines in the same surroundings and so stay comparable for near-copy removal. Every line of a recurring template is dropped; all counts
+are over all lines. ``keep_own_text`` is the pipeline's form, which also drops documents that were nothing else.
 
 Null texts stay null with no lines; lines without ``MIN_TOKENS`` words (blank ones too) are never dropped; the
 kept lines keep their order and bytes. Documents are told apart by id and text: repeated rows fare alike, and
@@ -28,7 +24,7 @@ from .common import written
 
 MIN_TEXTS = 5
 MIN_TOKENS = 3
-#: Different surroundings a template of the pipeline's form needs, however many texts it stands in.
+#: Different surroundings a template needs, however many texts it stands in.
 MIN_AROUND = MIN_TEXTS
 #: Leading tokens that the tree branches on, tokens of the line's head, blocks the rest is masked by, and tokens a line needs for that.
 LEADING, HEAD, BLOCKS, LONG = 2, 3, 4, 10
@@ -49,44 +45,23 @@ def _head(line: Column) -> Column:
     return F.xxhash64(F.substring_index(line, " ", HEAD))
 
 
-def _lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
-    """One row a line of ``least`` words or more: document key, position, words, text, leaf, template hashes, head, heads of the neighbours."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row a line with a word: document key, position, words, text, leaf, template hashes, head."""
     numbered = F.transform(_masked_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
-    filled = docs.select("key", "key2", "whole", F.filter(numbered, lambda x: x["line"] != "").alias("rows"))
-    heads = F.transform("rows", lambda x: _head(x["line"]))
-    n = F.size("rows")
-    edge = lambda x: F.array(F.lit(x).cast("long"))
-    around = filled.filter(n > 0).select(
-        "key", "key2", "whole",
-        F.inline(F.arrays_zip(
-            F.transform("rows", lambda x: x["pos"]).alias("pos"),
-            F.transform("rows", lambda x: x["line"]).alias("line"),
-            heads.alias("head"),
-            F.concat(edge(1), F.slice(heads, 1, n - 1)).alias("before"),
-            F.concat(F.slice(heads, 2, n), edge(2)).alias("after"),
-        )),
-    )
-    cut = around.withColumn("tokens", F.split("line", " ")).withColumn("n", F.size("tokens")).filter(F.col("n") >= least)
+    filled = docs.select("key", "key2", "whole", F.inline(F.filter(numbered, lambda x: x["line"] != "")))
+    cut = filled.withColumn("head", _head(F.col("line"))).withColumn("tokens", F.split("line", " ")).withColumn("n", F.size("tokens"))
     leaf = F.xxhash64("n", F.slice("tokens", 1, LEADING))
     rest = F.greatest(F.col("n") - LEADING, F.lit(0))
     ends = [LEADING + F.floor(rest * i / BLOCKS).cast("int") for i in range(BLOCKS + 1)]
     blocks = [F.xxhash64(F.slice("tokens", ends[i] + 1, ends[i + 1] - ends[i])) for i in range(BLOCKS)]
-    hashed = cut.select("key", "key2", "whole", "pos", "n", "head", "before", "after", leaf.alias("leaf"), *[b.alias(f"b{i}") for i, b in enumerate(blocks)])
+    hashed = cut.select("key", "key2", "whole", "pos", "n", "head", leaf.alias("leaf"), *[b.alias(f"b{i}") for i, b in enumerate(blocks)])
     full = F.xxhash64(F.lit(-1), "leaf", *[f"b{i}" for i in range(BLOCKS)])
     partly = [F.xxhash64(F.lit(j), "leaf", *[f"b{i}" for i in range(BLOCKS) if i != j]) for j in range(BLOCKS)]
     templates = F.when(F.col("n") >= LONG, F.array(full, *partly)).otherwise(F.array(full))
-    return hashed.select("key", "key2", "whole", "pos", "n", "head", "before", "after", "leaf", templates.alias("templates"))
+    return hashed.select("key", "key2", "whole", "pos", "n", "head", "leaf", templates.alias("templates"))
 
 
 def _recurring(lines: DataFrame) -> DataFrame:
-    """Hashes of the templates that recur."""
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TEXTS).select("leaf")
-    spread = lines.join(leaves, "leaf").select(F.explode("templates").alias("template"), "whole", "before", "after")
-    texts = spread.groupBy("template").agg(F.countDistinct("whole").alias("texts"), F.countDistinct("before").alias("befores"), F.countDistinct("after").alias("afters"))
-    return texts.filter((F.col("texts") >= MIN_TEXTS) & (2 * F.greatest("befores", "afters") >= F.col("texts"))).select("template")
-
-
-def _recurring_in_runs(lines: DataFrame) -> DataFrame:
     """Hashes of the templates that recur, their surroundings taken from outside the run of shared lines."""
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TEXTS).select("leaf")
     spread = written(lines.join(leaves, "leaf").select("whole", "pos", F.explode("templates").alias("template")).distinct(), "spread")
@@ -102,22 +77,23 @@ def _recurring_in_runs(lines: DataFrame) -> DataFrame:
     return met.filter(F.greatest("befores", "afters") >= MIN_AROUND).select("template")
 
 
-def _cut(docs: DataFrame, runs: bool = False) -> DataFrame:
-    """``docs`` with its text cut, and ``__n_lines`` and ``__n_dropped``; with ``runs``, a run of shared lines is one unit."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """``docs`` with its text cut, and ``__n_lines`` and ``__n_dropped``."""
     keyed = docs.withColumns({"__key": F.xxhash64(F.lit(1), "doc_id", "text"), "__key2": F.xxhash64(F.lit(2), "doc_id", "text")})
     sources = keyed.select(F.col("__key").alias("key"), F.col("__key2").alias("key2"), F.xxhash64(F.lit(3), "text").alias("whole"), "text")
-    lines = written(_lines(sources, 1 if runs else MIN_TOKENS), "lines")
-    recurring = written(_recurring_in_runs(lines) if runs else _recurring(lines), "recurring")
+    lines = written(_lines(sources), "lines")
+    recurring = written(_recurring(lines), "recurring")
     hits = lines.filter(F.col("n") >= MIN_TOKENS).select("key", "key2", "pos", F.explode("templates").alias("template")).join(recurring, "template")
     # Few positions a document: its own lines at most.
     dropped = written(hits.groupBy(F.col("key").alias("__key"), F.col("key2").alias("__key2")).agg(F.collect_set("pos").alias("__dropped")), "dropped")
-    joined = keyed.join(dropped, ["__key", "__key2"], "left")
-    parts = F.split("text", "\n")
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__dropped", i)), "\n")
+    # Behind a generator the lines are split once a text, not once a kept line; what is kept is a set difference, in the text's order.
+    joined = keyed.join(dropped, ["__key", "__key2"], "left").select("*", F.explode(F.array(F.split("text", "\n"))).alias("__lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__dropped")
+    rest = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(rest)
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"),
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"),
         F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__n_dropped"),
     )
 
@@ -130,7 +106,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
 
 def keep_own_text(docs: DataFrame) -> DataFrame:
     """The pipeline's form: documents less recurring lines; those of which no word is left go. ``n_chars`` follows the text."""
-    out = _cut(docs, runs=True)
+    out = _cut(docs)
     emptied = (F.col("__n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = F.col("__n_dropped") > 0
     chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None

@@ -92,18 +92,23 @@ def _templates(w):
 
 def line_templates(rows):
     """(doc_id, lines, dropped, text left) of rows (doc_id, text)."""
-    seen = defaultdict(lambda: (set(), set(), set()))
-    for _, text in set(rows):
-        lines = _fields(text)
-        for k, (_, w) in enumerate(lines):
-            if len(w) < 3:
-                continue
-            before = tuple(lines[k - 1][1][:3]) if k else "start"
-            after = tuple(lines[k + 1][1][:3]) if k + 1 < len(lines) else "end"
+    texts = {t: _fields(t) for _, t in rows if t is not None}
+    seen = defaultdict(set)
+    for text, lines in texts.items():
+        for _, w in lines:
             for t in _templates(w):
-                for group, x in zip(seen[t], (text, before, after)):
-                    group.add(x)
-    recurring = {t for t, (texts, b, a) in seen.items() if len(texts) >= 5 and 2 * max(len(b), len(a)) >= len(texts)}
+                seen[t].add(text)
+    shared = {t for t, found in seen.items() if len(found) >= 5}
+    around = defaultdict(lambda: (set(), set()))
+    for text, lines in texts.items():
+        heads = [None if any(t in shared for t in _templates(w)) else tuple(w[:3]) for _, w in lines]
+        for k, (_, w) in enumerate(lines):
+            before = next((h for h in heads[:k][::-1] if h is not None), "start")
+            after = next((h for h in heads[k + 1 :] if h is not None), "end")
+            for t in shared.intersection(_templates(w)):
+                around[t][0].add(before)
+                around[t][1].add(after)
+    recurring = {t for t, (b, a) in around.items() if max(len(b), len(a)) >= 5}
     out = []
     for doc, text in rows:
         drop = {i for i, w in _fields(text) if len(w) >= 3 and any(t in recurring for t in _templates(w))}
