@@ -6,8 +6,8 @@ model is a distribution over every word and one unseen word. P(word) = P(class |
 How many words are the network's own follows the counts: those seen ``OWN_LEAST`` times, up to ``MOST_CLASSES`` squared.
 The network (one gated layer, numpy) is trained by backpropagation truncated to windows, the state carried from
 window to window. A sample of the training rows (``BUDGET`` characters, chosen by hash) gives the weights to begin
-with; then all training rows are learned from, dealt by hash to ``ROUNDS`` rounds: in a round every partition starts from
-the same weights and goes over its rows, and the weights are averaged by tokens, groups of partitions first.
+with; then all training rows are learned from, dealt by hash to rounds (``rounds_for`` the tokens): in a round every partition starts
+from the same weights and goes over its rows, and the weights are averaged by tokens in a tree.
 
 Scoring walks every text from its first word to its end token with the state carried along, many texts side by
 side. Counts of frequent words (``KNOWN`` of them at most) are told to the workers; other words are joined with
@@ -19,6 +19,7 @@ without id are training rows. Without any training row every probability is that
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 
@@ -35,8 +36,8 @@ CLASSES, PER_CLASS, HIDDEN, INPUT = 32, 32, 16, 16
 OWN = CLASSES * PER_CLASS
 #: Characters the network learns from, epochs, lanes and window of training; words told to the workers.
 BUDGET, EPOCHS, LANES, WINDOW, RATE = 4_000_000, 2, 64, 32, 4e-3
-#: Rounds over shards, their lanes and rate, and shards averaged by one worker.
-ROUNDS, SHARD_LANES, SHARD_RATE, FAN = 2, 256, 2e-3, 32
+#: Rounds over shards at least, tokens whose doublings add one each, the shards' lanes and rate, and shards averaged by one worker.
+ROUNDS, ROUND_TOKENS, SHARD_LANES, SHARD_RATE, FAN = 2, 50_000_000, 256, 2e-3, 32
 #: Occurrences that make a word the network's own beyond the first OWN, and classes (and words in each) at most.
 OWN_LEAST, MOST_CLASSES = 200, 96
 KNOWN = 200_000
@@ -183,30 +184,39 @@ class Network:
             at += size
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
-        """Natural log probability of each text's tokens, whole texts, state carried from window to window."""
+        """Natural log probability of each text's tokens, whole texts, state carried from window to window.
+
+        Texts are dealt to lanes by length, the longest first. A window holds the lanes that still have tokens, so a text much
+        longer than the others runs on alone, and memory follows the tokens and not the longest text.
+        """
         out = np.zeros(len(texts))
         if not texts:
             return out
         lanes = min(lanes, len(texts))
         rows: list[list[int]] = [[] for _ in range(lanes)]
-        full = np.zeros(lanes, np.int64)
+        open_ = [(0, lane) for lane in range(lanes)]
         for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-            to = int(full.argmin())
-            rows[to].append(i)
-            full[to] += len(texts[i])
-        steps = int(full.max())
-        ids, owner = np.full((lanes, steps), self.end, np.int32), np.full((lanes, steps), -1, np.int32)
-        for lane, members in enumerate(rows):
-            joined = np.concatenate([texts[i] for i in members])
-            ids[lane, : len(joined)] = joined
-            owner[lane, : len(joined)] = np.repeat(members, [len(texts[i]) for i in members])
+            size, lane = heapq.heappop(open_)
+            rows[lane].append(i)
+            heapq.heappush(open_, (size + len(texts[i]), lane))
+        rows.sort(key=lambda members: -sum(len(texts[i]) for i in members))
+        streams = [np.concatenate([texts[i] for i in members]) for members in rows]
+        owners = [np.repeat(np.array(members, np.int32), [len(texts[i]) for i in members]) for members in rows]
+        full = np.array([len(s) for s in streams])
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for at in range(0, steps, window):
-            part, whose = ids[:, at : at + window].T, owner[:, at : at + window].T.reshape(-1)
-            before, h, _ = self.run(part, h)
-            some = whose >= 0
-            logs, _ = self.log_probs(before.reshape(-1, HIDDEN)[some], part.reshape(-1)[some])
-            out += np.bincount(whose[some], weights=logs, minlength=len(texts))
+        for at in range(0, int(full[0]), window):
+            running = int((full > at).sum())
+            wide = min(window, int(full[0]) - at)
+            ids, whose = np.full((running, wide), self.end, np.int32), np.full((running, wide), -1, np.int32)
+            for lane in range(running):
+                part = streams[lane][at : at + wide]
+                ids[lane, : len(part)] = part
+                whose[lane, : len(part)] = owners[lane][at : at + wide]
+            before, h, _ = self.run(ids.T, h[:running])
+            flat = whose.T.reshape(-1)
+            some = flat >= 0
+            logs, _ = self.log_probs(before.reshape(-1, HIDDEN)[some], ids.T.reshape(-1)[some])
+            out += np.bincount(flat[some], weights=logs, minlength=len(texts))
         return out
 
 
@@ -309,8 +319,9 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network, dict]
     # One task, for the sample is bounded; ordered, so that reruns agree.
     rows = sample.select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id", "text").mapInPandas(learn, "weights binary").collect()
     network = pickle.loads(rows[0]["weights"]) if rows else Network(end, classes=classes, per_class=per_class)
-    for turn in range(ROUNDS):
-        network = _round(training.filter("text is not null"), turn, held, network)
+    rounds = rounds_for(totals["N"])
+    for turn in range(rounds):
+        network = _round(training.filter("text is not null"), turn, rounds, held, network)
     return lexicon, network, totals
 
 
@@ -332,8 +343,8 @@ def _mean(parts: pd.DataFrame) -> tuple[int, np.ndarray]:
     return int(tokens.sum()), total / tokens.sum()
 
 
-def _round(training: DataFrame, turn: int, lexicon, network: Network) -> Network:
-    """The network after one round over its share of the training rows, each partition a shard."""
+def _round(training: DataFrame, turn: int, rounds: int, lexicon, network: Network) -> Network:
+    """The network after one of the rounds over its share of the training rows, each partition a shard."""
     held = training.sparkSession.sparkContext.broadcast(network)
     fields = ["shard", "tokens", "weights"]
 
@@ -353,17 +364,25 @@ def _round(training: DataFrame, turn: int, lexicon, network: Network) -> Network
 
     def merged(parts: pd.DataFrame) -> pd.DataFrame:
         tokens, weights = _mean(parts)
-        return pd.DataFrame({"shard": [int(parts["shard"].min())], "tokens": [tokens], "weights": [weights.tobytes()]})
+        return pd.DataFrame({"shard": [int(parts["shard"].min()) // FAN], "tokens": [tokens], "weights": [weights.tobytes()]})
 
-    rows = training.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+    rows = training.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(rounds)) == turn).select("text")
     schema = "shard long, tokens long, weights binary"
-    # A row a group of shards comes to the driver.
-    means = rows.mapInArrow(learn, schema).groupBy(F.floor(F.col("shard") / FAN)).applyInPandas(merged, schema).toPandas()
-    if len(means):
-        network.fill(_mean(means)[1])
+    means = written(rows.mapInArrow(learn, schema), "shards")
+    # A tree: groups of shards are averaged until one row is left, the only one that comes to the driver.
+    while means.limit(2).count() > 1:
+        means = written(means.groupBy(F.floor(F.col("shard") / FAN)).applyInPandas(merged, schema), "shards")
+    last = means.toPandas()
+    if len(last):
+        network.fill(_mean(last)[1])
     return network
 
 
+def rounds_for(tokens: int) -> int:
+    """Rounds over the training rows: one more for each doubling of the tokens."""
+    return ROUNDS + int(math.log2(1 + tokens / ROUND_TOKENS))
+
+
 def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, network: Network, totals: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) of every row of ``docs`` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast((lexicon, network))

@@ -173,6 +173,40 @@ def test_long_texts_do_not_end_a_sample(make):
     assert sorted(r.text for r in common.budget_sample(whole, "text", ["doc_id", "text"], F.lit(0), 1_000_000, 1).collect()) == sorted(short[:20])
 
 
+def test_tables_follow_the_sample():
+    """Many languages and byte values: memory in proportion to the strings of the sample, every context kept."""
+    import tracemalloc
+
+    rng, many = np.random.default_rng(3), 30
+    grams = [np.unique(rng.integers(0, 200, (30_000, 4)).astype(np.uint32) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint32)) for _ in range(many)]
+    lang = np.repeat(np.arange(many), [len(g) for g in grams])
+    tracemalloc.start()
+    tree = langid.build([f"l{i:02d}" for i in range(many)], lang, np.concatenate(grams), np.ones(len(lang), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(tree.fours.langs) == len(lang)
+    for i in (0, 17):
+        counts = defaultdict(Counter)
+        for g in grams[i].tolist():
+            text = g.to_bytes(4, "big")
+            for k in range(4):
+                counts[text[3 - k : 3]][text[3]] += 1
+        data = b"".join(g.to_bytes(4, "big") for g in grams[i][:40].tolist()) + bytes(range(190, 256))
+        assert math.isclose(tree.code_lengths(data)[i], plain_bits(counts, data), rel_tol=1e-5)
+
+
+def test_lengths_do_not_depend_on_blocks(make, monkeypatch):
+    tree = langid.fit(make([(i, prose(random.Random(i), 50)) for i in range(12)]))
+    texts = [prose(random.Random(i), 3 * i).encode() for i in range(40)] + [b"", b"x"]
+    whole = tree.lengths_of(texts)
+    assert tree.fours.full is not None
+    monkeypatch.setattr(langid.Strings, "_FULL", 0)
+    sparse = langid.fit(make([(i, prose(random.Random(i), 50)) for i in range(12)]))
+    assert sparse.fours.full is None and np.allclose(sparse.lengths_of(texts), whole)
+    monkeypatch.setattr(langid, "_BLOCK", 7)
+    assert np.allclose(tree.lengths_of(texts), whole) and np.allclose([tree.code_lengths(t) for t in texts], whole)
+
+
 def test_unlearned_languages(make):
     tree = langid.fit(make([]))
     assert tree.languages == [] and langid.predict("text", tree)[0] == "und"
@@ -261,6 +295,88 @@ def test_the_network_has_more_words_where_more_are_frequent():
     assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)
 
 
+def plain_score(net, tokens):
+    """Log10 probability of a text by the recurrence, token by token."""
+    w, h, total = {k: v.astype(np.float64) for k, v in net.w.items()}, np.zeros(rnnlm.HIDDEN), 0.0
+    size = rnnlm.HIDDEN
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for t in tokens:
+        group = t // net.per_class
+        p = share(h @ w["A"] + w["a"])[group]
+        if group < net.classes:
+            p *= share(h @ w["B"][group] + w["c"][group])[t % net.per_class]
+        total += math.log10(p)
+        g, u = w["E"][t] @ w["W"] + w["b"], h @ w["U"]
+        z, r = squash(g[:size] + u[:size]), squash(g[size : 2 * size] + u[size : 2 * size])
+        n = np.tanh(g[2 * size :] + r * u[2 * size :])
+        h = (1 - z) * n + z * h
+    return total
+
+
+@pytest.mark.parametrize("known", [200_000, 40])
+def test_scores_against_the_recurrence(make, rows, monkeypatch, known):
+    """Every part of a score: the network's own words in context, told and untold words of the tail by their counts, unseen words."""
+    monkeypatch.setattr(rnnlm, "KNOWN", known)
+    monkeypatch.setattr(rnnlm, "EPOCHS", 1)
+    monkeypatch.setattr(rnnlm, "sides", lambda often: (5, 6))
+    held = {}
+    fit = rnnlm.fit
+    monkeypatch.setattr(rnnlm, "fit", lambda *a: held.setdefault("fit", fit(*a)))
+    docs = make(rows[:60] + [(700, "words never seen before " * 3)])
+    monkeypatch.setattr(queries, "load", lambda *a: docs)
+    got = queries.op4_language_model(None, "").collect()
+    lexicon, net, totals = held["fit"]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+    counts = Counter(w for d, t in rows[:60] if fold(d) != 2 for w in [*brute.words(t), None])
+    if fold(700) != 2:
+        counts.update(["words", "never", "seen", "before"] * 3 + [None])
+    hashes = {w: common.word_hashes([w.encode()])[0][0] if w is not None else rnnlm.END for w in set(counts) | {w for _, t in rows[:60] for w in brute.words(t)} | {"words", "never", "seen", "before"}}
+    ids = {}
+    for w, h in hashes.items():
+        at = np.flatnonzero(lexicon.hashes == h)
+        ids[w] = int(lexicon.ids[at[0]]) if len(at) else lexicon.own
+    tail = sum(n for w, n in counts.items() if ids[w] == lexicon.own)
+    kinds = sum(ids[w] == lexicon.own for w in counts)
+    texts = dict(rows[:60]) | {700: "words never seen before " * 3}
+    for r in got:
+        words = [*brute.words(texts[r.doc_id]), None]
+        expected = plain_score(net, [ids[w] for w in words]) + sum(math.log10((counts[w] + 1) / (tail + kinds + 1)) for w in words if ids[w] == lexicon.own)
+        assert math.isclose(r.score, expected, rel_tol=1e-3, abs_tol=1e-2)
+    assert any(ids[w] == lexicon.own for w in counts)
+
+
+def test_a_long_text_among_short_ones():
+    """Memory follows the tokens, not the longest text times the lanes."""
+    import tracemalloc
+
+    rng, net = np.random.default_rng(2), rnnlm.Network(0)
+    texts = [np.append(rng.integers(1, rnnlm.OWN, 60_000), 0).astype(np.int32)] + [np.append(rng.integers(1, rnnlm.OWN, 20), 0).astype(np.int32) for _ in range(511)]
+    tracemalloc.start()
+    together = net.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert np.allclose(together[:3], [net.score([t])[0] for t in texts[:3]], rtol=1e-4)
+
+
+def test_rounds_follow_the_tokens():
+    found = [rnnlm.rounds_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)]
+    assert found[0] == rnnlm.ROUNDS and found == sorted(found) and found[-1] > found[1] + 5
+
+
+def test_weights_are_averaged_in_a_tree(spark, make, monkeypatch):
+    """Seven shards by twos: one row in the end, the mean by tokens."""
+    monkeypatch.setattr(rnnlm, "FAN", 2)
+    texts = [(i, prose(random.Random(i), 30 + 5 * i)) for i in range(40)]
+    docs = make(texts, 7).select("doc_id", "text")
+    counts = common.written(rnnlm.word_counts(docs), "words")
+    lexicon, net, _ = rnnlm.fit(docs, counts)
+    assert np.isfinite(net.flat()).all()
+    monkeypatch.setattr(rnnlm, "FAN", 64)
+    assert np.allclose(rnnlm.fit(docs, counts)[1].flat(), net.flat(), atol=1e-5)
+
+
 def test_model_beats_counts_on_held_out_texts(spark):
     got = [r for r in queries.op4_language_model(spark, SMALL).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
@@ -293,14 +409,36 @@ def test_conversations_read_back(spark):
         said = [(r[1], t[1]) for _, r, t in sorted(found)]
         loss = "".join(t for r, t in said if r == "assistant")
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        expected.add((c, len(said), sha("".join(f"{r}\n{t}\n" for r, t in said)), len(loss), sha(loss)))
-    assert {tuple(r)[:5] for r in chat.read_back(packs, members).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()} == expected
+        chars = sum(len(chat.render(*x)[0]) for x in ((r[1] if r[0] else None, t[1]) for _, r, t in sorted(found)))
+        expected.add((c, len(said), sha("".join(f"{r}\n{t}\n" for r, t in said)), len(loss), sha(loss), chars))
+    assert {tuple(r) for r in chat.read_back(packs, members).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()} == expected
     for rows_ in [packs.filter(F.col("pack") == p.pack).orderBy("node").collect() for p in packs.select("pack").distinct().collect()]:
         assert [r.start for r in rows_] == [0, *[r.stop for r in rows_[:-1]]]  # one sequence
         assert len({(tuple(map(tuple, r.ancestors)), r.text) for r in rows_}) == len(rows_)  # each turn once
+        assert all(a.stop < b.start for r in rows_ for a, b in zip(r.ancestors, r.ancestors[1:]))  # intervals that touch are one
     assert chat.format_conversations(rows.limit(0))[0].count() == 0
 
 
+def test_large_ids_beside_none(spark):
+    big = 2**53
+    turns = [(c, i, "user", "hello") for c in (big, big + 1, None, 3) for i in range(2)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)
+    found = chat.read_back(*chat.format_conversations(rows)).collect()
+    assert Counter((r.conv_id, r.n_turns) for r in found) == Counter({(c, 2): 1 for c in (big, big + 1, None, 3)})
+
+
+def test_long_conversations(spark):
+    """20,000 turns, and one that shares half of them: intervals in proportion to the turns."""
+    n = 20_000
+    rows = spark.range(2 * n).select(F.floor(F.col("id") / n).alias("conv_id"), (F.col("id") % n).alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when((F.col("id") >= n) & (F.col("id") % n >= n / 2), F.lit("other")).otherwise(F.concat(F.lit("t"), F.col("id") % n)).alias("text"))
+    packs, members = chat.format_conversations(rows.repartition(4))
+    assert packs.count() in (n + n // 2, 2 * n)  # in one pack, or one in each of two
+    assert packs.agg(F.sum(F.size("ancestors"))).first()[0] <= 3 * n
+    found = {r.conv_id: r for r in chat.read_back(packs, members).collect()}
+    assert {c: r.n_turns for c, r in found.items()} == {0: n, 1: n}
+    assert found[0].loss_chars == sum(len(f"t{i}") for i in range(1, n, 2))
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
