@@ -321,6 +321,11 @@ from telemetry e asof left join windowed w on w.cell_id = e.cell_id and e.ts >=
         "prediction_rows": _predicted(
             f"""select w.cell_id || '@' || strftime(w.window_end, '%Y-%m-%dT%H:%M:%S.%fZ') as windowed_metrics_id, w.window_end, w.cell_id, w.region,
   {_each('avg_{m} as {m}')}, cast(encoded as double) as encoded, label, w.event_count, w.anomaly_event_count
+from windowed w join predictions p on p.cell_id = w.cell_id and p.window_end = w.window_end"""
+        ),
+        "forest_scored": _predicted(
+            f"""select w.cell_id || '@' || strftime(w.window_end, '%Y-%m-%dT%H:%M:%S.%fZ') as windowed_metrics_id, w.window_end, w.cell_id, w.region,
+  {_each('avg_{m} as {m}')}, w.event_count, w.anomaly_event_count, true as has_label, true as agreed
 from windowed w join predictions p on p.cell_id = w.cell_id and p.window_end = w.window_end"""
         ),
         "window_with_prediction": _predicted(

@@ -565,6 +565,28 @@ def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(model, documents).drop("timestamp")
 
 
+@query
+def forest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored predictions of ``forest_predictions`` by their parts that do not hang on the forest's draws: ids, inputs and counts,
+    whether the code stands for the label, and whether nine in ten of all labels are those of the profile labeller."""
+    found = forest_predictions(spark, sf_dir)
+    known = tables.window_table(spark, sf_dir).select(scoring.window_id().alias("windowed_metrics_id"), F.col("label").alias("known"))
+    rows = found.join(known, "windowed_metrics_id")
+    agreed = rows.agg((F.avg((F.col("prediction.label") == F.col("known")).cast("double")) >= 0.9).alias("agreed")).scalar()
+    code = label_code(F.col("prediction.label"))
+    return rows.select(
+        "windowed_metrics_id",
+        "window_end",
+        "cell_id",
+        "region",
+        "input_features.*",
+        "event_count",
+        "anomaly_event_count",
+        code.isNotNull().alias("has_label"),
+        agreed.alias("agreed"),
+    )
+
+
 @query
 def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per class, the rows held out and whether a fitted forest names nine in ten of them right."""

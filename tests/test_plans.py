@@ -14,7 +14,7 @@ from conftest import MEDIUM, SMALL, at
 
 QUERIES = registry.queries()
 EVENTS = re.compile(r"FileScan parquet .*events\.parquet")
-FITTED = {"forest_confusion", "forest_predictions", "forest_holdout", "forest_golden", "forest_folds"}
+FITTED = {"forest_confusion", "forest_predictions", "forest_scored", "forest_holdout", "forest_golden", "forest_folds"}
 
 
 def physical(df) -> str:
