@@ -68,80 +68,107 @@ def ranges(metrics: Sequence[str]) -> list[Column]:
     return out
 
 
-def _matched(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per event and metric that its group still asks for: ``keys, metric, milli`` and the group's ``columns`` for that metric."""
-    named = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[f"{m}_{c}" for m in metrics for c in columns])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    each = [F.struct(F.lit(i).alias("metric"), to_milli(F.col(m)).alias("milli"), *[F.col(f"{m}_{c}").alias(c) for c in columns]) for i, m in enumerate(metrics)]
-    joined = rows.select(*keys, *metrics).join(named, same)
-    return joined.select(*keys, F.inline(F.array(*each)))
+#: Number of a group: what its counts are keyed by instead of its keys.
+GROUP = "__group"
+#: Bits of a value's distance from the low end of its bucket; above them stands the metric's place.
+_DISTANCE = 40
 
 
-def coarse_counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """``keys, metric, low, high, total, buckets, bucket, n``: values per coarse bucket, for groups whose p95 is not their maximum.
+def numbered(groups: DataFrame, name: str) -> DataFrame:
+    """Groups as a stored table, each with a number that stays."""
+    return stored_table(groups.withColumn(GROUP, F.monotonically_increasing_id()), name)
 
-    At most ``BUCKETS`` rows per group and metric leave a task, whatever the group's size.
-    """
-    open_ = (F.col("total") > LAST_RANK) & (F.col("high") > F.col("low")) & F.col("milli").isNotNull()
-    asked = _matched(rows, groups, keys, metrics, ("n", "low", "high")).withColumnRenamed("n", "total").filter(open_)
-    sized = asked.withColumn("buckets", F.least(F.lit(BUCKETS), F.ceil(F.sqrt("total"))))
-    placed = sized.withColumn("bucket", F.expr("(milli - low) * buckets div (high - low + 1)"))
-    return placed.groupBy(*keys, "metric", "low", "high", "total", "buckets", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
+def _counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str], codes: Sequence[Column]) -> DataFrame:
+    """``group, code, n``: how often the rows of a group give each code; ``codes`` has one per metric, null where it does not count."""
+    named = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    asked = rows.select(*keys, *metrics).join(named, same).select(GROUP, F.explode(F.array(*codes)).alias("code"))
+    return asked.filter(F.col("code").isNotNull()).groupBy(GROUP, "code").agg(F.count(F.lit(1)).alias("n"))
 
-def _rank_bucket(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, metric, from, to, place``: the values, and the rank among them, that the coarse bucket with the floor rank holds."""
-    upto = F.sum("n").over(Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("position", F.expr(_POSITION))
-    hit = ranked.filter("upto >= position and upto - n < position").withColumn("span", F.col("high") - F.col("low") + 1)
-    first = F.expr("low + (bucket * span + buckets - 1) div buckets")
-    last = F.expr("low + ((bucket + 1) * span - 1) div buckets")
-    return hit.select(*keys, "metric", first.alias("from"), last.alias("to"), (F.col("position") - F.col("upto") + F.col("n")).alias("place"))
 
+def _is_open(m: str) -> Column:
+    """Whether a group's p95 can be other than its maximum."""
+    return (F.col(f"{m}_n") > LAST_RANK) & (F.col(f"{m}_high") > F.col(f"{m}_low"))
 
-def _by_metric(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per group, ``columns`` once for each metric."""
-    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == i, F.col(c))).alias(f"{m}_{c}") for i, m in enumerate(metrics) for c in columns])
+
+def coarse_counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Counts per coarse bucket of a group's range, for groups whose p95 is not their maximum; the code is ``BUCKETS`` times the
+    metric's place, and the bucket. At most ``BUCKETS`` rows per group and metric leave a task, whatever the group's size."""
+    asked = groups.select(GROUP, *keys, *[F.when(_is_open(m), F.col(f"{m}_{c}")).alias(f"{m}_{c}") for m in metrics for c in ("n", "low", "high")])
+    sized = asked.select(GROUP, *keys, *[c for m in metrics for c in (f"{m}_low", (F.col(f"{m}_high") - F.col(f"{m}_low") + 1).alias(f"{m}_span"), _buckets(m).alias(f"{m}_buckets"))])
+    milli = lambda m: to_milli(F.col(m)) - F.col(f"{m}_low")
+    codes = [F.call_function("div", milli(m) * F.col(f"{m}_buckets"), F.col(f"{m}_span")) + i * BUCKETS for i, m in enumerate(metrics)]
+    return _counts(rows, sized, keys, metrics, codes)
+
+
+def _buckets(m: str) -> Column:
+    return F.least(F.lit(BUCKETS), F.ceil(F.sqrt(f"{m}_n")))
+
+
+def _rank_buckets(counts: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Per group with such counts, and metric: the values ``from`` and ``to`` between which the floor rank lies, and its ``place`` there."""
+    group = Window.partitionBy(GROUP, "metric")
+    upto = F.sum("n").over(group.orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("metric", F.expr(f"code div {BUCKETS}"))
+    ranked = placed.withColumns({"upto": upto, "total": F.sum("n").over(group)}).withColumn("position", F.expr(_POSITION))
+    hit = ranked.filter("upto >= position and upto - n < position").withColumn("place", F.expr("position - upto + n"))
+    of = lambda i, c: F.max(F.when(F.col("metric") == i, c))
+    chosen = hit.groupBy(GROUP).agg(*[x for i, m in enumerate(metrics) for x in (of(i, F.col("code") % BUCKETS).alias(f"{m}_bucket"), of(i, F.col("place")).alias(f"{m}_place"))])
+    ends = []
+    for m in metrics:
+        span = f"({m}_high - {m}_low + 1)"
+        ends.append(F.call_function("div", F.col(f"{m}_bucket") * F.expr(span) + _buckets(m) - 1, _buckets(m)) + F.col(f"{m}_low"))
+        ends.append(F.call_function("div", (F.col(f"{m}_bucket") + 1) * F.expr(span) - 1, _buckets(m)) + F.col(f"{m}_low"))
+    named = [x for i, m in enumerate(metrics) for x in (ends[2 * i].alias(f"{m}_from"), ends[2 * i + 1].alias(f"{m}_to"), f"{m}_place")]
+    return groups.join(chosen, GROUP).select(GROUP, *keys, *named)
 
 
 def fine_counts(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """``keys, metric, place, milli, n``: how often each value of a group's one chosen bucket occurs."""
-    asked = _matched(rows, chosen, keys, metrics, ("from", "to", "place")).filter("milli between `from` and `to` and `from` < `to`")
-    return asked.groupBy(*keys, "metric", "place", "milli").agg(F.count(F.lit(1)).alias("n"))
+    """Counts per value of a group's one bucket, where that holds more than one; the code is the metric's place and the value's
+    distance from the bucket's low end."""
+    codes = []
+    for i, m in enumerate(metrics):
+        milli = to_milli(F.col(m))
+        inside = (F.col(f"{m}_from") < F.col(f"{m}_to")) & milli.between(F.col(f"{m}_from"), F.col(f"{m}_to"))
+        codes.append(F.when(inside, milli - F.col(f"{m}_from") + (i << _DISTANCE)))
+    return _counts(rows, chosen, keys, metrics, codes)
+
+
+def _values(counts: DataFrame, chosen: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Per group, each metric's value at its place among the counted ones."""
+    metric = F.shiftright("code", _DISTANCE).cast("int")
+    group = Window.partitionBy(GROUP, "metric").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("metric", metric).withColumn("upto", F.sum("n").over(group))
+    at = lambda c: F.get(F.array(*[F.col(f"{m}_{c}") for m in metrics]), F.col("metric"))
+    hit = ranked.join(chosen, GROUP).filter((F.col("upto") >= at("place")) & (F.col("upto") - F.col("n") < at("place")))
+    value = F.col("code") - F.shiftleft(F.col("metric").cast("long"), _DISTANCE) + at("from")
+    return hit.groupBy(GROUP).agg(*[F.max(F.when(F.col("metric") == i, value)).alias(f"{m}_value") for i, m in enumerate(metrics)])
 
 
 def with_p95(groups: DataFrame, rows: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95") -> DataFrame:
-    """Adds each metric's exact p95, in thousandths and null without values, to a stored table of ``groups``.
+    """Adds each metric's exact p95, in thousandths and null without values, to a ``numbered`` table of ``groups``.
 
     ``groups`` has the keys and the ``ranges`` of ``rows``. The rows are read twice more, and not at all where every p95 is a
     maximum; they meet the groups by a broadcast where that table is small, else by a shuffle in which adaptive execution splits
-    hot groups. Counts are merged before they are shuffled.
+    hot groups. Counts are merged before they are shuffled, and keyed by the groups' numbers.
     """
-    high = [F.col(f"{m}_high").alias(m + suffix) for m in metrics]
-    undecided = reduce(or_, [(F.col(f"{m}_n") > LAST_RANK) & (F.col(f"{m}_high") > F.col(f"{m}_low")) for m in metrics])
-    open_ = groups.filter(undecided)
+    own = [c for c in groups.columns if c != GROUP]
+    open_ = groups.filter(reduce(or_, [_is_open(m) for m in metrics]))
     if not open_.limit(1).count():
-        return groups.select("*", *high)
-    found = _rank_bucket(coarse_counts(rows, open_, keys, metrics), keys)
-    chosen = stored_table(_by_metric(found, keys, metrics, ("from", "to", "place")), "rank-buckets")
-    unsettled = reduce(or_, [F.col(f"{m}_from") < F.col(f"{m}_to") for m in metrics])
-    upto = F.sum("n").over(Window.partitionBy(*keys, "metric").orderBy("milli").rowsBetween(Window.unboundedPreceding, 0))
-    fine = fine_counts(rows, chosen.filter(unsettled), keys, metrics).withColumn("upto", upto)
-    value = _by_metric(fine.filter("upto >= place and upto - n < place").withColumnRenamed("milli", "value"), keys, metrics, ("value",))
-    out = groups
-    for part, columns in ((chosen.select(*keys, *[f"{m}_from" for m in metrics]), ["from"]), (value, ["value"])):
-        named = part.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"{m}_{c}").alias(f"__{m}_{c}") for m in metrics for c in columns])
-        out = out.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
-    exact = [F.coalesce(f"__{m}_value", f"__{m}_from", f"{m}_high").alias(m + suffix) for m in metrics]
-    return out.select(*groups.columns, *exact)
+        return groups.select(*own, *[F.col(f"{m}_high").alias(m + suffix) for m in metrics])
+    chosen = stored_table(_rank_buckets(coarse_counts(rows, open_, keys, metrics), open_, keys, metrics), "rank-buckets")
+    unsettled = chosen.filter(reduce(or_, [F.col(f"{m}_from") < F.col(f"{m}_to") for m in metrics]))
+    values = _values(fine_counts(rows, unsettled, keys, metrics), unsettled, metrics)
+    found = groups.join(chosen.select(GROUP, *[f"{m}_from" for m in metrics]), GROUP, "left").join(values, GROUP, "left")
+    return found.select(*own, *[F.coalesce(f"{m}_value", f"{m}_from", f"{m}_high").alias(m + suffix) for m in metrics])
 
 
 def p95_per_group(
     df: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95"
 ) -> DataFrame:
     """Exact p95 of each metric per group, for groups of any size; null without values."""
-    groups = stored_table(df.groupBy(*keys).agg(*ranges(metrics)), "ranges")
-    found = with_p95(groups, df, keys, metrics, suffix)
+    found = with_p95(numbered(df.groupBy(*keys).agg(*ranges(metrics)), "ranges"), df, keys, metrics, suffix)
     return found.select(*keys, *[(F.col(m + suffix) / MILLI).alias(m + suffix) for m in metrics])
 
 

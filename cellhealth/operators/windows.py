@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import MILLI, average_of, half_up, sum_milli, to_milli
 from ..functions.telemetry import is_anomaly, known_or_default
 from ..schemas import FEATURES, STATS
-from ..session import stored_table
-from .quantiles import merged_sketch, p95_aggregate, p95_of_sketch, p95_sketch, with_p95
+from .quantiles import merged_sketch, numbered, p95_aggregate, p95_of_sketch, p95_sketch, with_p95
 
 # Emission interval, and the constant the window rows carry beside it.
 WINDOW_SECONDS = 10
@@ -106,7 +105,7 @@ def _windows_by_refinement(keyed: DataFrame, size: int, slide: int, metrics: Seq
     """All statistics: those of ``_windows_by_hash`` as a stored table, and exact p95s refined from their counts and ranges."""
     stats = _windows_by_hash(keyed, size, slide, ("avg", "min", "max"), metrics).withColumn("start", F.col("window.start"))
     bounds = {f"{m}_{name}": to_milli(F.col(f"{m}_{side}")) for m in metrics for name, side in (("low", "min"), ("high", "max"))}
-    stats = stored_table(stats.withColumns(bounds), "window-ranges")
+    stats = numbered(stats.withColumns(bounds), "window-ranges")
     start = F.col("window.start") if slide == size else F.explode(_starts(F.col("window.start"), size, slide))
     rows = keyed.select(start.alias("start"), "cell_id", *metrics)
     exact = with_p95(stats, rows, ["start", "cell_id"], metrics)

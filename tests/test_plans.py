@@ -67,7 +67,7 @@ def test_events_are_hashed_not_sorted(spark, size, slide):
     """Nothing sorts by key before the events have been aggregated once."""
     keyed = tables.telemetry(spark, SMALL).withColumn("window", F.window("ts", f"{slide} seconds"))
     rows = keyed.select(F.col("window.start").alias("start"), "cell_id", *FEATURES)
-    groups = quantiles.stored_table(rows.groupBy("start", "cell_id").agg(*quantiles.ranges(FEATURES)), "test-ranges")
+    groups = quantiles.numbered(rows.groupBy("start", "cell_id").agg(*quantiles.ranges(FEATURES)), "test-ranges")
     for df in (windows._windows_by_hash(keyed, size, slide, ("avg", "min", "max"), FEATURES), quantiles.coarse_counts(rows, groups, ["start", "cell_id"], FEATURES)):
         plan = physical(df).splitlines()
         scan = next(i for i, line in enumerate(plan) if EVENTS.search(line))

@@ -178,10 +178,10 @@ def test_refinement_shuffles_few_rows(spark):
     n = 200_000
     values = {m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10**8)) / 1000.0 for i, m in enumerate(FEATURES)}
     rows = spark.range(n).withColumn("cell_id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 10)).withColumns(values)
-    groups = quantiles.stored_table(rows.groupBy("cell_id").agg(*quantiles.ranges(FEATURES)), "test-ranges")
+    groups = quantiles.numbered(rows.groupBy("cell_id").agg(*quantiles.ranges(FEATURES)), "test-ranges")
     coarse = quantiles.coarse_counts(rows, groups, ["cell_id"], FEATURES)
     assert coarse.count() <= groups.count() * len(FEATURES) * quantiles.BUCKETS
-    chosen = quantiles._by_metric(quantiles._rank_bucket(coarse, ["cell_id"]), ["cell_id"], FEATURES, ("from", "to", "place"))
+    chosen = quantiles._rank_buckets(coarse, groups, ["cell_id"], FEATURES)
     assert quantiles.fine_counts(rows, chosen, ["cell_id"], FEATURES).count() < n * len(FEATURES) / 100
 
 
