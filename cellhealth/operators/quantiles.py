@@ -2,8 +2,8 @@
 
 Exact ones of groups of any size come by refinement (``with_p95``). A group's count and range show whether its p95 is simply the
 maximum; else its values are counted in coarse buckets of that range, about as many as the root of its size; the bucket that
-holds the rank is found from those counts, and only that bucket's values are counted one by one. Streams keep a sketch
-(``p95_sketch``) instead, as they cannot read their rows again.
+holds the rank is found from those counts, and only that bucket's values are counted one by one. Streams cannot read their rows
+again: they keep counts of the values, which are refined likewise when a window has closed, or a sketch (``p95_sketch``).
 """
 
 from __future__ import annotations
@@ -79,12 +79,15 @@ def numbered(groups: DataFrame, name: str) -> DataFrame:
     return stored_table(groups.withColumn(GROUP, F.monotonically_increasing_id()), name)
 
 
-def _counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str], codes: Sequence[Column]) -> DataFrame:
-    """``group, code, n``: how often the rows of a group give each code; ``codes`` has one per metric, null where it does not count."""
+def _counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str], codes: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """``group, code, n``: how often the rows of a group give each code; ``codes`` has one per metric, null where it does not count.
+    A row counts once, or as often as its ``weight`` says."""
     named = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    asked = rows.select(*keys, *metrics).join(named, same).select(GROUP, F.explode(F.array(*codes)).alias("code"))
-    return asked.filter(F.col("code").isNotNull()).groupBy(GROUP, "code").agg(F.count(F.lit(1)).alias("n"))
+    weights = [weight] if weight else []
+    asked = rows.select(*keys, *metrics, *weights).join(named, same).select(GROUP, *weights, F.explode(F.array(*codes)).alias("code"))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    return asked.filter(F.col("code").isNotNull()).groupBy(GROUP, "code").agg(times.alias("n"))
 
 
 def _is_open(m: str) -> Column:
@@ -92,14 +95,14 @@ def _is_open(m: str) -> Column:
     return (F.col(f"{m}_n") > LAST_RANK) & (F.col(f"{m}_high") > F.col(f"{m}_low"))
 
 
-def coarse_counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def coarse_counts(rows: DataFrame, groups: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str | None = None) -> DataFrame:
     """Counts per coarse bucket of a group's range, for groups whose p95 is not their maximum; the code is ``BUCKETS`` times the
     metric's place, and the bucket. At most ``BUCKETS`` rows per group and metric leave a task, whatever the group's size."""
     asked = groups.select(GROUP, *keys, *[F.when(_is_open(m), F.col(f"{m}_{c}")).alias(f"{m}_{c}") for m in metrics for c in ("n", "low", "high")])
     sized = asked.select(GROUP, *keys, *[c for m in metrics for c in (f"{m}_low", (F.col(f"{m}_high") - F.col(f"{m}_low") + 1).alias(f"{m}_span"), _buckets(m).alias(f"{m}_buckets"))])
     milli = lambda m: to_milli(F.col(m)) - F.col(f"{m}_low")
     codes = [F.call_function("div", milli(m) * F.col(f"{m}_buckets"), F.col(f"{m}_span")) + i * BUCKETS for i, m in enumerate(metrics)]
-    return _counts(rows, sized, keys, metrics, codes)
+    return _counts(rows, sized, keys, metrics, codes, weight)
 
 
 def _buckets(m: str) -> Column:
@@ -124,7 +127,7 @@ def _rank_buckets(counts: DataFrame, groups: DataFrame, keys: Sequence[str], met
     return groups.join(chosen, GROUP).select(GROUP, *keys, *named)
 
 
-def fine_counts(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def fine_counts(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str | None = None) -> DataFrame:
     """Counts per value of a group's one bucket, where that holds more than one; the code is the metric's place and the value's
     distance from the bucket's low end."""
     codes = []
@@ -132,7 +135,7 @@ def fine_counts(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], metrics
         milli = to_milli(F.col(m))
         inside = (F.col(f"{m}_from") < F.col(f"{m}_to")) & milli.between(F.col(f"{m}_from"), F.col(f"{m}_to"))
         codes.append(F.when(inside, milli - F.col(f"{m}_from") + (i << _DISTANCE)))
-    return _counts(rows, chosen, keys, metrics, codes)
+    return _counts(rows, chosen, keys, metrics, codes, weight)
 
 
 def _values(counts: DataFrame, chosen: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -146,10 +149,10 @@ def _values(counts: DataFrame, chosen: DataFrame, metrics: Sequence[str]) -> Dat
     return hit.groupBy(GROUP).agg(*[F.max(F.when(F.col("metric") == i, value)).alias(f"{m}_value") for i, m in enumerate(metrics)])
 
 
-def with_p95(groups: DataFrame, rows: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95") -> DataFrame:
+def with_p95(groups: DataFrame, rows: DataFrame, keys: Sequence[str], metrics: Sequence[str] = FEATURES, suffix: str = "_p95", weight: str | None = None) -> DataFrame:
     """Adds each metric's exact p95, in thousandths and null without values, to a ``numbered`` table of ``groups``.
 
-    ``groups`` has the keys and the ``ranges`` of ``rows``. The rows are read twice more, and not at all where every p95 is a
+    ``groups`` has the keys and the ``ranges`` of ``rows``; a row with a ``weight`` stands for so many. The rows are read twice more, and not at all where every p95 is a
     maximum; they meet the groups by a broadcast where that table is small, else by a shuffle in which adaptive execution splits
     hot groups. Counts are merged before they are shuffled, and keyed by the groups' numbers.
     """
@@ -157,9 +160,9 @@ def with_p95(groups: DataFrame, rows: DataFrame, keys: Sequence[str], metrics: S
     open_ = groups.filter(reduce(or_, [_is_open(m) for m in metrics]))
     if not open_.limit(1).count():
         return groups.select(*own, *[F.col(f"{m}_high").alias(m + suffix) for m in metrics])
-    chosen = stored_table(_rank_buckets(coarse_counts(rows, open_, keys, metrics), open_, keys, metrics), "rank-buckets")
+    chosen = stored_table(_rank_buckets(coarse_counts(rows, open_, keys, metrics, weight), open_, keys, metrics), "rank-buckets")
     unsettled = chosen.filter(reduce(or_, [F.col(f"{m}_from") < F.col(f"{m}_to") for m in metrics]))
-    values = _values(fine_counts(rows, unsettled, keys, metrics), unsettled, metrics)
+    values = _values(fine_counts(rows, unsettled, keys, metrics, weight), unsettled, metrics)
     found = groups.join(chosen.select(GROUP, *[f"{m}_from" for m in metrics]), GROUP, "left").join(values, GROUP, "left")
     return found.select(*own, *[F.coalesce(f"{m}_value", f"{m}_from", f"{m}_high").alias(m + suffix) for m in metrics])
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import MILLI, average_of, half_up, sum_milli, to_milli
 from ..functions.telemetry import is_anomaly, known_or_default
 from ..schemas import FEATURES, STATS
+from ..session import stored_table
 from .quantiles import merged_sketch, numbered, p95_aggregate, p95_of_sketch, p95_sketch, with_p95
 
 # Emission interval, and the constant the window rows carry beside it.
@@ -103,12 +104,17 @@ def _windows_by_hash(keyed: DataFrame, size: int, slide: int, stats: Sequence[st
 
 def _windows_by_refinement(keyed: DataFrame, size: int, slide: int, metrics: Sequence[str]) -> DataFrame:
     """All statistics: those of ``_windows_by_hash`` as a stored table, and exact p95s refined from their counts and ranges."""
-    stats = _windows_by_hash(keyed, size, slide, ("avg", "min", "max"), metrics).withColumn("start", F.col("window.start"))
+    stats = _windows_by_hash(keyed, size, slide, ("avg", "min", "max"), metrics)
+    start = F.col("window.start") if slide == size else F.explode(_starts(F.col("window.start"), size, slide))
+    return _refined(stats, keyed.select(start.alias("start"), "cell_id", *metrics), metrics)
+
+
+def _refined(stats: DataFrame, rows: DataFrame, metrics: Sequence[str], weight: str | None = None) -> DataFrame:
+    """The windows of ``stats``, stored, with exact p95s of ``rows`` (start, cell_id, metrics)."""
+    stats = stats.withColumn("start", F.col("window.start"))
     bounds = {f"{m}_{name}": to_milli(F.col(f"{m}_{side}")) for m in metrics for name, side in (("low", "min"), ("high", "max"))}
     stats = numbered(stats.withColumns(bounds), "window-ranges")
-    start = F.col("window.start") if slide == size else F.explode(_starts(F.col("window.start"), size, slide))
-    rows = keyed.select(start.alias("start"), "cell_id", *metrics)
-    exact = with_p95(stats, rows, ["start", "cell_id"], metrics)
+    exact = with_p95(stats, rows, ["start", "cell_id"], metrics, weight=weight)
     return exact.withColumns({f"{m}_p95": F.col(f"{m}_p95") / MILLI for m in metrics})
 
 
@@ -128,6 +134,52 @@ def _windows_of_stream(keyed: DataFrame, size: int, slide: int, stats: Sequence[
     return windows.withColumns({f"{m}_p95": p95_of_sketch(f"{m}_sketch") / MILLI for m in sketched}) if sketched else windows
 
 
+def counted_windows(events: DataFrame, size: int = WINDOW_SECONDS, slide: int | None = None, metrics: Sequence[str] = FEATURES) -> DataFrame:
+    """What ``windows_of_counts`` makes windows of: counts that a stream keeps of each cell's values in a window.
+
+    A row per window, cell, metric (its place) and thousandth, and one per region for the events themselves (place -1). Entries of the state
+    have a fixed width, a window's are spread over all tasks, and repeated values share one. The stream needs its watermark; all rows
+    of a window leave together when it passes the window's end. Sliding windows are merged from closed panes.
+    """
+    slide = slide or size
+    if size % slide:
+        raise ValueError("the slide must divide the window size")
+
+    def entry(place: int, milli: Column, region: Column, odd: Column) -> Column:
+        return F.struct(F.lit(place).alias("metric"), milli.alias("milli"), region.alias("region"), odd.alias("odd"))
+
+    none = F.lit(None).cast("string")
+    entries = [entry(-1, F.lit(0).cast("long"), F.col("region"), is_anomaly())]
+    entries += [entry(i, to_milli(F.col(m)), none, F.lit(False)) for i, m in enumerate(metrics)]
+    keyed = events.withColumn("window", F.window("ts", _seconds(slide)))
+    rows = keyed.select(*_GROUP, "ts", F.inline(F.array(*entries))).filter("milli is not null")
+    keys = ["cell_id", "metric", "milli", "region"]
+    counts = rows.groupBy("window", *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("anomalies"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    if slide == size:
+        return counts
+    panes = counts.withColumn("pane", F.window_time("window")).drop("window")
+    merged = [f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "anomalies"), (F.min, "first_ts"), (F.max, "last_ts"))]
+    return panes.groupBy(F.window("pane", _seconds(size), _seconds(slide)), *keys).agg(*merged)
+
+
+def windows_of_counts(counts: DataFrame, metrics: Sequence[str] = FEATURES) -> DataFrame:
+    """Flat window rows, p95 exact, from whole windows of ``counted_windows``: a batch that a stream hands on, stored first because it
+    is read several times."""
+    counts = stored_table(counts, "counted-windows")
+    times = lambda i, x=1: F.sum(F.when(F.col("metric") == i, F.col("n") * x).otherwise(0))
+    of = lambda f, i: f(F.when(F.col("metric") == i, F.col("milli") / MILLI))
+    aggregates = [times(-1).alias("event_count"), F.sum("anomalies").alias("anomaly_event_count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+    for i, m in enumerate(metrics):
+        aggregates += [times(i, F.col("milli")).alias(f"{m}_sum"), times(i).alias(f"{m}_n"), of(F.min, i).alias(f"{m}_min"), of(F.max, i).alias(f"{m}_max")]
+    # As in _windows_by_hash: the region is a key first, for a text in an aggregate would turn hashing into sorting.
+    stats = counts.groupBy(*_GROUP, "region").agg(*aggregates).groupBy(*_GROUP).agg(*_merged(("avg", "min", "max"), metrics))
+    values = [F.when(F.col("metric") == i, F.col("milli") / MILLI).alias(m) for i, m in enumerate(metrics)]
+    rows = counts.filter("metric >= 0").select(F.col("window.start").alias("start"), "cell_id", "n", *values)
+    return _flat(_refined(stats, rows, metrics, "n"), STATS, metrics)
+
+
 def flat_windows(
     events: DataFrame,
     size: int = WINDOW_SECONDS,
@@ -144,7 +196,7 @@ def flat_windows(
     * ``"refined"``, the choice for tables: exact, for groups of any size; the other statistics are stored on the way, so a job
       runs at once.
     * ``"sketch"``, the choice for streams and for them only: state of bounded size, exact for windows of up to some hundred
-      values a metric, else with the sketch's rank error.
+      values a metric, else with the sketch's rank error. Streams get exact ones of any size by ``counted_windows``.
     * ``"aggregate"``: exact, in the one aggregation, whose buffer holds a count per distinct value; not for sliding windows.
 
     A stream needs its watermark set by the caller.
@@ -169,6 +221,10 @@ def flat_windows(
     else:
         windows = _windows_by_hash(keyed, size, slide, stats, metrics)
 
+    return _flat(windows, stats, metrics)
+
+
+def _flat(windows: DataFrame, stats: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     return windows.select(
         "cell_id",
         F.col("window.end").alias("window_end"),

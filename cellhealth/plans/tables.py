@@ -15,7 +15,7 @@ from ..functions.labels import label_name, profile_code
 from ..functions.telemetry import cell_name
 from ..operators.features import latest_features
 from ..operators.windows import as_features, flat_windows
-from ..schemas import TELEMETRY_SCHEMA
+from ..schemas import FLAT_WINDOW_SCHEMA, TELEMETRY_SCHEMA
 from ..session import apply_settings, checkpoint_root, tables_root
 from ..sources.tables import DayTable, OnlineTable
 from ..streaming import queries
@@ -53,7 +53,7 @@ def online_table(spark: SparkSession, sf_dir: str) -> OnlineTable:
 
 def streamed_windows(spark: SparkSession, sf_dir: str, slide: int | None = None, size: int = DAY) -> DataFrame:
     """The windows of the telemetry as a stream leaves them in a table by day: every 7th message comes twice, and a last one, far
-    ahead, closes all windows but its own. Runs the stream to its end; each call writes tables of its own."""
+    ahead, closes all windows but its own. Every statistic is exact. Runs the stream to its end; each call writes tables of its own."""
     root = f"{tables_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
     sent = telemetry(spark, sf_dir).select(*TELEMETRY_SCHEMA.names)
     ahead = F.make_dt_interval(days=F.lit(10 + 2 * size // DAY))
@@ -63,9 +63,8 @@ def streamed_windows(spark: SparkSession, sf_dir: str, slide: int | None = None,
     sent.unionByName(sent.filter(F.col("event_id") % 7 == 0)).unionByName(closing).write.parquet(f"{root}/messages")
     messages = spark.readStream.schema(TELEMETRY_SCHEMA).parquet(f"{root}/messages")
     # The files come in no order of time; one batch takes them all, so that none is late.
-    live = queries.window_stream(messages, size, slide, "1 hour", flat=True)
-    table = DayTable(spark, f"{root}/windows", live.schema)
-    queries.append_by_day(live, table, f"{root}/checkpoint").awaitTermination()
+    table = DayTable(spark, f"{root}/windows", FLAT_WINDOW_SCHEMA)
+    queries.exact_windows_by_day(messages, table, f"{root}/checkpoint", size, slide, "1 hour").awaitTermination()
     return table.read()
 
 

@@ -103,6 +103,17 @@ WINDOW_SCHEMA = _struct(
     ("ingested_at", T.TimestampType()),
 )
 
+#: The same rows with flat statistics.
+FLAT_WINDOW_SCHEMA = _struct(
+    ("cell_id", T.StringType()),
+    ("window_end", T.TimestampType()),
+    ("last_ts", T.TimestampType()),
+    ("region", T.StringType()),
+    ("event_count", T.LongType()),
+    ("anomaly_event_count", T.LongType()),
+    *((f"{name}_{stat}", T.DoubleType()) for name in FEATURES for stat in STATS),
+)
+
 #: One row per scored window.
 PREDICTION_SCHEMA = _struct(
     ("windowed_metrics_id", T.StringType()),

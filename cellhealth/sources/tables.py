@@ -186,6 +186,9 @@ class DayTable(_Committed):
         folder, fs = self._files(name)
         return [name] if any(s.isDirectory() for s in fs.listStatus(folder)) else []
 
+    def has(self, batch: int, writer: str) -> bool:
+        return batch <= self._newest().get("batches", {}).get(writer, -1)
+
     def append(self, rows: DataFrame, batch: int, writer: str) -> bool:
         """Append a writer's batch unless it is there; says whether it did."""
         numbers = self._commits()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,14 +13,16 @@ from cellhealth.model import scoring, training
 from cellhealth.operators import monitor, sampling
 from cellhealth.operators.features import feature_rows, latest_features
 from cellhealth.operators.windows import cell_windows, flat_windows
-from cellhealth.plans import tables
-from cellhealth.schemas import FEATURES, TELEMETRY_SCHEMA
+from cellhealth.plans import oracle, registry, tables
+from cellhealth.schemas import FEATURES, FLAT_WINDOW_SCHEMA, TELEMETRY_SCHEMA
+from cellhealth.session import tables_root
 from cellhealth.sources.tables import DayTable, OnlineTable
 from cellhealth.sources.telemetry import accepted, decode, file_stream, keyed_json
 from cellhealth.streaming import queries
 from cellhealth.streaming.samples import sampled_windows
 from cellhealth.streaming.timers import timed_windows
-from conftest import SMALL, event
+from conftest import MEDIUM, SMALL, event
+from oracle_check import TABLES, connect, difference
 
 DAY = 86_400
 
@@ -117,6 +120,44 @@ def test_messages_delivered_again_count_once(spark, events, tmp_path):
     same(spark.read.parquet(f"{tmp_path}/out"), closed(flat_windows(rows, DAY)))
 
 
+@pytest.mark.parametrize("name", ["streamed_windows", "streamed_sliding"])
+def test_streamed_p95_is_exact_in_busy_windows(spark, tmp_path, name):
+    """Windows of some thousand distinct values, more than a sketch holds, equal their SQL; nothing passing is left behind."""
+    made = tables.table(spark, MEDIUM, "events").withColumn("user_id", F.col("event_id") % 2 * 10)
+    day = F.make_dt_interval(days=(F.col("event_id") % 2).cast("int"), secs=F.col("event_id") / 10)
+    made.withColumn("ts", (F.lit("2024-01-01").cast("timestamp") + day).cast("timestamp_ntz")).coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    for other in TABLES:
+        if other != "events":
+            (tmp_path / f"{other}.parquet").symlink_to(f"{MEDIUM}/{other}.parquet")
+    con = connect(str(tmp_path))
+    con.execute(f"create or replace view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = registry.queries()[name](spark, str(tmp_path))
+    assert got.agg(F.max("event_count")).first()[0] > 4_000
+    assert difference(got, con, oracle.oracle_sql()[name]) is None
+    assert not [p for p in Path(tables_root(spark).removeprefix("file:")).iterdir() if p.name.startswith("passing-")]
+
+
+def test_exact_windows_by_day_equal_the_batch(spark, events, tmp_path):
+    """Files one by one, a restart after each, and the last batch once more after a lost commit; empty regions and missing values too."""
+    rows, parts = events
+    holes = lambda df: df.withColumns({"region": F.when(F.col("event_id") % 5 == 0, F.lit("")).when(F.col("event_id") % 5 != 1, F.col("region")), "jitter_ms": F.when(F.col("cell_id") != "CELL_0007", F.col("jitter_ms"))})
+    table = DayTable(spark, f"{tmp_path}/table", FLAT_WINDOW_SCHEMA)
+
+    def run():
+        queries.exact_windows_by_day(stream(spark, f"{tmp_path}/in"), table, f"{tmp_path}/checkpoint", 3 * DAY, DAY, "1 hour").awaitTermination()
+
+    for part in parts:
+        holes(spark.read.parquet(part)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+    expected = closed(flat_windows(holes(rows), 3 * DAY, DAY))
+    same(table.read().drop("day"), expected)
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for lost in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        lost.unlink(missing_ok=True)
+    run()
+    same(table.read().drop("day"), expected)
+
+
 def test_state_is_bounded_by_sketches_and_panes(spark, tmp_path):
     """Many distinct values in one window: state of a fixed size, ranks within the sketch's error; one entry a pane, not a window."""
     n = 60_000
