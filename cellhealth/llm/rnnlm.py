@@ -42,18 +42,34 @@ ROUNDS, ROUND_TOKENS, SHARD_LANES, SHARD_RATE, FAN = 2, 50_000_000, 256, 2e-3, 3
 OWN_LEAST, MOST_CLASSES = 200, 96
 KNOWN = 200_000
 SCORE_LANES, SCORE_WINDOW = 512, 128
+#: Tokens whose softmax is taken at once.
+BLOCK = 1024
 _SLOTS = 22
 END = np.uint64(0x5BD1E9955BD1E995)
 LOG10 = math.log(10)
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _going(states: np.ndarray, at: np.ndarray, weights: np.ndarray, bias: np.ndarray, calm: bool, back: tuple | None) -> np.ndarray:
+    """Log of the softmax of ``states @ weights + bias`` at one place a row. Slopes by weights, bias and state are added to the arrays of
+    ``back``. ``calm``: no exponential can overflow.
+    """
+    x = states @ weights
+    x += bias
+    if not calm:
+        x -= x.max(axis=1, keepdims=True)
+    place = np.arange(len(x)), at
+    logs = x[place]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    logs -= np.log(total)
+    if back:
+        by_weights, by_bias, by_state = back
+        x *= (1 / total)[:, None]
+        x[place] -= 1
+        by_weights += states.T @ x
+        by_bias += np.ones(len(x), x.dtype) @ x
+        by_state += x @ weights.T
+    return logs
 
 
 class Network:
@@ -69,49 +85,72 @@ class Network:
         }
 
     def run(self, ids: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States before each token of ``ids`` (steps, lanes), the state after, and what going back needs."""
-        given = self.w["E"] @ self.w["W"] + self.w["b"]
-        U, H = self.w["U"], HIDDEN
-        before, trace = np.empty((*ids.shape, H), np.float32), []
-        for t, tokens in enumerate(ids):
-            before[t] = h
-            g, u = given[tokens], h @ U
-            gates = _sigmoid(g[:, : 2 * H] + u[:, : 2 * H])
-            z, r = gates[:, :H], gates[:, H:]
-            n = np.tanh(g[:, 2 * H :] + r * u[:, 2 * H :])
-            if keep:
-                trace.append((h, z, r, n, u[:, 2 * H :]))
-            h = n + z * (h - n)
-            h[tokens == self.end] = 0
-        return before, h, trace
+        """States before each token of ``ids`` (steps, lanes), the state after, and what going back needs.
+
+        A state is a column here, so that each gate's values lie together.
+        """
+        H, lanes = HIDDEN, ids.shape[1]
+        given = np.ascontiguousarray((self.w["E"] @ self.w["W"] + self.w["b"]).T)
+        turned = np.ascontiguousarray(self.w["U"].T)
+        given[: 2 * H] *= -1
+        turned[: 2 * H] *= -1
+        before = np.empty((*ids.shape, H), np.float32)
+        h = np.ascontiguousarray(h.T, np.result_type(h, turned))
+        trace = np.empty((len(ids) if keep else 1, 5 * H, lanes), h.dtype)
+        ends = ids == self.end
+        some = ends.any(axis=1)
+        with np.errstate(over="ignore"):  # a gate of 1 / inf is 0
+            for t, tokens in enumerate(ids):
+                before[t] = h.T
+                kept = trace[t if keep else 0]
+                gates, n, u = kept[: 2 * H], kept[2 * H : 3 * H], kept[3 * H : 4 * H]
+                if keep:
+                    kept[4 * H :] = h
+                g, all_ = given.take(tokens, axis=1), turned @ h
+                u[...] = all_[2 * H :]
+                np.add(g[: 2 * H], all_[: 2 * H], out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[H:], u, out=n)
+                n += g[2 * H :]
+                np.tanh(n, out=n)
+                h = h - n
+                h *= gates[:H]
+                h += n
+                if some[t]:
+                    h[:, ends[t]] = 0
+        return before, h.T, trace
 
     def log_probs(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
-        """Natural log of P(class), times P(word | class) for own words; with ``grads``, also the slope by state."""
+        """Natural log of P(class), times P(word | class) for own words; with ``grads``, also the slope by state.
+
+        Tokens are taken in the order of their ids, in blocks that stay in a core's cache.
+        """
         w = self.w
+        by = np.argsort(tokens)
+        tokens, states = tokens[by], states[by]
         group = tokens // self.per_class
-        over = _log_softmax(states @ w["A"] + w["a"])
-        out = over[np.arange(len(tokens)), group]
-        slope = None
+        most = np.abs(states).max(initial=0)
+        calm = max((np.abs(w[k]).sum(axis=-2) * most + np.abs(w[b])).max() for k, b in ("Aa", "Bc")) < 60
+        logs, slope = np.empty(len(tokens), states.dtype), None
         if grads is not None:
-            d = np.exp(over)
-            d[np.arange(len(tokens)), group] -= 1
-            grads["A"], grads["a"] = states.T @ d, d.sum(axis=0)
-            slope = d @ w["A"].T
-            grads["B"], grads["c"] = np.zeros_like(w["B"]), np.zeros_like(w["c"])
-        by = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[by], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = by[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            s, place = states[at], tokens[at] - c * self.per_class
-            within = _log_softmax(s @ w["B"][c] + w["c"][c])
-            out[at] += within[np.arange(len(at)), place]
-            if grads is not None:
-                d = np.exp(within)
-                d[np.arange(len(at)), place] -= 1
-                grads["B"][c], grads["c"][c] = s.T @ d, d.sum(axis=0)
-                slope[at] += d @ w["B"][c].T
+            slope = np.zeros_like(states)
+            grads.update({k: np.zeros_like(w[k]) for k in "AaBc"})
+        for low in range(0, len(tokens), BLOCK):
+            part = slice(low, low + BLOCK)
+            logs[part] = _going(states[part], group[part], w["A"], w["a"], calm, None if grads is None else (grads["A"], grads["a"], slope[part]))
+        ends = np.searchsorted(group, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            for low in range(ends[c], ends[c + 1], BLOCK):
+                part = slice(low, min(low + BLOCK, ends[c + 1]))
+                back = None if grads is None else (grads["B"][c], grads["c"][c], slope[part])
+                logs[part] += _going(states[part], tokens[part] - c * self.per_class, w["B"][c], w["c"][c], calm, back)
+        out = np.empty_like(logs)
+        out[by] = logs
+        if slope is not None:
+            ordered, slope = slope, np.empty_like(slope)
+            slope[by] = ordered
         return out, slope
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, dict]:
@@ -120,23 +159,33 @@ class Network:
         before, after, trace = self.run(ids, h, keep=True)
         grads: dict = {}
         logs, slope = self.log_probs(before.reshape(-1, H), ids.reshape(-1), grads)
-        slope = slope.reshape(before.shape)
-        back = np.zeros_like(h)
-        given, states = np.empty((*ids.shape, 3 * H), np.float32), np.empty((*ids.shape, 3 * H), np.float32)
+        slope = np.ascontiguousarray(slope.reshape(before.shape).transpose(0, 2, 1))
+        z, r, n, u, last = (trace[:, i * H : (i + 1) * H] for i in range(5))
+        # Slopes of what goes into the gates by the state after the token; then, from the last token on, by the loss.
+        over = (1 - z) * (1 - n * n)
+        states, backs = np.empty((len(ids), 3, H, ids.shape[1]), trace.dtype), np.empty((len(ids), H, ids.shape[1]), trace.dtype)
+        states[:, 0], states[:, 1], states[:, 2] = (last - n) * z * (1 - z), over * u * r * (1 - r), over * r
+        back, ends = np.zeros(slope.shape[1:], trace.dtype), ids == self.end
+        some = ends.any(axis=1)
         for t in range(len(ids) - 1, -1, -1):
-            back[ids[t] == self.end] = 0
-            last, z, r, n, u = trace[t]
-            dz, dn = back * (last - n) * z * (1 - z), back * (1 - z) * (1 - n * n)
-            dr = dn * u * r * (1 - r)
-            given[t] = np.concatenate((dz, dr, dn), axis=1)
-            states[t] = np.concatenate((dz, dr, dn * r), axis=1)
-            back = back * z + states[t] @ w["U"].T + slope[t]
-        flat, tokens = given.reshape(-1, 3 * H), ids.reshape(-1)
-        grads["U"] = before.reshape(-1, H).T @ states.reshape(-1, 3 * H)
+            if some[t]:
+                back[:, ends[t]] = 0
+            backs[t] = back
+            states[t] *= back
+            back = back * z[t]
+            back += w["U"] @ states[t].reshape(3 * H, -1)
+            back += slope[t]
+        tokens, flat = ids.reshape(-1), states.reshape(len(ids), 3 * H, -1).transpose(0, 2, 1).reshape(-1, 3 * H)
+        grads["U"] = before.reshape(-1, H).T @ flat
+        flat[:, 2 * H :] = (backs * over).transpose(0, 2, 1).reshape(-1, H)
         grads["W"], grads["b"] = w["E"][tokens].T @ flat, flat.sum(axis=0)
         grads["E"] = np.zeros_like(w["E"])
-        np.add.at(grads["E"], tokens, flat @ w["W"].T)
-        return -float(logs.sum()), after, {k: g / len(tokens) for k, g in grads.items()}
+        by = np.argsort(tokens)
+        first = np.flatnonzero(np.diff(tokens[by], prepend=-1))
+        grads["E"][tokens[by[first]]] = np.add.reduceat((flat @ w["W"].T)[by], first, axis=0)
+        for g in grads.values():
+            g /= len(tokens)
+        return -float(logs.sum()), after, grads
 
     def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW, rate: float = RATE, kept: dict | None = None) -> list[float]:
         """Loss per token of each epoch. Texts are token ids with their ends, run together in ``lanes`` streams.
@@ -163,11 +212,21 @@ class Network:
                 loss, h, grads = self.step(part, h if part.shape[1] == len(h) else h[-1:])
                 total += loss
                 turn += 1
+                speed, scale = rate / (1 + turn / 2000) / (1 - 0.9**turn), 1 / math.sqrt(1 - 0.999**turn)
                 for k, g in grads.items():
-                    g = np.clip(g, -1, 1)
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    self.w[k] -= (rate / (1 + turn / 2000) * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
+                    np.clip(g, -1, 1, out=g)
+                    first[k] *= 0.9
+                    first[k] += 0.1 * g
+                    np.square(g, out=g)
+                    g *= 0.001
+                    second[k] *= 0.999
+                    second[k] += g
+                    np.sqrt(second[k], out=g)
+                    g *= scale
+                    g += 1e-8
+                    np.divide(first[k], g, out=g)
+                    g *= speed
+                    self.w[k] -= g
             losses.append(total / len(flat))
         kept["turn"] = turn
         return losses

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,6 +361,28 @@ def test_a_long_text_among_short_ones():
     assert np.allclose(together[:3], [net.score([t])[0] for t in texts[:3]], rtol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 200])
+def test_softmax_is_taken_in_blocks(scale):
+    """Many tokens with many classes: right also where exponentials would overflow, and without a matrix of tokens by classes."""
+    rng, net = np.random.default_rng(6), rnnlm.Network(0, classes=96, per_class=96)
+    n = 40_000
+    states, tokens = np.tanh(rng.normal(0, 1, (n, rnnlm.HIDDEN))).astype(np.float32), (9217 * rng.random(n) ** 3).astype(np.int32)
+    tokens[0] = 96 * 96
+    net.w = {k: v * np.float32(scale) for k, v in net.w.items()}
+    tracemalloc.start()
+    logs = net.log_probs(states, tokens, {})[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * 97 * 4
+    for i in range(0, n, 400):
+        at, s = int(tokens[i]), states[i].astype(np.float64)
+        plain = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+        expected = plain(s @ net.w["A"] + net.w["a"])[at // 96]
+        if at < 96 * 96:
+            expected += plain(s @ net.w["B"][at // 96] + net.w["c"][at // 96])[at % 96]
+        assert math.isclose(logs[i], expected, rel_tol=1e-4, abs_tol=1e-3)
+
+
 def test_rounds_follow_the_tokens():
     found = [rnnlm.rounds_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)]
     assert found[0] == rnnlm.ROUNDS and found == sorted(found) and found[-1] > found[1] + 5
