@@ -49,29 +49,40 @@ END = np.uint64(0x5BD1E9955BD1E995)
 LOG10 = math.log(10)
 
 
-def _going(states: np.ndarray, at: np.ndarray, weights: np.ndarray, bias: np.ndarray, calm: bool, back: tuple | None) -> np.ndarray:
-    """Log of the softmax of ``states @ weights + bias`` at one place a row. Slopes by weights, bias and state are added to the arrays of
-    ``back``. ``calm``: no exponential can overflow.
+def _going(states: np.ndarray, real: np.ndarray | None, at: np.ndarray, weights: np.ndarray, calm: bool, back: tuple | None) -> np.ndarray:
+    """Log of the softmax of ``states @ weights`` at one place a row, both being stacks: the states' last column is 1, the weights' last row the bias.
+
+    ``real``: the rows that are no padding (none: all). Slopes by weights, bias and state are added to the arrays of ``back``.
+    ``calm``: no exponential can overflow.
     """
     x = states @ weights
-    x += bias
     if not calm:
-        x -= x.max(axis=1, keepdims=True)
-    place = np.arange(len(x)), at
-    logs = x[place]
+        x -= x.max(axis=2, keepdims=True)
+    real = np.arange(len(at)) if real is None else real
+    place, flat = real * x.shape[2] + at, x.reshape(-1)
+    logs = flat.take(place)
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    logs -= np.log(total)
+    total = x @ np.ones(x.shape[2], x.dtype)
+    sums = total.reshape(-1).take(real)
+    logs -= np.log(sums)
     if back:
         by_weights, by_bias, by_state = back
-        x *= (1 / total)[:, None]
-        x[place] -= 1
-        by_weights += states.T @ x
-        by_bias += np.ones(len(x), x.dtype) @ x
-        by_state += x @ weights.T
+        flat[place] -= sums
+        share = np.zeros_like(total)
+        share.reshape(-1)[real] = 1 / sums
+        by_weights += (states[:, :, :-1] * share[:, :, None]).transpose(0, 2, 1) @ x
+        by_bias += (share[:, None] @ x)[:, 0]
+        slopes = x @ weights[:, :-1].transpose(0, 2, 1)
+        slopes *= share[:, :, None]
+        by_state += slopes.reshape(-1, slopes.shape[2]).take(real, axis=0)
     return logs
 
 
+def _order(tokens: np.ndarray) -> np.ndarray:
+    """The order by id; short numbers are sorted by their digits, which takes less time."""
+    return np.argsort(tokens.astype(np.uint16) if tokens.max(initial=0) < 1 << 16 else tokens, kind="stable")
+
+
 class Network:
     """Token ids below classes * per_class are words by falling frequency; that number is every other word. Class of a word: id // per_class."""
 
@@ -84,29 +95,31 @@ class Network:
             "A": normal(HIDDEN, classes + 1), "a": np.zeros(classes + 1, np.float32), "B": normal(classes, HIDDEN, per_class), "c": np.zeros((classes, per_class), np.float32),
         }
 
-    def run(self, ids: np.ndarray, h: np.ndarray, keep: bool = False):
+    def run(self, ids: np.ndarray, h: np.ndarray, keep: bool = False, given: tuple | None = None):
         """States before each token of ``ids`` (steps, lanes), the state after, and what going back needs.
 
-        A state is a column here, so that each gate's values lie together.
+        A state is a column here, so that each gate's values lie together. ``given``: what the gates are given by words, and the
+        row of each token therein.
         """
         H, lanes = HIDDEN, ids.shape[1]
-        given = np.ascontiguousarray((self.w["E"] @ self.w["W"] + self.w["b"]).T)
+        words, rows = given or (self.given(), ids)
         turned = np.ascontiguousarray(self.w["U"].T)
-        given[: 2 * H] *= -1
         turned[: 2 * H] *= -1
         before = np.empty((*ids.shape, H), np.float32)
         h = np.ascontiguousarray(h.T, np.result_type(h, turned))
         trace = np.empty((len(ids) if keep else 1, 5 * H, lanes), h.dtype)
         ends = ids == self.end
         some = ends.any(axis=1)
+        g = np.empty((3 * H, lanes), words.dtype)
         with np.errstate(over="ignore"):  # a gate of 1 / inf is 0
-            for t, tokens in enumerate(ids):
+            for t, row in enumerate(rows):
                 before[t] = h.T
                 kept = trace[t if keep else 0]
                 gates, n, u = kept[: 2 * H], kept[2 * H : 3 * H], kept[3 * H : 4 * H]
                 if keep:
                     kept[4 * H :] = h
-                g, all_ = given.take(tokens, axis=1), turned @ h
+                g[...] = words.take(row, axis=0).T
+                all_ = turned @ h
                 u[...] = all_[2 * H :]
                 np.add(g[: 2 * H], all_[: 2 * H], out=gates)
                 np.exp(gates, out=gates)
@@ -122,43 +135,80 @@ class Network:
                     h[:, ends[t]] = 0
         return before, h.T, trace
 
-    def log_probs(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
+    def given(self, words: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """What the gates are given by each of the words; that of the first two with its sign turned, as ``run`` takes it."""
+        out = self.w["E"][words] @ self.w["W"]
+        out += self.w["b"]
+        out[:, : 2 * HIDDEN] *= -1
+        return out
+
+    def log_probs(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None, by: np.ndarray | None = None):
         """Natural log of P(class), times P(word | class) for own words; with ``grads``, also the slope by state.
 
-        Tokens are taken in the order of their ids, in blocks that stay in a core's cache.
+        Tokens are taken in the order of their ids (``by``), in blocks that stay in a core's cache. Classes with few tokens,
+        which follow each other, share a block, each filled up to the largest of them.
         """
-        w = self.w
-        by = np.argsort(tokens)
-        tokens, states = tokens[by], states[by]
+        w, H = self.w, states.shape[1]
+        by = _order(tokens) if by is None else by
+        tokens = tokens.take(by)
         group = tokens // self.per_class
+        ordered = np.zeros((len(tokens) + 1, H + 1), states.dtype)  # the last one is padding
+        states.take(by, axis=0, out=ordered[:-1, :H])
+        ordered[:-1, H] = 1
         most = np.abs(states).max(initial=0)
         calm = max((np.abs(w[k]).sum(axis=-2) * most + np.abs(w[b])).max() for k, b in ("Aa", "Bc")) < 60
         logs, slope = np.empty(len(tokens), states.dtype), None
         if grads is not None:
             slope = np.zeros_like(states)
             grads.update({k: np.zeros_like(w[k]) for k in "AaBc"})
+
+        def going(low, high, rows, real, at, weights, keys, index):
+            part = slice(low, high)
+            back = None if grads is None else (*(grads[k][index] for k in keys), slope[part])
+            return _going(ordered[part][None] if rows is None else ordered.take(rows, axis=0), real, at[part], weights, calm, back)
+
+        weights = np.concatenate([w["A"], w["a"][None]])[None]
         for low in range(0, len(tokens), BLOCK):
-            part = slice(low, low + BLOCK)
-            logs[part] = _going(states[part], group[part], w["A"], w["a"], calm, None if grads is None else (grads["A"], grads["a"], slope[part]))
+            high = min(low + BLOCK, len(tokens))
+            logs[low:high] = going(low, high, None, None, group, weights, "Aa", None)
+        weights = np.concatenate([w["B"], w["c"][:, None]], axis=1)
+        at = tokens - group * self.per_class
         ends = np.searchsorted(group, np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            for low in range(ends[c], ends[c + 1], BLOCK):
-                part = slice(low, min(low + BLOCK, ends[c + 1]))
-                back = None if grads is None else (grads["B"][c], grads["c"][c], slope[part])
-                logs[part] += _going(states[part], tokens[part] - c * self.per_class, w["B"][c], w["c"][c], calm, back)
+        sizes, c = np.diff(ends), 0
+        while c < self.classes:
+            # As many classes as fit a block when each is as large as the largest of them.
+            filled = np.maximum.accumulate(sizes[c : c + BLOCK]) * np.arange(1, len(sizes[c : c + BLOCK]) + 1)
+            many = max(1, int(np.searchsorted(filled, BLOCK, side="right")))
+            low, high = ends[c], ends[c + many]
+            if many == 1:
+                for a in range(low, high, BLOCK):
+                    b = min(a + BLOCK, high)
+                    logs[a:b] += going(a, b, None, None, at, weights[c : c + 1], "Bc", slice(c, c + 1))
+            elif high > low:
+                wide = np.arange(sizes[c : c + many].max())
+                real = wide < sizes[c : c + many, None]
+                rows = np.where(real, ends[c : c + many, None] + wide, len(tokens))
+                logs[low:high] += going(low, high, rows, np.flatnonzero(real), at, weights[c : c + many], "Bc", slice(c, c + many))
+            c += many
         out = np.empty_like(logs)
         out[by] = logs
         if slope is not None:
-            ordered, slope = slope, np.empty_like(slope)
-            slope[by] = ordered
+            turned, slope = slope, np.empty_like(slope)
+            slope[by] = turned
         return out, slope
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, dict]:
         """Loss of a window, the state after it, and slopes by backpropagation through the window."""
         H, w = HIDDEN, self.w
-        before, after, trace = self.run(ids, h, keep=True)
+        tokens = ids.reshape(-1)
+        by = _order(tokens)
+        starts = np.diff(tokens.take(by), prepend=-1) != 0
+        first = np.flatnonzero(starts)
+        words, place = tokens[by[first]], np.empty(len(tokens), np.int64)
+        place[by] = np.cumsum(starts) - 1
+        before, after, trace = self.run(ids, h, keep=True, given=(self.given(words), place.reshape(ids.shape)))
         grads: dict = {}
-        logs, slope = self.log_probs(before.reshape(-1, H), ids.reshape(-1), grads)
+        logs, slope = self.log_probs(before.reshape(-1, H), tokens, grads, by)
         slope = np.ascontiguousarray(slope.reshape(before.shape).transpose(0, 2, 1))
         z, r, n, u, last = (trace[:, i * H : (i + 1) * H] for i in range(5))
         # Slopes of what goes into the gates by the state after the token; then, from the last token on, by the loss.
@@ -175,14 +225,12 @@ class Network:
             back = back * z[t]
             back += w["U"] @ states[t].reshape(3 * H, -1)
             back += slope[t]
-        tokens, flat = ids.reshape(-1), states.reshape(len(ids), 3 * H, -1).transpose(0, 2, 1).reshape(-1, 3 * H)
+        flat = states.reshape(len(ids), 3 * H, -1).transpose(0, 2, 1).reshape(-1, 3 * H)
         grads["U"] = before.reshape(-1, H).T @ flat
         flat[:, 2 * H :] = (backs * over).transpose(0, 2, 1).reshape(-1, H)
-        grads["W"], grads["b"] = w["E"][tokens].T @ flat, flat.sum(axis=0)
+        grads["W"], grads["b"] = w["E"].take(tokens, axis=0).T @ flat, np.ones(len(flat), flat.dtype) @ flat
         grads["E"] = np.zeros_like(w["E"])
-        by = np.argsort(tokens)
-        first = np.flatnonzero(np.diff(tokens[by], prepend=-1))
-        grads["E"][tokens[by[first]]] = np.add.reduceat((flat @ w["W"].T)[by], first, axis=0)
+        grads["E"][words] = np.add.reduceat((flat @ w["W"].T).take(by, axis=0), first, axis=0)
         for g in grads.values():
             g /= len(tokens)
         return -float(logs.sum()), after, grads
@@ -262,7 +310,7 @@ class Network:
         streams = [np.concatenate([texts[i] for i in members]) for members in rows]
         owners = [np.repeat(np.array(members, np.int32), [len(texts[i]) for i in members]) for members in rows]
         full = np.array([len(s) for s in streams])
-        h = np.zeros((lanes, HIDDEN), np.float32)
+        h, given = np.zeros((lanes, HIDDEN), np.float32), self.given()
         for at in range(0, int(full[0]), window):
             running = int((full > at).sum())
             wide = min(window, int(full[0]) - at)
@@ -271,7 +319,7 @@ class Network:
                 part = streams[lane][at : at + wide]
                 ids[lane, : len(part)] = part
                 whose[lane, : len(part)] = owners[lane][at : at + wide]
-            before, h, _ = self.run(ids.T, h[:running])
+            before, h, _ = self.run(ids.T, h[:running], given=(given, ids.T))
             flat = whose.T.reshape(-1)
             some = flat >= 0
             logs, _ = self.log_probs(before.reshape(-1, HIDDEN)[some], ids.T.reshape(-1)[some])

@@ -383,6 +383,33 @@ def test_softmax_is_taken_in_blocks(scale):
         assert math.isclose(logs[i], expected, rel_tol=1e-4, abs_tol=1e-3)
 
 
+def test_small_classes_share_a_block(monkeypatch):
+    """Classes of unequal sizes, empty ones and one of several blocks: few products, and values and slopes as token by token."""
+    rng, net = np.random.default_rng(8), rnnlm.Network(0, classes=40, per_class=30)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    group = np.concatenate([np.zeros(2600, int), *[np.full(n, c) for c, n in enumerate([0, 90, 70, 0, 71, 3, *[2] * 20, 0, 0, 5, 1], 3)], np.full(50, 40)])
+    tokens = rng.permutation(np.where(group < 40, group * 30 + rng.integers(0, 30, len(group)), 1200))
+    states, calls, going = np.tanh(rng.normal(0, 1, (len(tokens), rnnlm.HIDDEN))), [], rnnlm._going
+    monkeypatch.setattr(rnnlm, "_going", lambda *a: calls.append(len(a[2])) or going(*a))
+    grads = {}
+    logs, slope = net.log_probs(states, tokens, grads)
+    assert len(calls) <= 10 and sum(calls) == 2 * len(tokens) - 50 and max(calls) <= rnnlm.BLOCK
+    assert np.allclose(logs, net.log_probs(states, tokens)[0])
+    w, expected, slopes = net.w, {k: np.zeros_like(net.w[k]) for k in "AaBc"}, np.zeros_like(states)
+    for i, (s, token) in enumerate(zip(states, tokens)):
+        c, total = token // 30, 0.0
+        for one, two, at, there in [("A", "a", c, ...)] + ([("B", "c", token % 30, c)] if c < 40 else []):
+            share = np.exp(s @ w[one][there] + w[two][there])
+            share /= share.sum()
+            total += math.log(share[at])
+            share[at] -= 1
+            expected[one][there] += np.outer(s, share)
+            expected[two][there] += share
+            slopes[i] += w[one][there] @ share
+        assert math.isclose(logs[i], total, rel_tol=1e-9)
+    assert np.allclose(slope, slopes) and all(np.allclose(grads[k], expected[k]) for k in "AaBc")
+
+
 def test_rounds_follow_the_tokens():
     found = [rnnlm.rounds_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)]
     assert found[0] == rnnlm.ROUNDS and found == sorted(found) and found[-1] > found[1] + 5
