@@ -23,10 +23,11 @@ from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns; possessive, and begun only where a match can begin, so that long runs cost their length.
+#: ``card`` takes whole runs of digits of a card's length only, as tables of figures have very many others.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WEAK = {
@@ -43,25 +44,39 @@ AGAINST = "version|order|isbn|invoice|item|serial|build"
 CONTEXT = 40
 ROUNDS, STEPS, RATE = 30, 300, 0.5
 ACCEPT = 0.5
-_BLOCK = 128
+#: Numbers added up at once, and how often blocks of them are gathered into blocks.
+_BLOCK, _LEVELS = 32, 3
 
 
-def _starts(lengths: Column, gaps: Column) -> Column:
-    """Where each match starts: running sums of what lies before, by blocks, so that long lists stay linear."""
-    n = F.size(lengths)
-    sums = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))
-    totals = F.transform(blocks, lambda b: sums(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-    before = F.transform(blocks, lambda b: sums(F.slice(totals, 1, b)))
-    block = lambda k: F.floor(k / _BLOCK).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.get(before, block(k)) + sums(F.slice(lengths, block(k) * _BLOCK + 1, k - block(k) * _BLOCK)) + F.get(gaps, k),
-    )
+def _with_starts(rows: DataFrame, n: int) -> DataFrame:
+    """Adds ``s{i}``, the running sums of ``l{i}``, for n lists: where each match starts.
 
+    Sums go up by blocks, blocks of blocks and so on, and come down as running sums, so an element costs a block
+    at most. Each level is a column and read twice in the next: an expression within a lambda, or a column that the
+    optimizer puts there, would be evaluated again for every element.
+    """
+    bits, rest = _BLOCK.bit_length() - 1, _BLOCK - 1
+    total = lambda part: f"aggregate({part}, 0, (sum, x) -> sum + x)"
 
-def _digits(x: Column) -> Column:
-    return F.regexp_replace(x, "[^0-9]", "")
+    def blocks(a: str) -> Column:
+        sums = f"transform(sequence(0, shiftright(size({a}) - 1, {bits})), b -> {total(f'slice({a}, b * {_BLOCK} + 1, {_BLOCK})')})"
+        return F.expr(f"if(size({a}) > {_BLOCK}, {sums}, null)")
+
+    def running(a: str, above: str | None) -> Column:
+        if above is None:
+            return F.expr(f"transform({a}, (own, k) -> {total(f'slice({a}, 1, k + 1)')})")
+        carried = f"if({above} is not null and k >= {_BLOCK}, get({above}, shiftright(k, {bits}) - 1), 0)"
+        return F.expr(f"transform({a}, (own, k) -> {carried} + {total(f'slice({a}, k - (k & {rest}) + 1, (k & {rest}) + 1)')})")
+
+    levels = [[f"l{i}" for i in range(n)]] + [[f"l{i}_{up}" for i in range(n)] for up in range(1, _LEVELS + 1)]
+    for low, high in zip(levels, levels[1:]):
+        rows = rows.withColumns({h: blocks(a) for a, h in zip(low, high)})
+    above = [None] * n
+    for up in range(_LEVELS, -1, -1):
+        names = [f"s{i}" if not up else f"s{i}_{up}" for i in range(n)]
+        rows = rows.withColumns({s: running(a, h) for a, h, s in zip(levels[up], above, names)})
+        above = names
+    return rows
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,77 +85,82 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda x, y: x + y) % 10 == 0
 
 
-def _passes(kind: str, value: Column) -> Column:
-    size = F.length(_digits(value))
+def _passes(kind: str, value: Column, digits: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"))
     if kind == "card":
-        return size.between(12, 19) & _luhn(_digits(value))
+        return _luhn(digits)
     if kind == "phone":
-        return size.between(9, 15)
+        return F.length(digits).between(9, 15)
     return F.lit(True)
 
 
-def _sign(yes: Column, no: Column | None = None) -> Column:
-    out = F.when(yes, F.lit(1))
-    return (out.when(no, F.lit(-1)) if no is not None else out).otherwise(F.lit(0))
+def _sign(yes: Column, no: Column) -> Column:
+    return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def _votes(kind: str, strict: Column, value: Column, before: Column) -> tuple[Column, Column, Column, Column]:
+def _votes(kind: str, strict: Column, value: Column, digits: Column, before: Column) -> tuple[Column, Column, Column, Column]:
     lowered = F.lower(value)
     if kind == "email":
         known = F.regexp_replace(lowered, r"^.*[.\])]\x20?", "").isin(*ENDINGS)
     elif kind == "ip":
         known = ~value.rlike(r"^(?:0|127|169|2[2-5][0-9])\.")
     elif kind == "card":
-        known = _digits(value).rlike(f"^(?:{ISSUERS})")
+        known = digits.rlike(f"^(?:{ISSUERS})")
     else:
         known = value.rlike(rf"^\+(?:{COUNTRY_CODES})|^\(?[2-9][0-9]{{2}}")
     cue, against = before.rlike(rf"(?i)\b(?:{CUES[kind]})"), before.rlike(rf"(?i)\b(?:{AGAINST})")
-    varied = F.size(F.array_distinct(F.split(_digits(value), "")))
-    dull = (varied <= 2) & (F.length(_digits(value)) >= 7)
-    return F.when(strict, 1).otherwise(0), _sign(known, ~known), _sign(cue, against), F.when(dull, -1).otherwise(0)
+    varied = F.size(F.array_distinct(F.split(digits, "")))
+    dull = (F.length(digits) >= 7) & (varied <= 2)
+    return F.when(strict, 1).otherwise(0), F.when(known, 1).otherwise(-1), _sign(cue, against), F.when(dull, -1).otherwise(0)
 
 
-def _judged(rows: DataFrame, i: int, kind: str, strict: bool) -> DataFrame:
-    """Adds ``c{i}``, the candidates among the matches ``h{i}`` with the gaps ``g{i}`` before them."""
-    hits, gaps = F.col(f"h{i}"), F.col(f"g{i}")
-    lengths = F.transform(hits, lambda h, k: F.length(h) + F.get(gaps, k))
-    rows = rows.withColumn(f"s{i}", F.when(F.size(hits) > 0, _starts(lengths, gaps)))
-    spans = F.transform(hits, lambda h, k: F.struct(F.get(F.col(f"s{i}"), k).alias("start"), h.alias("value")))
-    tried = F.filter(spans, lambda s: _passes(kind, s["value"])) if strict else spans
+def _judged(i: int, kind: str, strict: bool) -> Column:
+    """The candidates among the matches ``h{i}`` with the starts ``s{i}`` and the ends of what lies before them, ``e{i}``."""
+    ends = F.col(f"e{i}")
+    spans = F.expr(f"transform(slice(s{i}, 1, size(h{i})), (start, k) -> struct(start, get(h{i}, k) as value, regexp_replace(get(h{i}, k), '[^0-9]', '') as digits, k))")
+    tried = F.filter(spans, lambda s: _passes(kind, s["value"], s["digits"])) if strict else spans
+
+    def behind(s):
+        last, k = F.get(ends, s["k"]), s["k"]
+        # A piece holds a match, so as many pieces as the context has places are enough.
+        joined = F.array_join(F.slice(ends, F.greatest(k - (CONTEXT - 2), F.lit(1)), F.least(k + 1, F.lit(CONTEXT))), "")
+        before = F.when(F.length(last) == CONTEXT, last).otherwise(F.substring(joined, -CONTEXT, CONTEXT))
+        return F.struct(s["start"].alias("start"), s["value"].alias("value"), s["digits"].alias("digits"), before.alias("before"))
 
     def judge(s):
         value = s["value"]
         base = F.lit(strict)
-        low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        before = F.substring(F.col("text"), low + 1, s["start"] - low)
-        votes = [v.cast("int").alias(f"v{j}") for j, v in enumerate(_votes(kind, base, value, before))]
+        votes = [v.cast("int").alias(f"v{j}") for j, v in enumerate(_votes(kind, base, value, s["digits"], s["before"]))]
         shape = F.least(F.floor(F.length(value) / 8), F.lit(3)).cast("int")
         ends = s["start"].alias("start"), (s["start"] + F.length(value)).alias("end")
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), *ends, base.alias("base"), *votes, shape.alias("shape"), value.rlike(r"[\x20().-]").cast("int").alias("parted"))
 
-    return rows.withColumn(f"c{i}", F.when(F.size(hits) > 0, F.transform(tried, judge)))
+    return F.transform(F.transform(tried, behind), judge)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and ``found``: arrays of kind number, start, end, base, votes and shape."""
+    """doc_id and ``found``: arrays of kind number, start, end, base, votes and shape.
+
+    The matches of a pattern, ``h``, and the pieces of text between them, ``p``, are lists. Each piece together with
+    the match before it gives a length and its last places, so that neither a match's start nor its context is sought
+    in the text: the work is linear in a text's length and matches.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     has_digit = F.col("text").rlike("[0-9]")
     lists = [(k, p, True, F.contains("text", F.lit(NEEDS[k])) if k in NEEDS else has_digit) for k, p in PATTERNS.items()]
     lists += [(k, p, False, F.col("text").rlike(r"[(\[]at[)\]]") if k == "email" else has_digit) for k, p in WEAK.items()]
     none = F.array().cast("array<string>")
-    for i, (_, pattern, _, needed) in enumerate(lists):
-        rows = rows.withColumn(f"h{i}", F.when(needed, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
-    parts = []
-    for i, (_, pattern, _, _) in enumerate(lists):
-        rows = rows.withColumn(f"g{i}", F.when(F.size(f"h{i}") > 0, F.transform(F.split("text", pattern, -1), F.length)))
-    for i, (kind, _, strict, _) in enumerate(lists):
-        rows = _judged(rows, i, kind, strict)
-        parts.append(f"c{i}")
+    every = range(len(lists))
+    rows = rows.withColumns({f"h{i}": F.when(needed, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none) for i, (_, pattern, _, needed) in enumerate(lists)})
+    rows = rows.withColumns({f"p{i}": F.when(F.size(f"h{i}") > 0, F.split("text", pattern, -1)) for i, (_, pattern, _, _) in enumerate(lists)})
+    length = {f"l{i}": F.expr(f"transform(p{i}, (p, k) -> length(p) + coalesce(length(get(h{i}, k - 1)), 0))") for i in every}
+    tail = lambda x: f"substring({x}, {-CONTEXT}, {CONTEXT})"
+    ends = {f"e{i}": F.expr(f"transform(p{i}, (p, k) -> {tail(f"""concat(coalesce(get(h{i}, k - 1), ''), {tail('p')})""")})") for i in every}
+    rows = _with_starts(rows.withColumns(length | ends), len(lists))
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,v0:int,v1:int,v2:int,v3:int,shape:int,parted:int>>")
-    return rows.select("doc_id", F.concat(*[F.coalesce(p, empty) for p in parts]).alias("found"))
+    return rows.select("doc_id", F.concat(*[F.coalesce(_judged(i, kind, strict), empty) for i, (kind, _, strict, _) in enumerate(lists)]).alias("found"))
 
 
 # -- estimation over counted combinations ---------------------------------------------------------------
@@ -202,16 +222,32 @@ def train(counts: list[dict], posterior: dict, steps: int = STEPS, rate: float =
 
 
 def _score(s: Column, weights: dict[tuple, float]) -> Column:
+    """The classifier's score of a candidate; each feature's weights are an array by kind and value."""
     total = F.lit(0.0)
-    for f, w in sorted(weights.items()):
-        if f[0] == "kind":
-            on = s["kind"] == f[1]
+    for name in ("kind", "parted", "shape", "v0", "v1", "v2", "v3"):
+        if name == "kind":
+            values, place = [weights.get((name, k), 0.0) for k in range(len(KINDS))], s["kind"]
         else:
-            on = (s["kind"] == f[1]) & (s[f[0]] == f[2])
-        total = total + F.when(on, F.lit(float(w))).otherwise(F.lit(0.0))
+            values, place = [weights.get((name, k, v), 0.0) for k in range(len(KINDS)) for v in range(-1, 4)], s["kind"] * 5 + s[name] + 1
+        total = total + F.get(F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})"), place)
     return 1 / (1 + F.exp(-total))
 
 
+def _meets_base(s: Column) -> Column:
+    """Whether a span of a weak pattern meets one of its kind in ``base_{kind}``, which are in order and apart.
+
+    The last of them that starts before the span's end is the one whose end is greatest; steps that halve find it.
+    """
+    steps = ", ".join(str(1 << j) for j in range(30, -1, -1))
+    meets = F.lit(False)
+    for kind in WEAK:
+        base = f"base_{kind}"
+        further = lambda at, step, base=base: (at + step <= F.size(base)) & (F.get(base, at + step - 1)["start"] < s["end"])
+        before = F.aggregate(F.expr(f"array({steps})"), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+        meets = F.when(s["kind"] == KINDS.index(kind), F.coalesce(F.get(base, before - 1)["end"] > s["start"], F.lit(False))).otherwise(meets)
+    return meets
+
+
 def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id and ``spans``: sorted arrays of start, kind, end, base and score."""
     found = written(candidates(docs), "candidates")
@@ -220,10 +256,9 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     posterior, _ = reliabilities(counts)
     weights = train(counts, posterior)
     scored = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), _score(s, weights).alias("score")))
-    base = F.filter("found", lambda s: s["base"])
-    clear = lambda s: ~F.exists("base", lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.filter("scored", lambda s: s["base"] | ((s["score"] >= accept) & clear(s)))
-    return found.select("doc_id", scored.alias("scored"), base.alias("base")).select("doc_id", F.array_sort(kept).alias("spans"))
+    base = [F.filter("found", lambda s: s["base"] & (s["kind"] == KINDS.index(k))).alias(f"base_{k}") for k in WEAK]
+    kept = F.filter("scored", lambda s: s["base"] | ((s["score"] >= accept) & ~_meets_base(s)))
+    return found.select("doc_id", scored.alias("scored"), *base).select("doc_id", F.array_sort(kept).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

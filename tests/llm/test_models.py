@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import threading
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -59,6 +61,39 @@ def test_base_spans(make):
     assert "bob (at) example (dot) com" in extra
 
 
+def dense(rng, n):
+    """Texts of n matches and more: numbers alone, and all kinds with strict and weak forms side by side."""
+    numbers = "".join(f"{rng.randrange(1000)}{rng.choice((', ', ' x ', chr(10)))}" for _ in range(n))
+    forms = ("a.b@c.de", "bob (at) c.org", "1.2.3.4", "4111 1111 1111 1111", "+49 30 123456789", "+1 415-555-2671", "415-555-2671", "(415) 555-2671", "17", "é😀", "card", "call ", "mail", "order no")
+    return [numbers, "".join(rng.choice(forms) + rng.choice((" ", ", ", ",", " and a longer way to the next of them, ")) for _ in range(n))]
+
+
+@pytest.mark.parametrize("block", [2, 32])
+def test_many_matches_in_a_text(spark, make, monkeypatch, block):
+    monkeypatch.setattr(pii, "_BLOCK", block)
+    texts = dict(enumerate(dense(random.Random(4), 700) + dense(random.Random(5), 33)))
+    docs = make(list(texts.items()))
+    # Without the sums of sums this takes hours, so it is ended.
+    late = threading.Timer(180, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        judged = {r.doc_id: r.found for r in pii.candidates(docs).collect()}
+        found = {r.doc_id: r.spans for r in pii.find(docs, accept=0.0).collect()}
+    finally:
+        late.cancel()
+    for d, text in texts.items():
+        base = [(s.start, s.kind, s.end) for s in judged[d] if s.base]
+        assert sorted(base) == [s[:3] for s in brute.base_spans(text)]
+        weak = [(s.start, s.kind, s.end) for s in judged[d] if not s.base]
+        assert all(re.fullmatch(pii.WEAK[pii.KINDS[k]].replace(r"\G|", ""), text[a:b]) for a, k, b in weak)
+        for s in judged[d]:
+            cue = lambda words: re.search(rf"(?i)\b(?:{words})", text[max(0, s.start - pii.CONTEXT) : s.start], re.ASCII)  # noqa: B023, E731
+            assert s.v2 == (1 if cue(pii.CUES[pii.KINDS[s.kind]]) else -1 if cue(pii.AGAINST) else 0)
+        apart = [w for w in weak if not any(w[1] == b[1] and w[0] < b[2] and b[0] < w[2] for b in base)]
+        assert [(s.start, s.kind, s.end) for s in found[d]] == sorted(base + apart)
+    assert len(texts[0]) > 3000 and any(not s.base for s in found[1]) and len(found[1]) < len(judged[1])
+
+
 def test_reliabilities_find_the_better_labeler():
     rng = random.Random(2)
     counts = Counter()
